@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, license_scan, line_dedup, mixing, surrogates
+from . import jaccard_join, kd_shards, license_scan, line_dedup, mixing, near_vectors, perplexity, piece_fst, surrogates, weak_labels
+
+#: The vocabulary file; not part of the repository.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.score(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(_table(spark, sf_dir, "documents"), key="corpus-2026").select("doc_id", "n_entities", "text")
 
@@ -23,6 +36,19 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(_table(spark, sf_dir, "documents"))
+
+
+def op6_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return piece_fst.encode(docs, piece_fst.read_model(docs, PIECES))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
@@ -37,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_surrogates, op4_kd_shards, op8_mixing, op9_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_perplexity, op2_near_vectors, op3_surrogates, op4_kd_shards, op5_weak_labels, op6_piece_fst, op7_jaccard_join, op8_mixing, op9_license_scan, op10_line_dedup)}
 
 
 _LINES = r"""

@@ -92,36 +92,36 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
-    """Of each hash slot, the power of two of its count over all documents (a fixed megabyte)."""
+    """Of each hash slot, eight times the power of two of its count over all documents (a fixed megabyte)."""
     sums = sketch.where("part is not null").select("part", "counts").mapInArrow(_add_up, "part int, counts binary").repartition(SLOT_PARTS, "part").mapInArrow(_add_up, "part int, counts binary")
     out = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.uint32)
     for r in sums.collect():
         out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    return np.floor(np.log2(np.maximum(out.reshape(-1), 1))).astype(np.uint8)
+    return np.minimum(8 * np.log2(np.maximum(out.reshape(-1), 1)), 255).astype(np.uint8)
 
 
 def _prefixes(levels, tiles: int, k: int):
-    """Tiles' entries: (tile, hashes, ids, components, sizes), each a packed array; size's lowest bit: in the short prefix."""
+    """Tiles' entries: (tile, hashes, ids, components, sizes, places in the prefix), each a packed array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value.astype(np.uint64) << _U(58)
+        level = levels.value.astype(np.uint64) << _U(56)
         held, many = [], 0
 
         def out() -> pa.RecordBatch:
-            h, ids, comp, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, ids, comp, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
             tile = ((h >> _U(32)) % _U(tiles)).astype(np.int64)
             order = np.argsort(tile, kind="stable")
             at = np.flatnonzero(np.diff(tile[order], prepend=-1, append=tiles))
             cuts = list(zip(at[:-1], at[1:], strict=True))
             pack = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in cuts], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(tile[order[at[:-1]]], pa.int32()), pack(h), pack(ids), pack(comp - ids), pack(size)], ["tile", "h", "ids", "comp", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(tile[order[at[:-1]]], pa.int32()), pack(h), pack(ids), pack(comp - ids), pack(size), pack(place)], ["tile", "h", "ids", "comp", "size", "place"])
 
         for batch in batches:
             for doc_id, comp, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k), strict=True):
                 if n := len(h):
                     p = n // 4 + 1
-                    first = h[np.argsort(level[(h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)] | (h >> _U(6)), kind="stable")[:p]]
-                    held.append((first, np.full(p, doc_id, np.int64), np.full(p, comp, np.int64), (np.arange(p) < n // 7 + 1).astype(np.int32) | np.int32(min(n, 2**30 - 1) << 1)))
+                    first = h[np.argsort(level[(h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)] | (h >> _U(8)), kind="stable")[:p]]
+                    held.append((first, np.full(p, doc_id, np.int64), np.full(p, comp, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
                     many += p
                 if many > 1_000_000:
                     yield out()
@@ -132,18 +132,23 @@ def _prefixes(levels, tiles: int, k: int):
     return run
 
 
-def _tile_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of ids (smaller size first) of a tile that may be similar, as rows of two."""
-    order = np.lexsort((ids, size >> 1, h))
-    h, ids, comp, size = h[order], ids[order], comp[order], size[order]
+def _tile_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of ids (smaller size first) of a tile that may be similar, as rows of two.
+
+    Similar sets of n and m members share 3 / 7 (n + m) at least, so at their first common shingle each has as many left.
+    """
+    order = np.lexsort((ids, size, h))
+    h, ids, comp, size, left = h[order], ids[order], comp[order], size[order].astype(np.int64), (size - place)[order].astype(np.int64)
     cuts = np.flatnonzero(np.diff(h, prepend=h[0] + _U(1), append=h[-1] + _U(1)))
     lo, hi = np.minimum.reduceat(comp, cuts[:-1]), np.maximum.reduceat(comp, cuts[:-1])
     for k in np.flatnonzero(lo != hi):
         a, b = int(cuts[k]), int(cuts[k + 1])
-        n, c, own, short = size[a:b] >> 1, comp[a:b], ids[a:b], (size[a:b] & 1).astype(bool)
+        n, c, own, rest = size[a:b], comp[a:b], ids[a:b], left[a:b]
         last = np.searchsorted(n, n * 4 // 3, "right")  # partners of i: i + 1 to last[i], by size
-        for i in np.flatnonzero(short & (last > np.arange(1, b - a + 1))):
-            to = own[i + 1 : last[i]][c[i + 1 : last[i]] != c[i]]
+        for i in np.flatnonzero((last > np.arange(1, b - a + 1)) & (7 * rest >= 6 * n)):
+            to = slice(i + 1, last[i])
+            need = 3 * (n[i] + n[to])
+            to = own[to][(c[to] != c[i]) & (7 * rest[i] >= need) & (7 * rest[to] >= need)]
             if len(to):
                 yield np.stack([np.full(len(to), own[i]), to], axis=1)
 
@@ -152,14 +157,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tile, held = None, []
 
     def out() -> Iterator[pa.RecordBatch]:
-        h, ids, comp, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, ids, comp, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
         found, many = [], 0
 
         def batch() -> pa.RecordBatch:
             x = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-        for x in _tile_pairs(h, ids, comp + ids, size):
+        for x in _tile_pairs(h, ids, comp + ids, size, place):
             found.append(x)
             many += len(x)
             if many > 500_000:
@@ -172,12 +177,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch()
 
     for batch in batches:
-        for t, *x in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+        for t, *x in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
             if t != tile and held:
                 yield from out()
                 held = []
             tile = t
-            held.append([np.frombuffer(v, d) for v, d in zip(x, (np.uint64, np.int64, np.int64, np.int32), strict=True)])
+            held.append([np.frombuffer(v, d) for v, d in zip(x, (np.uint64, np.int64, np.int64, np.int32, np.int32), strict=True)])
     if held:
         yield from out()
 
@@ -250,7 +255,7 @@ def similar_components(docs: DataFrame, k: int = 5) -> DataFrame:
     levels = spark.sparkContext.broadcast(_levels(sketch))
     entries = sets.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
     tiles = max(12, entries // ENTRIES_A_TILE)
-    spread = labels.join(texts, "doc_id").select("doc_id", "comp", "text").mapInArrow(_prefixes(levels, tiles, k), "tile int, h binary, ids binary, comp binary, size binary")
+    spread = labels.join(texts, "doc_id").select("doc_id", "comp", "text").mapInArrow(_prefixes(levels, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary")
     pairs = table(spread.repartition(tiles, "tile").sortWithinPartitions("tile").mapInArrow(_pairs, "a long, b long"), "pairs").distinct()
     more = table(_verified(pairs, sets, texts, k), "links")
     copies = each.where("n > 0 and doc_id is not null").join(sets.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 RING, SAMPLES = 12, 24
 OUT = "vehicle_id string, seq long, us long, raw double, clean double, signal_state string, quality_flag string, motion_state string, motion_confidence double, displacement double, fuel_rate double, is_stopped int, operational_state string"
-# Other names of signal states.
+# Signal states.
 STATES = ("UNINITIALIZED", "INIT", "STABLE_JITTER", "OSCILLATION_NOISE", "SLOSHING", "GRADUAL_CHANGE", "UPWARD_SHIFT", "DOWNWARD_SHIFT", "SPIKE", "UNCERTAIN")
 
 
@@ -89,7 +89,7 @@ def _dip(s: dict, raw: float, us: int, minutes: float, shift: float) -> tuple[fl
             s["mode"] = "REBOUND_RECOVERY"
             return clean, "REBOUND_RECOVERY_HELD"
         four = dip["last"][-4:]
-        if raw / max(dip["base"], 1e-9) < 0.7 and us - dip["since"] >= 3_600_000_000 and len(four) == 4 and max(four) - min(four) <= max(2.0, 3 * noise) and rebound <= 0.25:
+        if dip["base"] - raw < 0.7 * dip["base"] and us - dip["since"] >= 3_600_000_000 and len(four) == 4 and max(four) - min(four) <= max(2.0, 3 * noise) and rebound <= 0.25:
             dip["sure"], s["mode"] = True, "DOWNWARD_CONFIRMED"
     if dip["sure"]:
         goal = median(dip["last"][-4:])

@@ -25,8 +25,8 @@ def decode(doc: str) -> dict:
     return fresh() | found["context"]
 
 
-def track_stream(points: DataFrame, ttl_ms: int = 72 * 3600 * 1000) -> DataFrame:
-    """Append-mode stream of outputs; points may have a column kind ('point' or 'reset'). Idle state expires after ttl_ms."""
+def track_stream(points: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Append-mode stream of outputs; points may have a column kind ('point' or 'reset'). Idle state expires after ttl_ms if given."""
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -42,8 +42,9 @@ def track_stream(points: DataFrame, ttl_ms: int = 72 * 3600 * 1000) -> DataFrame
             own = part[part["kind"] != "reset"] if "kind" in part else part
             rows += run(held, key[0], own)
         state.update((encode(held),))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         if rows:
             yield pd.DataFrame(rows)
 
-    return points.groupBy("vehicle_id").applyInPandasWithState(each, OUT, "doc string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.groupBy("vehicle_id").applyInPandasWithState(each, OUT, "doc string", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)

@@ -29,10 +29,10 @@ def water_fill(sizes: list[int], weights: list[float], limit: float) -> list[flo
     while True:
         rest = total - sum(limit * sizes[i] for i in full)
         open_w = sum(w for i, w in enumerate(weights) if i not in full)
-        out = [limit * s if i in full else rest * weights[i] / open_w for i, s in enumerate(sizes)]
+        out = [float(limit * s) if i in full else rest * weights[i] / open_w for i, s in enumerate(sizes)]
         more = {i for i, x in enumerate(out) if i not in full and x > limit * sizes[i]}
         if not more or len(full | more) == len(sizes):
-            return [min(x, float(limit * s)) for x, s in zip(out, sizes, strict=True)]
+            return [float(min(x, limit * s)) for x, s in zip(out, sizes, strict=True)]
         full |= more
 
 

@@ -37,7 +37,7 @@ PATTERNS = {
     "card": r"(?<![\d])(?:\d{4}[ \-]?){3}\d{4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
-    "name": rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}})?",
+    "name": rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}(?: (?!(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\b)\p{{Lu}}[\p{{L}}'\-]{{1,40}})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HEX = "sha2(concat_ws('|', '{key}', kind, canon, attempt), 512)"

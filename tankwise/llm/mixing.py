@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import row_key, table, word_count
 
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 4_000
 
 
 def water_fill(sizes: list[int], weights: list[float], limit: float) -> list[float]:

@@ -55,3 +55,29 @@ def noise_band(noise: Column) -> Column:
 
 def speed_band(speed: Column) -> Column:
     return F.when(speed <= 3, "0-3").when(speed <= 10, "3-10").when(speed <= 30, "10-30").when(speed <= 60, "30-60").otherwise("60+")
+
+
+def largest_rise(t: DataFrame, before: int = 30, after: int = 50) -> DataFrame:
+    """Position of each vehicle's largest rise (the first of equal ones) and the range of positions to show around it."""
+    w = Window.partitionBy("vehicle_id")
+    line = w.orderBy("us", "seq")
+    t = t.withColumns({"jump": F.round(F.col("fuel") - F.lag("fuel").over(line), 6), "pos": F.row_number().over(line).cast("long") - 1, "n": F.count("*").over(w)})
+    top = t.where("jump > 0").groupBy("vehicle_id").agg(F.max_by(F.struct("pos", "jump", "n"), F.struct("jump", -F.col("pos"))).alias("b"))
+    return top.select("vehicle_id", F.col("b.pos").alias("at_pos"), F.col("b.jump").alias("jump"), F.greatest(F.lit(0), F.col("b.pos") - before).alias("start_pos"), F.least(F.col("b.n") - 1, F.col("b.pos") + after).alias("end_pos"))
+
+
+def nearest(t: DataFrame, at_us: int) -> DataFrame:
+    """The point of each vehicle nearest to a time, the earlier of two as near."""
+    best = F.min_by(F.struct("seq", "us", "fuel"), F.struct(F.abs(F.col("us") - at_us), "us", "seq"))
+    return t.groupBy("vehicle_id").agg(best.alias("b")).select("vehicle_id", "b.*")
+
+
+def recent(t: DataFrame, hours: int) -> DataFrame:
+    """Points within hours of the vehicle's last one."""
+    return t.withColumn("_top", F.max("us").over(Window.partitionBy("vehicle_id"))).where(F.col("us") >= F.col("_top") - hours * 3_600_000_000).drop("_top")
+
+
+def ring(t: DataFrame, size: int) -> DataFrame:
+    """The last size valid levels of each vehicle in hundredths of a litre, oldest first, comma-joined."""
+    last = latest(t.where("fuel > 0"), size)
+    return last.groupBy("vehicle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", F.round(F.col("fuel") * 100).cast("long").alias("v")))), lambda p: p["v"].cast("string")), ",").alias("ring"))

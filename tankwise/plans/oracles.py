@@ -103,7 +103,7 @@ ORACLES = {
 }
 
 
-def _inline_haversine(text: str) -> str:
+def inline_haversine(text: str) -> str:
     """hav(a, b, c, d) written out; DuckDB views have no macros here."""
     import re
 
@@ -132,4 +132,4 @@ def _inline_haversine(text: str) -> str:
     return text
 
 
-ORACLES["motion_states"] = _inline_haversine(ORACLES["motion_states"])
+ORACLES["motion_states"] = inline_haversine(ORACLES["motion_states"])

@@ -1,9 +1,9 @@
 import pytest
 from compare import rows_of_spark, rows_of_sql
 
-from tankwise.plans.oracles import ORACLES
-from tankwise.plans.queries import QUERIES
+from tankwise.plans import oracles, preparation, queries
 
+ORACLES, QUERIES = oracles.ORACLES | preparation.ORACLES, queries.QUERIES | preparation.QUERIES
 SF = "/root/testdata/sf0.001"
 
 

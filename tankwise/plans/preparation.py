@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators import forest as M
 from tankwise.operators import gated as G
 from tankwise.operators import preparation as R
 from tankwise.operators import profile as P
+from tankwise.operators import quality as Q
 from tankwise.operators import serving as S
 from tankwise.operators import windows as W
 from tankwise.plans.oracles import AROUND, LABELS, PROFILE, STEPS, TELE, VEHICLES, V, inline_haversine, sql
@@ -133,9 +135,15 @@ def day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).where("label is not null").groupBy("vehicle_id", day).agg(F.count("*").alias("points"), F.sum((F.col("label") == "STABLE_JITTER").cast("long")).alias("stable"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
+def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of label and guess over the vehicles that the forest was not trained on, each and all (null)."""
+    t = M.held_out(_labelled(spark, sf_dir))
+    return Q.confusion(M.classify(M.train(t.where("not held_out")), t.where("held_out")), "label", "guess", "vehicle_id")
+
+
 QUERIES = {f.__name__: f for f in (
     gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, state_names, repaired_coordinates, central_times, nominal_period, learnt_period, behaviour_checks, step_percentiles, active_contexts,
-    vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states,
+    vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states, forest_confusion,
 )}
 
 NOISY = f", c as (select *, avg(fuel) over (v rows between 7 preceding and current row) as clean from t {V})"

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 8.0, l2: float = 1e-5) -> np.ndarray:
     """Logistic regression on soft labels by gradient descent with momentum."""
-    x, y = x.astype(np.float32), y.astype(np.float32)
+    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for _ in range(rounds):
         grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / np.float32(len(y)) + np.float32(l2) * w
@@ -120,8 +121,13 @@ def _train(texts: DataFrame, sample_size: int, seed: int):
             y = [posterior[tuple(votes(t, n))] for t, n in zip(texts, repeated(batch.column(1)).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["hash", "x", "y"])
 
-    rows = texts.where(order <= limit).dropDuplicates(["hash"]).mapInArrow(sampled, "hash long, x binary, y double").orderBy("hash").collect()
-    x, y = np.array([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["y"] for r in rows])
+    # row by row into one matrix, so that the driver never holds the sample twice
+    rows = texts.where(order <= limit).dropDuplicates(["hash"]).mapInArrow(sampled, "hash long, x binary, y double").orderBy("hash")
+    x, y = np.zeros((sample_size, 2 * SLOTS + 1), np.float32), []
+    for n, row in enumerate(islice(rows.toLocalIterator(), sample_size)):
+        x[n] = np.frombuffer(row["x"], np.float32)
+        y.append(row["y"])
+    x, y = x[: len(y)], np.array(y)
     two = (y >= 0.5).any() and (y < 0.5).any()
     return spark.sparkContext.broadcast((fit(x, y) if two else None, posterior))
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ LABELLERS = ("symbols", "capitals", "exclaimed", "pipes", "repeats", "stutter",
 # Very common words of four languages.
 COMMON = frozenset(b"the of and to in is that it for was with as are on be this de la le les et des un une que en du el los las y se con por der die das und ist nicht ein zu den mit von".split())
 SLOTS = 1 << 12
+ROWS_A_BATCH = 256
 _PAIR = np.random.default_rng(11).integers(1, 2**31, 256).astype(np.uint32) | np.uint32(1)
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
@@ -115,21 +115,28 @@ def _train(texts: DataFrame, sample_size: int, seed: int):
     limit = voted.select(order.alias("o")).distinct().orderBy("o").limit(sample_size).agg(F.max("o")).first()[0]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_A_BATCH):
+                batch = whole.slice(at, ROWS_A_BATCH)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                x = [features(t.encode()).tobytes() for t in texts]
+                y = [posterior[tuple(votes(t, n))] for t, n in zip(texts, repeated(batch.column(1)).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["hash", "x", "y"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = np.zeros((sample_size, 2 * SLOTS + 1), np.float32), []
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            x = [features(t.encode()).tobytes() for t in texts]
-            y = [posterior[tuple(votes(t, n))] for t, n in zip(texts, repeated(batch.column(1)).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(y, pa.float64())], ["hash", "x", "y"])
-
-    # row by row into one matrix, so that the driver never holds the sample twice
-    rows = texts.where(order <= limit).dropDuplicates(["hash"]).mapInArrow(sampled, "hash long, x binary, y double").orderBy("hash")
-    x, y = np.zeros((sample_size, 2 * SLOTS + 1), np.float32), []
-    for n, row in enumerate(islice(rows.toLocalIterator(), sample_size)):
-        x[n] = np.frombuffer(row["x"], np.float32)
-        y.append(row["y"])
-    x, y = x[: len(y)], np.array(y)
-    two = (y >= 0.5).any() and (y < 0.5).any()
-    return spark.sparkContext.broadcast((fit(x, y) if two else None, posterior))
+            for row, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                x[len(y)] = np.frombuffer(row.as_buffer(), np.float32)
+                y.append(label)
+        x, y = x[: len(y)], np.array(y)
+        if (y >= 0.5).any() and (y < 0.5).any():
+            yield pa.RecordBatch.from_arrays([pa.array([fit(x, y).tobytes()], pa.binary())], ["w"])
+
+    # the sample is bounded, so one task fits it; only the weights reach the driver
+    rows = texts.where(order <= limit).dropDuplicates(["hash"]).mapInArrow(sampled, "hash long, x binary, y double")
+    w = rows.repartition(1).sortWithinPartitions("hash").mapInArrow(fitted, "w binary").first()
+    return spark.sparkContext.broadcast((np.frombuffer(w[0], np.float32) if w else None, posterior))
 
 
 def _scores(texts: pa.Array, weights: tuple) -> tuple[list[float], list[float]]:

@@ -31,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes their words, to the nearest whole number."""
-    taken = mixing.mix(docs).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.expr("cast(round(avg(if(size > 0, taken / size, 0))) as int)").alias("_copies")).where("_copies > 0")
+    """Whole documents as often as the mix takes their words, a broken number rounded up or down by hash in its proportion."""
+    share = mixing.mix(docs).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.expr("avg(if(size > 0, taken / size, 0))").alias("_share"))
+    taken = share.selectExpr("_k1", "_k2", "cast(floor(_share + pmod(xxhash64(_k2, _k1), 1000000) / 1e6) as int) as _copies").where("_copies > 0")
     k1, k2 = row_key("doc_id", "source", "text")
     keyed = docs.withColumns({"_a": k1, "_b": k2}).join(taken.hint("shuffle_hash"), (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")))
     return keyed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)

@@ -1,18 +1,19 @@
 """Quality rules and n-gram perplexity bands.
 
-A modified Kneser-Ney model for each language, over the UTF-8 bytes of words (order 5, words padded with spaces): Spark
-counts n-grams of all documents, derives continuation counts, discounts and interpolated probabilities with joins on
-integer keys, and the model is kept as sorted key arrays with values. Each worker scores a distinct word once. A document
-is rejected when its log perplexity leaves the band of its language, the median plus and minus a multiple of the median
-absolute deviation over all documents that pass the base rules.
+A modified Kneser-Ney model for each language, over the UTF-8 bytes of whole texts (order 5, one space between words, so a
+word's first bytes are scored after the end of the word before): Spark counts n-grams of all documents, derives continuation
+counts, discounts and interpolated probabilities with joins on integer keys, and the model is kept as sorted key arrays with
+values. A document is rejected when its log perplexity leaves the band of its language: three robust standard deviations on
+each side of the median (the three-sigma rule), a side's deviation being 1.4826 times the median distance of the documents
+on that side. Base rules come first, and equal scores count once.
 
 Defined cases: a null text has no words and fails the base rules; null and empty lang are one language; a language with
-one document keeps it (its band is never narrower than min_width); repeated rows are scored alike.
+one document keeps it (neither side of its band is narrower than min_width, which only matters for texts nearly all
+alike); repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,43 +29,50 @@ _U = np.uint64
 MASK = {n: (1 << 8 * n) - 1 for n in range(ORDER + 1)}
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-HELD_WORDS = 400_000
+#: Bytes of text whose windows are held at once.
+HELD = 1 << 20
 
 
-def word_keys(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """5-byte windows that end at each byte of each word and at the space after it; and the word of each."""
-    pad = b" " * (ORDER - 1)
-    data = np.frombuffer(pad + (b" " + pad).join(found) + b" ", np.uint8).astype(_U)
-    keys = np.zeros(len(data) - ORDER + 1, _U)
+def pieces(text: bytes) -> list[bytes]:
+    """text with one space between words and one at its end, cut into pieces that each begin with the bytes before them."""
+    text = b" " * (ORDER - 1) + b" ".join([*text.split(), b""])
+    return [text[a : a + HELD + ORDER - 1] for a in range(0, len(text) - ORDER + 1, HELD)]
+
+
+def text_keys(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """5-byte windows that end at each byte of each piece, across the words; and the piece of each."""
+    data = np.frombuffer(b"".join(found), np.uint8).astype(_U)
+    keys = np.zeros(max(0, len(data) - ORDER + 1), _U)
     for j in range(ORDER):
         keys = (keys << _U(8)) | data[j : j + len(keys)]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    word = np.repeat(np.arange(len(found)), sizes + ORDER)[: len(keys)]
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]])
-    inside = np.arange(len(keys)) - starts[word] <= sizes[word]
-    return keys[inside], word[inside]
+    piece = np.repeat(np.arange(len(found)), sizes)[: len(keys)]
+    inside = np.arange(len(keys)) + ORDER <= np.cumsum(sizes)[piece]
+    return keys[inside], piece[inside]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
+    held: dict[str, list[bytes]] = {}
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    many = 0
 
     def flush() -> None:
-        for lang, counter in held.items():
-            keys, word = word_keys(list(counter))
-            weight = np.fromiter(counter.values(), np.int64, len(counter))[word]
+        for lang, found in held.items():
+            own, n = np.unique(text_keys(found)[0], return_counts=True)
             if lang in sums:
-                keys, weight = np.concatenate([sums[lang][0], keys]), np.concatenate([sums[lang][1], weight])
-            own, at = np.unique(keys, return_inverse=True)
-            sums[lang] = own, np.bincount(at, weights=weight, minlength=len(own)).astype(np.int64)
+                own, at = np.unique(np.concatenate([sums[lang][0], own]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([sums[lang][1], n]), minlength=len(own)).astype(np.int64)
+            sums[lang] = own, n
         held.clear()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
-                held.setdefault(lang, Counter()).update(text.encode().split())
-            if sum(map(len, held.values())) > HELD_WORDS:
-                flush()
+            for piece in pieces((text or "").encode()):
+                held.setdefault(lang, []).append(piece)
+                many += len(piece)
+                if many > HELD:
+                    flush()
+                    many = 0
     flush()
     for lang, (keys, n) in sums.items():
         for a in range(0, len(keys), 50_000):
@@ -81,7 +89,7 @@ def train(docs: DataFrame) -> DataFrame:
     model, lower = None, None
     for n in range(1, ORDER + 1):
         of = counts[n].groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
         d = [F.coalesce(F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.05)), F.lit(k - 0.05)), F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
         x = counts[n].join(F.broadcast(of.select("lang", *d)), "lang").withColumn("ctx", F.shiftright("key", 8))
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -100,19 +108,51 @@ def train(docs: DataFrame) -> DataFrame:
     return table(model, "model")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Model rows as (lang, n, of, keys, logs): sorted packed arrays of a batch, of being p or b."""
+    for batch in batches:
+        for (lang, n, of), (keys, logs) in _arrays(batch).items():
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "n": n, "of": of, "keys": keys.tobytes(), "logs": logs.tobytes()}], pa.schema([("lang", pa.string()), ("n", pa.int32()), ("of", pa.string()), ("keys", pa.binary()), ("logs", pa.binary())]))
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Keys in order and their values by (lang, n, p or b)."""
+    lang, n, key, logp, back = (rows[c].to_numpy(zero_copy_only=False) for c in ("lang", "n", "key", "logp", "back"))
+    lang, out = lang.astype(str), {}
+    for a in np.unique(lang):
+        for k in range(ORDER + 1):
+            for of, values in (("p", logp), ("b", back)):
+                own = (lang == a) & (n == k) & ~np.isnan(values.astype(np.float64))
+                if own.any():
+                    order = np.argsort(key[own])
+                    out[str(a), k, of] = key[own][order].astype(_U), values[own][order].astype(np.float32)
+    return out
+
+
 class SortedModel:
     """Sorted key arrays with values for each language and order."""
 
     def __init__(self, rows: pa.Table) -> None:
-        lang, n, key, logp, back = (rows[c].to_numpy(zero_copy_only=False) for c in ("lang", "n", "key", "logp", "back"))
-        self.p: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        self.b: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        for a in np.unique(lang.astype(str)):
-            for k in range(ORDER + 1):
-                for to, values in ((self.p, logp), (self.b, back)):
-                    own = (lang == a) & (n == k) & ~np.isnan(values)
-                    order = np.argsort(key[own])
-                    to[a, k] = key[own][order].astype(_U), values[own][order].astype(np.float32)
+        self._take(_arrays(rows))
+
+    @classmethod
+    def collected(cls, model: DataFrame) -> SortedModel:
+        """The model brought to the driver as packed arrays, 12 bytes an entry."""
+        parts: dict[tuple, list] = {}
+        for r in model.mapInArrow(_packed, "lang string, n int, of string, keys binary, logs binary").toArrow().to_pylist():
+            parts.setdefault((r["lang"], r["n"], r["of"]), []).append((np.frombuffer(r["keys"], _U), np.frombuffer(r["logs"], np.float32)))
+        arrays = {}
+        for k, own in parts.items():
+            keys, logs = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.argsort(keys)
+            arrays[k] = keys[order], logs[order]
+        out = cls.__new__(cls)
+        out._take(arrays)
+        return out
+
+    def _take(self, arrays: dict[tuple, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.p = {(a, n): x for (a, n, of), x in arrays.items() if of == "p"}
+        self.b = {(a, n): x for (a, n, of), x in arrays.items() if of == "b"}
 
     @staticmethod
     def find(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> np.ndarray:
@@ -135,9 +175,32 @@ class SortedModel:
         out[open_] = extra[open_] - np.log(256)
         return out
 
-    def words(self, lang: str, found: list[bytes]) -> np.ndarray:
-        keys, word = word_keys(found)
-        return np.bincount(word, weights=self.logp(lang, keys), minlength=len(found))
+    def texts(self, lang: str, found: list[bytes]) -> np.ndarray:
+        """Log probability of each piece."""
+        keys, piece = text_keys(found)
+        own, at = np.unique(keys, return_inverse=True)
+        return np.bincount(piece, weights=self.logp(lang, own)[at], minlength=len(found))
+
+
+def _totals(model: SortedModel, langs: list[str], texts: list[str | None]) -> list[float]:
+    """Log probability of each text."""
+    out, held, many = np.zeros(len(texts)), {}, 0
+
+    def flush() -> None:
+        for lang, own in held.items():
+            rows, found = zip(*own, strict=True)
+            np.add.at(out, np.array(rows), model.texts(lang, list(found)))
+        held.clear()
+
+    for row, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+        for piece in pieces((text or "").encode()):
+            held.setdefault(lang, []).append((row, piece))
+            many += len(piece)
+            if many > HELD:
+                flush()
+                many = 0
+    flush()
+    return out.tolist()
 
 
 def repeated(texts: pa.Array, width: int = 3) -> np.ndarray:
@@ -168,22 +231,13 @@ def _stats(model):
     """model: a broadcast SortedModel, or None for the counts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caches: dict[str, dict[bytes, float]] = {}
         for batch in batches:
-            rows, repeats = [], repeated(batch.column(2)).tolist()
-            for doc_id, lang, text, again in zip(*[batch.column(i).to_pylist() for i in range(3)], repeats, strict=True):
+            ids, langs, texts = (batch.column(i).to_pylist() for i in range(3))
+            totals = [None] * len(ids) if model is None else _totals(model.value, langs, texts)
+            rows = []
+            for doc_id, lang, text, again, total in zip(ids, langs, texts, repeated(batch.column(2)).tolist(), totals, strict=True):
                 text = text or ""
                 own = text.encode().split()
-                total = None
-                if model is not None:
-                    cache = caches.setdefault(lang, {})
-                    if fresh := [*set(own).difference(cache)]:
-                        if sum(map(len, caches.values())) > HELD_WORDS:
-                            for c in caches.values():
-                                c.clear()
-                            fresh = [*set(own)]
-                        cache.update(zip(fresh, model.value.words(lang, fresh).tolist(), strict=True))
-                    total = sum(map(cache.__getitem__, own))
                 rows.append((doc_id, lang, len(own), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(text), again, total, sum(map(len, own)) + len(own)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()), strict=True)], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "logp", "n_bytes"])
@@ -201,8 +255,8 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, lang, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if found := (text or "").encode().split():
-                    keys, n = np.unique(word_keys(found)[0], return_counts=True)
+                for piece in pieces((text or "").encode()):
+                    keys, n = np.unique(text_keys([piece])[0], return_counts=True)
                     yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(keys), pa.int64()), "lang": pa.array([lang] * len(keys), pa.string()), "key": pa.array(keys.astype(np.int64)), "m": pa.array(n)})
 
     top = model.where(F.col("n") == ORDER).where("logp is not null").select("lang", "key", "logp")
@@ -213,7 +267,7 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     return counts.join(sums, "row", "left").join(rows.select("row", "doc_id"), "row").withColumnRenamed("sum", "logp").drop("row")
 
 
-def score(docs: DataFrame, width: float = 8.0, min_width: float = 0.12, max_model: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, width: float = 3.0, min_width: float = 0.02, max_model: int = 8_000_000) -> DataFrame:
     """Base counts, base_failed, log_ppl, the band (low, high) and kept for each row of docs (doc_id, lang, text).
 
     max_model: entries of the model up to which it is broadcast (12 bytes each); beyond, n-grams are joined.
@@ -222,17 +276,21 @@ def score(docs: DataFrame, width: float = 8.0, min_width: float = 0.12, max_mode
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     model = train(docs)
     if model.count() <= max_model:
-        sent = spark.sparkContext.broadcast(SortedModel(model.toArrow()))
+        sent = spark.sparkContext.broadcast(SortedModel.collected(model))
         scored = docs.mapInArrow(_stats(sent), _STATS)
     else:
         scored = _joined_scores(docs, model)
     scored = scored.withColumn("base_failed", base_failed()).withColumn("log_ppl", F.try_divide(-F.col("logp"), F.col("n_bytes")))
     scored = table(scored, "scored")
-    bins = scored.where("not base_failed and log_ppl is not null").groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("bin")).count()
-    middle = _weighted_median(bins).withColumnRenamed("median", "m")
-    off = bins.join(middle, "lang").select("lang", F.abs(F.col("bin") - F.col("m")).alias("bin"), "count").groupBy("lang", "bin").agg(F.sum("count").alias("count"))
-    half = F.greatest(F.col("median") * 1.4826 * width / 1000, F.lit(min_width))
-    bands = middle.join(_weighted_median(off), "lang").select(F.col("lang").alias("_lang"), (F.col("m") / 1000 - half).alias("low"), (F.col("m") / 1000 + half).alias("high"))
+    # equal scores of a language, such as those of copies, count once
+    own = scored.where("not base_failed and log_ppl is not null").select("lang", "log_ppl").distinct()
+    bins = own.groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("bin")).count()
+    bands = _weighted_median(bins).withColumnRenamed("median", "m")
+    for side, sign in (("low", -1), ("high", 1)):
+        off = bins.join(bands.select("lang", "m"), "lang").select("lang", (sign * (F.col("bin") - F.col("m"))).alias("bin"), "count").where("bin >= 0")
+        half = F.greatest(F.col("median") * 1.4826 * width / 1000, F.lit(min_width))
+        bands = bands.join(_weighted_median(off), "lang").withColumn(side, F.col("m") / 1000 + sign * half).drop("median")
+    bands = bands.select(F.col("lang").alias("_lang"), "low", "high")
     out = scored.join(bands, F.col("lang") == F.col("_lang"), "left").drop("_lang")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)

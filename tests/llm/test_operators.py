@@ -73,6 +73,27 @@ def test_perplexity_model_sums_to_one_and_both_ways_agree(docs):
     assert a == b
 
 
+def test_perplexity_word_order_and_outliers_count(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6))) for _ in range(80)]
+    after = {w: r.sample(vocabulary, 4) for w in vocabulary}
+
+    def say():
+        w = [r.choice(vocabulary)]
+        while len(w) < 80:
+            w.append(r.choice(after[w[-1]]))
+        return " ".join(w)
+
+    texts = [say() for _ in range(120)]
+    mixed = texts[0].split()
+    r.shuffle(mixed)
+    hard = " ".join("".join(r.choice("uvwxyz") for _ in range(4)) if i % 8 == 0 else w for i, w in enumerate(say().split()))
+    rows = [*enumerate(texts), (200, " ".join(mixed)), (201, hard)]
+    got = {x["doc_id"]: x for x in perplexity.score(spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id long, lang string, text string")).collect()}
+    assert got[200]["log_ppl"] > got[0]["log_ppl"] + 0.03 and not got[201]["base_failed"] and not got[201]["kept"]
+    assert sum(got[i]["kept"] for i in range(120)) >= 110
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(40, 8))

@@ -125,6 +125,23 @@ def test_oversize_shards_are_tiled_without_loss(spark):
     assert sum(got.values()) >= 0.9 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
+def groups_of_near_copies(spark, sizes):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(1, 64)) + 0.15 * r.normal(size=(n, 64)) for n in sizes])
+    return x, spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "nid long, grp string, values array<double>")
+
+
+def test_audit_is_by_vector_and_failing_it_compares_all(spark):
+    rows = lambda found, names: spark.createDataFrame(found, names)
+    truth = rows([(1, i) for i in range(10, 19)] + [(2, 3)], "q long, p long")
+    assert near_vectors._recall(truth, rows([(1, i) for i in range(10, 19)], "a long, b long")) == pytest.approx(0.5)
+    x, nodes = groups_of_near_copies(spark, [30, 2])
+    pairs, recall = near_vectors.near_pairs(nodes, overlap=16, goal=1.1, shard_rows=20)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
+    assert recall == 1 and sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_surrogates(docs, empty):
     rows = corpus()
     out = surrogates.replace_entities(docs, "key")

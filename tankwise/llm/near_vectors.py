@@ -3,7 +3,8 @@
 Distinct vectors of a label go to the shards of their nearest pivots (two at first, so shards overlap; pivots are the
 max_pivots vectors with the smallest hashes, a bounded sample, but every vector is indexed). In each shard every vector
 gets its nearest candidates, robustly pruned; adjacency lists are united over shards. Then each shard, with the outside
-neighbours its members have, is searched: greedily from its medoid towards each member, and as long as neighbours lie
+neighbours its members have, is searched: greedily towards each member from its own neighbours and from the medoid, so that
+groups which no path joins to the medoid are searched too, and as long as neighbours lie
 within the range (plus a slack) the range is expanded. Pairs are kept only when their cosine in double precision reaches
 the threshold. An audit compares a bounded sample of vectors with all others of their label; while its mean recall of a
 vector is under the goal, shards overlap more and the search runs again; under it at an overlap of 16, all pairs of a label
@@ -93,7 +94,9 @@ def _search(threshold: float):
             found = []
             for q in np.flatnonzero(np.array(core)):
                 first = float(x[start] @ x[q])
-                sims, heap, top = {start: first}, [(-first, start)], [first]
+                sims, heap, top = {start: first, q: 1.0}, [(-1.0, q)], [first]
+                if q != start:
+                    heap.append((-first, start))
                 while heap:
                     best, i = heapq.heappop(heap)
                     if -best < threshold - SLACK and len(top) >= BEAM and -best < top[0]:

@@ -131,6 +131,17 @@ def groups_of_near_copies(spark, sizes):
     return x, spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "nid long, grp string, values array<double>")
 
 
+def test_small_groups_beside_a_large_one_are_found(spark):
+    x, nodes = groups_of_near_copies(spark, [50] * 20 + [500])
+    pairs, recall = near_vectors.near_pairs(nodes, goal=0.0)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
+    want = set(zip(a.tolist(), b.tolist(), strict=True))
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    small = {p for p in want if p[0] < 1000}
+    assert got <= want and len(small & got) >= 0.95 * len(small) and recall >= 0.95
+
+
 def test_audit_is_by_vector_and_failing_it_compares_all(spark):
     rows = lambda found, names: spark.createDataFrame(found, names)
     truth = rows([(1, i) for i in range(10, 19)] + [(2, 3)], "q long, p long")

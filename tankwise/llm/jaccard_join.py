@@ -4,10 +4,11 @@
    bitmap of as many bits as its size band, and counts of shingles in 2^20 hash slots. Equal sets become one.
 2. Documents that share a minimum hash are compared with the smallest id among them: a star, not all pairs. This joins
    most copies cheaply.
-3. Exact candidates of what may still be missed: each set sends its rarest quarter (by slot count, then hash: one order
-   for all) to tiles by shingle hash; in a tile, documents that share a shingle, differ in component and lie in size
-   bands that allow 0.75 are pairs. Two sets that similar must share a shingle there, so no link between components is
-   lost; shingles held by one component only make no pairs.
+3. Exact candidates of what may still be missed: each set has its rarest quarter (by slot count, then hash: one order for
+   all). Shingles of it that one component holds alone are dropped by a Spark aggregation and a bitmap of the others, before
+   entries are shuffled. The rest go to tiles by shingle, size band (their own and the next) and, where a shingle has many
+   entries, pair of blocks of documents; in a tile, documents of a group that differ in component and in size by no more than
+   0.75 allows are pairs. Two sets that similar must share a shingle there, so no link between components is lost.
 4. Bit counts bound the overlap of a pair from above, (n + m - bits that differ) / 2, before the exact intersection of
    sorted arrays.
 
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, table
-from .wordhash import shingle_sets
+from .wordhash import mix64, shingle_sets
 
 SLOT_BITS = 20
 SLOT_PARTS = 16
 MIN_HASHES = 6
 ENTRIES_A_TILE = 300_000
 ID_SLOTS = 1 << 20
+MARK_BITS, MARK_PARTS = 27, 16
+HOT_ENTRIES = 20_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, MIN_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _U = np.uint64
 
@@ -100,11 +103,88 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     return np.minimum(8 * np.log2(np.maximum(out.reshape(-1), 1)), 255).astype(np.uint8)
 
 
-def _prefixes(levels, tiles: int, k: int):
-    """Tiles' entries: (tile, hashes, ids, components, sizes, places in the prefix), each a packed array."""
+def _first(levels: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The rarest quarter of a set."""
+    return h[np.argsort(levels[(h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)] | (h >> _U(8)), kind="stable")[: len(h) // 4 + 1]]
+
+
+def _held(levels, k: int):
+    """(h, lo, hi, many): of each prefix shingle the least and the largest component and its entries, added up by the million."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value.astype(np.uint64) << _U(56)
+        held, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h)
+            h, comp = h[order], comp[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            lo, hi, n = np.minimum.reduceat(comp, at), np.maximum.reduceat(comp, at), np.diff(at, append=len(h))
+            return pa.RecordBatch.from_pydict({"h": pa.array(h[at].astype(np.int64)), "lo": pa.array(lo), "hi": pa.array(hi), "many": pa.array(n.astype(np.int64))})
+
+        for batch in batches:
+            for comp, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+                if len(h):
+                    held.append((_first(level, h), np.full(len(h) // 4 + 1, comp, np.int64)))
+                    many += len(held[-1][0])
+                if many > 1_000_000:
+                    yield out()
+                    held, many = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps (part, bits) of the slots of (part, slot) rows."""
+    size = (1 << MARK_BITS) // MARK_PARTS
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        part, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for p in np.unique(part).tolist():
+            bits.setdefault(p, np.zeros(size, bool))[slot[part == p]] = True
+    if bits:
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(bits), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())})
+
+
+def _marks(shared: DataFrame) -> np.ndarray:
+    """A fixed 16 megabytes with a bit set for the slot of each shared shingle."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    size = (1 << MARK_BITS) // MARK_PARTS
+    rows = shared.select(F.expr(f"cast((h & {(1 << MARK_BITS) - 1}) div {size} as int)").alias("part"), (slot % size).alias("slot"))
+    out = np.zeros((MARK_PARTS, size // 8), np.uint8)
+    for r in rows.repartition(MARK_PARTS, "part").mapInArrow(_mark, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _cells(h: np.ndarray, ids: np.ndarray, size: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, group): entries repeated for each group (shingle, size band, pair of blocks) that they enter.
+
+    Sizes that allow 0.75 lie in one band or in two next to each other; an entry enters its band and the next. Entries of
+    a hot shingle are in one of blocks blocks by id and enter the pairs of theirs with every block.
+    """
+    band = np.floor(np.log(size) / np.log(1.34)).astype(np.int64)
+    which = np.repeat(np.arange(len(h)), 2 * blocks)
+    j = np.arange(len(which)) - np.repeat(np.cumsum(2 * blocks) - 2 * blocks, 2 * blocks)
+    k = blocks[which]
+    own = (mix64(ids[which].astype(_U)) % k.astype(_U)).astype(np.int64)
+    other, cell = j % k, band[which] + j // k
+    pair = np.minimum(own, other) * k + np.maximum(own, other)
+    return which, mix64(h[which] ^ mix64(cell.astype(_U) * _U(0x100000000) + pair.astype(_U)))
+
+
+def _prefixes(levels, marks, hot, tiles: int, k: int):
+    """Tiles' entries: (tile, groups, ids, components, sizes, places in the prefix), each a packed array.
+
+    marks: bitmap of the slots of shared shingles; hot: hashes in order and numbers of blocks of the hot ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value.astype(np.uint64) << _U(56)
+        bits, (hot_h, hot_blocks) = marks.value, hot.value
         held, many = [], 0
 
         def out() -> pa.RecordBatch:
@@ -119,10 +199,19 @@ def _prefixes(levels, tiles: int, k: int):
         for batch in batches:
             for doc_id, comp, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k), strict=True):
                 if n := len(h):
-                    p = n // 4 + 1
-                    first = h[np.argsort(level[(h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)] | (h >> _U(8)), kind="stable")[:p]]
-                    held.append((first, np.full(p, doc_id, np.int64), np.full(p, comp, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)))
-                    many += p
+                    first = _first(level, h)
+                    slot = (first & _U((1 << MARK_BITS) - 1)).astype(np.int64)
+                    place = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                    first, p = first[place], len(place)
+                    blocks = np.ones(p, np.int64)
+                    if len(hot_h) and p:
+                        at = np.minimum(np.searchsorted(hot_h, first), len(hot_h) - 1)
+                        blocks = np.where(hot_h[at] == first, hot_blocks[at], 1)
+                    which, group = _cells(first, np.full(p, doc_id, np.int64), np.full(p, n, np.int64), blocks)
+                    q = len(which)
+                    if q:
+                        held.append((group, np.full(q, doc_id, np.int64), np.full(q, comp, np.int64), np.full(q, n, np.int32), place[which].astype(np.int32)))
+                    many += q
                 if many > 1_000_000:
                     yield out()
                     held, many = [], 0
@@ -236,8 +325,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(_similar(k), "a long, b long")
 
 
-def similar_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRIES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
+
+    hot_entries: entries of a shingle in a block; with more, its entries are dealt over pairs of blocks.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     texts = docs.where("doc_id is not null")
@@ -253,9 +345,18 @@ def similar_components(docs: DataFrame, k: int = 5) -> DataFrame:
     labels = sets.select(F.col("rep").alias("doc_id")).distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     # exact candidates between components
     levels = spark.sparkContext.broadcast(_levels(sketch))
-    entries = sets.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
+    left = table(labels.join(texts, "doc_id").select("doc_id", "comp", "text"), "prefixed")
+    held = left.select("comp", "text").mapInArrow(_held(levels, k), "h long, lo long, hi long, many long")
+    shared = table(held.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("many").alias("many")).where("lo <> hi").select("h", "many", F.expr(f"(many + {hot_entries - 1}) div {hot_entries}").alias("blocks")), "shared")
+    # a shingle is hot with more than hot_entries entries, so few are
+    many = shared.where("blocks > 1").select("h", "blocks").collect()
+    hot = np.array([r["h"] for r in many], np.int64).astype(_U), np.array([r["blocks"] for r in many], np.int64)
+    order = np.argsort(hot[0])
+    hot = spark.sparkContext.broadcast((hot[0][order], hot[1][order]))
+    marks = spark.sparkContext.broadcast(_marks(shared))
+    entries = shared.agg(F.sum(F.expr("2 * many * blocks"))).first()[0] or 0
     tiles = max(12, entries // ENTRIES_A_TILE)
-    spread = labels.join(texts, "doc_id").select("doc_id", "comp", "text").mapInArrow(_prefixes(levels, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary")
+    spread = left.mapInArrow(_prefixes(levels, marks, hot, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary")
     pairs = table(spread.repartition(tiles, "tile").sortWithinPartitions("tile").mapInArrow(_pairs, "a long, b long"), "pairs").distinct()
     more = table(_verified(pairs, sets, texts, k), "links")
     copies = each.where("n > 0 and doc_id is not null").join(sets.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -251,6 +251,40 @@ def test_jaccard(docs, empty):
     assert jaccard_join.similar_components(empty).count() == 0
 
 
+def test_jaccard_groups_are_by_size_band_and_pairs_of_blocks():
+    n = 3000
+    ids, size = np.arange(n), np.random.default_rng(6).integers(1, 400, n)
+    which, group = jaccard_join._cells(np.full(n, 99, np.uint64), ids, size, np.full(n, 5))
+    met = np.zeros((n, n), bool)
+    largest = 0
+    for g in np.unique(group):
+        own = which[group == g]
+        met[np.ix_(own, own)] = True
+        largest = max(largest, len(own))
+    near = (4 * size[:, None] >= 3 * size) & (4 * size >= 3 * size[:, None])
+    assert met[near].all() and largest <= n / 4
+
+
+def test_jaccard_hot_shingles(spark):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:12] + [f"x{r.random()}" for _ in range(r.randint(2, 40))]) for _ in range(60)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randint(1, 2)):
+            w[r.randrange(60)] = f"y{r.random()}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    root = list(range(120))
+    for _ in range(5):
+        for i in range(120):
+            for j in range(120):
+                if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = jaccard_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot_entries=4).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == list(enumerate(root))
+
+
 def test_mixing(docs, empty):
     rows, again = (sorted((tuple(r) for r in mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=repr) for _ in range(2))
     assert rows == again and len(rows) == len(corpus())

@@ -3,7 +3,8 @@
 One pass finds entities; their distinct canonical forms (digits of a number, a lower-case address, a name without its
 title) are one table, each with a surrogate made from a keyed SHA-512. Surrogates that meet another's, or an original of
 their type, are made again with the next attempt until none is left: distinct entities stay distinct. The text then gets
-each surrogate in the written form of the place: separators, letter case, title, gender and script stay.
+each surrogate in the written form of the place: separators, letter case, title, gender and script stay. Mentions of a name
+without its title, anywhere in a document that holds it with one, get its surrogate too; n_entities does not count them.
 
 Defined cases: null and empty texts come back as they are; a text without entities too; repeated rows are treated alike;
 other columns pass through (k1, k2, n_entities are replaced).
@@ -30,14 +31,16 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba be bi bo da de di do ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro ta te ti to".split(), "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро та те ти то".split()}
 
+#: A capitalised word of a name, or initials.
+WORD = r"\p{Lu}(?:\.(?:\p{Lu}\.)*+|[\p{L}'\-]*+)"
 PATTERNS = {
-    "secret": r"""(?:(?i)token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{16,200}""",
+    "secret": r"""(?:(?i)token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?(?=[A-Za-z0-9+/_\-](?:\.?[A-Za-z0-9+/_\-]){15})[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+""",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,4}\.[A-Za-z]{2,24}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "card": r"(?<![\d])(?:\d{4}[ \-]?){3}\d{4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
-    "name": rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}(?: (?!(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\b)\p{{Lu}}[\p{{L}}'\-]{{1,40}})?",
+    "name": rf"(?<![\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\.? {WORD}(?: (?!(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\b){WORD})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HEX = "sha2(concat_ws('|', '{key}', kind, canon, attempt), 512)"
@@ -87,7 +90,7 @@ def entities(docs: DataFrame) -> DataFrame:
         kind = F.when(F.col("found").rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)).otherwise(kind)
     at = at.withColumn("kind", kind)
     bare = F.regexp_replace("found", rf"^(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\.? ", "")
-    canon = F.when(F.col("kind").isin("phone", "ssn", "card"), F.regexp_replace("found", "[^0-9]", "")).when(F.col("kind") == "secret", F.regexp_extract("found", r"[A-Za-z0-9+/_\-]{16,200}$", 0)).when(F.col("kind") == "name", F.lower(bare)).otherwise(F.lower("found"))
+    canon = F.when(F.col("kind").isin("phone", "ssn", "card"), F.regexp_replace("found", "[^0-9]", "")).when(F.col("kind") == "secret", F.regexp_extract("found", r"[A-Za-z0-9+/_.\-]+$", 0)).when(F.col("kind") == "name", F.lower(bare)).otherwise(F.lower("found"))
     gender = F.when(F.col("found").rlike(rf"^(?:{FEMALE_TITLES})\b"), "f").when(F.col("found").rlike(rf"^(?:{MALE_TITLES})\b"), "m").otherwise("n")
     return at.select("*", canon.alias("canon"), F.when(F.col("kind") == "name", gender).otherwise("n").alias("gender"), F.when(F.col("found").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin").alias("script"))
 
@@ -120,11 +123,16 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """docs with each entity replaced in text, and a long column n_entities."""
     found = table(entities(docs), "found")
     made = surrogates(found, key)
-    put = found.join(made, ["kind", "canon"]).select("k1", "k2", "pos", _written().alias("put")).distinct()
-    put = put.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("puts")).select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), F.col("puts.put").alias("_puts"))
+    bare = F.regexp_replace("found", rf"^(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})\.? ", "")
+    # names with more than initials, the longest first, for their mentions without a title
+    name = F.when((F.col("kind") == "name") & bare.rlike(r"\p{L}{2}"), F.struct((-F.length(bare)).alias("order"), bare.alias("bare"), F.when(bare == F.upper(bare), F.upper("surrogate")).otherwise(F.col("surrogate")).alias("to")))
+    put = found.join(made, ["kind", "canon"]).select("k1", "k2", "pos", _written().alias("put"), name.alias("name")).distinct()
+    put = put.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "put"))).alias("puts"), F.sort_array(F.collect_set("name")).alias("_names"))
+    put = put.select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), F.col("puts.put").alias("_puts"), "_names")
     own = [c for c in docs.columns if c not in ("text", "n_entities")]
     k1, k2 = row_key("doc_id", "text")
     j = docs.withColumns({"_k1": k1, "_k2": k2}).join(put.hint("shuffle_hash"), (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")), "left")
-    pieces = F.split("text", ANY, -1)
+    mention = lambda n: F.concat(F.lit(r"(?<![\p{L}])\Q"), n["bare"], F.lit(r"\E(?![\p{L}])"))
+    pieces = F.transform(F.split("text", ANY, -1), lambda p: F.aggregate("_names", p, lambda x, n: F.regexp_replace(x, mention(n), n["to"])))
     text = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("_puts")), "_puts", lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
     return j.select(*own, F.when(F.col("_puts").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size("_puts"), F.lit(0)).cast("long").alias("n_entities"))

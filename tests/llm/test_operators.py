@@ -169,6 +169,16 @@ def test_surrogates(docs, empty):
     assert surrogates.replace_entities(empty, "key").count() == 0
 
 
+def test_surrogates_leave_no_part_of_an_entity(spark):
+    secret = "Ab3" * 100
+    texts = [f"token={secret} end", f"api_key: {secret[:20]}.{secret[:30]}.x9. End", "Mr John Paul Smith left", "then Mr J. Smith left", "Mrs Ann Kovac came. ann Kovac, Ann Kovac and Ann Kovacs"]
+    got = [r["text"] for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert "Ab3Ab3" not in got[0] + got[1] and re.fullmatch(r"token=[A-Za-z0-9]{300} end", got[0]) and re.fullmatch(r"api_key: \w{20}\.\w{30}\.[a-z]\d\. End", got[1])
+    assert not re.search("John|Paul|Smith|J[.]", got[2] + got[3])
+    name = re.match(r"Mrs (\w+ \w+) came", got[4])[1]
+    assert name != "Ann Kovac" and got[4] == f"Mrs {name} came. ann Kovac, {name} and Ann Kovacs"
+
+
 def test_surrogate_collisions_are_made_again(spark):
     rows = [(i, " ".join(f"Herr {chr(65 + i % 26)}{chr(97 + j % 26)}{chr(97 + i)}x" for j in range(26))) for i in range(26)]
     made = surrogates.surrogates(surrogates.entities(spark.createDataFrame(rows, "doc_id long, text string")), "k").collect()

@@ -1,7 +1,7 @@
 """Line dedup across documents by range-partitioned line hashes.
 
-Lines become (hash, document, position) rows, range-partitioned by hash and document and sorted so that the first
-occurrence of a key in a document streams by; counts and owners of keys come from partial sums, so a line that a third
+Lines become (hash, document, position) rows, range-partitioned by hash and document; a distinct of (hash, document) takes
+the place of streaming first occurrences; counts and owners of keys come from partial sums, so a line that a third
 of all documents hold is never gathered in one task. The decision leaves as a run-length bitmap for each document.
 
 Defined cases: a null text is one empty line; a document without doc_id neither counts nor loses lines; rows that share

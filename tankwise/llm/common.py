@@ -16,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one of this machine only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one of this machine only on a local master without it (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,7 +30,27 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete scratch tables that no result reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no added column can clash with them."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns])
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    """Columns of the struct column row."""
+    return [F.col(row)[c].alias(c) for c in columns]
 
 
 def row_key(*cols: Column | str) -> list[Column]:
@@ -49,8 +71,9 @@ def word_count(text: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (node, component) for each node of an edge to another node.
 
-    component is the smallest node reachable. Alternates large-star and small-star rounds until nothing changes; a round is
-    two partial aggregations and two joins, so a hub is never gathered in one task.
+    component is the smallest node reachable. Alternates large-star and small-star rounds until nothing changes. A round is two
+    partial aggregations, whose results are written, and two joins with them: so both sides of a join come straight from an
+    exchange and adaptive execution splits the rows of a hub over tasks. Tables of a finished round are deleted.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -60,12 +83,14 @@ def components(edges: DataFrame) -> DataFrame:
     was = state(e)
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
-        e = table(pairs.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = state(e)
+        lower = table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        pairs = large.join(lower, "u")
+        kept = pairs.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after = table(kept.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_tables(e, least, large, lower)
+        e, now = after, state(after)
         if now == was:
             break
         was = now

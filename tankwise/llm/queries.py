@@ -12,6 +12,8 @@ from . import jaccard_join, kd_shards, license_scan, line_dedup, mixing, near_ve
 
 #: The vocabulary file; not part of the repository.
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: The secret of the surrogates; the default is for development only.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "development key, not a secret")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,7 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), key="corpus-2026").select("doc_id", "n_entities", "text")
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), key=SURROGATE_KEY).select("doc_id", "n_entities", "text")
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

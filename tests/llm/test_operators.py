@@ -164,7 +164,7 @@ def test_surrogates(docs, empty):
     assert b == a.upper() and a != "the.72@mail3.example.com" and (mail["n_entities"], loud["n_entities"]) == (3, 3)
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", mail["text"]) and re.search(r"card \d{4} \d{4} \d{4} \d{4}$", mail["text"]) and "Müller" not in loud["text"] and "Frau " in loud["text"]
     assert all(got[i]["text"] == t for i, t, *_ in rows[: n - 3] if i is not None)
-    made = surrogates.surrogates(surrogates.entities(docs), "key").collect()
+    made = surrogates.surrogates(surrogates.parts(surrogates.entities(docs)), "key").where("kind <> 'initials'").collect()
     assert len({(r["kind"], r["surrogate"]) for r in made}) == len(made) and not {(r["kind"], r["surrogate"]) for r in made} & {(r["kind"], r["canon"]) for r in made}
     assert surrogates.replace_entities(empty, "key").count() == 0
 
@@ -176,12 +176,45 @@ def test_surrogates_leave_no_part_of_an_entity(spark):
     assert "Ab3Ab3" not in got[0] + got[1] and re.fullmatch(r"token=[A-Za-z0-9]{300} end", got[0]) and re.fullmatch(r"api_key: \w{20}\.\w{30}\.[a-z]\d\. End", got[1])
     assert not re.search("John|Paul|Smith|J[.]", got[2] + got[3])
     name = re.match(r"Mrs (\w+ \w+) came", got[4])[1]
-    assert name != "Ann Kovac" and got[4] == f"Mrs {name} came. ann Kovac, {name} and Ann Kovacs"
+    assert name != "Ann Kovac" and got[4] == f"Mrs {name} came. ann {name.split()[1]}, {name} and Ann Kovacs"
+
+
+def replaced(spark, texts, key="key"):
+    df = surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key)
+    return [r["text"] for r in df.orderBy("doc_id").collect()]
+
+
+def test_surrogates_keep_persons_together(spark):
+    got = replaced(spark, ["Herr Schmidt kam. Schmidt ging, SCHMIDT nicht.", "MR SMITH and Mr John Smith, then Mr Smith and John Smith", "Frau Anna Schmidt"])
+    m = re.fullmatch(r"Herr (\w+) kam[.] (\w+) ging, (\w+) nicht[.]", got[0])
+    assert m[1] == m[2] != "Schmidt" and m[3] == "SCHMIDT"  # only the written forms that a title carries
+    m = re.fullmatch(r"MR (\w+) and Mr (\w+) (\w+), then Mr (\w+) and (\w+) (\w+)", got[1])
+    assert m[1] == m[3].upper() and m[3] == m[4] == m[6] and m[2] == m[5] and m[2].endswith("rd") and not {"Smith", "John"} & set(m.groups())
+    assert re.fullmatch(r"Frau \w+na \w+", got[2]) and got[2].split()[2] == re.match(r"Herr (\w+)", got[0])[1]
+
+
+def test_surrogates_are_keyed_and_keep_country_codes(spark):
+    texts = ["jo@gmail.com and al@gmail.com", "+49 30 901820 00 or +1 (017) 555-7713 or +380 44 123 45 67"]
+    a, b = replaced(spark, texts, "one"), replaced(spark, texts, b"two")
+    hosts = [re.findall(r"@(\S+)", x[0]) for x in (a, b)]
+    assert hosts[0][0] == hosts[0][1] and hosts[1][0] == hosts[1][1] and hosts[0][0] != hosts[1][0]
+    for x in (a, b):
+        assert re.fullmatch(r"\+49 \d\d \d{6} \d\d or \+1 \(\d{3}\) \d{3}-\d{4} or \+380 \d\d \d{3} \d\d \d\d", x[1]) and x[1] != texts[1]
+    df = surrogates.surrogates(surrogates.parts(surrogates.entities(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"))), "very secret words")
+    assert "very secret words" not in df._jdf.queryExecution().toString()
+
+
+def test_surrogate_hmac_is_the_known_one(spark):
+    import hmac
+
+    k = surrogates._keys(b"some key", 1)[0]
+    df = spark.createDataFrame([(*k, "a message")], "attempt int, inner binary, outer binary, m string")
+    assert df.select(surrogates._hmac(F.col("m"))).first()[0] == hmac.new(b"some key", b"a message", "sha512").hexdigest()
 
 
 def test_surrogate_collisions_are_made_again(spark):
     rows = [(i, " ".join(f"Herr {chr(65 + i % 26)}{chr(97 + j % 26)}{chr(97 + i)}x" for j in range(26))) for i in range(26)]
-    made = surrogates.surrogates(surrogates.entities(spark.createDataFrame(rows, "doc_id long, text string")), "k").collect()
+    made = surrogates.surrogates(surrogates.parts(surrogates.entities(spark.createDataFrame(rows, "doc_id long, text string"))), "k").collect()
     assert len({r["surrogate"] for r in made}) == len(made) == 676
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +34,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_tables() -> Iterator[None]:
+    """Deletes at its end all scratch tables that were written inside: for a caller that has written its result by then."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        drop_tables(*made)
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete scratch tables that no result reads any more."""
     for t in tables:

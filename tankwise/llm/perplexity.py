@@ -1,15 +1,19 @@
 """Quality rules and n-gram perplexity bands.
 
 A modified Kneser-Ney model for each language, over the UTF-8 bytes of whole texts (order 5, one space between words, so a
-word's first bytes are scored after the end of the word before): Spark counts n-grams of all documents, derives continuation
-counts, discounts and interpolated probabilities with joins on integer keys, and the model is kept as sorted key arrays with
-values. A document is rejected when its log perplexity leaves the band of its language: three robust standard deviations on
-each side of the median (the three-sigma rule), a side's deviation being 1.4826 times the median distance of the documents
-on that side. Base rules come first, and equal scores count once.
-
-Defined cases: a null text has no words and fails the base rules; null and empty lang are one language; a language with
-one document keeps it (neither side of its band is narrower than min_width, which only matters for texts nearly all
-alike); repeated rows are scored alike.
+word's first bytes are scored after the end of the word before). Base rules come first; documents that pass them are dealt to
+two folds by a hash of the text, and each is scored by the model of the other fold, so no document and no copy of it judges
+itself. Spark counts n-grams of all these documents by fold, derives continuation counts, discounts and interpolated
+probabilities with joins on integer keys, for every n-gram that occurs in the language (an n-gram that the other fold lacks
+gets the probability of its suffix), and the model is kept as sorted arrays of keys, the five bytes in 64 bits, with values.
+A document is rejected when its log perplexity leaves the band of its language: three robust standard deviations on each
+side of the median (the three-sigma rule), a side's deviation being 1.4826 times the median distance of the documents on
+that side. Equal scores count once.
+
+Defined cases: a null text has no words and fails the base rules; documents that fail them have no perplexity; null and
+empty lang are one language; a language whose documents all lie in one fold has no model, all its documents score alike and
+stay (neither side of a band is narrower than min_width, which only matters for texts nearly all alike); repeated rows are
+scored alike; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_tables, table
 from .wordhash import grams, mix64, words
 
 ORDER = 5
@@ -31,6 +35,9 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text whose windows are held at once.
 HELD = 1 << 20
+#: Entries of sums that a task holds before it sends them on.
+HELD_KEYS = 4_000_000
+FOLDS = (0, 1)
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -51,156 +58,145 @@ def text_keys(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], piece[inside]
 
 
+def _passing(texts: pa.Array) -> list[bool]:
+    """Which texts pass the base rules."""
+    again = repeated(texts).tolist()
+    n = [len((t or "").encode().split()) for t in texts.to_pylist()]
+    return [w >= 50 and 100 * r <= 50 * w for w, r in zip(n, again, strict=True)]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[bytes]] = {}
-    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    """(lang, key, c0, c1): 5-byte windows of passing texts with their counts by fold, added up by HELD_KEYS at a time."""
+    held: dict[tuple[str, int], list[bytes]] = {}
+    sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     many = 0
 
     def flush() -> None:
-        for lang, found in held.items():
+        for group, found in held.items():
             own, n = np.unique(text_keys(found)[0], return_counts=True)
-            if lang in sums:
-                own, at = np.unique(np.concatenate([sums[lang][0], own]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([sums[lang][1], n]), minlength=len(own)).astype(np.int64)
-            sums[lang] = own, n
+            if group in sums:
+                own, at = np.unique(np.concatenate([sums[group][0], own]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([sums[group][1], n]), minlength=len(own)).astype(np.int64)
+            sums[group] = own, n
         held.clear()
 
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, fold), (keys, n) in sums.items():
+            for a in range(0, len(keys), 50_000):
+                part, zero = slice(a, a + 50_000), np.zeros(len(keys[a : a + 50_000]), np.int64)
+                c = (n[part], zero) if fold == 0 else (zero, n[part])
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(zero), pa.string()), "key": pa.array(keys[part].astype(np.int64)), "c0": pa.array(c[0]), "c1": pa.array(c[1])})
+        sums.clear()
+
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for piece in pieces((text or "").encode()):
-                held.setdefault(lang, []).append(piece)
+        for lang, fold, text, fine in zip(*[batch.column(i).to_pylist() for i in range(3)], _passing(batch.column(2)), strict=True):
+            for piece in pieces((text or "").encode()) if fine else ():
+                held.setdefault((lang, fold), []).append(piece)
                 many += len(piece)
                 if many > HELD:
                     flush()
                     many = 0
+        if sum(len(keys) for keys, _ in sums.values()) > HELD_KEYS:
+            yield from out()
     flush()
-    for lang, (keys, n) in sums.items():
-        for a in range(0, len(keys), 50_000):
-            part = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys[part]), pa.string()), "key": pa.array(keys[part].astype(np.int64)), "n": pa.array(n[part])})
+    yield from out()
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """The model as rows (lang, n, key, logp, back), natural logarithms; back belongs to key as a context."""
-    lang = F.coalesce("lang", F.lit("")).alias("lang")
-    counts = {ORDER: table(docs.select(lang, "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("c")), "ngrams")}
+    """The model as rows (lang, fold, key, logp): natural logarithms of each 5-gram of fold under the counts of the other fold.
+
+    docs: (lang, fold, text).
+    """
+    found = docs.select("lang", "fold", "text").mapInArrow(_count, "lang string, key long, c0 long, c1 long")
+    counts = {ORDER: table(found.groupBy("lang", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "ngrams")}
     for n in range(ORDER - 1, 0, -1):
-        counts[n] = table(counts[n + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(MASK[n])).alias("key")).agg(F.count("*").alias("c")), "ngrams")
-    model, lower = None, None
+        suffix = F.col("key").bitwiseAND(F.lit(MASK[n])).alias("key")
+        counts[n] = table(counts[n + 1].groupBy("lang", suffix).agg(*[F.sum((F.col(f"c{f}") > 0).cast("long")).alias(f"c{f}") for f in FOLDS]), "ngrams")
+    lower = None
     for n in range(1, ORDER + 1):
-        of = counts[n].groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
-        d = [F.coalesce(F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.05)), F.lit(k - 0.05)), F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
-        x = counts[n].join(F.broadcast(of.select("lang", *d)), "lang").withColumn("ctx", F.shiftright("key", 8))
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        x = x.withColumn("cut", cut)
-        stats = x.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("cut").alias("left"))
-        x = x.join(stats, ["lang", "ctx"])
+        of = counts[n].groupBy("lang").agg(*[F.sum((F.col(f"c{f}") == k).cast("double")).alias(f"n{f}{k}") for f in FOLDS for k in (1, 2, 3, 4)])
+        x = counts[n].join(F.broadcast(of.select("lang", *[_discount(f, k).alias(f"d{f}{k}") for f in FOLDS for k in (1, 2, 3)])), "lang")
+        for f in FOLDS:
+            c, d = F.col(f"c{f}"), [F.col(f"d{f}{k}") for k in (1, 2, 3)]
+            x = x.withColumn(f"cut{f}", F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]))
+        x = x.withColumn("ctx", F.shiftright("key", 8))
+        sums = [F.sum(f"{a}{f}").alias(f"{b}{f}") for f in FOLDS for a, b in (("c", "total"), ("cut", "left"))]
+        x = x.join(x.groupBy("lang", "ctx").agg(*sums), ["lang", "ctx"])
         if n == 1:
-            p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("left") / F.col("total") / 256
+            x = x.withColumns({f"below{f}": F.lit(1 / 256) for f in FOLDS})
         else:
-            x = x.withColumn("suffix", F.col("key").bitwiseAND(F.lit(MASK[n - 1]))).join(lower.select("lang", F.col("key").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-            p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("left") / F.col("total") * F.col("below")
-        lower = table(x.select("lang", "key", p.alias("p")), "probabilities")
-        rows = lower.select("lang", F.lit(n).alias("n"), "key", F.log("p").alias("logp"), F.lit(None).cast("double").alias("back"))
-        backs = stats.select("lang", F.lit(n - 1).alias("n"), F.col("ctx").alias("key"), F.lit(None).cast("double").alias("logp"), F.log(F.col("left") / F.col("total")).alias("back"))
-        model = rows.unionByName(backs) if model is None else model.unionByName(rows).unionByName(backs)
-    return table(model, "model")
+            x = x.withColumn("suffix", F.col("key").bitwiseAND(F.lit(MASK[n - 1])))
+            x = x.join(lower.select("lang", F.col("key").alias("suffix"), *[F.col(f"p{f}").alias(f"below{f}") for f in FOLDS]), ["lang", "suffix"])
+        seen = lambda f: (F.col(f"c{f}") - F.col(f"cut{f}") + F.col(f"left{f}") * F.col(f"below{f}")) / F.col(f"total{f}")
+        p = [F.when(F.col(f"total{f}") > 0, seen(f)).otherwise(F.col(f"below{f}")).alias(f"p{f}") for f in FOLDS]
+        after = table(x.select("lang", "key", "c0", "c1", *p), "probabilities")
+        drop_tables(counts[n], *([lower] if lower is not None else []))
+        lower = after
+    parts = [lower.where(f"c{f} > 0").select("lang", F.lit(f).alias("fold"), "key", F.log(f"p{1 - f}").alias("logp")) for f in FOLDS]
+    return parts[0].unionByName(parts[1])
+
+
+def _discount(f: int, k: int) -> Column:
+    """Of counts k in fold f (3: three and more), from the numbers n of n-grams with counts 1 to 4."""
+    n = lambda i: F.col(f"n{f}{i}")
+    y = F.try_divide(n(1), n(1) + 2 * n(2))
+    d = k - (k + 1) * y * F.try_divide(n(k + 1), n(k))
+    return F.when(d.isNull(), 0.5).otherwise(F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Model rows as (lang, n, of, keys, logs): sorted packed arrays of a batch, of being p or b."""
+    """Model rows as (lang, fold, keys, logs): packed arrays of a batch."""
     for batch in batches:
-        for (lang, n, of), (keys, logs) in _arrays(batch).items():
-            yield pa.RecordBatch.from_pylist([{"lang": lang, "n": n, "of": of, "keys": keys.tobytes(), "logs": logs.tobytes()}], pa.schema([("lang", pa.string()), ("n", pa.int32()), ("of", pa.string()), ("keys", pa.binary()), ("logs", pa.binary())]))
-
-
-def _arrays(rows: pa.Table | pa.RecordBatch) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Keys in order and their values by (lang, n, p or b)."""
-    lang, n, key, logp, back = (rows[c].to_numpy(zero_copy_only=False) for c in ("lang", "n", "key", "logp", "back"))
-    lang, out = lang.astype(str), {}
-    for a in np.unique(lang):
-        for k in range(ORDER + 1):
-            for of, values in (("p", logp), ("b", back)):
-                own = (lang == a) & (n == k) & ~np.isnan(values.astype(np.float64))
-                if own.any():
-                    order = np.argsort(key[own])
-                    out[str(a), k, of] = key[own][order].astype(_U), values[own][order].astype(np.float32)
-    return out
+        lang, fold, key, logp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        group = np.char.add(np.char.add(lang.astype(str), "|"), fold.astype(str))
+        for g in np.unique(group):
+            own = group == g
+            row = {"lang": lang[own][0], "fold": int(fold[own][0]), "keys": key[own].tobytes(), "logs": logp[own].astype(np.float32).tobytes()}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("lang", pa.string()), ("fold", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary())]))
 
 
 class SortedModel:
-    """Sorted key arrays with values for each language and order."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        self._take(_arrays(rows))
-
-    @classmethod
-    def collected(cls, model: DataFrame) -> SortedModel:
-        """The model brought to the driver as packed arrays, 12 bytes an entry."""
-        parts: dict[tuple, list] = {}
-        for r in model.mapInArrow(_packed, "lang string, n int, of string, keys binary, logs binary").toArrow().to_pylist():
-            parts.setdefault((r["lang"], r["n"], r["of"]), []).append((np.frombuffer(r["keys"], _U), np.frombuffer(r["logs"], np.float32)))
-        arrays = {}
-        for k, own in parts.items():
+    """For each language and fold the keys in order and their log probabilities, 12 bytes an entry."""
+
+    def __init__(self, model: DataFrame) -> None:
+        parts: dict[tuple[str, int], list] = {}
+        for r in model.mapInArrow(_packed, "lang string, fold int, keys binary, logs binary").toArrow().to_pylist():
+            parts.setdefault((r["lang"], r["fold"]), []).append((np.frombuffer(r["keys"], _U), np.frombuffer(r["logs"], np.float32)))
+        self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        while parts:
+            group, own = parts.popitem()
             keys, logs = (np.concatenate(x) for x in zip(*own, strict=True))
             order = np.argsort(keys)
-            arrays[k] = keys[order], logs[order]
-        out = cls.__new__(cls)
-        out._take(arrays)
-        return out
-
-    def _take(self, arrays: dict[tuple, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.p = {(a, n): x for (a, n, of), x in arrays.items() if of == "p"}
-        self.b = {(a, n): x for (a, n, of), x in arrays.items() if of == "b"}
-
-    @staticmethod
-    def find(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> np.ndarray:
-        """Values of keys, NaN where there is none."""
-        if table is None or not len(table[0]):
-            return np.full(len(keys), np.nan, np.float32)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return np.where(table[0][at] == keys, table[1][at], np.float32(np.nan))
-
-    def logp(self, lang: str, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each 5-byte key, backing off where a key is unseen."""
-        out, extra, open_ = np.full(len(keys), np.nan), np.zeros(len(keys)), np.arange(len(keys))
-        for n in range(ORDER, 0, -1):
-            k = keys[open_] & _U(MASK[n])
-            p = self.find(self.p.get((lang, n)), k)
-            seen = ~np.isnan(p)
-            out[open_[seen]] = p[seen] + extra[open_[seen]]
-            k, open_ = k[~seen], open_[~seen]
-            extra[open_] += np.nan_to_num(self.find(self.b.get((lang, n - 1)), k >> _U(8)))
-        out[open_] = extra[open_] - np.log(256)
-        return out
-
-    def texts(self, lang: str, found: list[bytes]) -> np.ndarray:
+            self.tables[group] = keys[order], logs[order]
+
+    def texts(self, group: tuple[str, int], found: list[bytes]) -> np.ndarray:
         """Log probability of each piece."""
         keys, piece = text_keys(found)
         own, at = np.unique(keys, return_inverse=True)
-        return np.bincount(piece, weights=self.logp(lang, own)[at], minlength=len(found))
+        table_keys, logs = self.tables[group]
+        return np.bincount(piece, weights=logs[np.searchsorted(table_keys, own)][at], minlength=len(found))
 
 
-def _totals(model: SortedModel, langs: list[str], texts: list[str | None]) -> list[float]:
-    """Log probability of each text."""
-    out, held, many = np.zeros(len(texts)), {}, 0
+def _totals(model: SortedModel, groups: list[tuple[str, int]], texts: list[str | None]) -> list[float | None]:
+    """Log probability of each text, None for a text without group."""
+    out, held, many = [None if g is None else 0.0 for g in groups], {}, 0
 
     def flush() -> None:
-        for lang, own in held.items():
+        for group, own in held.items():
             rows, found = zip(*own, strict=True)
-            np.add.at(out, np.array(rows), model.texts(lang, list(found)))
+            for row, x in zip(rows, model.texts(group, list(found)).tolist(), strict=True):
+                out[row] += x
         held.clear()
 
-    for row, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-        for piece in pieces((text or "").encode()):
-            held.setdefault(lang, []).append((row, piece))
+    for row, (group, text) in enumerate(zip(groups, texts, strict=True)):
+        for piece in pieces(text.encode()) if group else ():
+            held.setdefault(group, []).append((row, piece))
             many += len(piece)
             if many > HELD:
                 flush()
                 many = 0
     flush()
-    return out.tolist()
+    return out
 
 
 def repeated(texts: pa.Array, width: int = 3) -> np.ndarray:
@@ -228,19 +224,23 @@ _STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 
 
 def _stats(model):
-    """model: a broadcast SortedModel, or None for the counts alone."""
+    """Of (doc_id, lang, fold, text). model: a broadcast SortedModel, or None for the counts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, texts = (batch.column(i).to_pylist() for i in range(3))
-            totals = [None] * len(ids) if model is None else _totals(model.value, langs, texts)
-            rows = []
-            for doc_id, lang, text, again, total in zip(ids, langs, texts, repeated(batch.column(2)).tolist(), totals, strict=True):
+            ids, langs, folds, texts = (batch.column(i).to_pylist() for i in range(4))
+            rows, groups = [], []
+            for doc_id, lang, fold, text, again in zip(ids, langs, folds, texts, repeated(batch.column(3)).tolist(), strict=True):
                 text = text or ""
                 own = text.encode().split()
-                rows.append((doc_id, lang, len(own), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(text), again, total, sum(map(len, own)) + len(own)))
+                fails = len(own) < 50 or 100 * again > 50 * len(own)
+                groups.append(None if fails else (lang, fold))
+                rows.append((doc_id, lang, len(own), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(text), again, sum(map(len, own)) + len(own)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()), strict=True)], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "logp", "n_bytes"])
+                totals = [None] * len(rows) if model is None else _totals(model.value, groups, texts)
+                *columns, n_bytes = zip(*rows, strict=True)
+                types = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, totals, n_bytes), types, strict=True)], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "logp", "n_bytes"])
 
     return run
 
@@ -250,33 +250,36 @@ def base_failed() -> Column:
 
 
 def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """Scores without a broadcast model: a join of each document's n-grams with the highest order, for models too large."""
+    """Scores without a broadcast model, for models too large: each document's n-grams are joined with the model."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, lang, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                for piece in pieces((text or "").encode()):
+            for row, lang, fold, text, fine in zip(*[batch.column(i).to_pylist() for i in range(4)], _passing(batch.column(3)), strict=True):
+                for piece in pieces((text or "").encode()) if fine else ():
                     keys, n = np.unique(text_keys([piece])[0], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(keys), pa.int64()), "lang": pa.array([lang] * len(keys), pa.string()), "key": pa.array(keys.astype(np.int64)), "m": pa.array(n)})
+                    k = len(keys)
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * k, pa.int64()), "lang": pa.array([lang] * k, pa.string()), "fold": pa.array([fold] * k, pa.int32()), "key": pa.array(keys.astype(np.int64)), "m": pa.array(n)})
 
-    top = model.where(F.col("n") == ORDER).where("logp is not null").select("lang", "key", "logp")
     rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    sums = rows.select("row", "lang", "text").mapInArrow(own, "row long, lang string, key long, m long").join(top, ["lang", "key"]).groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("sum"))
+    grams = rows.select("row", "lang", "fold", "text").mapInArrow(own, "row long, lang string, fold int, key long, m long")
+    sums = grams.join(model, ["lang", "fold", "key"]).groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("sum"))
     # the row's number takes the place of doc_id while the counts are made
-    counts = rows.select(F.col("row").alias("doc_id"), "lang", "text").mapInArrow(_stats(None), _STATS).drop("logp").withColumnRenamed("doc_id", "row")
+    counts = rows.select(F.col("row").alias("doc_id"), "lang", "fold", "text").mapInArrow(_stats(None), _STATS).drop("logp").withColumnRenamed("doc_id", "row")
     return counts.join(sums, "row", "left").join(rows.select("row", "doc_id"), "row").withColumnRenamed("sum", "logp").drop("row")
 
 
-def score(docs: DataFrame, width: float = 3.0, min_width: float = 0.02, max_model: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, width: float = 3.0, min_width: float = 0.02, max_model: int = 8_000_000, max_langs: int = 100_000) -> DataFrame:
     """Base counts, base_failed, log_ppl, the band (low, high) and kept for each row of docs (doc_id, lang, text).
 
-    max_model: entries of the model up to which it is broadcast (12 bytes each); beyond, n-grams are joined.
+    max_model: entries of the model up to which it is broadcast (12 bytes each); beyond, n-grams are joined, with the same
+    result. max_langs: languages up to which the bands are broadcast.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2)).cast("int").alias("fold")
+    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), fold, "text")
     model = train(docs)
     if model.count() <= max_model:
-        sent = spark.sparkContext.broadcast(SortedModel.collected(model))
+        sent = spark.sparkContext.broadcast(SortedModel(model))
         scored = docs.mapInArrow(_stats(sent), _STATS)
     else:
         scored = _joined_scores(docs, model)
@@ -284,14 +287,15 @@ def score(docs: DataFrame, width: float = 3.0, min_width: float = 0.02, max_mode
     scored = table(scored, "scored")
     # equal scores of a language, such as those of copies, count once
     own = scored.where("not base_failed and log_ppl is not null").select("lang", "log_ppl").distinct()
-    bins = own.groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("bin")).count()
+    bins = table(own.groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("bin")).count(), "bins")
     bands = _weighted_median(bins).withColumnRenamed("median", "m")
     for side, sign in (("low", -1), ("high", 1)):
         off = bins.join(bands.select("lang", "m"), "lang").select("lang", (sign * (F.col("bin") - F.col("m"))).alias("bin"), "count").where("bin >= 0")
         half = F.greatest(F.col("median") * 1.4826 * width / 1000, F.lit(min_width))
         bands = bands.join(_weighted_median(off), "lang").withColumn(side, F.col("m") / 1000 + sign * half).drop("median")
-    bands = bands.select(F.col("lang").alias("_lang"), "low", "high")
-    out = scored.join(bands, F.col("lang") == F.col("_lang"), "left").drop("_lang")
+    bands = table(bands.select(F.col("lang").alias("band_lang"), "low", "high"), "bands")
+    few = F.broadcast(bands) if bands.count() <= max_langs else bands
+    out = scored.join(few, F.col("lang") == F.col("band_lang"), "left").drop("band_lang")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 

@@ -2,8 +2,9 @@
 
 Each document becomes one row of 15-bit coordinates and its bytes. A node that must give k leaves is split along the
 dimension with the widest normalised range at the weighted k/2 quantile. The quantile is found digit by digit: sums of
-bytes by node and 16-bit digit, at most 65536 rows a node, summed up by a window in Spark; one row a node reaches the
-driver. Equal coordinates are told apart by a hash of the document, so a hot source or a group of copies splits too.
+bytes by node and 13-bit digit, at most 8192 rows a node, summed up by a window in Spark; one row a node reaches the
+driver. All nodes of a level are searched at once, and the rows with their nodes are written once a level, so no plan grows
+with the depth of the tree. Equal coordinates are told apart by a hash of the document, so a hot source or a group of copies splits too.
 
 Defined cases: a null text has no bytes (crc of none is 0); null metadata is coordinate 0; identical rows are
 interchangeable; an empty table gives no rows.
@@ -14,14 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import drop_tables, row_key, table
 
-DIGIT, DIGITS = 16, 4
+#: Keys have 63 bits; a node has at most 2 ** DIGIT sums at once.
+DIGIT, DIGITS = 13, 5
 ROWS_A_BUCKET = 20_000
 
 
 def document_dims() -> dict[str, Column]:
-    return {"source": F.crc32(F.col("source").cast("binary")).cast("double"), "lang": F.crc32(F.col("lang").cast("binary")).cast("double"), "length": F.log1p(F.octet_length("text").cast("double")), "doc": F.col("doc_id").cast("double")}
+    named = {c: F.crc32(F.col(c).cast("binary")).cast("double") for c in ("source", "lang")}
+    return named | {"length": F.log1p(F.octet_length("text").cast("double")), "doc": F.col("doc_id").cast("double")}
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, dims: dict[str, Column] | None = None, tolerance: float = 2e-4) -> DataFrame:
@@ -31,7 +34,8 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     """
     dims = dims or document_dims()
     text = F.coalesce("text", F.lit(""))
-    meta = docs.select("doc_id", *row_key("doc_id", "source", "lang", "text"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("rid"), *[c.alias(f"x{i}") for i, c in enumerate(dims.values())])
+    size, crc, rid = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")), F.monotonically_increasing_id()
+    meta = docs.select("doc_id", *row_key("doc_id", "source", "lang", "text"), size.alias("size"), crc.alias("text_crc32"), rid.alias("rid"), *[c.alias(f"x{i}") for i, c in enumerate(dims.values())])
     meta = table(meta, "meta")
     ends = meta.agg(F.sum("size").alias("size"), F.count("*").alias("n"), *[f(f"x{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     leaves = n_shards or max(1, -(-(ends["size"] or 0) // target_bytes))
@@ -43,6 +47,8 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         return F.coalesce(at, F.lit(0)).cast("long")
 
     rows = meta.select("doc_id", "k1", "k2", "size", "text_crc32", "rid", F.array(*[F.shiftleft(coordinate(i), 48).bitwiseOR(tie) for i in range(len(dims))]).alias("keys"), F.lit(1).cast("long").alias("node"))
+    rows = table(rows, "level")
+    drop_tables(meta)
     want, done = {1: leaves}, []
     while any(k > 1 for k in want.values()):
         active = {n: k for n, k in want.items() if k > 1}
@@ -50,7 +56,10 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         spark = docs.sparkSession
         got = spark.createDataFrame([(n, d, c) for n, (d, c) in cuts.items()] or [(0, 0, 0)], "cut_node long, dim int, cut long")
         side = F.coalesce((F.element_at("keys", F.col("dim") + 1) >= F.col("cut")).cast("long"), F.lit(0))
-        rows = rows.join(F.broadcast(got), F.col("node") == F.col("cut_node"), "left").withColumn("node", F.when(F.col("cut_node").isNull(), F.col("node")).otherwise(F.col("node") * 2 + side)).drop("cut_node", "dim", "cut")
+        child = F.when(F.col("cut_node").isNull(), F.col("node")).otherwise(F.col("node") * 2 + side)
+        after = rows.join(F.broadcast(got), F.col("node") == F.col("cut_node"), "left").withColumn("node", child).drop("cut_node", "dim", "cut")
+        old, rows = rows, table(after, "level")
+        drop_tables(old)
         done += [n for n, k in want.items() if k == 1]
         want = {c: m for n, k in active.items() for c, m in ((2 * n, k // 2), (2 * n + 1, k - k // 2))}
     # leaves in the order of the tree: a leaf's path, left-aligned

@@ -1,16 +1,25 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is read as it is (its path is a parameter). The transducer is the normaliser (space to U+2581, a dummy
-prefix), then a trie of pieces and, for characters that no piece spells, arcs of bytes. An input composes with it as a
-chain; its encoding is the shortest path in the tropical semiring: arc weights are added, the least sum wins, and of
-equal sums the path whose last differing piece is longer. Weights are -score for unigram models; a BPE file has only the
-order of its merges, so its weights are log(rank + 2), as word frequencies fall with rank. Paths are therefore not the
-BPE merge sequence, but decoding gives the normalised text back exactly.
-
-No piece but runs of U+2581 holds that sign after another character, so the chain falls apart before each such run, and
+The model file is read as it is (its path is a parameter) and compiled into two machines:
+
+- the normaliser: the character map of the file (a deterministic rewriting of the longest match), white space squeezed or
+  kept, a dummy prefix, space to U+2581. It is functional, so its composition with an input is again a chain of symbols;
+- the pieces: states are the nodes of a trie, arcs read a symbol, and from the end of a piece an arc that reads nothing writes
+  its id and leads back to the start. A symbol that no piece spells has an arc to the start which writes the ids of its bytes,
+  or the unknown id where the file has no bytes.
+
+The chain is composed with the pieces state by state, and the encoding is the shortest path in the tropical semiring: weights
+are added along a path, the least sum wins, and of equal sums the path whose last differing piece is longer. Weights are -score
+for unigram models, and the arc of an unspelled symbol weighs 10 more than the worst piece; user-defined pieces weigh
+0.1 - n * best score, so they win over all else; unused pieces have no arcs. A BPE file has only the order of its merges, so its
+weights are log(rank + 2), as word frequencies fall with rank: paths are then not the BPE merge sequence, but decoding
+gives the normalised text back exactly.
+
+Where no piece but runs of U+2581 holds that sign after another character, the chain falls apart before each such run, and
 a worker finds the path of each distinct part once.
 
-Defined cases: a null or empty text has no tokens; U+2581 in a text decodes as a space; repeated rows are encoded alike.
+Defined cases: a null or empty text has no tokens; U+2581 in a text decodes as a space; an unknown id decodes as " U+2047 ";
+null ids decode as null; repeated rows are encoded alike; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
+UNKNOWN_TEXT = " ⁇ "
 HELD_PARTS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: What the arc of an unspelled symbol weighs above the worst piece.
+PENALTY = 10.0
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -55,9 +67,66 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class CharacterMap:
+    """The longest-match rewriting of a compiled map: its size, a double-array trie and the replacements."""
+
+    def __init__(self, blob: bytes) -> None:
+        (size,) = struct.unpack_from("<I", blob)
+        self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
+        self.texts = blob[4 + size :]
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """(bytes read, replacement) of the longest key that data has at a place."""
+        step = lambda u: (u >> 10) << ((u & 0x200) >> 6)
+        node, found = step(self.units[0]), None
+        for end in range(at, len(data)):
+            node ^= data[end]
+            if node >= len(self.units) or self.units[node] & 0x800000FF != data[end]:
+                break
+            unit = self.units[node]
+            node ^= step(unit)
+            if unit >> 8 & 1:
+                found = end + 1 - at, self.units[node] & 0x7FFFFFFF
+        if found is None:
+            return None
+        start = found[1]
+        return found[0], self.texts[start : self.texts.index(b"\0", start)]
+
+
+class Normaliser:
+    def __init__(self, charsmap: bytes, prefix: bool, squeeze: bool, kept: list[str]) -> None:
+        self.map = CharacterMap(charsmap) if charsmap else None
+        self.prefix, self.squeeze = prefix, squeeze
+        self.kept = re.compile("|".join(re.escape(k) for k in sorted(kept, key=len, reverse=True)).encode()) if kept else None
+
+    def _rewritten(self, data: bytes) -> bytes:
+        out, at = [], 0
+        while at < len(data):
+            if self.kept and (m := self.kept.match(data, at)):
+                n, text = len(m[0]), m[0]
+            elif (found := self.map.longest(data, at)) is not None:
+                n, text = found
+            else:
+                n = 1
+                while at + n < len(data) and data[at + n] & 0xC0 == 0x80:
+                    n += 1
+                text = data[at : at + n]
+            out.append(text)
+            at += n
+        return b"".join(out)
+
+    def chain(self, text: str) -> str:
+        """The symbols that text becomes."""
+        if self.map:
+            text = self._rewritten(text.encode()).decode("utf-8", "replace")
+        if self.squeeze:
+            text = re.sub(" +", " ", text.replace(SPACE, " ")).strip(" ")
+        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+
+
 class PieceTransducer:
     def __init__(self, model: bytes) -> None:
-        pieces, unigram, self.prefix, squeeze, charsmap = [], True, True, True, b""
+        pieces, unigram, prefix, squeeze, charsmap = [], True, True, True, b""
         for number, value in _fields(model):
             if number == 1:
                 own = dict(_fields(value))
@@ -66,67 +135,88 @@ class PieceTransducer:
                 unigram = dict(_fields(value)).get(3, 1) == 1
             elif number == 3:
                 own = dict(_fields(value))
-                charsmap, self.prefix, squeeze = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
-        if charsmap or squeeze:
-            raise ValueError("only models without a character map that keep white space are supported")
+                charsmap, prefix, squeeze = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
         self.text: list[bytes] = []
-        self.trie: dict = {}
-        self.bytes_: dict[int, tuple[int, float]] = {}
-        worst, self.whole = 0.0, True
+        #: Of each state the arcs (symbol to state) and, at the end of a piece, its id and weight.
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, float] | None] = [None]
+        self.byte_ids: dict[int, int] = {}
+        self.unknown = 0
+        scores = [s for _, s, k in pieces if k == NORMAL]
+        best = max(scores, default=0.0)
+        self.whole = True
+        kept = []
         for rank, (piece, score, kind) in enumerate(pieces):
             weight = -score if unigram else math.log(rank + 2)
-            worst = max(worst, weight)
+            if kind == USER:
+                weight = 0.1 - len(piece) * best if unigram else 0.0
+                kept.append(piece)
             if kind == BYTE:
-                self.bytes_[int(piece[3:5], 16)] = rank, 0.0
+                self.byte_ids[int(piece[3:5], 16)] = rank
                 self.text.append(bytes([int(piece[3:5], 16)]))
                 continue
-            self.text.append(piece.replace(SPACE, " ").encode() if kind in (NORMAL, USER) else b"")
+            self.unknown = rank if kind == UNKNOWN else self.unknown
+            shown = {NORMAL: piece.replace(SPACE, " "), USER: piece.replace(SPACE, " "), UNUSED: piece.replace(SPACE, " "), UNKNOWN: UNKNOWN_TEXT}
+            self.text.append(shown.get(kind, "").encode())
             if kind in (NORMAL, USER):
                 self.whole &= not re.search(f"[^{SPACE}]{SPACE}", piece)
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = rank, weight
-        self.byte_weight = worst + 10  # bytes only where no piece goes, or all others are dearer
+                self._add(piece, rank, weight)
+        self.whole &= SPACE in self.arcs[0] and self.ends[self.arcs[0][SPACE]] is not None
+        self.unspelled = PENALTY + (-min(scores, default=0.0) if unigram else math.log(len(pieces) + 2))
+        self.normaliser = Normaliser(charsmap, prefix, squeeze, kept)
+
+    def _add(self, piece: str, rank: int, weight: float) -> None:
+        state = 0
+        for c in piece:
+            if c not in self.arcs[state]:
+                self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+                self.ends.append(None)
+            state = self.arcs[state][c]
+        self.ends[state] = rank, weight
 
     def path(self, chain: str) -> list[int]:
-        """Ids on the shortest path over chain (normalised)."""
-        n = len(chain)
-        best: list[tuple[float, int, tuple[int, ...]] | None] = [None] * (n + 1)
-        best[0] = 0.0, 0, ()
+        """Ids that the shortest path of the composition with chain writes.
+
+        States of the composition are (place in the chain, state of the pieces); those at the start state are the only ones that
+        paths can part from, so the least sums are kept for them alone, place by place.
+        """
+        n, arcs, ends = len(chain), self.arcs, self.ends
+        least: list[float] = [0.0] + [math.inf] * n
+        back: list[tuple[int, int | None]] = [(0, None)] * (n + 1)
         for i in range(n):
-            if best[i] is None:
+            here, state, spelled = least[i], 0, False
+            if here == math.inf:
                 continue
-            here, node, spelled = best[i][0], self.trie, False
             for j in range(i, n):
-                node = node.get(chain[j])
-                if node is None:
+                state = arcs[state].get(chain[j], -1)
+                if state < 0:
                     break
-                if (arc := node.get("")) is not None:
+                if (end := ends[state]) is not None:
                     spelled |= j == i
-                    cost = here + arc[1]
-                    if best[j + 1] is None or cost < best[j + 1][0]:
-                        best[j + 1] = cost, i, (arc[0],)
-            if not spelled:
-                data = chain[i].encode()
-                cost = here + self.byte_weight * len(data)
-                if best[i + 1] is None or cost < best[i + 1][0]:
-                    best[i + 1] = cost, i, tuple(self.bytes_[b][0] for b in data)
-        out: list[tuple[int, ...]] = []
-        at = n
+                    cost = here + end[1]
+                    if cost < least[j + 1]:
+                        least[j + 1], back[j + 1] = cost, (i, end[0])
+            if not spelled and here + self.unspelled < least[i + 1]:
+                least[i + 1], back[i + 1] = here + self.unspelled, (i, None)
+        out: list[int] = []
+        at, last_unknown = n, False
         while at:
-            _, before, ids = best[at]
-            out.append(ids)
+            before, rank = back[at]
+            if rank is not None:
+                out.append(rank)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in reversed(chain[before:at].encode())]
+            elif not last_unknown:  # a run of unknown symbols is one id
+                out.append(self.unknown)
+            last_unknown = rank is None
             at = before
-        return [x for ids in reversed(out) for x in ids]
-
-    def normalise(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+        return out[::-1]
 
     def encode(self, text: str, held: dict[str, bytes]) -> bytes:
         """Ids of text as packed 32-bit integers; held keeps the paths of parts between calls."""
-        chain = self.normalise(text)
-        parts = _PARTS.findall(chain) if self.whole else [chain]
+        chain = self.normaliser.chain(text)
+        parts = _PARTS.findall(chain) if self.whole else [chain] if chain else []
         if len(held) > HELD_PARTS:
             held.clear()
         for p in set(parts).difference(held):
@@ -136,7 +226,12 @@ class PieceTransducer:
 
     def decode(self, ids: memoryview | list[int]) -> str:
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return text[1:] if self.normaliser.prefix and text[:1] == " " else text
+
+    def normalised(self, text: str) -> str:
+        """What decoding the encoded text gives if no symbol is unknown."""
+        chain = self.normaliser.chain(text).replace(SPACE, " ")
+        return chain[1:] if self.normaliser.prefix else chain
 
 
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -150,7 +245,7 @@ def read_model(df: DataFrame, path: str) -> bytes:
 def encode(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip) and, if wanted, ids for each row of docs (doc_id, text).
 
-    ids_sha256 is of the ids as little-endian 32-bit integers; round_trip tells whether decoding gives the text back.
+    ids_sha256 is of the ids as little-endian 32-bit integers; round_trip tells whether decoding gives the normalised text back.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -164,10 +259,23 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
                 own = memoryview(packed).cast("i")
                 n.append(len(own))
                 sha.append(hashlib.sha256(packed).hexdigest())
-                same.append(fst.decode(own) == text.replace(SPACE, " "))
+                same.append(fst.decode(own) == fst.normalised(text))
                 if with_ids:
                     ids.append(own.tolist())
             more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *more], ["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
+
+
+def decode(tokens: DataFrame, model: bytes) -> DataFrame:
+    """(doc_id, text) for each row of tokens (doc_id, ids)."""
+    sent = tokens.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = PieceTransducer(sent.value)
+        for batch in batches:
+            texts = [None if ids is None else fst.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -35,7 +35,7 @@ SLOT_BITS = 20
 SLOT_PARTS = 16
 MIN_HASHES = 6
 ENTRIES_A_TILE = 300_000
-ID_SLOTS = 1 << 20
+ID_BITS = 20
 MARK_BITS, MARK_PARTS = 27, 16
 HOT_ENTRIES = 20_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, MIN_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,25 +137,26 @@ def _held(levels, k: int):
     return run
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps (part, bits) of the slots of (part, slot) rows."""
-    size = (1 << MARK_BITS) // MARK_PARTS
-    bits: dict[int, np.ndarray] = {}
-    for batch in batches:
-        part, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for p in np.unique(part).tolist():
-            bits.setdefault(p, np.zeros(size, bool))[slot[part == p]] = True
-    if bits:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(bits), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())})
-
-
-def _marks(shared: DataFrame) -> np.ndarray:
-    """A fixed 16 megabytes with a bit set for the slot of each shared shingle."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
-    size = (1 << MARK_BITS) // MARK_PARTS
-    rows = shared.select(F.expr(f"cast((h & {(1 << MARK_BITS) - 1}) div {size} as int)").alias("part"), (slot % size).alias("slot"))
+def _mark(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bitmaps (part, bits) of (part, slot) rows."""
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(part).tolist():
+                bits.setdefault(p, np.zeros(size, bool))[slot[part == p]] = True
+        if bits:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(bits), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())})
+
+    return run
+
+
+def _marks(slots: DataFrame, n_bits: int) -> np.ndarray:
+    """A bitmap of a fixed 2 ** n_bits bits with the slots (column slot) of the rows set."""
+    size = (1 << n_bits) // MARK_PARTS
+    rows = slots.selectExpr(f"cast(slot div {size} as int) as part", f"slot % {size} as slot")
     out = np.zeros((MARK_PARTS, size // 8), np.uint8)
-    for r in rows.repartition(MARK_PARTS, "part").mapInArrow(_mark, "part int, bits binary").collect():
+    for r in rows.repartition(MARK_PARTS, "part").mapInArrow(_mark(size), "part int, bits binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -309,17 +310,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> Da
     left = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
     left = table(left.mapInArrow(_bounded, "a long, b long"), "bounded")
     ids = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS))
-    wanted = np.zeros(ID_SLOTS, bool)
-    wanted[[r[0] for r in ids.select(slot).distinct().collect()]] = True
-    wanted = spark.sparkContext.broadcast(np.packbits(wanted).tobytes())
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).alias("slot")
+    wanted = spark.sparkContext.broadcast(_marks(ids.select(slot), ID_BITS))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        bits = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
             yield batch.select(["doc_id", "text"]).filter(pa.array(bits[batch.column("slot").to_numpy()]))
 
-    held = texts.select("doc_id", "text", slot.alias("slot")).mapInArrow(some, "doc_id long, text string")
+    held = texts.select("doc_id", "text", slot).mapInArrow(some, "doc_id long, text string")
     held = table(held.join(ids, "doc_id"), "texts")
     both = left.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_similar(k), "a long, b long")
@@ -338,7 +337,8 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     sets = table(each.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bitmap").alias("bitmap")), "sets")
     # stars of documents that share a minimum hash
     keys = sets.select("rep", F.explode("mins").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1")
+    # written, so that the rows of a very common minimum hash are split over tasks when they are joined
+    hubs = table(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many"), "hubs")
     stars = keys.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = table(_verified(stars, sets, texts, k), "links")
     joined = components(links)
@@ -353,7 +353,7 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     hot = np.array([r["h"] for r in many], np.int64).astype(_U), np.array([r["blocks"] for r in many], np.int64)
     order = np.argsort(hot[0])
     hot = spark.sparkContext.broadcast((hot[0][order], hot[1][order]))
-    marks = spark.sparkContext.broadcast(_marks(shared))
+    marks = spark.sparkContext.broadcast(_marks(shared.select(F.col("h").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("slot")), MARK_BITS))
     entries = shared.agg(F.sum(F.expr("2 * many * blocks"))).first()[0] or 0
     tiles = max(12, entries // ENTRIES_A_TILE)
     spread = left.mapInArrow(_prefixes(levels, marks, hot, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary")

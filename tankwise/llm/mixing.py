@@ -78,12 +78,17 @@ def plan(sources: list[tuple[str | None, int]], weights: list[float] | None = No
 
 
 PLAN = T.StructType([
-    T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_n", T.LongType()), T.StructField("_q", T.LongType()), T.StructField("_upto", T.ArrayType(T.LongType())), T.StructField("_buckets", T.LongType()),
+    T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_n", T.LongType()),
+    T.StructField("_q", T.LongType()), T.StructField("_upto", T.ArrayType(T.LongType())), T.StructField("_buckets", T.LongType()), T.StructField("quotas", T.ArrayType(T.LongType())),
 ])
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: list[float] | None = None, limit: int = 3, n_shards: int = 16, max_sources: int = 1_000_000) -> DataFrame:
-    """(k1, k2, doc_id, source, size, source_size, target, taken, first_shard) for each row of docs."""
+    """(k1, k2, doc_id, source, size, source_size, target, taken, first_shard, block_words, quotas) for each row of docs.
+
+    quotas: how many blocks of block_words words of the document's source each shard takes; first_shard: where the
+    document's first chosen block goes.
+    """
     spark = docs.sparkSession
     sized = table(docs.select("doc_id", "source", *row_key("doc_id", "source", "text"), word_count(F.col("text")).alias("size")), "sized")
     found = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
@@ -91,7 +96,9 @@ def mix(docs: DataFrame, seed: int = 17, weights: list[float] | None = None, lim
         raise ValueError(f"more than {max_sources} sources")
     block, rows = plan([(r["source"], r["s"]) for r in found], weights, limit, n_shards)
     count = {r["source"]: r["n"] for r in found}
-    planned = spark.createDataFrame([(r["source"], r["source_size"], r["target"], r["blocks"], r["quota"], r["upto"], -(-count[r["source"]] // ROWS_A_BUCKET)) for r in rows], PLAN)
+    quotas = lambda upto: [b - a for a, b in zip([0, *upto], upto, strict=False)]
+    planned = [(r["source"], r["source_size"], r["target"], r["blocks"], r["quota"], r["upto"], -(-count[r["source"]] // ROWS_A_BUCKET), quotas(r["upto"])) for r in rows]
+    planned = spark.createDataFrame(planned, PLAN)
     x = sized.join(planned, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_h", F.xxhash64(F.lit(seed), "k1", "k2")).withColumn("_bucket", F.expr("pmod(_h, _buckets)"))
     sums = x.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.selectExpr("_source as _s", "_bucket as _b", "coalesce(sum(_sum) over (partition by _source order by _bucket rows between unbounded preceding and 1 preceding), 0L) as _before")
@@ -112,4 +119,4 @@ def mix(docs: DataFrame, seed: int = 17, weights: list[float] | None = None, lim
     first = f"if(_passes > 0, _at div {block}L, {chosen(f'_at div {block}L')})"
     x = x.selectExpr("*", f"_passes * size + {last} as taken", f"if(size > 0, {first}, null) as _first")
     shard = F.when(F.col("taken") > 0, F.least(F.size(F.filter("_upto", lambda c: c <= F.col("_first"))), F.lit(n_shards - 1)))
-    return x.select("k1", "k2", "doc_id", "source", "size", "source_size", "target", "taken", shard.alias("first_shard"))
+    return x.select("k1", "k2", "doc_id", "source", "size", "source_size", "target", "taken", shard.alias("first_shard"), F.lit(block).cast("long").alias("block_words"), "quotas")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import struct
 import zlib
 
 import numpy as np
@@ -63,14 +64,79 @@ def test_perplexity_counts_and_bands(docs, empty):
     assert perplexity.score(empty).count() == 0
 
 
-def test_perplexity_model_sums_to_one_and_both_ways_agree(docs):
-    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    model = perplexity.SortedModel(perplexity.train(d).toArrow())
-    for context in (b"   a", b" abc", b"zzzz"):
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert np.exp(model.logp("en", keys)).sum() == pytest.approx(1, abs=1e-4)
+def plain_model(texts, order=5):
+    """Interpolated modified Kneser-Ney over bytes, in plain dictionaries: a function from a 5-byte key to its probability."""
+    counts = {order: collections.Counter()}
+    for t in texts:
+        data = b" " * (order - 1) + b" ".join([*t.encode().split(), b""])
+        counts[order].update(data[i : i + order] for i in range(len(data) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(k[1:] for k in counts[n + 1])
+    cuts, total, left = {}, collections.Counter(), collections.Counter()
+    for n, c in counts.items():
+        m = collections.Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] + 2 * m[2] else None
+        for k in (1, 2, 3):
+            d = None if y is None or not m[k] else k - (k + 1) * y * m[k + 1] / m[k]
+            cuts[n, k] = 0.5 if d is None else min(max(d, 0.05), k - 0.05)
+        for key, v in c.items():
+            total[n, key[:-1]] += v
+            left[n, key[:-1]] += cuts[n, min(v, 3)]
+
+    def p(key):
+        n = len(key)
+        if not n:
+            return 1 / 256
+        c, ctx = counts[n][key], (n, key[:-1])
+        if not total[ctx]:
+            return p(key[1:])
+        return (c - (cuts[n, min(c, 3)] if c else 0)) / total[ctx] + left[ctx] / total[ctx] * p(key[1:])
+
+    return p
+
+
+def test_perplexity_is_that_of_the_other_fold_and_both_ways_agree(spark, docs):
+    long_ones = [(i, t, lang or "") for i, t, lang, *_ in corpus() if len(words(t)) >= 50 and i is not None]
+    folds = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2)).alias("fold")).collect()}
     a, b = (sorted((r["doc_id"] or -1, r["n_words"], round(r["log_ppl"] or 0, 4), r["kept"]) for r in perplexity.score(docs, max_model=m).collect()) for m in (10**7, 0))
     assert a == b
+    got = {r["doc_id"]: r for r in perplexity.score(docs).collect() if r["doc_id"] is not None}
+    again = {i for i, t, *_ in corpus() if got.get(i) and got[i]["base_failed"]}
+    models = {}
+    for i, t, lang in long_ones:
+        if i in again:
+            assert got[i]["log_ppl"] is None
+            continue
+        if len(t) > 3000:
+            continue
+        if (lang, folds[i]) not in models:
+            rows = [u for j, u, x, *_ in corpus() if j is not None and (x or "") == lang and len(words(u)) >= 50 and j not in again and folds[j] != folds[i]]
+            rows += [u for j, u, x, *_ in corpus() if j is None and u and (x or "") == lang and folds_of(spark, u) != folds[i]]
+            models[lang, folds[i]] = plain_model(rows)
+        data = b"    " + b" ".join([*t.encode().split(), b""])
+        want = -sum(np.log(models[lang, folds[i]](data[k : k + 5])) for k in range(len(data) - 4)) / (len(data) - 4)
+        assert got[i]["log_ppl"] == pytest.approx(want, abs=1e-4)
+
+
+def folds_of(spark, text):
+    return spark.createDataFrame([(text,)], "text string").select(F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2))).first()[0]
+
+
+def test_perplexity_bands_reject_planted_junk_on_both_sides(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghilmnorst") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    weights = [1 / (k + 2) for k in range(400)]
+    say = lambda n: " ".join(r.choices(vocabulary, weights, k=n))
+    texts = {i: say(r.randint(80, 200)) for i in range(300)}
+    shuffled = ["".join(r.sample(texts[i], len(texts[i]))) for i in range(3)]
+    foreign = [" ".join("".join(r.choice("jkpquvwxyz") for _ in range(5)) for _ in range(100)) for _ in range(3)]
+    often = [" ".join(r.choices(vocabulary[:9], k=120)) for _ in range(3)]
+    junk = dict(enumerate(shuffled + foreign + often, 1000))
+    df = spark.createDataFrame([(i, "en", t) for i, t in (texts | junk).items()], "doc_id long, lang string, text string")
+    got = {x["doc_id"]: x for x in perplexity.score(df).collect()}
+    assert all(not got[i]["kept"] and not got[i]["base_failed"] for i in junk)
+    assert all(got[i]["log_ppl"] > got[i]["high"] for i in range(1000, 1006)) and all(got[i]["log_ppl"] < got[i]["low"] for i in range(1006, 1009))
+    assert sum(got[i]["kept"] for i in texts) >= 290
 
 
 def test_perplexity_word_order_and_outliers_count(spark):
@@ -128,29 +194,64 @@ def test_oversize_shards_are_tiled_without_loss(spark):
 def groups_of_near_copies(spark, sizes):
     r = np.random.default_rng(4)
     x = np.concatenate([r.normal(size=(1, 64)) + 0.15 * r.normal(size=(n, 64)) for n in sizes])
-    return x, spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "nid long, grp string, values array<double>")
+    nodes = spark.createDataFrame([(i, "g", 1 + i % 2, v.tolist()) for i, v in enumerate(x)], "nid long, grp string, copies long, values array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= 0.93
+    np.fill_diagonal(hit, False)
+    return nodes, hit
+
+
+def parts_of(n, edges):
+    root = list(range(n))
+    while True:
+        was = list(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if was == root:
+            return root
 
 
 def test_small_groups_beside_a_large_one_are_found(spark):
-    x, nodes = groups_of_near_copies(spark, [50] * 20 + [500])
-    pairs, recall = near_vectors.near_pairs(nodes, goal=0.0)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    a, b = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
-    want = set(zip(a.tolist(), b.tolist(), strict=True))
-    got = {(r["a"], r["b"]) for r in pairs.collect()}
-    small = {p for p in want if p[0] < 1000}
-    assert got <= want and len(small & got) >= 0.95 * len(small) and recall >= 0.95
-
-
-def test_audit_is_by_vector_and_failing_it_compares_all(spark):
-    rows = lambda found, names: spark.createDataFrame(found, names)
-    truth = rows([(1, i) for i in range(10, 19)] + [(2, 3)], "q long, p long")
-    assert near_vectors._recall(truth, rows([(1, i) for i in range(10, 19)], "a long, b long")) == pytest.approx(0.5)
-    x, nodes = groups_of_near_copies(spark, [30, 2])
-    pairs, recall = near_vectors.near_pairs(nodes, overlap=16, goal=1.1, shard_rows=20)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    a, b = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
-    assert recall == 1 and sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    nodes, hit = groups_of_near_copies(spark, [50] * 20 + [500])
+    counts, edges, recall = near_vectors.near_links(nodes, goal=0.0)
+    got = {r["nid"]: r["links"] for r in counts.collect()}
+    want = hit @ (1 + np.arange(1500) % 2)
+    assert all(got[i] <= want[i] for i in got) and recall >= 0.95
+    assert sum(got.get(i, 0) for i in range(1000)) >= 0.95 * want[:1000].sum()
+    e = [(r["a"], r["b"]) for r in edges.collect()]
+    assert len(e) < 6000 < hit.sum() / 2  # a spanning set, not all pairs
+    assert parts_of(1500, e) == parts_of(1500, np.argwhere(hit).tolist())
+
+
+def test_links_of_overlapping_and_tiled_cells_count_once(spark):
+    nodes, hit = groups_of_near_copies(spark, [120, 90, 30])
+    want = hit @ (1 + np.arange(240) % 2)
+    for settings in ({"shard_rows": 25}, {"per_pivot": 12, "overlap": 3}, {"per_pivot": 12, "overlap": 8, "shard_rows": 25}):
+        counts, _, recall = near_vectors.near_links(nodes, goal=0.0, **settings)
+        got = {r["nid"]: r["links"] for r in counts.collect()}
+        assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() and recall >= 0.9
+
+
+def test_failing_the_audit_compares_all(spark):
+    nodes, hit = groups_of_near_copies(spark, [30, 2])
+    counts, edges, recall = near_vectors.near_links(nodes, overlap=16, goal=1.1, shard_rows=20)
+    want = hit @ (1 + np.arange(32) % 2)
+    assert recall == 1 and {r["nid"]: r["links"] for r in counts.collect()} == {i: n for i, n in enumerate(want.tolist()) if n}
+    assert parts_of(32, [(r["a"], r["b"]) for r in edges.collect()]) == parts_of(32, np.argwhere(hit).tolist())
+
+
+def test_audit_is_by_vector(spark):
+    nodes, hit = groups_of_near_copies(spark, [9, 2])
+    counts = spark.createDataFrame([(9, int(1 + 10 % 2))], "nid long, links long")  # all links of one of the pair, no others
+    assert near_vectors._recall(nodes, counts, 200, 0.93) == pytest.approx(1 / 11)
+    assert near_vectors._recall(nodes.where("nid = 3"), counts, 200, 0.93) is None
+
+
+def test_extreme_vectors_are_compared_like_others(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 2e-200], 0), (4, [1.0, 2.0], 0), (5, [-1e-200, 1e-200], 0), (6, [3e-310, 6e-310], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links = {i: [j for j, y, _ in rows if j != i and abs(np.arctan2(*x) - np.arctan2(*y)) <= np.arccos(0.93)] for i, x, _ in rows}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(v) for i, v in links.items()} and got[5] == (0, 5)
 
 
 def test_surrogates(docs, empty):
@@ -247,33 +348,82 @@ def test_weak_labels(spark, docs, empty):
 
 def test_pieces(docs, empty):
     model = piece_fst.read_model(docs, PIECES)
-    rows = piece_fst.encode(docs, model, with_ids=True).collect()
+    tokens = piece_fst.encode(docs, model, with_ids=True)
+    rows = tokens.collect()
     assert len(rows) == len(corpus()) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+    back = sorted(((r["doc_id"], r["text"]) for r in piece_fst.decode(tokens, model).collect()), key=repr)
+    assert back == sorted(((i, t or "") for i, t, *_ in corpus()), key=repr)
     f = piece_fst.PieceTransducer(model)
     for t in ("", " ", "a  b\n c", "é漢字▁x", "ab" * 40):
         assert f.decode(memoryview(f.encode(t, {})).cast("i")) == t.replace("▁", " ")
-    weight = {}
-
-    def collect(node, text):
-        for c, to in node.items():
-            if c == "":
-                weight[text] = to[1]
-            else:
-                collect(to, text + c)
-
-    collect(f.trie, "")
-    for chain in ("▁the", "▁hello", "▁onere", "▁ÿx"):
-        best = [0.0] + [1e18] * len(chain)
-        for j in range(1, len(chain) + 1):
-            for i in range(j):
-                w = weight.get(chain[i:j])
-                if w is None and j - i == 1:
-                    w = f.byte_weight * len(chain[i].encode())
-                if w is not None:
-                    best[j] = min(best[j], best[i] + w)
-        cost = sum(weight[x] if (x := f.text[k].decode("utf-8", "replace").replace(" ", "▁")) in weight and k > 258 else f.byte_weight for k in f.path(chain))
-        assert cost == pytest.approx(best[-1])
-    assert piece_fst.encode(empty, model).count() == 0
+    assert piece_fst.encode(empty, model).count() == 0 and piece_fst.decode(piece_fst.encode(empty, model, True), model).count() == 0
+
+
+def message(*fields):
+    """A protocol buffer message of (number, value) fields."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += bytes([number << 3, value])
+        elif isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        else:
+            size, n = b"", len(value)
+            while n > 127:
+                size, n = size + bytes([n & 127 | 128]), n >> 7
+            out += bytes([number << 3 | 2]) + size + bytes([n]) + value
+    return out
+
+
+def unigram_model(pieces, charsmap=b"", squeeze=1, byte_pieces=False):
+    """A model file with the pieces {text: score}; a score of None makes a user-defined piece."""
+    rows = [message((1, message((1, b"<unk>"), (2, 0.0), (3, 2)))), message((1, message((1, b"<s>"), (2, 0.0), (3, 3))))]
+    if byte_pieces:
+        rows += [message((1, message((1, f"<0x{b:02X}>".encode()), (2, 0.0), (3, 6)))) for b in range(256)]
+    rows += [message((1, message((1, p.encode()), (2, s or 0.0), (3, 4 if s is None else 1)))) for p, s in pieces.items()]
+    return b"".join(rows) + message((2, message((3, 1)))) + message((3, message((1, b"own"), (2, charsmap), (3, 1), (4, squeeze), (5, 1))))
+
+
+def test_paths_are_the_cheapest_of_all(docs):
+    r = random.Random(4)
+    for _ in range(30):
+        alphabet = "abc"
+        pieces = {"▁": -3.0} | {c: -4.0 - r.random() for c in alphabet[: r.randint(1, 3)]}
+        for _ in range(8):
+            pieces["".join(r.choice(alphabet) for _ in range(r.randint(2, 4)))] = -r.random() * 9
+        f = piece_fst.PieceTransducer(unigram_model(pieces, byte_pieces=True))
+        scores = {p: -struct.unpack("<f", struct.pack("<f", s))[0] for p, s in pieces.items()}
+        worst = max(scores.values()) + 10
+        for _ in range(5):
+            chain = "▁" + "".join(r.choice(alphabet + "z") for _ in range(r.randint(0, 9)))
+
+            def cost(rest):
+                if not rest:
+                    return 0.0
+                ways = [scores[rest[:k]] + cost(rest[k:]) for k in range(1, 5) if rest[:k] in scores and k <= len(rest)]
+                return min(ways + ([] if rest[0] in scores else [worst + cost(rest[1:])]))
+
+            spelled = sum(scores[f.text[k].decode().replace(" ", "▁")] if k > 257 else worst for k in f.path(chain))
+            assert spelled == pytest.approx(cost(chain))
+
+
+def test_unigram_models_give_the_ids_of_the_library():
+    sp = pytest.importorskip("sentencepiece")
+    try:
+        rules = sp.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+        charsmap = dict(piece_fst._fields(dict(piece_fst._fields(rules))[3]))[2]
+    except (AttributeError, KeyError, TypeError):
+        charsmap = b""
+    r = random.Random(6)
+    pieces = {"▁": -2.0, "▁the": -3.1, "the": -3.5, "he": -4.2, "t": -5.0, "h": -5.1, "e": -5.2, "▁a": -3.3, "a": -4.9, "fi": -6.5, "▁▁": -7.0, "<sep>": None, "1": -6.1, "12": -7.7}
+    for settings in ({"squeeze": 0}, {"squeeze": 1}, {"squeeze": 1, "charsmap": charsmap}):
+        model = unigram_model(pieces, **settings)
+        f, lib = piece_fst.PieceTransducer(model), sp.SentencePieceProcessor(model_proto=model)
+        texts = ["the a", "  the   he ", "ﬁ the\tA １２", "x<sep>the", "zz the z", "", " "] + ["".join(r.choice("the a1２ﬁz ") for _ in range(12)) for _ in range(60)]
+        for t in texts:
+            ids = memoryview(f.encode(t, {})).cast("i").tolist()
+            assert ids == lib.encode(t), (t, settings.keys())
+            assert f.decode(ids) == lib.decode(ids)
 
 
 def shingles(t):
@@ -340,6 +490,9 @@ def test_mixing(docs, empty):
         taken[source] += took
         target[source] = goal
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 1 for s in target) and sum(target.values()) == pytest.approx(sum(size.values()))
+    quotas = {r["source"]: (r["block_words"], r["quotas"]) for r in mixing.mix(docs).collect()}
+    for s, (block, own) in quotas.items():  # each shard's share of a source is its quota to a block or two
+        assert len(own) == 16 and abs(sum(own) * block - taken[s]) <= 2 * block and max(own) - min(own) <= 2
     assert mixing.mix(empty).count() == 0
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2] and mixing.water_fill([100, 1, 1], [1, 1, 1], 3) == [96.0, 3.0, 3.0]
 
@@ -361,6 +514,29 @@ def test_inexact_license_passage(spark):
     assert (r["labels"], r["base_labels"], r["n_base"]) == ("mit", "", 0) and 0.4 <= r["score"] < 1
 
 
+def test_edited_and_overlapping_licences(spark):
+    from tankwise.llm.licences import LICENCES
+
+    r = random.Random(3)
+    mit, bsd = (LICENCES[x].split() for x in ("mit", "bsd-3"))
+    edited = list(mit)
+    for _ in range(4):  # insertions and deletions
+        edited.insert(r.randrange(len(edited)), "really")
+        del edited[r.randrange(len(edited))]
+    prose = ["words", "of", "the", "software", "without", "any", "order", "and", "of", "this", "notice"]
+    texts = {
+        1: " ".join(edited), 2: " ".join(prose + bsd + prose + mit), 3: " ".join(mit[:70] + bsd[:60]), 4: LICENCES["gpl-3"], 5: LICENCES["lgpl-2.1"],
+        6: " ".join(r.sample(mit, len(mit))), 7: " ".join(x for i in range(0, len(mit), 10) for x in reversed(mit[i : i + 10])), 8: " ".join(" ".join(mit[i : i + 5]) + " and so on and on and on" for i in range(0, 160, 5)),
+        9: "GNU General Public License, version 2 or CC BY NC", 10: " ".join(prose * 30),
+    }
+    got = {x["doc_id"]: (x["labels"], x["base_labels"], x["score"]) for x in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1][0] == "mit" and 0.8 <= got[1][2] < 1
+    assert got[2][0] == "bsd-3,mit" and got[3][0] == "bsd-2,bsd-3,mit"  # the first 60 words do not tell the two BSD licences apart
+    assert got[4][0] == "gpl-3" and got[5][0] == "lgpl-2.1"
+    assert [got[i][0] for i in (6, 7, 8, 10)] == [""] * 4  # order and drift are checked
+    assert got[9][:2] == ("cc-by-nc,gpl-2", "cc-by-nc")
+
+
 def test_line_dedup(docs, empty):
     hold = collections.defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)

@@ -2,8 +2,8 @@
 
 A modified Kneser-Ney model for each language, over the UTF-8 bytes of whole texts (order 5, one space between words, so a
 word's first bytes are scored after the end of the word before). Base rules come first; documents that pass them are dealt to
-two folds by a hash of the text, and each is scored by the model of the other fold, so no document and no copy of it judges
-itself. Spark counts n-grams of all these documents by fold, derives continuation counts, discounts and interpolated
+two folds by the least hash of their three-word windows, and each is scored by the model of the other fold, so no document
+judges itself, nor do its copies and most of its near copies. Spark counts n-grams of all these documents by fold, derives continuation counts, discounts and interpolated
 probabilities with joins on integer keys, for every n-gram that occurs in the language (an n-gram that the other fold lacks
 gets the probability of its suffix), and the model is kept as sorted arrays of keys, the five bytes in 64 bits, with values.
 A document is rejected when its log perplexity leaves the band of its language: three robust standard deviations on each
@@ -34,7 +34,7 @@ MASK = {n: (1 << 8 * n) - 1 for n in range(ORDER + 1)}
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text whose windows are held at once.
-HELD = 1 << 20
+HELD = 1 << 21
 #: Entries of sums that a task holds before it sends them on.
 HELD_KEYS = 4_000_000
 FOLDS = (0, 1)
@@ -58,30 +58,33 @@ def text_keys(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], piece[inside]
 
 
-def _passing(texts: pa.Array) -> list[bool]:
-    """Which texts pass the base rules."""
-    again = repeated(texts).tolist()
-    n = [len((t or "").encode().split()) for t in texts.to_pylist()]
-    return [w >= 50 and 100 * r <= 50 * w for w, r in zip(n, again, strict=True)]
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n[order], at)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, key, c0, c1): 5-byte windows of passing texts with their counts by fold, added up by HELD_KEYS at a time."""
     held: dict[tuple[str, int], list[bytes]] = {}
-    sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    sums: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     many = 0
 
     def flush() -> None:
         for group, found in held.items():
-            own, n = np.unique(text_keys(found)[0], return_counts=True)
-            if group in sums:
-                own, at = np.unique(np.concatenate([sums[group][0], own]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([sums[group][1], n]), minlength=len(own)).astype(np.int64)
-            sums[group] = own, n
+            parts = sums.setdefault(group, [])
+            parts.append(np.unique(text_keys(found)[0], return_counts=True))
+            # later parts are merged into the first once they are as long together
+            if sum(len(k) for k, _ in parts[1:]) >= len(parts[0][0]):
+                parts[:] = [_merged(parts)]
         held.clear()
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, fold), (keys, n) in sums.items():
+        for (lang, fold), parts in sums.items():
+            keys, n = _merged(parts)
             for a in range(0, len(keys), 50_000):
                 part, zero = slice(a, a + 50_000), np.zeros(len(keys[a : a + 50_000]), np.int64)
                 c = (n[part], zero) if fold == 0 else (zero, n[part])
@@ -89,14 +92,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for batch in batches:
-        for lang, fold, text, fine in zip(*[batch.column(i).to_pylist() for i in range(3)], _passing(batch.column(2)), strict=True):
-            for piece in pieces((text or "").encode()) if fine else ():
+        folds = folds_of(batch.column(1))
+        for lang, text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), folds, strict=True):
+            for piece in pieces((text or "").encode()) if fold is not None else ():
                 held.setdefault((lang, fold), []).append(piece)
                 many += len(piece)
                 if many > HELD:
                     flush()
                     many = 0
-        if sum(len(keys) for keys, _ in sums.values()) > HELD_KEYS:
+        if sum(len(k) for parts in sums.values() for k, _ in parts) > HELD_KEYS:
             yield from out()
     flush()
     yield from out()
@@ -105,9 +109,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> DataFrame:
     """The model as rows (lang, fold, key, logp): natural logarithms of each 5-gram of fold under the counts of the other fold.
 
-    docs: (lang, fold, text).
+    docs: (lang, text).
     """
-    found = docs.select("lang", "fold", "text").mapInArrow(_count, "lang string, key long, c0 long, c1 long")
+    found = docs.select("lang", "text").mapInArrow(_count, "lang string, key long, c0 long, c1 long")
     counts = {ORDER: table(found.groupBy("lang", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "ngrams")}
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit(MASK[n])).alias("key")
@@ -199,19 +203,34 @@ def _totals(model: SortedModel, groups: list[tuple[str, int]], texts: list[str |
     return out
 
 
-def repeated(texts: pa.Array, width: int = 3) -> np.ndarray:
-    """For each text, words inside width-word windows that occur twice or more in it."""
-    out = np.zeros(len(texts), np.int64)
+def windows(texts: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its words, those inside width-word windows that occur twice or more in it, and its least window hash."""
+    n, out, least = (np.zeros(len(texts), t) for t in (np.int64, np.int64, _U))
     for w in words(texts):
+        n[w.lo : w.hi] = np.diff(w.first)
         h, at = grams(w, width)
         if len(h):
-            _, inverse, n = np.unique(h ^ mix64(w.row[at].astype(_U)), return_inverse=True, return_counts=True)
+            row = w.row[at]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            least[w.lo + row[first]] = np.minimum.reduceat(h, first)
+            _, inverse, times = np.unique(h ^ mix64(row.astype(_U)), return_inverse=True, return_counts=True)
             covered = np.zeros(len(w.hashes), bool)
-            twice = at[n[inverse] > 1]
+            twice = at[times[inverse] > 1]
             for j in range(width):
                 covered[twice + j] = True
             out[w.lo : w.hi] = np.bincount(w.row[covered], minlength=w.hi - w.lo)
-    return out
+    return n, out, least
+
+
+def repeated(texts: pa.Array) -> np.ndarray:
+    return windows(texts)[1]
+
+
+def folds_of(texts: pa.Array) -> list[int | None]:
+    """The fold of each text, by its least window hash, so that copies and most near copies share one; None if the base rules fail."""
+    n, again, least = windows(texts)
+    fails = (n < 50) | (100 * again > 50 * n)
+    return [None if f else x for f, x in zip(fails.tolist(), (mix64(least) & _U(1)).tolist(), strict=True)]
 
 
 def dup_lines(text: str) -> int:
@@ -224,17 +243,15 @@ _STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 
 
 def _stats(model):
-    """Of (doc_id, lang, fold, text). model: a broadcast SortedModel, or None for the counts alone."""
+    """Of (doc_id, lang, text). model: a broadcast SortedModel, or None for the counts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, folds, texts = (batch.column(i).to_pylist() for i in range(4))
-            rows, groups = [], []
-            for doc_id, lang, fold, text, again in zip(ids, langs, folds, texts, repeated(batch.column(3)).tolist(), strict=True):
+            ids, langs, texts = (batch.column(i).to_pylist() for i in range(3))
+            rows, groups = [], [None if f is None else (lang, f) for lang, f in zip(langs, folds_of(batch.column(2)), strict=True)]
+            for doc_id, lang, text, again in zip(ids, langs, texts, repeated(batch.column(2)).tolist(), strict=True):
                 text = text or ""
                 own = text.encode().split()
-                fails = len(own) < 50 or 100 * again > 50 * len(own)
-                groups.append(None if fails else (lang, fold))
                 rows.append((doc_id, lang, len(own), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(text), again, sum(map(len, own)) + len(own)))
             if rows:
                 totals = [None] * len(rows) if model is None else _totals(model.value, groups, texts)
@@ -254,17 +271,17 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, lang, fold, text, fine in zip(*[batch.column(i).to_pylist() for i in range(4)], _passing(batch.column(3)), strict=True):
-                for piece in pieces((text or "").encode()) if fine else ():
+            for row, lang, text, fold in zip(*[batch.column(i).to_pylist() for i in range(3)], folds_of(batch.column(2)), strict=True):
+                for piece in pieces((text or "").encode()) if fold is not None else ():
                     keys, n = np.unique(text_keys([piece])[0], return_counts=True)
                     k = len(keys)
                     yield pa.RecordBatch.from_pydict({"row": pa.array([row] * k, pa.int64()), "lang": pa.array([lang] * k, pa.string()), "fold": pa.array([fold] * k, pa.int32()), "key": pa.array(keys.astype(np.int64)), "m": pa.array(n)})
 
     rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    grams = rows.select("row", "lang", "fold", "text").mapInArrow(own, "row long, lang string, fold int, key long, m long")
+    grams = rows.select("row", "lang", "text").mapInArrow(own, "row long, lang string, fold int, key long, m long")
     sums = grams.join(model, ["lang", "fold", "key"]).groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("sum"))
     # the row's number takes the place of doc_id while the counts are made
-    counts = rows.select(F.col("row").alias("doc_id"), "lang", "fold", "text").mapInArrow(_stats(None), _STATS).drop("logp").withColumnRenamed("doc_id", "row")
+    counts = rows.select(F.col("row").alias("doc_id"), "lang", "text").mapInArrow(_stats(None), _STATS).drop("logp").withColumnRenamed("doc_id", "row")
     return counts.join(sums, "row", "left").join(rows.select("row", "doc_id"), "row").withColumnRenamed("sum", "logp").drop("row")
 
 
@@ -275,8 +292,7 @@ def score(docs: DataFrame, width: float = 3.0, min_width: float = 0.02, max_mode
     result. max_langs: languages up to which the bands are broadcast.
     """
     spark = docs.sparkSession
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2)).cast("int").alias("fold")
-    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), fold, "text")
+    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     model = train(docs)
     if model.count() <= max_model:
         sent = spark.sparkContext.broadcast(SortedModel(model))

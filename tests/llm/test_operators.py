@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def plain_model(texts, order=5):
 
 def test_perplexity_is_that_of_the_other_fold_and_both_ways_agree(spark, docs):
     long_ones = [(i, t, lang or "") for i, t, lang, *_ in corpus() if len(words(t)) >= 50 and i is not None]
-    folds = {r["doc_id"]: r["fold"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2)).alias("fold")).collect()}
+    fold = lambda t: perplexity.folds_of(pa.array([t]))[0]
     a, b = (sorted((r["doc_id"] or -1, r["n_words"], round(r["log_ppl"] or 0, 4), r["kept"]) for r in perplexity.score(docs, max_model=m).collect()) for m in (10**7, 0))
     assert a == b
     got = {r["doc_id"]: r for r in perplexity.score(docs).collect() if r["doc_id"] is not None}
@@ -109,19 +110,14 @@ def test_perplexity_is_that_of_the_other_fold_and_both_ways_agree(spark, docs):
             continue
         if len(t) > 3000:
             continue
-        if (lang, folds[i]) not in models:
-            rows = [u for j, u, x, *_ in corpus() if j is not None and (x or "") == lang and len(words(u)) >= 50 and j not in again and folds[j] != folds[i]]
-            rows += [u for j, u, x, *_ in corpus() if j is None and u and (x or "") == lang and folds_of(spark, u) != folds[i]]
-            models[lang, folds[i]] = plain_model(rows)
+        if (lang, fold(t)) not in models:
+            rows = [u for _, u, x, *_ in corpus() if (x or "") == lang and fold(u) == 1 - fold(t)]
+            models[lang, fold(t)] = plain_model(rows)
         data = b"    " + b" ".join([*t.encode().split(), b""])
-        want = -sum(np.log(models[lang, folds[i]](data[k : k + 5])) for k in range(len(data) - 4)) / (len(data) - 4)
+        want = -sum(np.log(models[lang, fold(t)](data[k : k + 5])) for k in range(len(data) - 4)) / (len(data) - 4)
         assert got[i]["log_ppl"] == pytest.approx(want, abs=1e-4)
 
 
-def folds_of(spark, text):
-    return spark.createDataFrame([(text,)], "text string").select(F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(2))).first()[0]
-
-
 def test_perplexity_bands_reject_planted_junk_on_both_sides(spark):
     r = random.Random(12)
     vocabulary = ["".join(r.choice("abcdefghilmnorst") for _ in range(r.randint(2, 8))) for _ in range(400)]

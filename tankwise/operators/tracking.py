@@ -6,15 +6,44 @@ The same step runs in batch (one group a vehicle) and in streams (tankwise.strea
 from __future__ import annotations
 
 import math
-from statistics import median, pstdev
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RING, SAMPLES = 12, 24
-OUT = "vehicle_id string, seq long, us long, raw double, clean double, signal_state string, quality_flag string, motion_state string, motion_confidence double, displacement double, fuel_rate double, is_stopped int, operational_state string"
+OUT = (
+    "vehicle_id string, seq long, us long, raw double, clean double, signal_state string, quality_flag string, motion_state string, motion_confidence double, "
+    "displacement double, fuel_rate double, is_stopped int, operational_state string"
+)
 # Signal states.
 STATES = ("UNINITIALIZED", "INIT", "STABLE_JITTER", "OSCILLATION_NOISE", "SLOSHING", "GRADUAL_CHANGE", "UPWARD_SHIFT", "DOWNWARD_SHIFT", "SPIKE", "UNCERTAIN")
+# Names of signal states that other producers use.
+STATE_NAMES = {
+    "NORMAL": "STABLE_JITTER",
+    "IMPULSE_NOISE": "SPIKE",
+    "SPIKE_UP": "SPIKE",
+    "SPIKE_DOWN": "SPIKE",
+    "RISING": "UPWARD_SHIFT",
+    "REFUEL": "UPWARD_SHIFT",
+    "DRAIN": "DOWNWARD_SHIFT",
+} | dict.fromkeys(["DROPOUT", "TRANSIENT_NOISE", "TRANSIENT_UP_NOISE", "TRANSIENT_DOWN_NOISE", "TRANSIENT_CLUSTER_NOISE"], "OSCILLATION_NOISE")
+# Measurement and process noise, parked and driving; both are scaled where speed and coordinates disagree.
+R_LOW, Q_LOW, R_PARKED, Q_PARKED, R_DRIVING, Q_DRIVING = 28.0, 0.06, 35.0, 0.03, 45.0, 0.08
+R_CONFLICT, Q_CONFLICT = 1.3, 0.75
+EARTH_METRES = 6_371_000
+
+
+def median(v: Iterable[float]) -> float:
+    s = sorted(v)
+    n = len(s)
+    return s[n // 2] if n % 2 else (s[n // 2 - 1] + s[n // 2]) / 2
+
+
+def deviation(v: list[float]) -> float:
+    """Population deviation."""
+    mean = sum(v) / len(v)
+    return math.sqrt(sum((x - mean) ** 2 for x in v) / len(v))
 
 
 def fresh() -> dict:
@@ -24,7 +53,7 @@ def fresh() -> dict:
 def _metres(a: list[float], b: list[float]) -> float:
     la, lb = math.radians(a[0]), math.radians(b[0])
     h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 12_742_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+    return 2 * EARTH_METRES * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
 
 def _coordinate(lat, lng) -> list[float] | None:
@@ -68,6 +97,11 @@ def _noise(values: list[float]) -> float:
     return max(0.5, 1.4826 * median(abs(v - m) for v in d))
 
 
+def _quiet(s: dict, mode: str = "STABLE") -> None:
+    """The end or the start of an excursion forgets what was pending."""
+    s |= {"anchor": None, "rising": [], "falls": 0, "mode": mode}
+
+
 def _dip(s: dict, raw: float, us: int, minutes: float, shift: float) -> tuple[float, str] | None:
     """Guard against deep excursions: (level, flag) while it decides, else None."""
     noise, clean, dip = _noise(s["fuel"]), s["clean"], s["dip"]
@@ -75,30 +109,34 @@ def _dip(s: dict, raw: float, us: int, minutes: float, shift: float) -> tuple[fl
         if clean - raw < max(0.3 * max(abs(clean), 1.0), 12 * noise, 2 * shift):
             return None
         s["dip"] = {"base": clean, "low": raw, "since": us, "last": [raw], "sure": False, "back": False}
-        s["mode"] = "DOWN_EXCURSION"
+        _quiet(s, "DOWN_EXCURSION")
         return clean, "DOWN_EXCURSION_HELD"
+    base, size = dip["base"], max(abs(dip["base"]), 1.0)
     dip["low"] = min(dip["low"], raw)
     dip["last"] = [*dip["last"], raw][-SAMPLES:]
-    rebound = max(0.0, (raw - dip["low"]) / (dip["base"] - dip["low"])) if dip["base"] > dip["low"] else 0.0
-    if not dip["sure"]:
-        dip["back"] |= rebound >= 0.6
-        if dip["back"]:
-            if abs(raw - dip["base"]) <= max(shift, 0.05 * dip["base"]):
-                s["dip"], s["mode"] = None, "STABLE"
-                return None
-            s["mode"] = "REBOUND_RECOVERY"
-            return clean, "REBOUND_RECOVERY_HELD"
-        four = dip["last"][-4:]
-        if dip["base"] - raw < 0.7 * dip["base"] and us - dip["since"] >= 3_600_000_000 and len(four) == 4 and max(four) - min(four) <= max(2.0, 3 * noise) and rebound <= 0.25:
-            dip["sure"], s["mode"] = True, "DOWNWARD_CONFIRMED"
+    depth = max(base - dip["low"], 1e-6)
+    rebound = max(0.0, (raw - dip["low"]) / depth)
+    if rebound >= 0.6:
+        dip["back"], s["mode"] = True, "REBOUND_RECOVERY"
+    if dip["back"]:
+        if abs(raw - base) <= max(shift, 0.05 * size):
+            s["dip"] = None
+            _quiet(s)
+            return None
+        return clean, "REBOUND_RECOVERY_HELD"
+    four, wide = dip["last"][-4:], max(2.0, 3 * noise)
+    flat = len(four) == 4 and max(four) - min(four) <= wide and rebound <= 0.25
+    if not dip["sure"] and depth / size < 0.7 and us - dip["since"] >= 3_600_000_000 and flat:
+        dip["sure"], s["mode"] = True, "DOWNWARD_CONFIRMED"
     if dip["sure"]:
-        goal = median(dip["last"][-4:])
+        goal = median(four)
         level = clean + min(max(minutes / 12, 0.15), 0.45) * (goal - clean)
-        if abs(level - goal) <= max(2.0, 3 * noise):
-            s["dip"], s["mode"] = None, "BASELINE_REACQUISITION"
+        if abs(level - goal) <= wide:
+            s["dip"] = None
+            _quiet(s, "BASELINE_REACQUISITION")
         return level, "DOWNWARD_SHIFT_TRANSITION"
     s["mode"] = "LOW_PLATEAU_UNCERTAIN"
-    return clean, "LOW_PLATEAU_UNCERTAIN"
+    return clean, "DOWN_EXCURSION_HELD"
 
 
 def _trend(s: dict, raw: float, speed: float, j: float) -> float | None:
@@ -116,38 +154,41 @@ def _trend(s: dict, raw: float, speed: float, j: float) -> float | None:
 def _kalman(s: dict, raw: float, speed: float, minutes: float, state: str, j: float, moved: str, places: int, goal: float | None) -> float:
     v = [*s["fuel"][-5:], raw]
     path = sum(abs(b - a) for a, b in zip(v, v[1:], strict=False))
-    straight = abs(v[-1] - v[0]) / path if path else 0.0
-    span, wobble = max(v) - min(v), pstdev(v) if len(v) >= 3 else 0.0
+    straight = abs(v[-1] - v[0]) / path if path > 1e-6 else 0.0
     falling = v[-1] - v[0] <= -max(1.5, 0.75 * j) and straight >= 0.65
     parked, driving = moved == "LOW_MOTION" or (places < 3 and speed <= 1), moved == "MOVING" or (places < 3 and speed > 1)
-    r, q = (28.0, 0.06) if moved == "LOW_MOTION" else (35.0, 0.03) if parked else (45.0, 0.08) if driving else (58.5, 0.0225)
-    if state in ("OSCILLATION_NOISE", "SLOSHING") and span >= max(5.0, 3 * j) and straight <= 0.5 and goal is None:
+    if parked:
+        r, q = (R_LOW, Q_LOW) if moved == "LOW_MOTION" else (R_PARKED, Q_PARKED)
+    elif driving:
+        r, q = R_DRIVING, Q_DRIVING
+    else:
+        r, q = max(R_PARKED, R_DRIVING) * R_CONFLICT, min(Q_PARKED, Q_DRIVING) * Q_CONFLICT
+    if state in ("OSCILLATION_NOISE", "SLOSHING") and max(v) - min(v) >= max(5.0, 3 * j) and straight <= 0.5 and goal is None:
         r, q = max(r, 250.0), min(q, 0.01)
-    elif state == "STABLE_JITTER" and wobble <= j:
+    elif state == "STABLE_JITTER" and (deviation(v) if len(v) >= 3 else 0.0) <= j:
         r, q = min(r, 18.0), max(q, 0.12)
     s["drops"] = s["drops"] + 1 if raw < s["x"] - max(0.8 * j, 0.6) else 0
-    gradual = state in ("GRADUAL_CHANGE", "DOWNWARD_SHIFT")
-    supported = gradual or (driving and s["drops"] >= 3 and falling) or goal is not None
+    gradual, steady = state == "GRADUAL_CHANGE", goal is not None
+    supported = gradual or state == "DOWNWARD_SHIFT" or (driving and s["drops"] >= 3 and falling) or steady
     if supported and s["drops"] >= 2:
-        lag = min(4.0, max(0.0, s["x"] - raw) / max(0.5 * j, 0.4))
-        r, q = max(10.0, r / max(lag, 1e-9)), max(q, 0.15 * lag)
+        lag = min(4.0, (s["x"] - raw) / max(0.5 * j, 0.4))
+        r, q = max(10.0, r / lag), max(q, 0.15 * lag)
         if falling:
             r, q = min(r, 8.0), max(q, 1.0)
-        if goal is not None:
+        if steady:
             r, q = min(r, 6.0), max(q, 1.5)
     p = s["p"] + q * min(max(minutes / 2, 0.1), 10.0)
-    d = (min(raw, goal) if goal is not None else raw) - s["x"]
-    follow = falling or goal is not None or state == "GRADUAL_CHANGE"
+    d = (min(raw, goal) if steady else raw) - s["x"]
     if driving and d > 0:
         d = min(d, max(0.4, 0.25 * j))
-    elif d < 0 and supported:
-        d = d if follow else max(d, -max(1.5, 1.2 * j))
+    elif d < 0 and (driving or supported):
+        d = d if supported and (falling or steady or gradual) else max(d, -max(1.5, 1.2 * j))
     else:
         scale = max(1.5, 1.5 * j)
         d = scale * math.tanh(d / scale)
     gain = p / (p + r)
     move = gain * d
-    if supported and follow:
+    if (driving and falling) or steady or gradual:
         move = max(move, -max(2.5, 1.8 * j))
     s["p"] = (1 - gain) * p
     return s["x"] + move
@@ -179,14 +220,14 @@ def step(s: dict, us: int, raw: float | None, speed: float | None = 0.0, cap: fl
     d = raw - s["clean"]
     if label and label not in ("nan", "None", "MODEL_NOT_FOUND"):
         state = label.strip().upper()
-        state = state if state in STATES else "UNCERTAIN"
+        state = STATE_NAMES.get(state, state if state in STATES else "UNCERTAIN")
     else:
         state = "UPWARD_SHIFT" if d >= shift else "DOWNWARD_SHIFT" if d <= -shift else "GRADUAL_CHANGE" if speed > 5 and d < -0.3 else "OSCILLATION_NOISE" if abs(d) > 2 else "STABLE_JITTER"
     s["us"] = us
     if not raw > 0 or state == "SPIKE":
         _push(s, "speed", speed)
         _push(s, "coords", here)
-        return out(s["clean"], state, "SPIKE_HELD" if raw > 0 else "ZERO_DROPOUT_HELD")
+        return out(s["clean"], state, "SPIKE_HELD" if state == "SPIKE" else "ZERO_DROPOUT_HELD")
 
     was = s["clean"]
     if (held := _dip(s, raw, us, minutes, shift)) is not None:
@@ -206,7 +247,7 @@ def step(s: dict, us: int, raw: float | None, speed: float | None = 0.0, cap: fl
                 strong = len(r) >= 2 and min(r[-2:]) >= s["anchor"] + 2 * shift and r[-1] >= r[-2] - flat
                 ahead = len(r) >= 3 and all(b >= a - 1.5 for a, b in zip(r[-3:], r[-2:], strict=False))
                 plateau = len(r) >= 3 and max(r[-3:]) - min(r[-3:]) <= 1.5 * flat
-                up = strong or ahead or plateau or (len(r) >= 2 and label is not None and state == "UPWARD_SHIFT")
+                up = strong or ahead or plateau or (len(r) >= 2 and state == "UPWARD_SHIFT")
                 waiting = not up
         elif d >= shift:
             if s["grace"]:
@@ -217,27 +258,27 @@ def step(s: dict, us: int, raw: float | None, speed: float | None = 0.0, cap: fl
             up = True
         if up:
             level, flag = raw, "UPWARD_SHIFT_TRACKED"
-            s |= {"x": raw, "p": 4.0, "grace": 4, "falls": 0, "anchor": None, "rising": [], "mode": "UPWARD_CONFIRMED"}
+            s |= {"x": raw, "p": 4.0, "grace": 4, "falls": 0, "drops": 0, "anchor": None, "rising": [], "mode": "UPWARD_CONFIRMED"}
         elif waiting:
-            level, flag, s["mode"] = was, "PENDING_UPWARD", "PENDING_UPWARD"
+            level, flag, s["mode"] = was, "PENDING_UPWARD_SHIFT_HELD", "PENDING_UPWARD"
         elif s["grace"] and d <= -0.5 * shift:
             level, flag = raw, "UPWARD_REVERSAL_RESET"
-            s |= {"x": raw, "p": 4.0, "grace": 0}
+            s |= {"x": raw, "grace": 0}
         elif d <= -shift:
             s["falls"] += 1
             if s["falls"] >= 3:
                 level, flag = raw, "DOWNWARD_SHIFT_TRACKED"
-                s |= {"x": raw, "p": 4.0, "falls": 0, "mode": "DOWNWARD_CONFIRMED"}
+                s |= {"x": raw, "p": 4.0, "falls": 0, "drops": 0, "mode": "DOWNWARD_CONFIRMED"}
             else:
-                level, flag, s["mode"] = was, "PENDING_DOWNWARD", "PENDING_DOWNWARD"
+                level, flag, s["mode"] = was, "PENDING_DOWNWARD_SHIFT_HELD", "PENDING_DOWNWARD"
         elif lower:
             most = max(4.0, 3 * j)
             level, flag = s["x"] + min(max(0.65 * (median(four) - s["x"]), -most), most), "STABLE_LEVEL_TRACKING"
-            s |= {"p": 2.0, "falls": 0, "mode": "GRADUAL_TRACKING"}
+            s |= {"p": 2.0, "falls": 0, "drops": 0, "mode": "STABLE"}
         else:
             s["falls"] = 0
             level, flag = _kalman(s, raw, speed, minutes, state, j, moved, places, goal), "SMOOTH_KALMAN"
-            s["mode"] = "GRADUAL_TRACKING" if goal is not None or state == "GRADUAL_CHANGE" else "STABLE"
+            s["mode"] = "GRADUAL_TRACKING" if state == "GRADUAL_CHANGE" else "STABLE"
     level = _clamp(level, cap)
     s |= {"x": level, "clean": level}
     _push(s, "fuel", raw)
@@ -246,19 +287,43 @@ def step(s: dict, us: int, raw: float | None, speed: float | None = 0.0, cap: fl
     return out(level, state, flag, (level - was) / minutes)
 
 
-def run(s: dict, vehicle_id: str, points: pd.DataFrame) -> list[dict]:
-    """Outputs of points (us, seq, fuel, speed, and if there: lat, lng, capacity, label), in time order."""
-    rows = []
-    for p in points.sort_values(["us", "seq"], kind="stable").to_dict("records"):
-        clear = lambda v: None if v is None or v != v else v
-        rows.append({"vehicle_id": vehicle_id, "seq": p["seq"], "us": p["us"]} | step(s, p["us"], p["fuel"], p["speed"], clear(p.get("capacity")), clear(p.get("label")), clear(p.get("lat")), clear(p.get("lng"))))
-    return rows
+INPUT = ("vehicle_id", "seq", "us", "fuel", "speed", "capacity", "label", "lat", "lng")
 
 
-def track(t: DataFrame) -> DataFrame:
-    """Batch: the step over each vehicle's points; one vehicle is one group, since its filter is causal."""
+def run(s: dict, points: Iterable[tuple]) -> Iterator[dict]:
+    """Outputs of points, rows of INPUT of one vehicle in time order."""
+    for point in points:
+        yield _point(s, point)
+
 
-    def each(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(run(fresh(), key[0], points))
+def by_vehicle_in_order(t: DataFrame, columns: tuple[str, ...], fresh_state, one_step, out: str) -> DataFrame:
+    """A causal step over the points of each vehicle, as a stream: vehicles are dealt to partitions, sorted by time, and only the
+    state of the vehicle at hand is held. Columns that t lacks are null.
+    """
+    have = t.selectExpr(*[c if c in t.columns else f"null as {c}" for c in columns])
+    names = [f.split()[0] for f in out.split(", ")]
 
-    return t.groupBy("vehicle_id").applyInPandas(each, OUT)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vehicle, state = None, None
+        for batch in batches:
+            rows = []
+            for point in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if state is None or point[0] != vehicle:
+                    vehicle, state = point[0], fresh_state()
+                rows.append(one_step(state, point))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t_) for n, t_ in zip(names, types, strict=True)], names)
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    types = [kinds[f.split()[1]] for f in out.split(", ")]
+    return have.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "us", "seq").mapInArrow(each, out)
+
+
+def _point(s: dict, point: tuple) -> dict:
+    vehicle_id, seq, us, *rest = point
+    return {"vehicle_id": vehicle_id, "seq": seq, "us": us} | step(s, us, *rest)
+
+
+def track(t: DataFrame) -> DataFrame:
+    """Batch: the step over each vehicle's points in time order."""
+    return by_vehicle_in_order(t, INPUT, fresh, _point, OUT)

@@ -40,38 +40,89 @@ def rolling_std(c: str = "fuel", size: int = 12, least: int = 2, per_segment: bo
     return F.when(F.count(c).over(w) >= least, F.stddev_pop(c).over(w)).otherwise(0.0)
 
 
-def trend_window(t: DataFrame) -> DataFrame:
-    """Net change, total variation and directionality (1 without movement) of the last six points."""
+def offline_gap() -> Column:
+    """Minutes since the point before; 0 for the first point, for time that stands still or runs back, and above a day."""
+    return F.when((F.col("gap_min") > 0) & (F.col("gap_min") <= 1440), F.col("gap_min")).otherwise(0.0)
+
+
+def trend_window(t: DataFrame, jitter: float = 0.8) -> DataFrame:
+    """Points with a level above zero and, over the last six of them: net change, total variation, directionality (0 without
+    movement), deviation (0 below three), range, and whether the window falls steadily.
+    """
+    t = t.where("fuel > 0")
+    w, six = by_vehicle(), by_vehicle().rowsBetween(-5, 0)
+    t = t.withColumn("step_size", F.abs(F.col("fuel") - F.lag("fuel").over(w)))
+    within = F.coalesce(F.sum("step_size").over(w.rowsBetween(-4, 0)), F.lit(0.0))
+    t = t.withColumns({"net": F.col("fuel") - F.first("fuel").over(six), "variation": F.when(F.count("fuel").over(six) > 1, within).otherwise(0.0)})
+    t = t.withColumns({
+        "directionality": F.when(F.col("variation") > 1e-6, F.abs("net") / F.col("variation")).otherwise(0.0),
+        "window_std": F.when(F.count("fuel").over(six) >= 3, F.stddev_pop("fuel").over(six)).otherwise(0.0), "window_range": F.max("fuel").over(six) - F.min("fuel").over(six),
+    })
+    falls = (F.col("net") <= -max(1.5, 0.75 * jitter)) & (F.col("directionality") >= 0.65)
+    return t.withColumn("directional_down", falls).drop("step_size")
+
+
+def online_deviation(t: DataFrame) -> DataFrame:
+    """Points with a level above zero and the deviation of it and the twelve such levels before; 0 below three."""
+    frame = by_vehicle().rowsBetween(-12, 0)
+    return t.where("fuel > 0").withColumn("online_std", F.when(F.count("fuel").over(frame) >= 3, F.stddev_pop("fuel").over(frame)).otherwise(0.0))
+
+
+def middle(a: Column) -> Column:
+    """Median of an array, null if it is empty."""
+    ordered = F.array_sort(a)
+    at = lambda i: F.get(ordered, F.floor(i).cast("int"))
+    return (at((F.size(a) - 1) / 2) + at(F.size(a) / 2)) / 2
+
+
+def near_levels(t: DataFrame) -> DataFrame:
+    """t with near: an array of the four levels before, the own and the five after, null beyond the vehicle's points."""
     w = by_vehicle()
-    within = F.sum("abs_delta").over(w.rowsBetween(-4, 0))
-    first = F.first("fuel").over(w.rowsBetween(-5, 0))
-    n = F.count("fuel").over(w.rowsBetween(-5, 0))
-    variation = F.when(n > 1, F.coalesce(within, F.lit(0.0))).otherwise(0.0)
-    return t.withColumns({"net": F.col("fuel") - first, "variation": variation}).withColumn("directionality", F.when(F.col("variation") > 0, F.abs("net") / F.col("variation")).otherwise(1.0))
+    before = [F.lag("fuel", k).over(w) for k in (4, 3, 2, 1)]
+    return t.withColumn("near", F.array(*before, F.col("fuel"), *[F.lead("fuel", k).over(w) for k in (1, 2, 3, 4, 5)]))
 
 
 def look_around(t: DataFrame) -> DataFrame:
-    """Offline features that look back and ahead, reversal flags and isolated jumps."""
-    w = by_vehicle()
+    """Offline features of steps(t) with near levels and the vehicle's flat threshold: medians and ranges before and after a
+    point, changes of direction beyond flat among the seven steps around it, reversals, and how far a bump returns.
+    """
+    level = lambda i: F.get("near", F.lit(4 + i))
+    between = lambda lo, hi: F.filter(F.slice("near", 5 + lo, hi - lo + 1), lambda x: x.isNotNull())
+    spread_of = lambda a, least: F.when(F.size(a) >= least, F.array_max(a) - F.array_min(a))
+    t = t.withColumns({"prev_fuel": F.coalesce(level(-1), F.col("fuel")), "delta0": F.coalesce("delta", F.lit(0.0)), "next_fuel": level(1)})
     t = t.withColumns({
-        "prev3": median("fuel", -3, -1), "next3": median("fuel", 1, 3), "next5": median("fuel", 1, 5), "range_pm3": spread("fuel", -3, 3), "range_m2p5": spread("fuel", -2, 5),
-        "lead_delta": F.lead("fuel").over(w) - F.col("fuel"), "lag_delta": F.lag("delta").over(w), "deltas": F.collect_list("delta").over(w.rowsBetween(-3, 3)),
+        "prev3": F.coalesce(middle(between(-3, -1)), F.col("fuel")), "next3": F.coalesce(middle(between(1, 3)), F.col("fuel")), "next5": F.coalesce(middle(between(1, 5)), F.col("fuel")),
+        "range_m2p5": F.coalesce(spread_of(between(-2, 5), 5), F.lit(0.0)), "local_range": F.coalesce(spread_of(between(-3, 3), 3), F.lit(0.0)),
     })
-    signs = F.filter(F.transform("deltas", lambda d: F.signum(d)), lambda s: s != 0)
-    changes = F.size(F.filter(F.zip_with(F.slice(signs, 1, F.greatest(F.size(signs) - 1, F.lit(0))), F.slice(signs, 2, F.greatest(F.size(signs) - 1, F.lit(1))), lambda a, b: a != b), lambda x: x))
+    moves = F.zip_with(F.slice("near", 1, 7), F.slice("near", 2, 7), lambda a, b: F.when(b - a > F.col("flat"), 1).when(b - a < -F.col("flat"), -1))
+    moves = F.filter(moves, lambda x: x.isNotNull())
+    t = t.withColumn("moves", moves)
+    pairs = F.zip_with(F.slice("moves", 1, F.greatest(F.size("moves") - 1, F.lit(0))), F.slice("moves", 2, F.greatest(F.size("moves") - 1, F.lit(0))), lambda a, b: a != b)
+    ahead, turn = F.col("next_fuel") - F.col("fuel"), 1.5 * F.col("flat")
+    back = F.abs(F.col("next5") - F.col("prev3"))
     return t.withColumns({
-        "sign_changes": F.when(F.size(signs) < 2, 0).otherwise(changes),
-        "is_peak": F.coalesce((F.col("delta") > 0) & (F.col("lead_delta") < 0), F.lit(False)).cast("int"), "is_valley": F.coalesce((F.col("delta") < 0) & (F.col("lead_delta") > 0), F.lit(False)).cast("int"),
-    }).drop("deltas")
+        "sign_changes": F.size(F.filter(pairs, lambda x: x)), "range_pm3": F.coalesce(spread_of(between(-3, 3), 5), F.col("range_m2p5")), "return_level": back,
+        "is_peak": F.coalesce((F.col("delta0") > turn) & (ahead < -turn), F.lit(False)).cast("int"), "is_valley": F.coalesce((F.col("delta0") < -turn) & (ahead > turn), F.lit(False)).cast("int"),
+        "transient_score": F.when(F.col("range_m2p5") > 0, F.greatest(F.lit(0.0), 1 - back / F.greatest("range_m2p5", F.lit(1e-6)))).otherwise(0.0),
+    }).drop("moves", "near")
+
+
+def valid_history(t: DataFrame, n: int) -> DataFrame:
+    """t with past: the last n levels above zero before each point, oldest first, however many others lie between."""
+    number = F.sum((F.col("fuel") > 0).cast("int")).over(by_vehicle().rowsBetween(Window.unboundedPreceding, 0))
+    frame = Window.partitionBy("vehicle_id").orderBy("valid_no").rangeBetween(-n, 0)
+    t = t.withColumn("valid_no", number).withColumn("past", F.collect_list(F.when(F.col("fuel") > 0, F.col("fuel"))).over(frame))
+    without_own = F.when(F.col("fuel") > 0, F.slice("past", F.lit(1), F.size("past") - 1)).otherwise(F.col("past"))
+    t = t.withColumn("past", without_own)
+    return t.withColumn("past", F.slice("past", F.greatest(F.size("past") - n + 1, F.lit(1)), F.lit(n))).drop("valid_no")
 
 
 def robust_noise(floor: float = 0.5) -> Column:
-    """max(floor, 1.4826 MAD of successive deltas) over the 12 points before; floor below 3 of them."""
-    w = by_vehicle()
-    deltas = F.collect_list("delta").over(w.rowsBetween(-11, -1))
-    n = F.count("fuel").over(w.rowsBetween(-12, -1))
-    mid = lambda a: (F.get(F.array_sort(a), F.expr("0") + F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2
-    return F.when(n >= 3, F.greatest(F.lit(floor), 1.4826 * mid(F.transform(deltas, lambda d: F.abs(d - mid(deltas)))))).otherwise(floor)
+    """max(floor, 1.4826 MAD of successive differences) of the levels in the array past; floor below 3 of them."""
+    n = F.greatest(F.size("past") - 1, F.lit(0))
+    diffs = F.zip_with(F.slice("past", F.lit(1), n), F.slice("past", F.lit(2), n), lambda a, b: b - a)
+    mad = middle(F.transform(diffs, lambda d: F.abs(d - middle(diffs))))
+    return F.when(F.size("past") >= 3, F.greatest(F.lit(floor), 1.4826 * mad)).otherwise(floor)
 
 
 def motion(t: DataFrame, points: int = 5) -> DataFrame:

@@ -42,31 +42,75 @@ PROFILE = """, pd as (
   select *, greatest(0.5, 0.003 * capacity, 2 * sigma) as flat, greatest(2.0, 0.012 * capacity, 4 * sigma) as spike, greatest(5.0, 0.035 * capacity, 8 * sigma) as event from p4
 )"""
 
-AROUND = """, a1 as (
-  select *, quantile_cont(fuel, 0.5) over (v rows between 3 preceding and 1 preceding) as prev3, quantile_cont(fuel, 0.5) over (v rows between 1 following and 3 following) as next3,
-    quantile_cont(fuel, 0.5) over (v rows between 1 following and 5 following) as next5, max(fuel) over (v rows between 3 preceding and 3 following) - min(fuel) over (v rows between 3 preceding and 3 following) as range_pm3,
-    max(fuel) over (v rows between 2 preceding and 5 following) - min(fuel) over (v rows between 2 preceding and 5 following) as range_m2p5, lead(fuel) over v - fuel as lead_delta, lag(delta) over v as lag_delta, lag(fuel) over v as prev,
-    list_filter(list(sign(delta)) over (v rows between 3 preceding and 3 following), lambda x: x is not null and x <> 0) as signs,
+AROUND = """, j as (
+  select s.*, capacity, sigma, flat, spike, event from s join profile using (vehicle_id)
+), a1 as (
+  select *, coalesce(delta, 0) as d, coalesce(lag(delta) over v, 0) as prev_d, coalesce(lag(fuel) over v, fuel) as prev, coalesce(lag(fuel, 2) over v, lag(fuel) over v, fuel) as prev2, lead(fuel) over v as nxt,
+    case when gap_min > 0 and gap_min <= 1440 then gap_min else 0 end as gap0, coalesce(hav(lag(lat) over v, lag(lng) over v, lat, lng), 0) as far,
+    list_filter([lag(fuel, 3) over v, lag(fuel, 2) over v, lag(fuel) over v], lambda x: x is not null) as bef,
+    list_filter([lead(fuel) over v, lead(fuel, 2) over v, lead(fuel, 3) over v], lambda x: x is not null) as aft3,
+    list_filter([lead(fuel) over v, lead(fuel, 2) over v, lead(fuel, 3) over v, lead(fuel, 4) over v, lead(fuel, 5) over v], lambda x: x is not null) as aft5,
+    list_filter([lag(delta, 3) over v, lag(delta, 2) over v, lag(delta) over v, delta, lead(delta) over v, lead(delta, 2) over v, lead(delta, 3) over v], lambda x: abs(x) > flat) as moves,
+    count(fuel) over (v rows between 2 preceding and 5 following) as n8, max(fuel) over (v rows between 2 preceding and 5 following) - min(fuel) over (v rows between 2 preceding and 5 following) as r8,
+    count(fuel) over (v rows between 3 preceding and 3 following) as n7, max(fuel) over (v rows between 3 preceding and 3 following) - min(fuel) over (v rows between 3 preceding and 3 following) as r7,
     case when count(fuel) over (v rows between 11 preceding and current row) >= 2 then stddev_pop(fuel) over (v rows between 11 preceding and current row) else 0 end as std12
-  from s window v as (partition by vehicle_id order by us, seq)
+  from j window v as (partition by vehicle_id order by us, seq)
+), a2 as (
+  select *, coalesce(list_median(bef), fuel) as prev3, coalesce(list_median(aft3), fuel) as next3, coalesce(list_median(aft5), fuel) as next5, case when n8 >= 5 then r8 else 0 end as range_m2p5, case when n7 >= 3 then r7 else 0 end as local_range,
+    len(list_filter(range(1, len(moves)), lambda i: sign(moves[i]) <> sign(moves[i + 1]))) as sign_changes, greatest(speed, case when gap0 > 0 then far / 1000 / (gap0 / 60) else 0 end) as motion_speed from a1
 ), a as (
-  select *, case when len(signs) < 2 then 0 else len(list_filter(range(1, len(signs)), lambda i: signs[i] <> signs[i + 1])) end as sign_changes,
-    cast(coalesce(delta > 0 and lead_delta < 0, false) as int) as is_peak, cast(coalesce(delta < 0 and lead_delta > 0, false) as int) as is_valley from a1
+  select *, abs(next5 - prev3) as return_level, case when n7 >= 5 then r7 else range_m2p5 end as range_pm3, cast(coalesce(d > 1.5 * flat and nxt - fuel < -1.5 * flat, false) as int) as is_peak,
+    cast(coalesce(d < -1.5 * flat and nxt - fuel > 1.5 * flat, false) as int) as is_valley,
+    case when range_m2p5 > 0 then greatest(0, 1 - abs(next5 - prev3) / greatest(range_m2p5, 0.000001)) else 0 end as transient_score from a2
 )"""
 
-LABELS = """, ruled as (
-  select a.*, flat, spike, event, capacity, case when fuel <= 0 then 'DROPOUT' when prev <= greatest(5.0, 0.03 * capacity) and delta >= event then 'UNKNOWN' when fuel <= greatest(5.0, 0.03 * capacity) and prev > greatest(30.0, 0.2 * capacity) then 'DROPOUT'
-    when abs(next3 - prev3) <= spike and abs_delta >= spike and range_pm3 >= event then case when delta > 0 then 'TRANSIENT_UP' else 'TRANSIENT_DOWN' end when abs_delta >= spike and abs(next3 - prev3) <= spike then 'SPIKE'
-    when delta >= event and abs(next3 - fuel) <= flat * 2 then 'REFUEL' when delta <= -event and abs(next3 - fuel) <= flat * 2 then 'DRAIN' when std12 >= spike and sign_changes >= 2 and abs_delta < event then 'SLOSHING'
-    when delta < -0.5 * flat and speed > 3 then 'CONSUMPTION' when abs_delta <= flat then 'STABLE_JITTER' else 'UNKNOWN' end as rule from a join profile using (vehicle_id)
+LABELS = """, parts as (
+  select *, greatest(5.0, 0.03 * capacity) as low, abs(next3 - prev) <= greatest(flat, 0.25 * abs(d)) as returns, abs(next5 - fuel) <= greatest(flat, 0.25 * abs(d)) as holds, greatest(1.75 * flat, 2 * sigma, 0.8) as band,
+    std12 > greatest(spike, 2.2 * flat, 4 * sigma) or (local_range >= event and sign_changes >= 2) or (local_range >= greatest(1.4 * spike, 4 * flat) and std12 > 2 * flat) as wild,
+    prev_d <= -spike and d >= spike and abs(fuel - prev2) <= greatest(2 * flat, 0.35 * abs(prev_d)) as recovers,
+    range_m2p5 >= greatest(0.6 * event, 1.2 * spike, 4 * flat) and return_level <= greatest(2.5 * flat, 0.3 * range_m2p5) and abs(fuel - prev3) >= greatest(0.8 * spike, 3 * flat) and abs(d) < greatest(1.25 * event, range_m2p5) as bump from a
+), ruled as (
+  select *, case when fuel <= 0 then 'INVALID' when prev <= low and d >= event then 'UNKNOWN' when fuel <= low and prev > greatest(30.0, 0.2 * capacity) then 'DROPOUT'
+    when bump and fuel > prev3 then 'TRANSIENT_UP_NOISE' when bump and fuel < prev3 then 'TRANSIENT_DOWN_NOISE' when recovers or (abs(d) >= spike and returns) then 'SPIKE'
+    when d >= event and holds then 'REFUEL' when d <= -event and holds and fuel > low then 'DRAIN' when wild and abs(d) < event then 'SLOSHING_NOISE'
+    when d < -0.5 * flat and motion_speed > 3 and abs(d) < event then 'CONSUMPTION' when abs(d) <= band and std12 <= greatest(2 * band, 3 * sigma) then 'STABLE_JITTER' else 'UNKNOWN' end as rule from parts
 ), labelled as (
-  select *, case rule when 'REFUEL' then 'UPWARD_SHIFT' when 'DRAIN' then 'DOWNWARD_SHIFT' when 'CONSUMPTION' then 'GRADUAL_CHANGE' when 'STABLE_JITTER' then 'STABLE_JITTER' when 'SLOSHING' then 'OSCILLATION_NOISE' when 'TRANSIENT_UP' then 'OSCILLATION_NOISE' when 'TRANSIENT_DOWN' then 'OSCILLATION_NOISE' when 'SPIKE' then 'OSCILLATION_NOISE' end as label,
+  select *, case rule when 'REFUEL' then 'UPWARD_SHIFT' when 'DRAIN' then 'DOWNWARD_SHIFT' when 'CONSUMPTION' then 'GRADUAL_CHANGE' when 'STABLE_JITTER' then 'STABLE_JITTER' when 'INVALID' then null when 'UNKNOWN' then null else 'OSCILLATION_NOISE' end as label,
     case when abs_delta <= 1 then 'STABLE_JITTER' when delta > 10 then 'UPWARD_SHIFT' when delta < -10 then 'DOWNWARD_SHIFT' when delta < 0 and speed > 5 then 'GRADUAL_CHANGE' else 'OSCILLATION_NOISE' end as guess from ruled
 )"""
 
 
+def inline_haversine(text: str) -> str:
+    """hav(a, b, c, d) written out; DuckDB views have no macros here."""
+    import re
+
+    def once(m: re.Match) -> str:
+        depth, parts, cur = 0, [], ""
+        body = m.string[m.end() :]
+        for n, ch in enumerate(body):
+            if ch in "([{":
+                depth += 1
+            if ch in ")]}":
+                if depth == 0 and ch == ")":
+                    parts.append(cur)
+                    break
+                depth -= 1
+            if ch == "," and depth == 0:
+                parts.append(cur)
+                cur = ""
+            else:
+                cur += ch
+        a, b, c, d = (p.strip() for p in parts)
+        h = f"(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2))"
+        return f"(12742000 * atan2(sqrt({h}), sqrt(1 - {h})))" + body[n + 1 :]
+
+    while m := re.search(r"\bhav\(", text):
+        text = text[: m.start()] + once(m)
+    return text
+
+
 def sql(body: str, *parts: str, d: int = 240) -> str:
-    return f"with {TELE.format(d=d)}{''.join(parts)} {body}"
+    return inline_haversine(f"with {TELE.format(d=d)}{''.join(parts)} {body}")
 
 
 V = "window v as (partition by vehicle_id order by us, seq)"
@@ -74,13 +118,36 @@ V = "window v as (partition by vehicle_id order by us, seq)"
 ORACLES = {
     "segment_noise": sql("select vehicle_id, segment_id, count(*) as points, round(avg(rolling), 4) + 0.0 as mean_rolling_std, round(max(rolling), 4) + 0.0 as max_rolling_std from (select *, case when count(fuel) over g >= 2 then stddev_pop(fuel) over g else 0 end as rolling from s window g as (partition by vehicle_id, segment_id order by us, seq rows between 11 preceding and current row)) group by 1, 2", STEPS, d=40),
     "telemetry_points": sql("select vehicle_id, seq, us, fuel, speed, lat, lng from t"),
-    "point_steps": sql("select vehicle_id, seq, us - lag(us) over (partition by vehicle_id order by us, seq) as gap_us, round(delta, 6) + 0.0 as delta, round(abs_delta, 6) + 0.0 as abs_delta, cast(segment_id as bigint) as segment_id from s", STEPS, d=40),
-    "trend_window": sql(f"select vehicle_id, seq, round(net, 6) + 0.0 as net, round(variation, 6) + 0.0 as variation, round(case when variation > 0 then abs(net) / variation else 1 end, 6) + 0.0 as directionality from (select *, fuel - first_value(fuel) over (v rows between 5 preceding and current row) as net, case when count(fuel) over (v rows between 5 preceding and current row) > 1 then coalesce(sum(abs_delta) over (v rows between 4 preceding and current row), 0) else 0 end as variation from s {V})", STEPS),
-    "look_around": sql("select vehicle_id, seq, round(prev3, 6) + 0.0 as prev3, round(next3, 6) + 0.0 as next3, round(next5, 6) + 0.0 as next5, round(range_pm3, 6) + 0.0 as range_pm3, round(range_m2p5, 6) + 0.0 as range_m2p5, cast(sign_changes as bigint) as sign_changes, is_peak, is_valley from a", STEPS, AROUND),
+    "point_steps": sql(
+        """select vehicle_id, seq, us - lag(us) over (partition by vehicle_id order by us, seq) as gap_us, case when gap_min > 0 and gap_min <= 1440 then us - lag(us) over (partition by vehicle_id order by us, seq) else 0 end as offline_gap_us,
+        round(delta, 6) + 0.0 as delta, round(abs_delta, 6) + 0.0 as abs_delta, cast(segment_id as bigint) as segment_id from s""", STEPS, d=40),
+    "trend_window": sql(
+        """, v6 as (
+          select *, abs(fuel - lag(fuel) over v) as st, fuel - first_value(fuel) over w as net, count(fuel) over w as n, stddev_pop(fuel) over w as sd, max(fuel) over w - min(fuel) over w as rg
+          from t where fuel > 0 window v as (partition by vehicle_id order by us, seq), w as (partition by vehicle_id order by us, seq rows between 5 preceding and current row)
+        ), tv as (
+          select *, case when n > 1 then coalesce(sum(st) over (partition by vehicle_id order by us, seq rows between 4 preceding and current row), 0) else 0 end as variation from v6
+        ), td as (
+          select *, case when variation > 0.000001 then abs(net) / variation else 0 end as dr from tv
+        ) select vehicle_id, seq, round(net, 6) + 0.0 as net, round(variation, 6) + 0.0 as variation, round(dr, 6) + 0.0 as directionality, round(case when n >= 3 then sd else 0 end, 6) + 0.0 as window_std,
+        round(rg, 6) + 0.0 as window_range, net <= -1.5 and dr >= 0.65 as directional_down from td"""),
+    "online_deviation": sql(
+        """select vehicle_id, seq, round(case when count(fuel) over w >= 3 then stddev_pop(fuel) over w else 0 end, 6) + 0.0 as online_std
+        from t where fuel > 0 window w as (partition by vehicle_id order by us, seq rows between 12 preceding and current row)"""),
+    "look_around": sql(
+        """select vehicle_id, seq, round(prev3, 6) + 0.0 as prev3, round(next3, 6) + 0.0 as next3, round(next5, 6) + 0.0 as next5, round(range_pm3, 6) + 0.0 as range_pm3, round(range_m2p5, 6) + 0.0 as range_m2p5,
+        round(return_level, 6) + 0.0 as return_level, round(transient_score, 6) + 0.0 as transient_score, cast(sign_changes as bigint) as sign_changes, is_peak, is_valley from a""", STEPS, PROFILE, AROUND),
     "moving_average": sql(f"select vehicle_id, seq, round(avg(fuel) over (v rows between 7 preceding and current row), 6) + 0.0 as ma8, round(quantile_cont(fuel, 0.5) over (v rows between 2 preceding and current row), 6) + 0.0 as median3, round(max(fuel) over (v rows between 4 preceding and current row) - min(fuel) over (v rows between 4 preceding and current row), 6) + 0.0 as range5, round(max(fuel) over (v rows between 6 preceding and current row) - min(fuel) over (v rows between 6 preceding and current row), 6) + 0.0 as range7 from t {V}"),
     "gap_threshold": sql(f"select vehicle_id, seq, round(greatest(3 * quantile_cont(gap_min, 0.5) over (v rows between 19 preceding and current row), 5.0), 6) + 0.0 as threshold, coalesce(gap_min > greatest(3 * quantile_cont(gap_min, 0.5) over (v rows between 19 preceding and current row), 5.0) and speed > 5, false) as suspicious from s {V}", STEPS),
     "acceleration": sql("select vehicle_id, seq, round((speed - lag(speed) over g) / 3.6 / (greatest((us - lag(us) over g) / 60000000.0::double, 1.0) * 60), 6) + 0.0 as acceleration from s window g as (partition by vehicle_id, segment_id order by us, seq)", STEPS, d=40),
-    "robust_noise": sql("select vehicle_id, seq, round(case when n >= 3 then greatest(0.5, 1.4826 * list_median(list_transform(ds, lambda x: abs(x - list_median(ds))))) else 0.5 end, 6) + 0.0 as noise from (select vehicle_id, seq, count(fuel) over (v rows between 12 preceding and 1 preceding) as n, list_filter(list(delta) over (v rows between 11 preceding and 1 preceding), lambda x: x is not null) as ds from s window v as (partition by vehicle_id order by us, seq))", STEPS),
+    "robust_noise": sql(
+        """, k as (
+          select *, sum(case when fuel > 0 then 1 else 0 end) over (partition by vehicle_id order by us, seq rows between unbounded preceding and current row) as no from t
+        ), h as (
+          select vehicle_id, seq, fuel, (select list(b.fuel order by b.no) from k b where b.vehicle_id = k.vehicle_id and b.fuel > 0 and b.no > k.no - (k.fuel > 0)::int - 12 and b.no <= k.no - (k.fuel > 0)::int) as past from k
+        ), g as (
+          select *, list_transform(range(1, len(past)), lambda i: past[i + 1] - past[i]) as ds from h
+        ) select vehicle_id, seq, round(case when len(past) >= 3 then greatest(0.5, 1.4826 * list_median(list_transform(ds, lambda x: abs(x - list_median(ds))))) else 0.5 end, 6) + 0.0 as noise from g"""),
     "golden_candidates": sql("select vehicle_id, min(pos) filter (b = 3 and f = 3 and p - c >= 8 and abs(fo - p) <= 3) as valley_pos, min(pos) filter (n = 12 and fast >= 0.75 and fuel - e >= 8 and calm >= 0.75) as consumption_pos, min(pos) filter (n = 12 and sd >= 3 and abs(e - fuel) <= 3) as noise_pos from (select *, quantile_cont(fuel, 0.5) over (v rows between 3 preceding and 1 preceding) as p, quantile_cont(fuel, 0.5) over (v rows between current row and 2 following) as c, quantile_cont(fuel, 0.5) over (v rows between 3 following and 5 following) as fo, count(fuel) over (v rows between 3 preceding and 1 preceding) as b, count(fuel) over (v rows between 3 following and 5 following) as f, count(fuel) over w as n, last_value(fuel) over w as e, avg(case when speed > 5 then 1.0 else 0.0 end) over w as fast, avg(case when abs_delta <= 1.5 then 1.0 else 0.0 end) over (v rows between 1 following and 11 following) as calm, stddev_samp(fuel) over w as sd from (select *, row_number() over (partition by vehicle_id order by us, seq) - 1 as pos from s) window v as (partition by vehicle_id order by us, seq), w as (partition by vehicle_id order by us, seq rows between current row and 11 following)) group by 1", STEPS),
     "vehicle_profile": sql("select vehicle_id, round(capacity, 9) + 0.0 as capacity, round(sigma, 9) + 0.0 as sigma, round(flat, 9) + 0.0 as flat, round(spike, 9) + 0.0 as spike, round(event, 9) + 0.0 as event from profile", PROFILE),
     "heuristic_labels": sql("select vehicle_id, seq, rule, label from labelled", STEPS, PROFILE, AROUND, LABELS),
@@ -103,33 +170,3 @@ ORACLES = {
 }
 
 
-def inline_haversine(text: str) -> str:
-    """hav(a, b, c, d) written out; DuckDB views have no macros here."""
-    import re
-
-    def once(m: re.Match) -> str:
-        depth, parts, cur = 0, [], ""
-        body = m.string[m.end() :]
-        for n, ch in enumerate(body):
-            if ch in "([{":
-                depth += 1
-            if ch in ")]}":
-                if depth == 0 and ch == ")":
-                    parts.append(cur)
-                    break
-                depth -= 1
-            if ch == "," and depth == 0:
-                parts.append(cur)
-                cur = ""
-            else:
-                cur += ch
-        a, b, c, d = (p.strip() for p in parts)
-        h = f"(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2))"
-        return f"(12742000 * atan2(sqrt({h}), sqrt(1 - {h})))" + body[n + 1 :]
-
-    while m := re.search(r"\bhav\(", text):
-        text = text[: m.start()] + once(m)
-    return text
-
-
-ORACLES["motion_states"] = inline_haversine(ORACLES["motion_states"])

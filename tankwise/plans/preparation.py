@@ -34,7 +34,7 @@ def prepared_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.trend_evidence(telemetry(spark, sf_dir)).select(*KEY, *[r6(c).alias(c) for c in ("early", "late", "level_drop", "slope", "target")])
+    return R.trend_evidence(telemetry(spark, sf_dir)).select(*KEY, *[r6(c).alias(c) for c in ("early", "late", "level_drop", "slope", "target", "moving_ratio")], "robust_downtrend")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 NOISY = f", c as (select *, avg(fuel) over (v rows between 7 preceding and current row) as clean from t {V})"
-STATE = "case when rule in ('REFUEL', 'RISING') then 'UPWARD_SHIFT' when rule = 'DRAIN' then 'DOWNWARD_SHIFT' when rule = 'DROPOUT' then 'OSCILLATION_NOISE' when rule in ('STABLE_JITTER', 'SLOSHING', 'SPIKE') then rule else 'UNCERTAIN' end"
+STATE = "case when rule in ('REFUEL', 'RISING') then 'UPWARD_SHIFT' when rule = 'DRAIN' then 'DOWNWARD_SHIFT' when rule in ('DROPOUT', 'TRANSIENT_UP_NOISE', 'TRANSIENT_DOWN_NOISE') then 'OSCILLATION_NOISE' when rule in ('STABLE_JITTER', 'SPIKE') then rule else 'UNCERTAIN' end"
 SEG = "window w as (partition by vehicle_id, segment_id order by us, seq)"
 FAR = "hav(lag(lat) over v, lag(lng) over v, lat, lng)"
 
@@ -188,7 +188,18 @@ PREPARED = f""", a0 as (
 ORACLES = {
     "gated_kalman": GATED,
     "prepared_points": inline_haversine(sql("select vehicle_id, seq, cast(segment_id as bigint) as segment_id, is_start, round(delta, 4) + 0.0 as delta, round(case when gap > 0 then delta / gap end, 4) + 0.0 as fuel_rate, round(rm, 4) + 0.0 as rolling_median, round(rs, 4) + 0.0 as rolling_std, rc as rolling_count, cast(rc >= 5 as int) as ready, case when speed > 0 then 'Moving' when speed <= 0 then 'Stopped' else 'Uncertain' end as movement, status, cast(why <> '' as int) as quality_flag, case when why = '' then 'VALID' else why end as quality_reason from e0", PREPARED, d=40)),
-    "trend_evidence": sql(f", p as (select * from t where fuel > 0), q as (select *, row_number() over v as i from p {V}), h as (select vehicle_id, seq, i, list(fuel) over o as a, regr_slope(fuel, i) over o as m, regr_intercept(fuel, i) over o as b from q window o as (partition by vehicle_id order by us, seq rows between 9 preceding and current row)), k as (select *, len(a) >= 6 as ok, list_median(a[1:len(a) // 2]) as e, list_median(a[len(a) // 2 + 1:]) as l from h) select vehicle_id, seq, round(case when ok then e end, 6) + 0.0 as early, round(case when ok then l end, 6) + 0.0 as late, round(case when ok then e - l end, 6) + 0.0 as level_drop, round(case when ok then m end, 6) + 0.0 as slope, round(case when ok then b + m * i end, 6) + 0.0 as target from k"),
+    "trend_evidence": sql("""
+        , w10 as (
+          select *, avg(case when speed > 5 then 1.0 else 0.0 end) over (partition by vehicle_id order by us, seq rows between 9 preceding and current row) as mr from t
+        ), q as (
+          select *, row_number() over (partition by vehicle_id order by us, seq) as i from w10 where fuel > 0
+        ), h as (
+          select vehicle_id, seq, i, fuel, mr, list(fuel) over o as a, regr_slope(fuel, i) over o as m, regr_intercept(fuel, i) over o as b from q window o as (partition by vehicle_id order by us, seq rows between 9 preceding and current row)
+        ), k as (
+          select *, len(a) >= 6 as ok, list_median(a[1:len(a) // 2]) as e, list_median(a[len(a) // 2 + 1:]) as l from h
+        ) select vehicle_id, seq, round(case when ok then e end, 6) + 0.0 as early, round(case when ok then l end, 6) + 0.0 as late, round(case when ok then e - l end, 6) + 0.0 as level_drop,
+          round(case when ok then m end, 6) + 0.0 as slope, round(case when ok then b + m * i else fuel end, 6) + 0.0 as target, round(mr, 6) + 0.0 as moving_ratio,
+          coalesce(ok and mr > 0 and e - l >= 2 and m <= -0.2, false) as robust_downtrend from k"""),
     "gradual_override": sql(f", g as (select *, fuel - lag(fuel, 5) over v as net, sum(abs_delta) over (v rows between 4 preceding and current row) as va, max(delta) over (v rows between 4 preceding and current row) as up, row_number() over v as pos from labelled {V}) select vehicle_id, seq, label, case when label = 'OSCILLATION_NOISE' and pos > 5 and net <= -greatest(1.2, 0.005 * capacity) and va > 0.00001 and -net >= 0.55 * va and up <= 2 then 'GRADUAL_CHANGE' else label end as state from g", STEPS, PROFILE, AROUND, LABELS),
     "canonical_states": sql(f"select rule, {STATE} as state, count(*) as n from labelled group by 1, 2", STEPS, PROFILE, AROUND, LABELS),
     "state_names": sql(f"select case {STATE} when 'STABLE_JITTER' then 'Stable' when 'OSCILLATION_NOISE' then 'Oscillation' when 'GRADUAL_CHANGE' then 'Gradual change' when 'UPWARD_SHIFT' then 'Upward shift' when 'DOWNWARD_SHIFT' then 'Downward shift' else {STATE} end as state_name, count(*) as n from labelled group by 1", STEPS, PROFILE, AROUND, LABELS),

@@ -30,15 +30,22 @@ def telemetry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.steps(telemetry(spark, sf_dir, GAPPY)).select(*KEY, (F.col("us") - F.lag("us").over(W.by_vehicle())).alias("gap_us"), r6("delta").alias("delta"), r6("abs_delta").alias("abs_delta"), "segment_id")
+    t = W.steps(telemetry(spark, sf_dir, GAPPY)).withColumn("gap_us", F.col("us") - F.lag("us").over(W.by_vehicle()))
+    return t.select(*KEY, "gap_us", F.when(W.offline_gap() > 0, F.col("gap_us")).otherwise(0).alias("offline_gap_us"), r6("delta").alias("delta"), r6("abs_delta").alias("abs_delta"), "segment_id")
 
 
 def trend_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.trend_window(W.steps(telemetry(spark, sf_dir))).select(*KEY, *[r6(c).alias(c) for c in ("net", "variation", "directionality")])
+    columns = ("net", "variation", "directionality", "window_std", "window_range")
+    return W.trend_window(telemetry(spark, sf_dir)).select(*KEY, *[r6(c).alias(c) for c in columns], "directional_down")
+
+
+def online_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.online_deviation(telemetry(spark, sf_dir)).select(*KEY, r6("online_std").alias("online_std"))
 
 
 def look_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.look_around(W.steps(telemetry(spark, sf_dir))).select(*KEY, *[r6(c).alias(c) for c in ("prev3", "next3", "next5", "range_pm3", "range_m2p5")], F.col("sign_changes").cast("long").alias("sign_changes"), "is_peak", "is_valley")
+    columns = ("prev3", "next3", "next5", "range_pm3", "range_m2p5", "return_level", "transient_score")
+    return P.featured(telemetry(spark, sf_dir)).select(*KEY, *[r6(c).alias(c) for c in columns], F.col("sign_changes").cast("long").alias("sign_changes"), "is_peak", "is_valley")
 
 
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +67,7 @@ def acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.steps(telemetry(spark, sf_dir)).withColumn("noise", W.robust_noise()).select(*KEY, r6("noise").alias("noise"))
+    return W.valid_history(telemetry(spark, sf_dir), 12).select(*KEY, r6(W.robust_noise()).alias("noise"))
 
 
 def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +166,6 @@ def smooth_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    segment_noise, telemetry_points, point_steps, trend_window, look_around, moving_average, gap_threshold, acceleration, robust_noise, golden_candidates, vehicle_profile, heuristic_labels, label_counts, confusion, label_scores, balanced_sample,
+    segment_noise, telemetry_points, point_steps, trend_window, online_deviation, look_around, moving_average, gap_threshold, acceleration, robust_noise, golden_candidates, vehicle_profile, heuristic_labels, label_counts, confusion, label_scores, balanced_sample,
     state_transitions, curve_quality, kalman_end, latest_points, history, fleet_status, capacity_resolution, fleet_by_region, downsampled, vehicle_upsert, export_bands, motion_states, smooth_tracking,
 )}

@@ -1,50 +1,102 @@
-"""The tracking step as a keyed stateful stream; a control row with kind 'reset' clears a vehicle in order."""
+"""The causal filters as keyed stateful streams; a control row with kind 'reset' clears a vehicle in order."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tankwise.operators.tracking import OUT, fresh, run
+from tankwise.operators import adaptive, tracking
 
 STATE_VERSION = 1
+POINT = "vehicle_id string, seq long, us long, fuel double, speed double, capacity double, label string, lat double, lng double, kind string"
 
 
 def encode(state: dict) -> str:
     return json.dumps({"schema_version": STATE_VERSION, "context": state})
 
 
-def decode(doc: str) -> dict:
+def decode(doc: str, fresh: Callable[[], dict] = tracking.fresh) -> dict:
     found = json.loads(doc)
     if found.get("schema_version") != STATE_VERSION:
         raise ValueError("state of another version")
     return fresh() | found["context"]
 
 
-def track_stream(points: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Append-mode stream of outputs; points may have a column kind ('point' or 'reset'). Idle state expires after ttl_ms if given."""
+def _filtered(points: DataFrame, columns: tuple[str, ...], fresh: Callable[[], dict], one_point, out: str, ttl_ms: int | None) -> DataFrame:
+    own = [c for c in columns if c in points.columns]
+    points = points.select(*own, *(["kind"] if "kind" in points.columns else []))
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = decode(state.get[0]) if state.exists else fresh()
-        rows: list[dict] = []
-        whole = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
-        epoch = (whole["kind"] == "reset").cumsum() if "kind" in whole else pd.Series(0, whole.index)
-        for k, part in whole.groupby(epoch, sort=True):
-            if k:
+        held = decode(state.get[0], fresh) if state.exists else fresh()
+        # the points of one vehicle in one trigger, in time order
+        rows = [r for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records")]
+        made = []
+        for r in sorted(rows, key=lambda r: (r["us"], r["seq"])):
+            if r.get("kind") == "reset":
                 held = fresh()
-            own = part[part["kind"] != "reset"] if "kind" in part else part
-            rows += run(held, key[0], own)
+            else:
+                made.append(one_point(held, tuple(r.get(c) for c in columns)))
         state.update((encode(held),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        if rows:
-            yield pd.DataFrame(rows)
+        if made:
+            yield pd.DataFrame(made)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return points.groupBy("vehicle_id").applyInPandasWithState(each, out, "doc string", "append", timeout)
+
+
+def track_stream(points: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Append-mode stream of outputs; points may have a column kind ('point' or 'reset'). Idle state expires after ttl_ms if given."""
+    return _filtered(points, tracking.INPUT, tracking.fresh, tracking._point, tracking.OUT, ttl_ms)
+
+
+def enhance_stream(points: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The same for the adaptive filter."""
+    return _filtered(points, adaptive.INPUT, adaptive.fresh, adaptive._point, adaptive.OUT, ttl_ms)
+
+
+def json_points(messages: DataFrame, value: str = "value", delay: str | None = None) -> DataFrame:
+    """Points of a stream (or table) of JSON messages; broken messages and those without vehicle or time go.
+
+    delay: if given, a watermark on the event time lets duplicates of a message within it go; without it all are accepted.
+    """
+    points = messages.select(F.from_json(F.col(value).cast("string"), POINT).alias("p")).select("p.*")
+    points = points.where("vehicle_id is not null and us is not null").withColumn("kind", F.coalesce("kind", F.lit("point")))
+    if delay is None:
+        return points
+    marked = points.withColumn("event_time", F.timestamp_micros("us")).withWatermark("event_time", delay)
+    return marked.dropDuplicatesWithinWatermark(["vehicle_id", "us", "seq", "kind"]).drop("event_time")
+
+
+def keep_latest(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a table of the latest point of each vehicle, a version a batch; a repeated batch gives the same version."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = batch
+        before = latest(spark, path, batch_id)
+        if before is not None:
+            newest = before.unionByName(batch, allowMissingColumns=True)
+        row = F.max_by(F.struct(*newest.columns), F.struct("us", "seq")).alias("row")
+        newest.groupBy("vehicle_id").agg(row).select("row.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+
+    return upsert
+
 
-    return points.groupBy("vehicle_id").applyInPandasWithState(each, OUT, "doc string", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last version of the table that keep_latest writes (before a batch), None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    done = [n for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in done if before is None or int(n.removeprefix("batch=")) < before]
+    return spark.read.parquet(f"{path}/{done[-1]}") if done else None

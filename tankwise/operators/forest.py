@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators.preparation import gradual_override
 from tankwise.operators.profile import balanced
+from tankwise.operators.windows import by_vehicle, online_features
 
-FEATURES = ["fuel", "speed", "gap_min", "delta", "abs_delta", "prev3", "next3", "next5", "range_pm3", "range_m2p5", "std12", "back", "hold", "sign_changes", "is_peak", "is_valley", "flat", "spike", "event"]
+FEATURES = [
+    "fuel", "speed", "gap_min", "delta", "abs_delta", "prev3", "next3", "next5", "range_pm3", "range_m2p5", "std12", "back", "hold", "sign_changes", "is_peak", "is_valley", "flat", "spike", "event", "motion_speed",
+    "return_level", "transient_score",
+]
+#: What is known when a point comes.
+CAUSAL = ["fuel", "speed", "gap_minutes", "delta_fuel", "abs_delta_fuel", "delta_over_noise", "rolling_std", "median3", "range5", "range7"]
 
 
-def features(t: DataFrame) -> DataFrame:
+def features(t: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """Doubles only; a feature without a value is 0. back and hold compare the next levels with those before and with this one."""
-    t = t.withColumns({"back": F.col("next3") - F.col("prev3"), "hold": F.col("next3") - F.col("fuel")})
-    return t.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES})
+    if "back" in columns:
+        t = t.withColumns({"back": F.col("next3") - F.col("prev3"), "hold": F.col("next3") - F.col("fuel")})
+    if "rolling_std" in columns:
+        t = online_features(t)
+    return t.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
 def held_out(t: DataFrame, share: int = 4) -> DataFrame:
@@ -24,12 +36,53 @@ def held_out(t: DataFrame, share: int = 4) -> DataFrame:
     return t.withColumn("held_out", F.pmod(F.crc32("vehicle_id"), F.lit(share)) == 0)
 
 
-def train(t: DataFrame, most: int = 30_000, trees: int = 40, depth: int = 10) -> PipelineModel:
-    """A forest on at most `most` rows of each label (that bound is the parameter); seeded, so reruns agree."""
-    rows = balanced(features(t.where("label is not null")), "label", most)
+def _weighted(rows: DataFrame, label: str) -> DataFrame:
+    """rows with the column weight: all labels weigh alike in sum."""
+    sizes = F.broadcast(rows.groupBy(label).agg(F.count("*").alias("size")))
+    n, k = rows.count(), sizes.count()
+    return rows.join(sizes, label).withColumn("weight", F.lit(float(n)) / (k * F.col("size"))).drop("size")
+
+
+def train(t: DataFrame, most: int = 30_000, trees: int = 300, depth: int = 18, least: int = 3, columns: list[str] = FEATURES) -> PipelineModel:
+    """A forest on at most `most` rows of each label (that bound is the parameter), labels weighed alike; seeded, so reruns agree."""
+    rows = _weighted(balanced(features(t, columns).where("label is not null"), "label", most), "label")
+    names = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
+    forest = RandomForestClassifier(labelCol="_y", featuresCol="_f", predictionCol="_p", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=42)
+    return Pipeline(stages=[names.setHandleInvalid("keep"), VectorAssembler(inputCols=columns, outputCol="_f"), forest, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
+
+
+def train_boosted(t: DataFrame, most: int = 30_000, rounds: int = 300, rate: float = 0.05, depth: int = 5, columns: list[str] = FEATURES) -> PipelineModel:
+    """The other model: scaled features and boosted trees, one against the rest of the labels."""
+    rows = balanced(features(t, columns).where("label is not null"), "label", most)
     names = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
-    forest = RandomForestClassifier(labelCol="_y", featuresCol="_f", predictionCol="_p", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=42)
-    return Pipeline(stages=[names.setHandleInvalid("keep"), VectorAssembler(inputCols=FEATURES, outputCol="_f"), forest, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
+    one = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=42)
+    stages = [names.setHandleInvalid("keep"), VectorAssembler(inputCols=columns, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_f", withMean=True), OneVsRest(classifier=one, labelCol="_y", featuresCol="_f", predictionCol="_p")]
+    return Pipeline(stages=[*stages, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
+
+
+def save(model: PipelineModel, path: str, **facts) -> None:
+    """The model and facts about it (columns, labels, counts) as one line of JSON beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
+
+
+def predict_causal(model: PipelineModel, t: DataFrame) -> DataFrame:
+    """Points of steps(t) with state: the model's where the level is above zero (a steady fall that it calls oscillation is a gradual
+    change), INIT for the first such point, UNINITIALIZED before it and STABLE_JITTER for others.
+    """
+    known = features(t, CAUSAL).select("vehicle_id", "us", "seq", *[F.col(c).alias(f"f_{c}") for c in CAUSAL])
+    j = t.join(known, ["vehicle_id", "us", "seq"], "left").withColumn("had", F.col("f_fuel").isNotNull())
+    j = j.withColumns({c: F.coalesce(f"f_{c}", F.lit(0.0)) for c in CAUSAL if c != "fuel"})
+    w = by_vehicle()
+    before = F.coalesce(F.max(F.col("had").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = model.transform(j.withColumn("before", before))
+    state = F.when(F.col("had") & (F.col("before") == 0), "INIT").when(F.col("had"), F.col("guess")).when(F.col("before") == 0, "UNINITIALIZED").otherwise("STABLE_JITTER")
+    j = j.withColumns({"guessed": state, "capacity": F.lit(None).cast("double")})
+    return gradual_override(j, "guessed")
 
 
 def classify(model: PipelineModel, t: DataFrame) -> DataFrame:

@@ -15,10 +15,47 @@ def latest(t: DataFrame, n: int) -> DataFrame:
     return t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def history(t: DataFrame, like: str, first_us: int, last_us: int, limit: int) -> DataFrame:
-    """Newest points of vehicles whose id is like the given one or contains it, in a time range."""
+def history(t: DataFrame, like: str, first_us: int | None, last_us: int | None, limit: int) -> DataFrame:
+    """Newest points, limit at most, of one vehicle in a time range, given back oldest first: of the vehicle with that id in any
+    case, else of the first whose id contains it.
+    """
     v = F.lower("vehicle_id")
-    return t.where((v == like.lower()) | v.contains(like.lower())).where(F.col("us").between(first_us, last_us)).orderBy(F.desc("us"), F.desc("seq")).limit(limit)
+    near = t.where(v.contains(like.lower())).groupBy("vehicle_id").agg(F.max(v == like.lower()).alias("exact"))
+    one = F.broadcast(near.orderBy(F.desc("exact"), "vehicle_id").limit(1).select("vehicle_id"))
+    newest = _between(t.join(one, "vehicle_id", "left_semi"), first_us, last_us).orderBy(F.desc("us"), F.desc("seq")).limit(limit)
+    return newest.orderBy("us", "seq")
+
+
+def _between(t: DataFrame, first_us: int | None, last_us: int | None) -> DataFrame:
+    t = t if first_us is None else t.where(F.col("us") >= first_us)
+    return t if last_us is None else t.where(F.col("us") <= last_us)
+
+
+def log(t: DataFrame, vehicle_id: str, first_us: int | None, last_us: int | None, limit: int) -> DataFrame:
+    """The first points of a vehicle in a time range, oldest first."""
+    return _between(t.where(F.col("vehicle_id") == vehicle_id), first_us, last_us).orderBy("us", "seq").limit(limit)
+
+
+def known_state(c: Column) -> Column:
+    """A code of the dictionary; any other becomes the first."""
+    return F.when(c.isin([s for s, _ in SIGNAL_STATES]), c).otherwise(SIGNAL_STATES[0][0])
+
+
+def in_segment(t: DataFrame, segment_id: int | None) -> DataFrame:
+    """Points of one segment number, or of all."""
+    return t if segment_id is None else t.where(F.col("segment_id") == segment_id)
+
+
+def without_vehicle(t: DataFrame, vehicle_id: str) -> DataFrame:
+    return t.where(F.col("vehicle_id") != vehicle_id)
+
+
+def axis_bounds(t: DataFrame, columns: list[str]) -> DataFrame:
+    """Whole litres below and above all positive levels of the columns, with a tenth of their range to spare, by vehicle."""
+    values = F.explode(F.array(*columns)).alias("x")
+    b = t.select("vehicle_id", values).where("x > 0").groupBy("vehicle_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    spare = (F.col("hi") - F.col("lo")) * 0.1
+    return b.select("vehicle_id", F.greatest(F.lit(0).cast("long"), F.floor(F.col("lo") - spare)).alias("y_min"), F.ceil(F.col("hi") + spare).alias("y_max"))
 
 
 def fleet(t: DataFrame) -> DataFrame:
@@ -43,10 +80,15 @@ def downsample(t: DataFrame, most: int) -> DataFrame:
 
 
 def upsert(vehicles: DataFrame, seen: DataFrame) -> DataFrame:
-    """vehicles and those of seen (vehicle_id, capacity_liters) that it lacks; a capacity that seen knows replaces its own."""
+    """vehicles and those of seen (vehicle_id, capacity_liters) that it lacks, named by their id; a capacity that seen knows
+    replaces its own, other columns of vehicles stay.
+    """
     new = seen.groupBy("vehicle_id").agg(F.max("capacity_liters").alias("new"))
-    j = vehicles.select("vehicle_id", "capacity_liters").join(new, "vehicle_id", "full_outer")
-    return j.select("vehicle_id", F.coalesce("new", "capacity_liters").alias("capacity_liters"))
+    j = vehicles.join(new, "vehicle_id", "full_outer")
+    known = {"capacity_liters": F.coalesce("new", "capacity_liters")}
+    if "vehicle_name" in vehicles.columns:
+        known["vehicle_name"] = F.coalesce("vehicle_name", "vehicle_id")
+    return j.withColumns(known).drop("new")
 
 
 def noise_band(noise: Column) -> Column:

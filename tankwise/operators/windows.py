@@ -68,6 +68,22 @@ def online_deviation(t: DataFrame) -> DataFrame:
     return t.where("fuel > 0").withColumn("online_std", F.when(F.count("fuel").over(frame) >= 3, F.stddev_pop("fuel").over(frame)).otherwise(0.0))
 
 
+def online_features(t: DataFrame, noise: float = 0.5) -> DataFrame:
+    """Points of steps(t) with a level above zero and what a model may know of them as they come: of the segment's levels so far,
+    the difference to the last, its size in noise, the deviation of thirteen (0 below three), median of three, ranges of five
+    and seven.
+    """
+    g = Window.partitionBy("vehicle_id", "segment_id").orderBy("us", "seq")
+    t = t.where("fuel > 0")
+    frame = g.rowsBetween(-12, 0)
+    span = lambda n: F.max("fuel").over(g.rowsBetween(1 - n, 0)) - F.min("fuel").over(g.rowsBetween(1 - n, 0))
+    t = t.withColumns({
+        "delta_fuel": F.coalesce(F.col("fuel") - F.lag("fuel").over(g), F.lit(0.0)), "rolling_std": F.when(F.count("fuel").over(frame) >= 3, F.stddev_pop("fuel").over(frame)).otherwise(0.0),
+        "median3": middle(F.collect_list("fuel").over(g.rowsBetween(-2, 0))), "range5": span(5), "range7": span(7), "gap_minutes": F.greatest(F.coalesce("gap_min", F.lit(2.0)), F.lit(0.1)),
+    })
+    return t.withColumns({"delta_over_noise": F.col("delta_fuel") / noise, "abs_delta_fuel": F.abs("delta_fuel")})
+
+
 def middle(a: Column) -> Column:
     """Median of an array, null if it is empty."""
     ordered = F.array_sort(a)

@@ -159,12 +159,18 @@ ORACLES = {
     "curve_quality": sql(", c as (select vehicle_id, us, seq, speed, fuel, avg(fuel) over (partition by vehicle_id order by us, seq rows between 7 preceding and current row) as clean, row_number() over (partition by vehicle_id order by us, seq) - 1 as pos from t), c2 as (select *, clean - lag(clean) over (partition by vehicle_id order by pos) as rise from c), l as (select vehicle_id, regr_slope(fuel, pos) as rm, regr_intercept(fuel, pos) as rb, regr_slope(clean, pos) as cm, regr_intercept(clean, pos) as cb from c2 group by 1) select vehicle_id, round(greatest(0, (max(fuel) - min(fuel)) - (max(clean) - min(clean))), 4) + 0.0 as spike_attenuation, round(case when max(fuel) - min(fuel) <= 1 then avg(abs(fuel - clean)) end, 4) + 0.0 as level_mae, round(avg(abs(rise)), 4) + 0.0 as mean_step, round(case when min_by(fuel, pos) - max_by(fuel, pos) >= 2 then abs(max_by(clean, pos) - max_by(fuel, pos)) end, 4) + 0.0 as final_lag, cast(sum(case when rise > 0.01 and speed > 5 then 1 else 0 end) as bigint) as moving_rises, round(case when stddev_pop(fuel - (rm * pos + rb)) > 0 then 100 * (1 - stddev_pop(clean - (cm * pos + cb)) / stddev_pop(fuel - (rm * pos + rb))) else 0 end, 4) + 0.0 as noise_reduction from c2 join l using (vehicle_id) group by 1"),
     "kalman_end": "with recursive " + TELE.format(d=240) + ", z as (select vehicle_id, fuel, row_number() over (partition by vehicle_id order by us, seq) as i from t where fuel > 0), f as (select vehicle_id, i, fuel as x, 9.0::double as p from z where i = 1 union all select z.vehicle_id, z.i, f.x + (f.p + 0.5) / (f.p + 12.5) * (z.fuel - f.x), (1 - (f.p + 0.5) / (f.p + 12.5)) * (f.p + 0.5) from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1) select vehicle_id, max(i) as n, round(max_by(x, i), 6) + 0.0 as estimate, round(max_by(p, i), 6) + 0.0 as variance from f group by 1",
     "latest_points": sql("select vehicle_id, seq, us, fuel, cast(place as bigint) as place from (select *, row_number() over (partition by vehicle_id order by us desc, seq desc) as place from t) where place <= 5"),
-    "history": sql("select vehicle_id, seq, us, fuel from t where (lower(vehicle_id) = 'v0000' or contains(lower(vehicle_id), 'v0000')) and us between 1704067200000000 and 1704999999000000 order by us desc, seq desc limit 200"),
+    "history": sql(
+        """select vehicle_id, seq, us, fuel from t where vehicle_id = (select min(vehicle_id) from t where contains(lower(vehicle_id), 'v0000')) and us between 1704067200000000 and 1704999999000000
+        order by us desc, seq desc limit 200"""),
     "fleet_status": sql("select vehicle_id, count(*) as points, min(us) as first_us, max(us) as last_us, max_by(fuel, (us, seq)) as last_fuel, max_by(speed, (us, seq)) as last_speed from t group by 1"),
     "capacity_resolution": sql("select vehicle_id, seq, case when capacity_liters > 0 and capacity_liters <> 850 then capacity_liters when asked > 0 then asked end as capacity, case when capacity_liters > 0 and capacity_liters <> 850 then 'MASTER_DATA' when asked > 0 then 'REQUEST' else 'NONE' end as capacity_source from (select t.vehicle_id, seq, capacity_liters, cast(case when seq % 3 = 0 then 400 else 0 end as double) as asked from t left join vehicles using (vehicle_id))", VEHICLES),
     "fleet_by_region": sql("select r_name as region, n_name as nation, count(*) as points, count(distinct t.vehicle_id) as vehicles from t join vehicles using (vehicle_id) join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2", VEHICLES),
     "downsampled": sql("select vehicle_id, seq, us, fuel from (select *, row_number() over (partition by vehicle_id order by us, seq) as rn, count(*) over (partition by vehicle_id) as n from t) where (rn - 1) % cast(ceil(n / 20) as bigint) = 0 or rn = n"),
-    "vehicle_upsert": sql(", n as (select vehicle_id, max(case when fuel > 420 then fuel end) as new from t group by 1) select coalesce(vehicles.vehicle_id, n.vehicle_id) as vehicle_id, coalesce(new, capacity_liters) as capacity_liters from vehicles full join n on vehicles.vehicle_id = n.vehicle_id", VEHICLES),
+    "vehicle_upsert": sql(
+        """, n as (
+          select vehicle_id, max(case when fuel > 420 then fuel end) as new from t group by 1
+        ) select coalesce(vehicles.vehicle_id, n.vehicle_id) as vehicle_id, coalesce(vehicle_name, n.vehicle_id) as vehicle_name, coalesce(new, capacity_liters) as capacity_liters, c_nationkey
+        from vehicles full join n on vehicles.vehicle_id = n.vehicle_id""", VEHICLES),
     "export_bands": sql(f"select vehicle_id, seq, round(noise, 5) + 0.0 as noise, case when noise > 4 then 'Spike' when noise > 1.5 then 'Sloshing' else 'Normal' end as band, case when speed <= 3 then '0-3' when speed <= 10 then '3-10' when speed <= 30 then '10-30' when speed <= 60 then '30-60' else '60+' end as speed_band, cast(speed <= 0.5 as int) as is_stopped from (select *, abs(fuel - avg(fuel) over (v rows between 7 preceding and current row)) as noise from t {V})"),
     "motion_states": sql("select vehicle_id, seq, round(displacement, 3) + 0.0 as displacement, case when n >= 3 and speed <= 1 and radius <= 30 then 'LOW_MOTION' when n >= 3 and speed > 5 and displacement >= 25 then 'MOVING' else 'UNCERTAIN' end as motion_state from (select *, len(c) as n, case when len(c) >= 2 then hav(c[1].lat, c[1].lng, c[-1].lat, c[-1].lng) else 0 end as displacement, coalesce(list_max(list_transform(c, lambda p: hav(p.lat, p.lng, list_avg(list_transform(c, lambda q: q.lat)), list_avg(list_transform(c, lambda q: q.lng))))), 0) as radius from (select vehicle_id, seq, speed, list_filter(list(case when lat is not null and lng is not null then {'lat': lat, 'lng': lng} end) over (partition by vehicle_id order by us, seq rows between 4 preceding and current row), lambda p: p is not null) as c from t))"),
 }

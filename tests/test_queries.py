@@ -1,9 +1,9 @@
 import pytest
 from compare import rows_of_spark, rows_of_sql
 
-from tankwise.plans import oracles, preparation, queries
+from tankwise.plans import evaluation, oracles, preparation, queries
 
-ORACLES, QUERIES = oracles.ORACLES | preparation.ORACLES, queries.QUERIES | preparation.QUERIES
+ORACLES, QUERIES = oracles.ORACLES | preparation.ORACLES | evaluation.ORACLES, queries.QUERIES | preparation.QUERIES | evaluation.QUERIES
 SF = "/root/testdata/sf0.001"
 
 
@@ -19,4 +19,4 @@ def test_forest_agrees_with_the_labels_of_other_vehicles(spark):
 
 
 def test_queries_without_sql():
-    assert set(QUERIES) - set(ORACLES) == {"smooth_tracking", "forest_confusion"}
+    assert set(QUERIES) - set(ORACLES) == {"smooth_tracking", "forest_confusion", "enhanced_levels", "segment_replay", "causal_states"}

@@ -2,74 +2,78 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators.tracking import by_vehicle_in_order
 from tankwise.operators.windows import rolling_std
 
 # Noise of levels and process, first variance, lowest gate in litres and as a share of the capacity, points that confirm a shift.
 LEVEL_NOISE, PROCESS_NOISE, VARIANCE, GATE, GATE_SHARE, CONFIRM = 9.0, 0.2, 4.0, 5.0, 0.02, 3
 
 
+INPUT = ("vehicle_id", "segment_id", "seq", "us", "fuel", "speed", "noise", "acceleration", "periods")
+OUT = "vehicle_id string, segment_id long, seq long, us long, fuel double, estimate double"
+
+
 def inputs(steps: DataFrame) -> DataFrame:
-    """Valid points of each segment with the time since the last valid one in reporting periods, acceleration and noise.
+    """Points with the time since the last valid one of their segment in reporting periods, acceleration and noise.
 
-    A period is the vehicle's median positive gap, 5 minutes without one; gaps of skipped points add up.
+    A period is the vehicle's median positive gap, 5 minutes without one; gaps of points that are not valid add up.
     """
     own, w = Window.partitionBy("vehicle_id"), Window.partitionBy("vehicle_id", "segment_id").orderBy("us", "seq")
     t = steps.withColumn("period", F.coalesce(F.percentile(F.when(F.col("gap_min") > 0, F.col("gap_min")), 0.5).over(own), F.lit(5.0)))
     gap = F.when(F.col("gap_min") > 0, F.col("gap_min")).otherwise(F.col("period"))
     seconds = F.greatest(F.coalesce("gap_min", "period"), F.lit(1.0)) * 60
-    t = t.withColumns({"elapsed": F.sum(gap).over(w), "acceleration": F.coalesce(F.col("speed") - F.lag("speed").over(w), F.lit(0.0)) / 3.6 / seconds, "noise": F.round(rolling_std(), 9)})
-    return t.where("fuel > 0").withColumn("periods", (F.col("elapsed") - F.lag("elapsed").over(w)) / F.col("period"))
+    faster = F.coalesce(F.col("speed") - F.lag("speed").over(w), F.lit(0.0))
+    t = t.withColumns({"elapsed": F.sum(gap).over(w), "acceleration": faster / 3.6 / seconds, "noise": F.round(rolling_std(), 9)})
+    before = F.last(F.when(F.col("fuel") > 0, F.col("elapsed")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return t.withColumn("periods", (F.col("elapsed") - before) / F.col("period"))
 
 
-def _variances(gate: float, falling: bool, p) -> tuple[float, float]:
+def _variances(gate: float, falling: bool, speed: float, noise: float, acceleration: float, periods: float) -> tuple[float, float]:
     """Noise of this level and of the process before it."""
-    r, q = LEVEL_NOISE, PROCESS_NOISE * max(p.periods, 0.1)
-    if p.speed <= 3 and p.noise <= max(3.0, gate * 0.75) and abs(p.acceleration) <= 0.12:
+    r, q = LEVEL_NOISE, PROCESS_NOISE * max(periods, 0.1)
+    if speed <= 3 and noise <= max(3.0, gate * 0.75) and abs(acceleration) <= 0.12:
         r, q = max(3.0, r * 0.35), q * 4
     elif falling:
         r, q = max(4.0, r * 0.55), q * 8
-    if p.speed > 5:
-        r *= 2.0 if p.speed <= 40 else 1.5 if p.speed <= 70 else 2.5
-    return (r * 3 if abs(p.acceleration) > 0.1 else r), q
-
-
-def _fold(rows: pd.DataFrame, gate: float) -> list[float]:
-    out, x, p, far, side = [], None, VARIANCE, 0, 0
-    for z in rows.itertuples():
-        if x is None:
-            x = z.fuel
-            out.append(x)
-            continue
-        off, limit = z.fuel - x, max(gate, 2 * z.noise)
-        now = (off > 0) - (off < 0)
-        far = 0 if abs(off) <= limit else far + 1 if side in (0, now) else 1
-        shaken = z.speed > 10 or z.noise > max(3.0, gate * 0.75) or abs(z.acceleration) > 0.12
-        falling = off < -limit and shaken and far >= 2
-        side = now
-        if far >= CONFIRM:
-            x, p, far, side = z.fuel, VARIANCE, 0, 0
-        elif far == 0 or falling:
-            r, q = _variances(gate, falling, z)
-            gain = (p + q) / (p + q + r)
-            x, p = max(0.0, x + gain * off), (1 - gain) * (p + q)
-        out.append(x)
-    return out
+    if speed > 5:
+        r *= 2.0 if speed <= 40 else 1.5 if speed <= 70 else 2.5
+    return (r * 3 if abs(acceleration) > 0.1 else r), q
+
+
+def step(s: dict, gate: float, level: float, speed: float, noise: float, acceleration: float, periods: float | None) -> float:
+    """Take one valid level in; changes s and returns the estimate."""
+    if s["x"] is None:
+        s["x"] = level
+        return level
+    off, limit = level - s["x"], max(gate, 2 * noise)
+    now = (off > 0) - (off < 0)
+    s["far"] = 0 if abs(off) <= limit else s["far"] + 1 if s["side"] in (0, now) else 1
+    shaken = speed > 10 or noise > max(3.0, gate * 0.75) or abs(acceleration) > 0.12
+    falling = off < -limit and shaken and s["far"] >= 2
+    s["side"] = now
+    if s["far"] >= CONFIRM:
+        s |= {"x": level, "p": VARIANCE, "far": 0, "side": 0}
+    elif s["far"] == 0 or falling:
+        r, q = _variances(gate, falling, speed, noise, acceleration, periods)
+        gain = (s["p"] + q) / (s["p"] + q + r)
+        s |= {"x": max(0.0, s["x"] + gain * off), "p": (1 - gain) * (s["p"] + q)}
+    return s["x"]
 
 
 def gated_kalman(steps: DataFrame, capacity: float = 200.0) -> DataFrame:
     """(vehicle_id, segment_id, seq, us, fuel, estimate) of every point of steps(); null estimate where the level is not valid.
 
-    A segment is one group: the filter is causal, so its points cannot be split, but segments of one vehicle can.
+    The filter is causal: the points of a segment stream by in order, and segments of one vehicle are dealt apart.
     """
     gate = max(GATE, GATE_SHARE * capacity)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "seq"])
-        return pd.DataFrame({"vehicle_id": rows.vehicle_id, "seq": rows.seq, "estimate": _fold(rows, gate)})
+    def one(s: dict, point: tuple) -> dict:
+        vehicle_id, segment_id, seq, us, level, *more = point
+        estimate = step(s, gate, level, *more) if level is not None and level > 0 else None
+        return {"vehicle_id": vehicle_id, "segment_id": segment_id, "seq": seq, "us": us, "fuel": level, "estimate": estimate}
 
-    done = inputs(steps).select("vehicle_id", "segment_id", "seq", "us", "fuel", "speed", "noise", "acceleration", "periods").groupBy("vehicle_id", "segment_id").applyInPandas(run, "vehicle_id string, seq long, estimate double")
-    return steps.select("vehicle_id", "segment_id", "seq", "us", "fuel").join(done, ["vehicle_id", "seq"], "left")
+    fresh = lambda: {"x": None, "p": VARIANCE, "far": 0, "side": 0}
+    return by_vehicle_in_order(inputs(steps), INPUT, fresh, one, OUT, keys=2)

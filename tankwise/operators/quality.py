@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators.tracking import by_vehicle_in_order
 
-def detrended_std(t: DataFrame, key: str, x: str, y: str, name: str) -> DataFrame:
-    """Population deviation of y around its least-squares line on x, by key."""
-    line = t.groupBy(key).agg(F.regr_slope(y, x).alias("_m"), F.regr_intercept(y, x).alias("_b"))
-    return t.join(line, key).groupBy(key).agg(F.stddev_pop(F.col(y) - F.coalesce(F.col("_m") * F.col(x) + F.col("_b"), F.lit(0.0))).alias(name))
+
+def detrended_std(x: str, y: str) -> Column:
+    """Population deviation of y around its least-squares line on x, in the same aggregation as other facts."""
+    along = F.coalesce(F.try_divide(F.pow(F.covar_pop(x, y), 2), F.var_pop(x)), F.lit(0.0))
+    return F.sqrt(F.greatest(F.var_pop(y) - along, F.lit(0.0)))
 
 
 def curve_quality(t: DataFrame, raw: str = "fuel", clean: str = "clean") -> DataFrame:
     """Noise reduction, spike attenuation, level error, final lag and rises of a clean curve, by vehicle."""
     w = Window.partitionBy("vehicle_id").orderBy("us", "seq")
     t = t.withColumns({"pos": F.row_number().over(w) - 1, "rise": F.col(clean) - F.lag(clean).over(w)})
-    a, b = detrended_std(t, "vehicle_id", "pos", raw, "raw_std"), detrended_std(t, "vehicle_id", "pos", clean, "clean_std")
     span = lambda c: F.max(c) - F.min(c)
+    at_end = lambda c: F.max_by(c, "pos")
     m = t.groupBy("vehicle_id").agg(
         F.greatest(F.lit(0.0), span(raw) - span(clean)).alias("spike_attenuation"), F.when(span(raw) <= 1, F.avg(F.abs(F.col(raw) - F.col(clean)))).alias("level_mae"), F.avg(F.abs("rise")).alias("mean_step"),
-        F.when(F.min_by(raw, "pos") - F.max_by(raw, "pos") >= 2, F.abs(F.max_by(clean, "pos") - F.max_by(raw, "pos"))).alias("final_lag"), F.sum(F.when((F.col("rise") > 0.01) & (F.col("speed") > 5), 1).otherwise(0)).alias("moving_rises"),
+        F.when(F.min_by(raw, "pos") - at_end(raw) >= 2, F.greatest(at_end(clean) - at_end(raw), F.lit(0.0))).alias("final_lag"),
+        F.sum(F.when((F.col("rise") > 0.01) & (F.col("speed") > 5), 1).otherwise(0)).alias("moving_rises"), detrended_std("pos", raw).alias("raw_std"), detrended_std("pos", clean).alias("clean_std"),
     )
-    return m.join(a, "vehicle_id").join(b, "vehicle_id").withColumn("noise_reduction", F.when(F.col("raw_std") > 0, 100 * (1 - F.col("clean_std") / F.col("raw_std"))).otherwise(0.0))
+    return m.withColumn("noise_reduction", F.when(F.col("raw_std") > 0, 100 * (1 - F.col("clean_std") / F.col("raw_std"))).otherwise(0.0))
 
 
 def confusion(t: DataFrame, actual: str, predicted: str, by: str) -> DataFrame:
@@ -42,12 +45,18 @@ def scores(matrix: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def kalman_end(t: DataFrame, q: float = 0.5, r: float = 12.0, p0: float = 9.0) -> DataFrame:
-    """Last estimate of a plain Kalman filter over each vehicle's valid levels, as a fold in Catalyst."""
-    own = t.where("fuel > 0").groupBy("vehicle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "fuel"))), lambda p: p["fuel"]).alias("z"))
-
-    def merge(s: Column, z: Column) -> Column:
-        gain = (s["p"] + q) / (s["p"] + q + r)
-        return F.struct((s["x"] + gain * (z - s["x"])).alias("x"), ((1 - gain) * (s["p"] + q)).alias("p"))
-
-    end = F.aggregate(F.slice("z", 2, F.greatest(F.size("z") - 1, F.lit(0))), F.struct(F.get("z", F.lit(0)).alias("x"), F.lit(p0).alias("p")), merge)
-    return own.select("vehicle_id", F.size("z").cast("long").alias("n"), end.alias("e")).select("vehicle_id", "n", F.col("e.x").alias("estimate"), F.col("e.p").alias("variance"))
+    """Last estimate of a plain Kalman filter over each vehicle's valid levels, which stream by in order."""
+
+    def one(s: dict, point: tuple) -> dict:
+        vehicle_id, seq, us, z = point
+        if s["n"]:
+            gain = (s["p"] + q) / (s["p"] + q + r)
+            s |= {"x": s["x"] + gain * (z - s["x"]), "p": (1 - gain) * (s["p"] + q)}
+        else:
+            s["x"] = z
+        s["n"] += 1
+        return {"vehicle_id": vehicle_id, "seq": seq, "us": us, "n": s["n"], "estimate": s["x"], "variance": s["p"]}
+
+    out = "vehicle_id string, seq long, us long, n long, estimate double, variance double"
+    line = by_vehicle_in_order(t.where("fuel > 0"), ("vehicle_id", "seq", "us", "fuel"), lambda: {"n": 0, "x": None, "p": p0}, one, out)
+    return line.groupBy("vehicle_id").agg(F.max_by(F.struct("n", "estimate", "variance"), "n").alias("e")).select("vehicle_id", "e.*")

@@ -296,27 +296,28 @@ def run(s: dict, points: Iterable[tuple]) -> Iterator[dict]:
         yield _point(s, point)
 
 
-def by_vehicle_in_order(t: DataFrame, columns: tuple[str, ...], fresh_state, one_step, out: str) -> DataFrame:
-    """A causal step over the points of each vehicle, as a stream: vehicles are dealt to partitions, sorted by time, and only the
-    state of the vehicle at hand is held. Columns that t lacks are null.
+def by_vehicle_in_order(t: DataFrame, columns: tuple[str, ...], fresh_state, one_step, out: str, keys: int = 1) -> DataFrame:
+    """A causal step over the points of each vehicle (or of each value of the first `keys` columns), as a stream: they are dealt to
+    partitions and sorted by time, and only the state of the one at hand is held. Columns that t lacks are null.
     """
     have = t.selectExpr(*[c if c in t.columns else f"null as {c}" for c in columns])
-    names = [f.split()[0] for f in out.split(", ")]
+    names, kinds = zip(*(f.split() for f in out.split(", ")), strict=True)
+    arrow = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    types = [arrow[k] for k in kinds]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vehicle, state = None, None
+        own, state = None, None
         for batch in batches:
             rows = []
             for point in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if state is None or point[0] != vehicle:
-                    vehicle, state = point[0], fresh_state()
+                if state is None or point[:keys] != own:
+                    own, state = point[:keys], fresh_state()
                 rows.append(one_step(state, point))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t_) for n, t_ in zip(names, types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, types, strict=True)], names)
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
-    types = [kinds[f.split()[1]] for f in out.split(", ")]
-    return have.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "us", "seq").mapInArrow(each, out)
+    key = columns[:keys]
+    return have.repartition(*key).sortWithinPartitions(*key, "us", "seq").mapInArrow(each, out)
 
 
 def _point(s: dict, point: tuple) -> dict:

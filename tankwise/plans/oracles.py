@@ -156,7 +156,7 @@ ORACLES = {
     "label_scores": sql(", m as (select label, guess, count(*) as n from labelled where label is not null group by 1, 2), r as (select label, sum(n) as support, sum(case when label = guess then n else 0 end) as hit from m group by 1), p as (select guess as label, sum(n) as called from m group by 1), j as (select coalesce(r.label, p.label) as label, coalesce(support, 0) as support, coalesce(hit, 0) as hit, coalesce(called, 0) as called from r full join p on r.label = p.label), k as (select *, case when called > 0 then hit / called else 0 end as precision, case when support > 0 then hit / support else 0 end as recall from j) select label, cast(support as bigint) as support, cast(called as bigint) as called, round(precision, 6) + 0.0 as precision, round(recall, 6) + 0.0 as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) + 0.0 as f1 from k", STEPS, PROFILE, AROUND, LABELS),
     "balanced_sample": sql("select vehicle_id, seq, label from (select *, row_number() over (partition by label order by md5(vehicle_id || '|' || cast(seq as varchar))) as rn from labelled where label is not null) where rn <= 300", STEPS, PROFILE, AROUND, LABELS),
     "state_transitions": sql("select was, label, count(*) as n from (select label, lag(label) over (partition by vehicle_id order by us, seq) as was from labelled) where was is not null and label is not null group by 1, 2", STEPS, PROFILE, AROUND, LABELS),
-    "curve_quality": sql(", c as (select vehicle_id, us, seq, speed, fuel, avg(fuel) over (partition by vehicle_id order by us, seq rows between 7 preceding and current row) as clean, row_number() over (partition by vehicle_id order by us, seq) - 1 as pos from t), c2 as (select *, clean - lag(clean) over (partition by vehicle_id order by pos) as rise from c), l as (select vehicle_id, regr_slope(fuel, pos) as rm, regr_intercept(fuel, pos) as rb, regr_slope(clean, pos) as cm, regr_intercept(clean, pos) as cb from c2 group by 1) select vehicle_id, round(greatest(0, (max(fuel) - min(fuel)) - (max(clean) - min(clean))), 4) + 0.0 as spike_attenuation, round(case when max(fuel) - min(fuel) <= 1 then avg(abs(fuel - clean)) end, 4) + 0.0 as level_mae, round(avg(abs(rise)), 4) + 0.0 as mean_step, round(case when min_by(fuel, pos) - max_by(fuel, pos) >= 2 then abs(max_by(clean, pos) - max_by(fuel, pos)) end, 4) + 0.0 as final_lag, cast(sum(case when rise > 0.01 and speed > 5 then 1 else 0 end) as bigint) as moving_rises, round(case when stddev_pop(fuel - (rm * pos + rb)) > 0 then 100 * (1 - stddev_pop(clean - (cm * pos + cb)) / stddev_pop(fuel - (rm * pos + rb))) else 0 end, 4) + 0.0 as noise_reduction from c2 join l using (vehicle_id) group by 1"),
+    "curve_quality": sql(", c as (select vehicle_id, us, seq, speed, fuel, avg(fuel) over (partition by vehicle_id order by us, seq rows between 7 preceding and current row) as clean, row_number() over (partition by vehicle_id order by us, seq) - 1 as pos from t), c2 as (select *, clean - lag(clean) over (partition by vehicle_id order by pos) as rise from c), l as (select vehicle_id, regr_slope(fuel, pos) as rm, regr_intercept(fuel, pos) as rb, regr_slope(clean, pos) as cm, regr_intercept(clean, pos) as cb from c2 group by 1) select vehicle_id, round(greatest(0, (max(fuel) - min(fuel)) - (max(clean) - min(clean))), 4) + 0.0 as spike_attenuation, round(case when max(fuel) - min(fuel) <= 1 then avg(abs(fuel - clean)) end, 4) + 0.0 as level_mae, round(avg(abs(rise)), 4) + 0.0 as mean_step, round(case when min_by(fuel, pos) - max_by(fuel, pos) >= 2 then greatest(max_by(clean, pos) - max_by(fuel, pos), 0) end, 4) + 0.0 as final_lag, cast(sum(case when rise > 0.01 and speed > 5 then 1 else 0 end) as bigint) as moving_rises, round(case when stddev_pop(fuel - (rm * pos + rb)) > 0 then 100 * (1 - stddev_pop(clean - (cm * pos + cb)) / stddev_pop(fuel - (rm * pos + rb))) else 0 end, 4) + 0.0 as noise_reduction from c2 join l using (vehicle_id) group by 1"),
     "kalman_end": "with recursive " + TELE.format(d=240) + ", z as (select vehicle_id, fuel, row_number() over (partition by vehicle_id order by us, seq) as i from t where fuel > 0), f as (select vehicle_id, i, fuel as x, 9.0::double as p from z where i = 1 union all select z.vehicle_id, z.i, f.x + (f.p + 0.5) / (f.p + 12.5) * (z.fuel - f.x), (1 - (f.p + 0.5) / (f.p + 12.5)) * (f.p + 0.5) from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1) select vehicle_id, max(i) as n, round(max_by(x, i), 6) + 0.0 as estimate, round(max_by(p, i), 6) + 0.0 as variance from f group by 1",
     "latest_points": sql("select vehicle_id, seq, us, fuel, cast(place as bigint) as place from (select *, row_number() over (partition by vehicle_id order by us desc, seq desc) as place from t) where place <= 5"),
     "history": sql(

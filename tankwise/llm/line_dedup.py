@@ -62,7 +62,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     text = F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(kept)
     n_lines = F.size("lines").cast("long")
     n_kept = F.aggregate("keep", F.lit(0).cast("long"), lambda a, r: a + r["count"])
-    return j.select(*unpacked("row", own), text.alias("text"), n_lines.alias("n_lines"), F.coalesce(n_lines - n_kept, F.lit(0)).cast("long").alias("n_dropped"))
+    made = j.select("row", text.alias("kept_text"), n_lines.alias("n"), F.coalesce(n_lines - n_kept, F.lit(0)).cast("long").alias("gone"))
+    return made.select(*unpacked("row", own), F.col("kept_text").alias("text"), F.col("n").alias("n_lines"), F.col("gone").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

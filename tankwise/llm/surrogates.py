@@ -212,4 +212,5 @@ def replace_entities(docs: DataFrame, key: str | bytes) -> DataFrame:
     pieces = F.transform(F.split("row.text", ANY, -1), lambda p: F.aggregate("names", p, lambda x, n: F.regexp_replace(x, of(n), n["to"])))
     text = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("puts")), "puts", lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
     changed = F.when(F.col("puts").isNull(), F.col("row.text")).otherwise(text)
-    return j.select(*unpacked("row", own), changed.alias("text"), F.coalesce(F.size("puts"), F.lit(0)).cast("long").alias("n_entities"))
+    made = j.select("row", changed.alias("new_text"), F.coalesce(F.size("puts"), F.lit(0)).cast("long").alias("n"))
+    return made.select(*unpacked("row", own), F.col("new_text").alias("text"), F.col("n").alias("n_entities"))

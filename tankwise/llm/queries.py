@@ -81,7 +81,9 @@ with lines as (
 """
 
 ORACLE_SQL = {
-    "op10_line_dedup": _LINES.format(docs="documents") + "select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256 from marked group by doc_id",
+    "op10_line_dedup": _LINES.format(docs="documents") + """
+        select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not
+          dropped), '')) as kept_sha256 from marked group by doc_id""",
 }
 
 

@@ -116,12 +116,14 @@ def causal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    shift_events, newest_events, event_kinds, fleet_summary, scoped_matrix, score_report, axis_bounds, collapsed_states, segment_scope, curve_regression, segment_provenance, vehicle_log, dropout_line, shape_clean,
+    shift_events, newest_events, event_kinds, fleet_summary, scoped_matrix, score_report, axis_bounds, collapsed_states, segment_scope, curve_regression,
+      segment_provenance, vehicle_log, dropout_line, shape_clean,
     label_following, online_features, enhanced_levels, segment_replay, causal_states,
 )}
 
 _EVENTS = """, runs as (
-  select *, lag(us) over v as from_us, lag(fuel) over v as from_fuel, row_number() over v - row_number() over (partition by vehicle_id, label order by us, seq) as run from labelled window v as (partition by vehicle_id order by us, seq)
+  select *, lag(us) over v as from_us, lag(fuel) over v as from_fuel, row_number() over v - row_number() over (partition by vehicle_id, label order by
+    us, seq) as run from labelled window v as (partition by vehicle_id order by us, seq)
 ), ev as (
   select vehicle_id, case label when 'UPWARD_SHIFT' then 'REFUEL' else 'DRAIN' end as event_type, coalesce(min_by(from_us, (us, seq)), min(us)) as start_us, max(us) as end_us,
     coalesce(min_by(from_fuel, (us, seq)), min_by(fuel, (us, seq))) as start_fuel, max_by(fuel, (us, seq)) as end_fuel, arg_max_null(lat, (us, seq)) as lat, arg_max_null(lng, (us, seq)) as lng
@@ -151,19 +153,25 @@ _SCORES = """, sr_m as (
 _V = "window v as (partition by vehicle_id order by us, seq)"
 
 ORACLES = {
-    "shift_events": sql("select vehicle_id, vehicle_name, event_type, start_us, end_us, start_fuel, end_fuel, round(end_fuel - start_fuel, 6) + 0.0 as change_liters, lat, lng from e", *_LABELLED, VEHICLES, _EVENTS),
+    "shift_events": sql("""
+        select vehicle_id, vehicle_name, event_type, start_us, end_us, start_fuel, end_fuel, round(end_fuel - start_fuel, 6) + 0.0 as change_liters, lat, lng
+          from e""", *_LABELLED, VEHICLES, _EVENTS),
     "newest_events": sql(
         """select vehicle_id, event_type, start_us, end_us, place from (
         select *, row_number() over (partition by vehicle_id order by start_us desc, end_us desc, event_type) as place from e) where place <= 3""", *_LABELLED, VEHICLES, _EVENTS),
     "event_kinds": sql(f"""select vehicle_id, case when abs(off) > 10 then 'Burst' when abs(off) > 5 then 'Spike' else 'Dip' end as kind, count(*) as n from (
         select vehicle_id, round(fuel - avg(fuel) over (v rows between 7 preceding and current row), 6) as off from t {_V}) group by 1, 2"""),
     "fleet_summary": sql(
-        "select vehicle_id, count(*) as total_rows, count(label) as valid_rows, round(coalesce(avg(case when label = guess then 1.0 else 0.0 end) filter (label is not null), 0), 6) + 0.0 as accuracy, "
+        """
+        select vehicle_id, count(*) as total_rows, count(label) as valid_rows, round(coalesce(avg(case when label = guess then 1.0 else 0.0 end) filter (label
+          is not null), 0), 6) + 0.0 as accuracy,"""
         + ", ".join(f"count(*) filter (label = '{c}') as {c.lower()}" for c in CLASSES) + " from labelled group by 1", *_LABELLED),
     "scoped_matrix": sql(
         """select scope, label, guess, count(*) as n from (
         select unnest(case when cast(substr(vehicle_id, 2) as int) % 4 = 0 then ['held_out', 'all'] else ['all'] end) as scope, label, guess from labelled where label is not null) group by 1, 2, 3""", *_LABELLED),
-    "score_report": sql("select label, cast(support as bigint) as support, round(precision, 6) + 0.0 as precision, round(recall, 6) + 0.0 as recall, round(f1, 6) + 0.0 as f1 from sr_w", *_LABELLED, _SCORES),
+    "score_report": sql("""
+        select label, cast(support as bigint) as support, round(precision, 6) + 0.0 as precision, round(recall, 6) + 0.0 as recall, round(f1, 6) + 0.0 as f1
+          from sr_w""", *_LABELLED, _SCORES),
     "axis_bounds": sql(f""", c as (
           select vehicle_id, fuel, round(avg(fuel) over (v rows between 7 preceding and current row), 2) as clean from t {_V}
         ), b as (
@@ -181,7 +189,8 @@ ORACLES = {
     "dropout_line": sql(f""", b as (
           select *, lag(fuel) over v as bf, lag(us) over v as bus from t {_V}
         ), o as (
-          select b.*, case when bf - fuel >= 6 then (select min((x.us, x.seq, x.fuel)) from t x where x.vehicle_id = b.vehicle_id and (x.us, x.seq) > (b.us, b.seq) and x.us <= b.us + 21600000000 and x.fuel between b.bf - 5 and b.bf + 5) end as e from b
+          select b.*, case when bf - fuel >= 6 then (select min((x.us, x.seq, x.fuel)) from t x where x.vehicle_id = b.vehicle_id and (x.us, x.seq) > (b.us,
+            b.seq) and x.us <= b.us + 21600000000 and x.fuel between b.bf - 5 and b.bf + 5) end as e from b
         ), q as (
           select *, e is not null and coalesce(us >= max(e[1]) over (v rows between unbounded preceding and 1 preceding), true) as real from o {_V}
         ), z as (
@@ -200,17 +209,23 @@ ORACLES = {
           select vehicle_id, seq, i, case when fuel > 0 then fuel end as x, case when rule = 'DRAIN' then 1 else 0 end as falls from z where i = 1
           union all
           select z.vehicle_id, z.seq, z.i, case when f.x is null then case when z.fuel > 0 then z.fuel end when z.fuel > 0 and not (z.rule = 'CONSUMPTION' and z.fuel > f.x) then f.x + (z.fuel - f.x) *
-            case when z.rule = 'DRAIN' then least(0.92::double, 0.45::double + 0.235::double * f.falls) when z.rule in ('SPIKE', 'TRANSIENT_UP_NOISE', 'TRANSIENT_DOWN_NOISE') then 0 when z.rule = 'STABLE_JITTER' then 0.12::double
-            when z.rule = 'SLOSHING_NOISE' then 0.08::double when z.rule = 'CONSUMPTION' then 0.58::double when z.rule = 'REFUEL' then 1 else 0.25::double end else f.x end, case when z.rule = 'DRAIN' then f.falls + 1 else 0 end
+            case when z.rule = 'DRAIN' then least(0.92::double, 0.45::double + 0.235::double * f.falls) when z.rule in ('SPIKE', 'TRANSIENT_UP_NOISE',
+              'TRANSIENT_DOWN_NOISE') then 0 when z.rule = 'STABLE_JITTER' then 0.12::double
+            when z.rule = 'SLOSHING_NOISE' then 0.08::double when z.rule = 'CONSUMPTION' then 0.58::double when z.rule = 'REFUEL' then 1 else 0.25::double end
+              else f.x end, case when z.rule = 'DRAIN' then f.falls + 1 else 0 end
           from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1
         ) select vehicle_id, seq, round(x, 6) + 0.0 as followed from f""", *_LABELLED).replace("with", "with recursive", 1),
     "online_features": sql(
         """, p as (
           select * from s where fuel > 0
         ), f as (
-          select *, coalesce(fuel - lag(fuel) over g, 0) as df, count(*) over (g rows between 12 preceding and current row) as n, stddev_pop(fuel) over (g rows between 12 preceding and current row) as sd,
-            list_median(list(fuel) over (g rows between 2 preceding and current row)) as m3, max(fuel) over (g rows between 4 preceding and current row) - min(fuel) over (g rows between 4 preceding and current row) as r5,
-            max(fuel) over (g rows between 6 preceding and current row) - min(fuel) over (g rows between 6 preceding and current row) as r7 from p window g as (partition by vehicle_id, segment_id order by us, seq)
-        ) select vehicle_id, seq, cast(segment_id as bigint) as segment_id, round(df, 6) + 0.0 as delta_fuel, round(df / 0.5, 6) + 0.0 as delta_over_noise, round(case when n >= 3 then sd else 0 end, 6) + 0.0 as rolling_std,
+          select *, coalesce(fuel - lag(fuel) over g, 0) as df, count(*) over (g rows between 12 preceding and current row) as n, stddev_pop(fuel) over (g rows
+            between 12 preceding and current row) as sd,
+            list_median(list(fuel) over (g rows between 2 preceding and current row)) as m3, max(fuel) over (g rows between 4 preceding and current row) -
+              min(fuel) over (g rows between 4 preceding and current row) as r5,
+            max(fuel) over (g rows between 6 preceding and current row) - min(fuel) over (g rows between 6 preceding and current row) as r7 from p window g as
+              (partition by vehicle_id, segment_id order by us, seq)
+        ) select vehicle_id, seq, cast(segment_id as bigint) as segment_id, round(df, 6) + 0.0 as delta_fuel, round(df / 0.5, 6) + 0.0 as delta_over_noise,
+          round(case when n >= 3 then sd else 0 end, 6) + 0.0 as rolling_std,
           round(m3, 6) + 0.0 as median3, round(r5, 6) + 0.0 as range5, round(r7, 6) + 0.0 as range7 from f""", STEPS, d=40),
 }

@@ -142,12 +142,15 @@ def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, state_names, repaired_coordinates, central_times, nominal_period, learnt_period, behaviour_checks, step_percentiles, active_contexts,
+    gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, state_names, repaired_coordinates, central_times, nominal_period,
+      learnt_period, behaviour_checks, step_percentiles, active_contexts,
     vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states, forest_confusion,
 )}
 
 NOISY = f", c as (select *, avg(fuel) over (v rows between 7 preceding and current row) as clean from t {V})"
-STATE = "case when rule in ('REFUEL', 'RISING') then 'UPWARD_SHIFT' when rule = 'DRAIN' then 'DOWNWARD_SHIFT' when rule in ('DROPOUT', 'TRANSIENT_UP_NOISE', 'TRANSIENT_DOWN_NOISE') then 'OSCILLATION_NOISE' when rule in ('STABLE_JITTER', 'SPIKE') then rule else 'UNCERTAIN' end"
+STATE = """
+        case when rule in ('REFUEL', 'RISING') then 'UPWARD_SHIFT' when rule = 'DRAIN' then 'DOWNWARD_SHIFT' when rule in ('DROPOUT', 'TRANSIENT_UP_NOISE',
+          'TRANSIENT_DOWN_NOISE') then 'OSCILLATION_NOISE' when rule in ('STABLE_JITTER', 'SPIKE') then rule else 'UNCERTAIN' end"""
 SEG = "window w as (partition by vehicle_id, segment_id order by us, seq)"
 FAR = "hav(lag(lat) over v, lag(lng) over v, lat, lng)"
 
@@ -156,7 +159,8 @@ GATED = f"""with recursive {TELE.format(d=40)}{STEPS}, nom as (
 ), e as (
   select s.*, nom, sum(case when gap_min > 0 then gap_min else nom end) over (w rows between unbounded preceding and current row) as el,
     coalesce(speed - lag(speed) over w, 0) / 3.6 / (greatest(coalesce(gap_min, nom), 1.0) * 60) as acc,
-    round(case when count(fuel) over (w rows between 11 preceding and current row) >= 2 then stddev_pop(fuel) over (w rows between 11 preceding and current row) else 0 end, 9) as sd from s join nom using (vehicle_id) {SEG}
+    round(case when count(fuel) over (w rows between 11 preceding and current row) >= 2 then stddev_pop(fuel) over (w rows between 11 preceding and
+      current row) else 0 end, 9) as sd from s join nom using (vehicle_id) {SEG}
 ), z as (
   select vehicle_id, segment_id, seq, fuel, speed, acc, sd, (el - lag(el) over w) / nom as ratio, row_number() over w as i from e where fuel > 0 {SEG}
 ), f as (
@@ -164,7 +168,8 @@ GATED = f"""with recursive {TELE.format(d=40)}{STEPS}, nom as (
   union all
   select vehicle_id, segment_id, seq, i, case when n2 >= 3 then fuel when n2 > 0 and not fall then x else greatest(0, x + (p + q) / (p + q + r) * off) end,
     case when n2 >= 3 then 4.0 when n2 > 0 and not fall then p else (1 - (p + q) / (p + q + r)) * (p + q) end, case when n2 >= 3 then 0 else n2 end, case when n2 >= 3 then 0 else s2 end
-  from (select *, (case when calm then greatest(3.0, 9 * 0.35::double) when fall then greatest(4.0, 9 * 0.55::double) else 9.0 end)::double * (case when speed <= 5 then 1 when speed <= 40 then 2 when speed <= 70 then 1.5 else 2.5 end)::double * (case when abs(acc) > 0.1 then 3 else 1 end) as r,
+  from (select *, (case when calm then greatest(3.0, 9 * 0.35::double) when fall then greatest(4.0, 9 * 0.55::double) else 9.0 end)::double * (case when
+    speed <= 5 then 1 when speed <= 40 then 2 when speed <= 70 then 1.5 else 2.5 end)::double * (case when abs(acc) > 0.1 then 3 else 1 end) as r,
       0.2::double * greatest(ratio, 0.1) * (case when calm then 4 when fall then 8 else 1 end) as q
     from (select *, off < -lim and (speed > 10 or sd > 3.75 or abs(acc) > 0.12) and n2 >= 2 as fall, speed <= 3 and sd <= 3.75 and abs(acc) <= 0.12 as calm
       from (select *, case when abs(off) <= lim then 0 when sg = 0 or sg = s2 then n + 1 else 1 end as n2
@@ -175,49 +180,95 @@ GATED = f"""with recursive {TELE.format(d=40)}{STEPS}, nom as (
 PREPARED = f""", a0 as (
   select *, (us - lag(us) over v) / 60000000.0::double as gap, {FAR} as far, nullif(fuel, 0) as known from t {V}
 ), b0 as (
-  select *, case when gap is null or gap >= 120 then 1 else 0 end as is_start, sum(case when gap is null or gap >= 120 then 1 else 0 end) over (v rows between unbounded preceding and current row) as segment_id, greatest(3 * quantile_cont(gap, 0.5) over (v rows between 19 preceding and current row), 5.0) as lim from a0 {V}
+  select *, case when gap is null or gap >= 120 then 1 else 0 end as is_start, sum(case when gap is null or gap >= 120 then 1 else 0 end) over (v rows
+    between unbounded preceding and current row) as segment_id, greatest(3 * quantile_cont(gap, 0.5) over (v rows between 19 preceding and current row),
+    5.0) as lim from a0 {V}
 ), c0 as (
-  select *, known - lag(known) over w as delta, quantile_cont(known, 0.5) over (w rows between 4 preceding and current row) as rm, stddev_samp(known) over (w rows between 4 preceding and current row) as rs, count(known) over (w rows between 4 preceding and current row) as rc,
+  select *, known - lag(known) over w as delta, quantile_cont(known, 0.5) over (w rows between 4 preceding and current row) as rm, stddev_samp(known)
+    over (w rows between 4 preceding and current row) as rs, count(known) over (w rows between 4 preceding and current row) as rc,
     case when fuel = 0 then 'FUEL_ZERO' when lag(fuel) over w = 0 then 'PREVIOUS_INVALID' else 'VALID' end as status from b0 {SEG}
 ), d0 as (
   select *, coalesce(abs(delta) >= 10 or abs(delta) > quantile_cont(abs(delta), 0.99) over (partition by vehicle_id), false) as large from c0
 ), e0 as (
-  select *, concat_ws('|', case when fuel = 0 then 'FUEL_ZERO' end, case when gap >= 120 then 'LONG_GAP' end, case when large then 'LARGE_DELTA' end, case when gap > lim and (speed > 5 or coalesce(far, 0) > 50) then 'SIGNAL_LOSS_MOVING' end, case when gap = 0 then 'DUPLICATE_TIME' end) as why from d0
+  select *, concat_ws('|', case when fuel = 0 then 'FUEL_ZERO' end, case when gap >= 120 then 'LONG_GAP' end, case when large then 'LARGE_DELTA' end,
+    case when gap > lim and (speed > 5 or coalesce(far, 0) > 50) then 'SIGNAL_LOSS_MOVING' end, case when gap = 0 then 'DUPLICATE_TIME' end) as why from
+    d0
 )"""
 
 ORACLES = {
     "gated_kalman": GATED,
-    "prepared_points": inline_haversine(sql("select vehicle_id, seq, cast(segment_id as bigint) as segment_id, is_start, round(delta, 4) + 0.0 as delta, round(case when gap > 0 then delta / gap end, 4) + 0.0 as fuel_rate, round(rm, 4) + 0.0 as rolling_median, round(rs, 4) + 0.0 as rolling_std, rc as rolling_count, cast(rc >= 5 as int) as ready, case when speed > 0 then 'Moving' when speed <= 0 then 'Stopped' else 'Uncertain' end as movement, status, cast(why <> '' as int) as quality_flag, case when why = '' then 'VALID' else why end as quality_reason from e0", PREPARED, d=40)),
+    "prepared_points": inline_haversine(sql("""
+        select vehicle_id, seq, cast(segment_id as bigint) as segment_id, is_start, round(delta, 4) + 0.0 as delta, round(case when gap > 0 then delta / gap
+          end, 4) + 0.0 as fuel_rate, round(rm, 4) + 0.0 as rolling_median, round(rs, 4) + 0.0 as rolling_std, rc as rolling_count, cast(rc >= 5 as int) as
+          ready, case when speed > 0 then 'Moving' when speed <= 0 then 'Stopped' else 'Uncertain' end as movement, status, cast(why <> '' as int) as
+          quality_flag, case when why = '' then 'VALID' else why end as quality_reason from e0""", PREPARED, d=40)),
     "trend_evidence": sql("""
         , w10 as (
           select *, avg(case when speed > 5 then 1.0 else 0.0 end) over (partition by vehicle_id order by us, seq rows between 9 preceding and current row) as mr from t
         ), q as (
           select *, row_number() over (partition by vehicle_id order by us, seq) as i from w10 where fuel > 0
         ), h as (
-          select vehicle_id, seq, i, fuel, mr, list(fuel) over o as a, regr_slope(fuel, i) over o as m, regr_intercept(fuel, i) over o as b from q window o as (partition by vehicle_id order by us, seq rows between 9 preceding and current row)
+          select vehicle_id, seq, i, fuel, mr, list(fuel) over o as a, regr_slope(fuel, i) over o as m, regr_intercept(fuel, i) over o as b from q window o as
+            (partition by vehicle_id order by us, seq rows between 9 preceding and current row)
         ), k as (
           select *, len(a) >= 6 as ok, list_median(a[1:len(a) // 2]) as e, list_median(a[len(a) // 2 + 1:]) as l from h
         ) select vehicle_id, seq, round(case when ok then e end, 6) + 0.0 as early, round(case when ok then l end, 6) + 0.0 as late, round(case when ok then e - l end, 6) + 0.0 as level_drop,
           round(case when ok then m end, 6) + 0.0 as slope, round(case when ok then b + m * i else fuel end, 6) + 0.0 as target, round(mr, 6) + 0.0 as moving_ratio,
           coalesce(ok and mr > 0 and e - l >= 2 and m <= -0.2, false) as robust_downtrend from k"""),
-    "gradual_override": sql(f", g as (select *, fuel - lag(fuel, 5) over v as net, sum(abs_delta) over (v rows between 4 preceding and current row) as va, max(delta) over (v rows between 4 preceding and current row) as up, row_number() over v as pos from labelled {V}) select vehicle_id, seq, label, case when label = 'OSCILLATION_NOISE' and pos > 5 and net <= -greatest(1.2, 0.005 * capacity) and va > 0.00001 and -net >= 0.55 * va and up <= 2 then 'GRADUAL_CHANGE' else label end as state from g", STEPS, PROFILE, AROUND, LABELS),
+    "gradual_override": sql(f"""
+        , g as (select *, fuel - lag(fuel, 5) over v as net, sum(abs_delta) over (v rows between 4 preceding and current row) as va, max(delta) over (v rows
+          between 4 preceding and current row) as up, row_number() over v as pos from labelled {V}) select vehicle_id, seq, label, case when label =
+          'OSCILLATION_NOISE' and pos > 5 and net <= -greatest(1.2, 0.005 * capacity) and va > 0.00001 and -net >= 0.55 * va and up <= 2 then 'GRADUAL_CHANGE'
+          else label end as state from g""", STEPS, PROFILE, AROUND, LABELS),
     "canonical_states": sql(f"select rule, {STATE} as state, count(*) as n from labelled group by 1, 2", STEPS, PROFILE, AROUND, LABELS),
-    "state_names": sql(f"select case {STATE} when 'STABLE_JITTER' then 'Stable' when 'OSCILLATION_NOISE' then 'Oscillation' when 'GRADUAL_CHANGE' then 'Gradual change' when 'UPWARD_SHIFT' then 'Upward shift' when 'DOWNWARD_SHIFT' then 'Downward shift' else {STATE} end as state_name, count(*) as n from labelled group by 1", STEPS, PROFILE, AROUND, LABELS),
+    "state_names": sql(f"""
+        select case {STATE} when 'STABLE_JITTER' then 'Stable' when 'OSCILLATION_NOISE' then 'Oscillation' when 'GRADUAL_CHANGE' then 'Gradual change' when
+          'UPWARD_SHIFT' then 'Upward shift' when 'DOWNWARD_SHIFT' then 'Downward shift' else {STATE} end as state_name, count(*) as n from labelled group by 1""", STEPS, PROFILE, AROUND, LABELS),
     "repaired_coordinates": sql("select vehicle_id, seq, lat, lng from t"),
-    "central_times": sql(f"select vehicle_id, seq, us from (select *, max(case when rn = n // 2 + 1 then us end) over (partition by vehicle_id) as mid from (select *, count(*) over (partition by vehicle_id) as n, row_number() over v as rn from t {V})) where n <= 2 or abs(us - mid) <= 86400000000", d=40),
+    "central_times": sql(f"""
+        select vehicle_id, seq, us from (select *, max(case when rn = n // 2 + 1 then us end) over (partition by vehicle_id) as mid from (select *, count(*)
+          over (partition by vehicle_id) as n, row_number() over v as rn from t {V})) where n <= 2 or abs(us - mid) <= 86400000000""", d=40),
     "nominal_period": sql("select vehicle_id, round(coalesce(quantile_cont(gap_min, 0.5) filter (gap_min > 0), 5.0), 6) + 0.0 as period from s group by 1", STEPS),
-    "learnt_period": f"with recursive {TELE.format(d=240)}{STEPS}, z as (select vehicle_id, gap_min, row_number() over v as i from s where gap_min between 0.25 and 15 {V}), f as (select distinct vehicle_id, 0::bigint as i, 5.0::double as x from t union all select z.vehicle_id, z.i, 0.8::double * f.x + 0.2::double * z.gap_min from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1) select vehicle_id, round(max_by(x, i), 6) + 0.0 as period from f group by 1",
-    "behaviour_checks": sql(f", m as (select vehicle_id, max(clean) - min(clean) as span, min(clean) as least, min_by(clean, (us, seq)) - max_by(clean, (us, seq)) as drop_, max(rise) as up, abs(max_by(clean, (us, seq)) - max_by(fuel, (us, seq))) as lag_, max(abs(rise)) as step from (select *, round(clean - lag(clean) over v, 6) as rise from c {V}) group by 1), k as (select vehicle_id, round(span, 6) <= 120 as max_clean_span, up <= 6 as max_upward_step, round(lag_, 6) <= 2.5 as max_final_lag_liters, step <= 8 as max_step_size, round(least, 6) >= 20 as min_clean_liters, cast(null as boolean) as min_valley_attenuation_liters, round(drop_, 6) >= 2 as min_total_clean_drop from m) select *, cast(max_clean_span::int + max_upward_step::int + max_final_lag_liters::int + max_step_size::int + min_clean_liters::int + min_total_clean_drop::int as bigint) as passed, 6::bigint as asked from k", NOISY),
+    "learnt_period": f"""
+        with recursive {TELE.format(d=240)}{STEPS}, z as (select vehicle_id, gap_min, row_number() over v as i from s where gap_min between 0.25 and 15 {V}),
+          f as (select distinct vehicle_id, 0::bigint as i, 5.0::double as x from t union all select z.vehicle_id, z.i, 0.8::double * f.x + 0.2::double *
+          z.gap_min from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1) select vehicle_id, round(max_by(x, i), 6) + 0.0 as period from f group by 1""",
+    "behaviour_checks": sql(f"""
+        , m as (select vehicle_id, max(clean) - min(clean) as span, min(clean) as least, min_by(clean, (us, seq)) - max_by(clean, (us, seq)) as drop_,
+          max(rise) as up, abs(max_by(clean, (us, seq)) - max_by(fuel, (us, seq))) as lag_, max(abs(rise)) as step from (select *, round(clean - lag(clean) over
+          v, 6) as rise from c {V}) group by 1), k as (select vehicle_id, round(span, 6) <= 120 as max_clean_span, up <= 6 as max_upward_step, round(lag_, 6) <=
+          2.5 as max_final_lag_liters, step <= 8 as max_step_size, round(least, 6) >= 20 as min_clean_liters, cast(null as boolean) as
+          min_valley_attenuation_liters, round(drop_, 6) >= 2 as min_total_clean_drop from m) select *, cast(max_clean_span::int + max_upward_step::int +
+          max_final_lag_liters::int + max_step_size::int + min_clean_liters::int + min_total_clean_drop::int as bigint) as passed, 6::bigint as asked from k""", NOISY),
     "step_percentiles": sql("select vehicle_id, " + ", ".join(f"round(quantile_cont(abs_delta, {q / 100}), 6) + 0.0 as p{q}" for q in (50, 95, 99)) + ", round(avg(abs_delta), 6) + 0.0 as mean_step from s group by 1", STEPS),
-    "active_contexts": sql(f", l as (select * from (select *, row_number() over (partition by vehicle_id order by us desc, seq desc) as rn from t) where rn = 1), k as (select l.*, case when capacity_liters > 0 and capacity_liters <> 850 then capacity_liters end as capacity from l left join vehicles using (vehicle_id)) select vehicle_id, us, fuel, capacity, round(greatest(0.5, coalesce(0.002 * capacity, 0)), 6) + 0.0 as noise_sigma from k", VEHICLES),
-    "vehicle_days": sql("select vehicle_id, count(*) as points, min(us // 86400000000) as first_day, max(us // 86400000000) as last_day, count(distinct us // 86400000000) as days from t group by 1", d=40),
-    "largest_rise": sql(f", j as (select *, round(fuel - lag(fuel) over v, 6) as jump, row_number() over v - 1 as pos, count(*) over (partition by vehicle_id) as n from t {V}), b as (select *, row_number() over (partition by vehicle_id order by jump desc, pos) as rn from j where jump > 0) select vehicle_id, pos as at_pos, jump, greatest(0, pos - 30) as start_pos, least(n - 1, pos + 50) as end_pos from b where rn = 1"),
+    "active_contexts": sql(f"""
+        , l as (select * from (select *, row_number() over (partition by vehicle_id order by us desc, seq desc) as rn from t) where rn = 1), k as (select l.*,
+          case when capacity_liters > 0 and capacity_liters <> 850 then capacity_liters end as capacity from l left join vehicles using (vehicle_id)) select
+          vehicle_id, us, fuel, capacity, round(greatest(0.5, coalesce(0.002 * capacity, 0)), 6) + 0.0 as noise_sigma from k""", VEHICLES),
+    "vehicle_days": sql("""
+        select vehicle_id, count(*) as points, min(us // 86400000000) as first_day, max(us // 86400000000) as last_day, count(distinct us // 86400000000) as
+          days from t group by 1""", d=40),
+    "largest_rise": sql(f"""
+        , j as (select *, round(fuel - lag(fuel) over v, 6) as jump, row_number() over v - 1 as pos, count(*) over (partition by vehicle_id) as n from t {V}),
+          b as (select *, row_number() over (partition by vehicle_id order by jump desc, pos) as rn from j where jump > 0) select vehicle_id, pos as at_pos,
+          jump, greatest(0, pos - 30) as start_pos, least(n - 1, pos + 50) as end_pos from b where rn = 1"""),
     "nearest_point": sql("select vehicle_id, seq, us, fuel from (select *, row_number() over (partition by vehicle_id order by abs(us - 1704100000000000), us, seq) as rn from t) where rn = 1"),
     "recent_window": sql("select vehicle_id, seq, us from (select *, max(us) over (partition by vehicle_id) as top from t) where us >= top - 86400000000", d=40),
-    "recent_spikes": sql("select vehicle_id, seq, place from (select vehicle_id, seq, row_number() over (partition by vehicle_id order by us desc, seq desc) as place from c where abs(round(fuel - clean, 6)) > 4) where place <= 10", NOISY),
-    "level_ring": sql("select vehicle_id, string_agg(cast(cast(round(fuel * 100) as bigint) as varchar), ',' order by us, seq) as ring from (select *, row_number() over (partition by vehicle_id order by us desc, seq desc) as rn from t where fuel > 0) where rn <= 12 group by 1"),
-    "segment_options": sql("select *, row_number() over (partition by vehicle_id order by from_us, segment_id) as place from (select vehicle_id, cast(segment_id as bigint) as segment_id, min(us) as from_us, count(*) as points from s group by 1, 2)", STEPS, d=40),
-    "motion_speed": inline_haversine(sql(f"select vehicle_id, seq, round(g, 3) + 0.0 as gps_speed, round(greatest(speed, g), 3) + 0.0 as motion_speed, case when speed <= 5 then 1.0::double when speed <= 40 then 2.0 when speed <= 70 then 1.5 else 2.5 end as noise_factor from (select *, case when gap_min > 0 then coalesce({FAR}, 0) / 1000 / (gap_min / 60) else 0 end as g from s {V})", STEPS)),
+    "recent_spikes": sql("""
+        select vehicle_id, seq, place from (select vehicle_id, seq, row_number() over (partition by vehicle_id order by us desc, seq desc) as place from c
+          where abs(round(fuel - clean, 6)) > 4) where place <= 10""", NOISY),
+    "level_ring": sql("""
+        select vehicle_id, string_agg(cast(cast(round(fuel * 100) as bigint) as varchar), ',' order by us, seq) as ring from (select *, row_number() over
+          (partition by vehicle_id order by us desc, seq desc) as rn from t where fuel > 0) where rn <= 12 group by 1"""),
+    "segment_options": sql("""
+        select *, row_number() over (partition by vehicle_id order by from_us, segment_id) as place from (select vehicle_id, cast(segment_id as bigint) as
+          segment_id, min(us) as from_us, count(*) as points from s group by 1, 2)""", STEPS, d=40),
+    "motion_speed": inline_haversine(sql(f"""
+        select vehicle_id, seq, round(g, 3) + 0.0 as gps_speed, round(greatest(speed, g), 3) + 0.0 as motion_speed, case when speed <= 5 then 1.0::double when
+          speed <= 40 then 2.0 when speed <= 70 then 1.5 else 2.5 end as noise_factor from (select *, case when gap_min > 0 then coalesce({FAR}, 0) / 1000 /
+          (gap_min / 60) else 0 end as g from s {V})""", STEPS)),
     "row_stamps": sql("select vehicle_id, seq, sha256(concat_ws('|', vehicle_id, seq, us)) as stamp from t"),
-    "day_states": sql("select vehicle_id, us // 86400000000 as day, count(*) as points, count(*) filter (label = 'STABLE_JITTER') as stable, string_agg(distinct label, ',' order by label) as labels from labelled where label is not null group by 1, 2", STEPS, PROFILE, AROUND, LABELS),
+    "day_states": sql("""
+        select vehicle_id, us // 86400000000 as day, count(*) as points, count(*) filter (label = 'STABLE_JITTER') as stable, string_agg(distinct label, ','
+          order by label) as labels from labelled where label is not null group by 1, 2""", STEPS, PROFILE, AROUND, LABELS),
 }

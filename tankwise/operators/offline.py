@@ -60,11 +60,11 @@ def follow_labels(t: DataFrame) -> DataFrame:
 
 
 def flatten_bumps(t: DataFrame, spike: float = 2.0, flat: float = 1.0, least: int = 3, most: int = 12) -> DataFrame:
-    """Each point with shape_clean: a level away from the median of the three before that comes back to it, for two points in a
-    row, least to most points later becomes that median.
+    """Each point with shape_clean: a level away from the median of the points before (twice most and one, so that a bump cannot
+    carry it) that comes back to it, for two points in a row, least to most points later becomes that median.
     """
     w = by_vehicle()
-    t = t.withColumns({"base": middle(F.collect_list("fuel").over(w.rowsBetween(-3, -1))), "ahead": F.collect_list("fuel").over(w.rowsBetween(1, most + 1))})
+    t = t.withColumns({"base": middle(F.collect_list("fuel").over(w.rowsBetween(-2 * most - 1, -1))), "ahead": F.collect_list("fuel").over(w.rowsBetween(1, most + 1))})
     near = lambda x: F.abs(x - F.col("base")) <= flat
     back = F.exists(F.sequence(F.lit(least - 1), F.lit(most - 1)), lambda i: F.coalesce(near(F.get("ahead", i)) & near(F.get("ahead", i + 1)), F.lit(False)))
     bump = (F.abs(F.col("fuel") - F.col("base")) >= spike) & back

@@ -200,7 +200,7 @@ ORACLES = {
         ) select vehicle_id, seq, round(case when inside then s.a + (us - s.aus) / (s.e[1] - s.aus) * (s.e[3] - s.a) else fuel end, 6) + 0.0 as cleaned,
           case when inside then case when count(*) over (partition by vehicle_id, inside, s.us, s.seq) = 1 then 'SPIKE' else 'SENSOR_DROPOUT' end end as dropout from y"""),
     "shape_clean": sql(f""", b as (
-          select *, list_median(list(fuel) over (v rows between 3 preceding and 1 preceding)) as base, list(fuel) over (v rows between 1 following and 13 following) as ah from t {_V}
+          select *, list_median(list(fuel) over (v rows between 25 preceding and 1 preceding)) as base, list(fuel) over (v rows between 1 following and 13 following) as ah from t {_V}
         ) select vehicle_id, seq, round(case when coalesce(abs(fuel - base) >= 2 and len(list_filter(range(3, 13), lambda i: abs(ah[i] - base) <= 1 and abs(ah[i + 1] - base) <= 1)) > 0, false) then base else fuel end, 6) + 0.0 as shape_clean from b"""),
     "label_following": sql(
         """, z as (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators.adaptive import enhance
+
 # Names a column may have, the first found counts.
 NAMES = {
     "vehicle_id": ["vehicle_id", "bien_so", "car_id", "VehicleID"],
@@ -68,11 +70,52 @@ def read_labelled(spark: SparkSession, path: str, features: list[str], labels: l
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(id, pos, time, fuel, speed): golden segments of a JSON array of documents, one row for each point."""
+    """Golden segments of a JSON array of documents, one row for each point: (id, pos, time, fuel, speed, lat, lng, expected,
+    expected_state, capacity, source, first_row, review_status, checks). What a document lacks is null.
+    """
     raw = spark.read.option("multiLine", True).json(path)
-    points = F.posexplode(F.arrays_zip("timestamps", "raw_liters", "speed_kmh"))
-    t = raw.select("id", points.alias("pos", "p"))
-    return t.select("id", "pos", moment(F.col("p.timestamps")).alias("time"), F.col("p.raw_liters").alias("fuel"), F.col("p.speed_kmh").alias("speed"))
+    has = lambda c: F.col(c) if c in raw.columns else F.lit(None)
+    curves = {"t": "timestamps", "fuel": "raw_liters", "speed": "speed_kmh", "lat": "latitudes", "lng": "longitudes", "expected": "expected_production_clean_liters", "state": "expected_production_states"}
+    at = {k: F.get(has(c), F.col("pos")) if c in raw.columns else F.lit(None) for k, c in curves.items()}
+    t = raw.select("*", F.explode(F.sequence(F.lit(0), F.size("timestamps") - 1)).alias("pos"))
+    numbers = [at[k].cast("double").alias(k) for k in ("fuel", "speed", "lat", "lng", "expected")]
+    first_row = F.get(has("source_rows"), F.lit(0)).cast("int") if "source_rows" in raw.columns else F.lit(None).cast("int")
+    facts = [has("capacity_est_liters").cast("double").alias("capacity"), has("source").cast("string").alias("source"), first_row.alias("first_row"), has("review_status").cast("string").alias("review_status")]
+    return t.select("id", "pos", moment(at["t"]).alias("time"), *numbers, at["state"].cast("string").alias("expected_state"), *facts, has("checks").alias("checks"))
+
+
+def available_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(vehicle, path) of the CSV files in a folder, named without the endings of processed files; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
+    stem = F.regexp_replace(F.element_at(F.split(F.url_decode("path"), "/"), -1), r"\.csv$", "")
+    return files.select(F.regexp_replace(stem, "_processed|_da_gop", "").alias("vehicle"), "path")
+
+
+def union_sources(*points: DataFrame) -> DataFrame:
+    """Points of several data sets, columns by name, those that one lacks null."""
+    out = points[0]
+    for p in points[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def enhance_files(spark: SparkSession, source: str, target: str) -> None:
+    """The adaptive filter over all CSV files of a folder, written by vehicle."""
+    t = read_csv(spark, source).withColumn("us", F.unix_micros("time"))
+    numbered = t.withColumn("seq", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("us", "fuel")).cast("long"))
+    write_points(enhance(numbered), target, "csv")
+
+
+def write_table(t: DataFrame, url: str, name: str, enabled: bool = True, mode: str = "append", **options: str) -> bool:
+    """Rows into a database table by Spark's JDBC writer; does nothing, and says so, while the database is switched off."""
+    if enabled:
+        t.write.format("jdbc").mode(mode).options(url=url, dbtable=name, **options).save()
+    return enabled
+
+
+def read_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A database table; partitionColumn, lowerBound, upperBound and numPartitions as options deal the read over tasks."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
 def write_points(t: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -34,7 +34,7 @@ from .wordhash import mix64, shingle_sets
 SLOT_BITS = 20
 SLOT_PARTS = 16
 MIN_HASHES = 6
-ENTRIES_A_TILE = 300_000
+ENTRIES_A_TILE = 80_000
 ID_BITS = 20
 MARK_BITS, MARK_PARTS = 27, 16
 HOT_ENTRIES = 20_000

@@ -15,8 +15,9 @@ An audit compares a bounded sample of vectors, half of them with links, with all
 of its links that a vector found is under the goal, cells overlap more and the search runs again; under it at an overlap of
 16, all pairs of a label are compared in tiles. The share found is a column of the result.
 
-Cells of more than shard_rows vectors are worked on in tiles of two blocks each, every pair of blocks, so memory is bounded and
-no row is dropped; comparisons inside one cell grow with the square of its size, as a count of all links asks.
+Cells of more than shard_rows vectors are split by pivots of their own, level by level. Cells so tight that they have one pivot
+are worked on in tiles of two blocks each, every pair of blocks, so memory is bounded and no row is dropped; comparisons inside
+a tight cell grow with the square of its size, as a count of all links asks.
 
 Defined cases: a vector links with nothing when label or vec_id is null or it is null, empty, all zero or holds null or
 non-finite components; vectors are divided by their largest component first, so very large and very small ones are compared
@@ -40,8 +41,13 @@ NEIGHBOURS, DEGREE, ALPHA = 32, 16, 1.2
 BEAM, SLACK = 24, 0.06
 #: Pivots are less alike than this.
 APART = 0.8
+#: Pivots of a large cell, before they are thinned, and rows of it that one task deals to them.
+FAN, SALT_ROWS = 64, 50_000
+#: In a split a vector goes to further pivots as long as they are this near to as similar as the nearest.
+MARGIN = 0.1
+NONE = np.iinfo(np.int64).min
 _FOUND = "a long, b long, links long, crosses boolean"
-_ROWS = "nid long, shard string, cell int, cells array<int>, copies long, values array<double>"
+_ROWS = "nid long, shard string, copies long, values array<double>"
 
 
 def _unit(values: list | np.ndarray) -> np.ndarray:
@@ -139,10 +145,9 @@ def greedy(sims: np.ndarray, near: list[list[int]], q: int, start: int, threshol
 
 
 def _least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of cell numbers (-1: none), the least that both hold; -1 without one."""
-    far = np.iinfo(np.int32).max
-    least = np.where((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0), a[:, :, None], far).min(axis=(1, 2))
-    return np.where(least == far, -1, least)
+    """For rows of cell numbers (NONE: no cell), the least that both hold; the largest number without one."""
+    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != NONE)
+    return np.where(same, a[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
 
 
 def _counted(hit: np.ndarray, ids: np.ndarray, owned) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def _owner(shard_cells: dict[str, list]):
     """For places i and j of a tile: whether their pair counts here, and the copies of j."""
     cell, (lo, hi) = shard_cells["cell"][0], (shard_cells["lo"][0], shard_cells["hi"][0])
     width = max(map(len, shard_cells["cells"]))
-    cells = np.array([c + [-1] * (width - len(c)) for c in shard_cells["cells"]], np.int32)
+    cells = np.array([c + [NONE] * (width - len(c)) for c in shard_cells["cells"]], np.int64)
     block, copies = np.array(shard_cells["block"]), np.array(shard_cells["copies"])
 
     def owned(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +219,11 @@ def _search(threshold: float):
     return run
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["nid", "shard", "copies", "values"])
+
+
 def _assign(pivots, overlap: int):
     """Rows for the cells of the nearest pivots of the label; labels without a pivot are one cell."""
 
@@ -226,19 +236,65 @@ def _assign(pivots, overlap: int):
                 by.setdefault(g, []).append(i)
             for g, rows in by.items():
                 if g not in pivots.value:
-                    out += [(nid[i], f"{g}:0", 0, [0], copies[i], values[i]) for i in rows]
+                    out += [(nid[i], f"{g}:0", copies[i], values[i]) for i in rows]
                     continue
                 x, p = _unit([values[i] for i in rows]), pivots.value[g]
                 k = min(overlap, len(p))
                 top = np.argpartition(-(x @ p.T), k - 1, axis=1)[:, :k]
-                out += [(nid[i], f"{g}:{c}", c, sorted(own), copies[i], values[i]) for i, own in zip(rows, top.tolist(), strict=True) for c in own]
+                out += [(nid[i], f"{g}:{c}", copies[i], values[i]) for i, own in zip(rows, top.tolist(), strict=True) for c in own]
             if out:
-                types = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["nid", "shard", "cell", "cells", "copies", "values"])
+                yield _rows(out)
 
     return run
 
 
+def _reassign(overlap: int):
+    """Rows of large cells, after the cell's own pivots, for the cells of the nearest of these; a tight cell (one pivot) ends in !."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, given, pivots = None, [], np.zeros((0, 0))
+        for batch in batches:
+            out = []
+            for nid, shard, copies, values, salt, kind in zip(*[batch.column(c).to_pylist() for c in ("nid", "shard", "copies", "values", "salt", "kind")], strict=True):
+                if (shard, salt) != cell:
+                    cell, given, pivots = (shard, salt), [], np.zeros((0, 0))
+                if kind == 0:
+                    given.append(values)
+                    continue
+                if given:
+                    pivots, given = thinned(_unit(given)), []
+                if len(pivots) < 2:
+                    out.append((nid, f"{shard}!", copies, values))
+                    continue
+                sims = pivots @ _unit([values])[0]
+                order = np.argsort(-sims, kind="stable")[:overlap]
+                out += [(nid, f"{shard}.{c}", copies, values) for c in order.tolist() if sims[c] >= sims[order[0]] - MARGIN]
+            if out:
+                yield _rows(out)
+
+    return run
+
+
+def _split(cells: DataFrame, limit: int, overlap: int, parts: int, depth: int = 8) -> DataFrame:
+    """cells (a table) with those of more than limit vectors split by pivots of their own, level by level, unless they are tight."""
+    for level in range(depth):
+        sizes = table(cells.where("shard not like '%!'").groupBy("shard").count().where(F.col("count") > limit).select(F.col("shard").alias("big"), F.col("count").alias("n")), "large")
+        if sizes.isEmpty():
+            break
+        j = cells.join(sizes, F.col("shard") == F.col("big"), "left")
+        large = j.where("big is not null").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
+        chosen = large.where(F.pmod(F.xxhash64(F.lit(level), "nid"), F.lit(1 << 30)) * F.col("n") < FAN * (1 << 30))
+        pivots = chosen.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "kind": F.lit(0)})
+        rows = large.withColumns({"salt": F.pmod(F.xxhash64("nid"), F.col("salts")).cast("int"), "kind": F.lit(1)})
+        columns = ["nid", "shard", "copies", "values", "salt", "kind"]
+        dealt = pivots.select(columns).unionByName(rows.select(columns)).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "nid")
+        after = j.where("big is null").select("nid", "shard", "copies", "values").unionByName(dealt.mapInArrow(_reassign(overlap), _ROWS))
+        after = table(after, "cells")
+        drop_tables(cells, sizes)
+        cells = after
+    return cells
+
+
 def _tiled(rows: DataFrame, shard_rows: int) -> DataFrame:
     """rows with larger cells replaced by tiles of two blocks (lo, hi), every pair of blocks; block is the row's own."""
     blocks = F.when(F.col("count") <= shard_rows, 1).otherwise(F.ceil(F.col("count") * 2 / shard_rows)).cast("int")
@@ -267,21 +323,24 @@ def near_links(nodes: DataFrame, threshold: float = 0.93, overlap: int = 2, max_
     parts = max(12, 2 * n // 10_000)
     while True:
         cells = table(nodes.select("nid", "grp", "copies", "values").mapInArrow(_assign(pivots, overlap), _ROWS), "cells")
-        rows = table(_tiled(cells, shard_rows), "tiles")
+        cells = _split(cells, shard_rows, overlap, parts)
+        own = table(cells.groupBy("nid").agg(F.sort_array(F.collect_set(F.xxhash64("shard"))).alias("cells")), "own")
+        numbered = cells.withColumn("cell", F.xxhash64("shard")).join(own, "nid")
+        rows = table(_tiled(numbered, shard_rows), "tiles")
         edges = _dealt(rows.select("shard", "nid", "values"), parts).mapInArrow(_build, "src long, dst long").distinct()
         lists = table(edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near")), "graph")
         members = rows.select("shard", "nid")
         outside = members.join(lists, F.col("nid") == F.col("src")).select("shard", F.explode("near").alias("nid")).distinct().join(members, ["shard", "nid"], "left_anti")
         columns = ["shard", "nid", "values", "cell", "cells", "lo", "hi", "block", "copies", "core"]
-        of = cells.dropDuplicates(["nid"]).select("nid", "values", "cells", "copies")
-        halo = outside.join(of, "nid").withColumns({c: F.lit(0) for c in ("cell", "lo", "hi", "block")}).withColumn("core", F.lit(False))
+        of = nodes.select("nid", "values", "copies").join(own, "nid")
+        halo = outside.join(of, "nid").withColumn("cell", F.lit(0).cast("long")).withColumns({c: F.lit(0) for c in ("lo", "hi", "block")}).withColumn("core", F.lit(False))
         whole = rows.withColumn("core", F.lit(True)).select(columns).unionByName(halo.select(columns))
         whole = whole.join(lists, F.col("nid") == F.col("src"), "left").drop("src")
         found = table(_dealt(whole, parts).mapInArrow(_search(threshold), _FOUND), "found")
         counts, joined = _links(found, nodes)
         counts = table(counts, "links")
         recall = _recall(nodes, counts, audit, threshold)
-        drop_tables(cells, rows, lists)
+        drop_tables(cells, own, rows, lists)
         if recall is None or recall >= goal:
             return counts, joined, recall
         drop_tables(found, counts)
@@ -339,7 +398,8 @@ def _exact(nodes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
             np.fill_diagonal(hit, False)
             yield from _counted(hit | hit.T, ids, _owner(more))
 
-    cell = nodes.select("nid", F.col("grp").alias("shard"), F.lit(0).alias("cell"), F.array(F.lit(0)).alias("cells"), "copies", "values")
+    one = F.lit(0).cast("long")
+    cell = nodes.select("nid", F.col("grp").alias("shard"), one.alias("cell"), F.array(one).alias("cells"), "copies", "values")
     tiles = table(_tiled(cell, shard_rows), "tiles").select("shard", "nid", "values", "cell", "cells", "lo", "hi", "block", "copies")
     return _dealt(tiles, max(12, tiles.count() // 10_000)).mapInArrow(run, _FOUND)
 

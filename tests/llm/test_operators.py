@@ -228,6 +228,28 @@ def test_links_of_overlapping_and_tiled_cells_count_once(spark):
         assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() and recall >= 0.9
 
 
+def test_large_cells_are_split_by_pivots_of_their_own(spark):
+    nodes, hit = groups_of_near_copies(spark, [40] * 12 + [150])
+    parts_seen = []
+    split = near_vectors._split
+
+    def spied(cells, *more, **kw):
+        out = split(cells, *more, **kw)
+        parts_seen.extend(r["shard"] for r in out.select("shard").distinct().collect())
+        return out
+
+    near_vectors._split = spied
+    try:
+        counts, edges, recall = near_vectors.near_links(nodes, goal=0.0, shard_rows=60)
+    finally:
+        near_vectors._split = split
+    got = {r["nid"]: r["links"] for r in counts.collect()}
+    want = hit @ (1 + np.arange(630) % 2)
+    assert any("." in x for x in parts_seen) and any(x.endswith("!") for x in parts_seen)
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() and recall >= 0.9
+    assert parts_of(630, [(r["a"], r["b"]) for r in edges.collect()]) == parts_of(630, np.argwhere(hit).tolist())
+
+
 def test_failing_the_audit_compares_all(spark):
     nodes, hit = groups_of_near_copies(spark, [30, 2])
     counts, edges, recall = near_vectors.near_links(nodes, overlap=16, goal=1.1, shard_rows=20)

@@ -18,6 +18,8 @@ FEATURES = [
     "fuel", "speed", "gap_min", "delta", "abs_delta", "prev3", "next3", "next5", "range_pm3", "range_m2p5", "std12", "back", "hold", "sign_changes", "is_peak", "is_valley", "flat", "spike", "event", "motion_speed",
     "return_level", "transient_score",
 ]
+# Labels that are repeated in training, and up to how many rows.
+RARE, RARE_LEAST = ["UPWARD_SHIFT", "DOWNWARD_SHIFT"], 1500
 #: What is known when a point comes.
 CAUSAL = ["fuel", "speed", "gap_minutes", "delta_fuel", "abs_delta_fuel", "delta_over_noise", "rolling_std", "median3", "range5", "range7"]
 
@@ -45,7 +47,7 @@ def _weighted(rows: DataFrame, label: str) -> DataFrame:
 
 def train(t: DataFrame, most: int = 30_000, trees: int = 300, depth: int = 18, least: int = 3, columns: list[str] = FEATURES) -> PipelineModel:
     """A forest on at most `most` rows of each label (that bound is the parameter), labels weighed alike; seeded, so reruns agree."""
-    rows = _weighted(balanced(features(t, columns).where("label is not null"), "label", most), "label")
+    rows = _weighted(balanced(features(t, columns), "label", most, rare=RARE, least=RARE_LEAST), "label")
     names = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     forest = RandomForestClassifier(labelCol="_y", featuresCol="_f", predictionCol="_p", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=42)
     return Pipeline(stages=[names.setHandleInvalid("keep"), VectorAssembler(inputCols=columns, outputCol="_f"), forest, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
@@ -53,7 +55,7 @@ def train(t: DataFrame, most: int = 30_000, trees: int = 300, depth: int = 18, l
 
 def train_boosted(t: DataFrame, most: int = 30_000, rounds: int = 300, rate: float = 0.05, depth: int = 5, columns: list[str] = FEATURES) -> PipelineModel:
     """The other model: scaled features and boosted trees, one against the rest of the labels."""
-    rows = balanced(features(t, columns).where("label is not null"), "label", most)
+    rows = balanced(features(t, columns), "label", most, rare=RARE, least=RARE_LEAST)
     names = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     one = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=42)
     stages = [names.setHandleInvalid("keep"), VectorAssembler(inputCols=columns, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_f", withMean=True), OneVsRest(classifier=one, labelCol="_y", featuresCol="_f", predictionCol="_p")]

@@ -83,7 +83,21 @@ MERGED = {
 } | dict.fromkeys(["SLOSHING_NOISE", "SPIKE", "DROPOUT", "TRANSIENT_UP_NOISE", "TRANSIENT_DOWN_NOISE", "TRANSIENT_NOISE", "TRANSIENT_CLUSTER_NOISE"], "OSCILLATION_NOISE")
 
 
-def balanced(t: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most limit rows of each label, by a hash of the row's identity."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", "vehicle_id", F.col("seq").cast("string"))))
-    return t.where(F.col(label).isNotNull()).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+def balanced(t: DataFrame, label: str, limit: int, capped: list[str] | None = None, rare: list[str] | None = None, least: int = 0) -> DataFrame:
+    """At most limit rows of each label (or of the capped ones alone), by a hash of the row's identity, with their copy number; the
+    rare labels' rows are repeated, the first by that hash once more than the others, until there are least of them.
+    """
+    t = t.where(F.col(label).isNotNull())
+    by_hash = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", "vehicle_id", F.col("seq").cast("string"))), "us")
+    cap = F.lit(True) if capped is None else F.col(label).isin(capped)
+    # the filter on the row number lets each task send at most limit rows of a label
+    few = t.where(cap).withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= limit)
+    few = (few if capped is None else few.unionByName(t.where(~cap).withColumn("rn", F.lit(0)))).drop("rn").withColumn("copy", F.lit(1))
+    if not rare:
+        return few
+    sizes = F.broadcast(few.where(F.col(label).isin(rare)).groupBy(F.col(label).alias("of")).agg(F.count("*").alias("size")).where(F.col("size") < least))
+    j = few.join(sizes, F.col(label) == F.col("of"), "left")
+    more = j.where("of is not null").withColumn("rn", F.row_number().over(by_hash))  # fewer than least rows of a label
+    times = F.expr(f"cast({least} div size + if(rn <= {least} % size, 1, 0) as int)")
+    more = more.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("rn")
+    return j.where("of is null").unionByName(more).drop("of", "size")

@@ -123,3 +123,41 @@ def ring(t: DataFrame, size: int) -> DataFrame:
     """The last size valid levels of each vehicle in hundredths of a litre, oldest first, comma-joined."""
     last = latest(t.where("fuel > 0"), size)
     return last.groupBy("vehicle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", F.round(F.col("fuel") * 100).cast("long").alias("v")))), lambda p: p["v"].cast("string")), ",").alias("ring"))
+
+
+def report(t: DataFrame) -> DataFrame:
+    """The eleven columns of a vehicle's export in time order, from points with raw, clean, speed, lat, lng and address."""
+    w = Window.partitionBy("vehicle_id").orderBy("us", "seq")
+    raw = F.round(F.coalesce("raw", F.lit(0.0)), 2)
+    t = t.withColumns({"no": F.row_number().over(w), "raw_liters": raw, "clean_liters": F.round(F.coalesce("clean", raw), 2)})
+    off = F.round(F.col("raw_liters") - F.col("clean_liters"), 2)
+    return t.select(
+        "no", "vehicle_id", "us", "raw_liters", "clean_liters", off.alias("noise_liters"), noise_band(F.abs(off)).alias("signal"), F.coalesce("speed", F.lit(0.0)).alias("speed_kmh"),
+        F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lng", F.lit(0.0)).alias("lng"), F.coalesce("address", F.lit("")).alias("address"),
+    )
+
+
+# The region that maps show.
+MAP_LAT, MAP_LNG = (5, 30), (90, 120)
+
+
+def map_bounds(t: DataFrame) -> DataFrame:
+    """Points inside the region, and their least and greatest coordinates, by vehicle; swapped coordinates are put right first."""
+    swapped = (F.col("lat") > 50) & (F.col("lng") < 50)
+    lat, lng = (F.when(swapped, F.col(a)).otherwise(F.col(b)) for a, b in (("lng", "lat"), ("lat", "lng")))
+    p = t.select("vehicle_id", lat.alias("lat"), lng.alias("lng"))
+    p = p.where((F.col("lat") > MAP_LAT[0]) & (F.col("lat") < MAP_LAT[1]) & (F.col("lng") > MAP_LNG[0]) & (F.col("lng") < MAP_LNG[1]))
+    return p.groupBy("vehicle_id").agg(F.count("*").alias("points"), *[f(c).alias(f"{n}_{c}") for c in ("lat", "lng") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def on_days(t: DataFrame, time: str, first: str | None, last: str | None) -> DataFrame:
+    """Rows whose time, as text, begins with a day from first to last (yyyy-MM-dd, either may be open); rows without a time stay."""
+    day = F.substring(F.col(time).cast("string"), 1, 10)
+    inside = (F.lit(True) if first is None else day >= first) & (F.lit(True) if last is None else day <= last)
+    return t.where(F.col(time).isNull() | inside)
+
+
+def save_measurements(outputs: DataFrame, path: str) -> None:
+    """Append cleaned points, by vehicle; rows without a raw or clean level are not stored, unknown states become the first known."""
+    rows = outputs.where("raw is not null and clean is not null").withColumn("state_code", known_state(F.col("signal_state")))
+    rows.repartition("vehicle_id").write.mode("append").partitionBy("vehicle_id").parquet(path)

@@ -115,10 +115,19 @@ def causal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.predict_causal(model, t.where("held_out")).select(*KEY, "state")
 
 
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = telemetry(spark, sf_dir).withColumn("clean", F.lag("fuel").over(W.by_vehicle()))
+    return S.report(t.selectExpr("*", "fuel as raw", "cast(null as string) as address"))
+
+
+def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.map_bounds(telemetry(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     shift_events, newest_events, event_kinds, fleet_summary, scoped_matrix, score_report, axis_bounds, collapsed_states, segment_scope, curve_regression,
       segment_provenance, vehicle_log, dropout_line, shape_clean,
-    label_following, online_features, enhanced_levels, segment_replay, causal_states,
+    label_following, online_features, enhanced_levels, segment_replay, causal_states, report_rows, map_bounds,
 )}
 
 _EVENTS = """, runs as (
@@ -153,6 +162,14 @@ _SCORES = """, sr_m as (
 _V = "window v as (partition by vehicle_id order by us, seq)"
 
 ORACLES = {
+    "report_rows": sql(f""", c as (
+          select *, row_number() over v as no, round(fuel, 2) as rl, round(coalesce(lag(fuel) over v, fuel), 2) as cl from t {_V}
+        ), n as (
+          select *, round(rl - cl, 2) as off from c
+        ) select cast(no as int) as no, vehicle_id, us, rl as raw_liters, cl as clean_liters, off as noise_liters, case when abs(off) > 4 then 'Spike' when abs(off) > 1.5 then 'Sloshing' else 'Normal' end as signal,
+          coalesce(speed, 0) as speed_kmh, coalesce(lat, 0) as lat, coalesce(lng, 0) as lng, '' as address from n"""),
+    "map_bounds": sql("""select vehicle_id, count(*) as points, min(lat) as min_lat, max(lat) as max_lat, min(lng) as min_lng, max(lng) as max_lng
+        from t where lat > 5 and lat < 30 and lng > 90 and lng < 120 group by 1"""),
     "shift_events": sql("""
         select vehicle_id, vehicle_name, event_type, start_us, end_us, start_fuel, end_fuel, round(end_fuel - start_fuel, 6) + 0.0 as change_liters, lat, lng
           from e""", *_LABELLED, VEHICLES, _EVENTS),

@@ -201,8 +201,10 @@ ORACLES = {
           round(recall, 6) + 0.0 as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) + 0.0 as f1
           from k""", STEPS, PROFILE, AROUND, LABELS),
     "balanced_sample": sql("""
-        select vehicle_id, seq, label from (select *, row_number() over (partition by label order by md5(vehicle_id || '|' || cast(seq as varchar))) as rn
-          from labelled where label is not null) where rn <= 300""", STEPS, PROFILE, AROUND, LABELS),
+        , bl as (
+          select vehicle_id, seq, label, row_number() over (partition by label order by md5(vehicle_id || '|' || cast(seq as varchar)), us) as rn, count(*) over (partition by label) as size from labelled where label is not null
+        ) select vehicle_id, seq, label, cast(unnest(generate_series(1, case when label in ('UPWARD_SHIFT', 'DOWNWARD_SHIFT') and size < 150 then 150 // size + case when rn <= 150 % size then 1 else 0 end else 1 end)) as int) as copy
+          from bl where label <> 'STABLE_JITTER' or rn <= 300""", STEPS, PROFILE, AROUND, LABELS),
     "state_transitions": sql("""
         select was, label, count(*) as n from (select label, lag(label) over (partition by vehicle_id order by us, seq) as was from labelled) where was is not
           null and label is not null group by 1, 2""", STEPS, PROFILE, AROUND, LABELS),

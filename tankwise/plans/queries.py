@@ -101,7 +101,8 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.balanced(_labelled(spark, sf_dir), "label", 300).select(*KEY, "label")
+    t = P.balanced(_labelled(spark, sf_dir), "label", 300, capped=["STABLE_JITTER"], rare=["UPWARD_SHIFT", "DOWNWARD_SHIFT"], least=150)
+    return t.select(*KEY, "label", "copy")
 
 
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:

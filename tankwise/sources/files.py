@@ -91,6 +91,11 @@ def available_sources(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(stem, "_processed|_da_gop", "").alias("vehicle"), "path")
 
 
+def stamps(spark: SparkSession, path: str) -> DataFrame:
+    """(path, stamp): the first twelve hexadecimal digits of the SHA-256 of each file."""
+    return spark.read.format("binaryFile").load(path).select("path", F.substring(F.sha2("content", 256), 1, 12).alias("stamp"))
+
+
 def union_sources(*points: DataFrame) -> DataFrame:
     """Points of several data sets, columns by name, those that one lacks null."""
     out = points[0]

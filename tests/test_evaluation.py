@@ -126,3 +126,19 @@ def test_history_is_that_of_one_vehicle(spark):
     find = lambda like: [r.seq for r in serving.history(t, like, None, None, 5).collect()]
     assert find("ab1") == [1] and find("Ab") == [2] and find("b1") == [1] and find("zz") == []
     assert [r.seq for r in serving.log(t, "ab", 3, None, 5).collect()] == [3] and serving.without_vehicle(t, "ab").count() == 2
+
+
+def test_stored_and_filtered_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("v", 5.0, 4.0, "GRADUAL_CHANGE", "2026-01-02 03:00"), ("v", None, 4.0, "x", None), ("v", 5.0, None, "x", "2026-01-03"), ("w", 1.0, 1.0, "x", "2026-01-04")], "vehicle_id string, raw double, clean double, signal_state string, time string")
+    serving.save_measurements(rows, str(tmp_path / "m"))
+    assert sorted((r.vehicle_id, r.state_code) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [("v", "GRADUAL_CHANGE"), ("w", "STABLE_JITTER")]
+    assert [serving.on_days(rows, "time", *d).count() for d in (("2026-01-02", "2026-01-03"), (None, "2026-01-02"), ("2026-01-05", None))] == [3, 2, 1]
+    (tmp_path / "f").write_text("abc")
+    assert S.stamps(spark, str(tmp_path / "f")).first().stamp == "ba7816bf8f01"
+
+
+def test_rare_labels_are_repeated_in_training(spark):
+    rows = spark.createDataFrame([("v", i, i, ["A", "B", "B", "C"][i % 4]) for i in range(40)], "vehicle_id string, seq long, us long, label string")
+    got = P.balanced(rows, "label", 8, capped=["B"], rare=["C"], least=25).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {"A": 10, "B": 8, "C": 25}
+    assert P.balanced(rows, "label", 8).count() == 24

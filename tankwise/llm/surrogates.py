@@ -18,6 +18,8 @@ whose forms run out (more entities than ten-digit numbers, say) is an error.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,6 @@ def _surrogate() -> Column:
 
 def _keys(key: bytes, rounds: int) -> list[tuple[int, bytearray, bytearray]]:
     """(attempt, inner block, outer block) of the HMAC for each round."""
-    import hashlib
-
     block = (hashlib.sha512(key).digest() if len(key) > BLOCK else key).ljust(BLOCK, b"\0")
     return [(n, bytearray(b ^ 0x36 for b in block), bytearray(b ^ 0x5C for b in block)) for n in range(rounds)]
 
@@ -163,7 +163,8 @@ def surrogates(found: DataFrame, key: str | bytes, max_rounds: int = 60) -> Data
     spark = found.sparkSession
     keys = F.broadcast(spark.createDataFrame(_keys(key, max_rounds), "attempt int, inner binary, outer binary"))
     space = F.when(F.col("kind").isin("given", "surname"), "name").otherwise(F.col("kind")).alias("space")
-    own = table(found.groupBy("kind", "canon", "gender").agg(F.min("script").alias("script")).select("*", space, F.lit(0).alias("attempt")), "entities")
+    distinct = table(found.groupBy("kind", "canon", "gender").agg(F.min("script").alias("script")).select("*", space), "entities")
+    own = distinct.withColumn("attempt", F.lit(0))
     originals = own.select(F.col("space").alias("o_space"), F.col("canon").alias("o_canon")).distinct()
     old = []
     for _ in range(max_rounds):
@@ -176,7 +177,7 @@ def surrogates(found: DataFrame, key: str | bytes, max_rounds: int = 60) -> Data
         drop_tables(*old)
         old = [made]
         if made.where("again").isEmpty():
-            drop_tables(own) if hasattr(own, "scratch_path") else None
+            drop_tables(distinct)
             return made.select("kind", "canon", "gender", "surrogate")
         own = made.selectExpr("kind", "canon", "gender", "script", "space", "attempt + cast(again as int) as attempt")
     raise RuntimeError("surrogates of a type ran out")

@@ -2,8 +2,8 @@
 
 1. A pass over the texts makes for each document its set size, a 128-bit hash of the set, a few minimum hashes, an XOR
    bitmap of as many bits as its size band, and counts of shingles in 2^20 hash slots. Equal sets become one.
-2. Documents that share a minimum hash are compared with the smallest id among them: a star, not all pairs. This joins
-   most copies cheaply.
+2. Documents that share a minimum hash are compared with one of them: a star, not all pairs. The hub is the one whose shingles
+   are the most common; this joins most copies to their original cheaply, whatever their ids.
 3. Exact candidates of what may still be missed: each set has its rarest quarter (by slot count, then hash: one order for
    all). Shingles of it that one component holds alone are dropped by a Spark aggregation and a bitmap of the others, before
    entries are shuffled. The rest go to tiles by shingle, size band (their own and the next) and, where a shingle has many
@@ -64,12 +64,14 @@ _SKETCH = "doc_id long, n long, s1 long, s2 long, mins array<long>, bitmap binar
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("mins", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema(
+            [(c, pa.int64()) for c in ("doc_id", "n", "s1", "s2")] + [("mins", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())]
+        )
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, h in zip(ids, shingle_sets(batch.column(1), k), strict=True):
                 if not len(h):
-                    rows.append((doc_id, 0, None, None, None, None, None, None))
+                    rows.append((doc_id, 0, *[None] * 6))
                     continue
                 np.add.at(counts, (h & _U((1 << SLOT_BITS) - 1)).astype(np.int64), 1)
                 s1, s2 = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64).tolist()
@@ -103,6 +105,17 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     return np.minimum(8 * np.log2(np.maximum(out.reshape(-1), 1)), 255).astype(np.uint8)
 
 
+def _central(levels, k: int):
+    """(rep, central): how common the shingles of each text are on average; greatest for the original of many copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [float(levels.value[(h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)].mean()) if len(h) else None for h in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["rep", "central"])
+
+    return run
+
+
 def _first(levels: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The rarest quarter of a set."""
     return h[np.argsort(levels[(h & _U((1 << SLOT_BITS) - 1)).astype(np.int64)] | (h >> _U(8)), kind="stable")[: len(h) // 4 + 1]]
@@ -335,16 +348,19 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     sketch = table(docs.mapInArrow(_sketches(k), _SKETCH), "sketch")
     each = sketch.where("part is null")
     sets = table(each.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bitmap").alias("bitmap")), "sets")
-    # stars of documents that share a minimum hash
-    keys = sets.select("rep", F.explode("mins").alias("key"))
-    # written, so that the rows of a very common minimum hash are split over tasks when they are joined
-    hubs = table(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many"), "hubs")
-    stars = keys.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    levels = spark.sparkContext.broadcast(_levels(sketch))
+    # stars of documents that share a minimum hash; the hub is the one whose shingles are the most common, as those of an original
+    # are, so that its copies need not be similar to each other. Hubs are written, so that the rows of a very common minimum
+    # hash are split over tasks when they are joined
+    central = table(texts.mapInArrow(_central(levels, k), "rep long, central double").groupBy("rep").agg(F.max("central").alias("central")), "central")
+    keys = sets.join(central, "rep").select("rep", "central", F.explode("mins").alias("key"))
+    first = F.min_by("rep", F.struct(-F.col("central"), "rep")).alias("hub")
+    hubs = table(keys.groupBy("key").agg(first, F.count("*").alias("many")).where("many > 1").drop("many"), "hubs")
+    stars = sets.select("rep", F.explode("mins").alias("key")).join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = table(_verified(stars, sets, texts, k), "links")
     joined = components(links)
     labels = sets.select(F.col("rep").alias("doc_id")).distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     # exact candidates between components
-    levels = spark.sparkContext.broadcast(_levels(sketch))
     left = table(labels.join(texts, "doc_id").select("doc_id", "comp", "text"), "prefixed")
     held = left.select("comp", "text").mapInArrow(_held(levels, k), "h long, lo long, hi long, many long")
     shared = table(held.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("many").alias("many")).where("lo <> hi").select("h", "many", F.expr(f"(many + {hot_entries - 1}) div {hot_entries}").alias("blocks")), "shared")

@@ -44,7 +44,7 @@ PROFILE = """, pd as (
   select *, greatest(0.5, 0.003 * capacity, 2 * sigma) as flat, greatest(2.0, 0.012 * capacity, 4 * sigma) as spike, greatest(5.0, 0.035 * capacity, 8 * sigma) as event from p4
 )"""
 
-AROUND = """, j as (
+AROUND = """, profiled as (
   select s.*, capacity, sigma, flat, spike, event from s join profile using (vehicle_id)
 ), a1 as (
   select *, coalesce(delta, 0) as d, coalesce(lag(delta) over v, 0) as prev_d, coalesce(lag(fuel) over v, fuel) as prev, coalesce(lag(fuel, 2) over v,
@@ -59,7 +59,7 @@ AROUND = """, j as (
     count(fuel) over (v rows between 3 preceding and 3 following) as n7, max(fuel) over (v rows between 3 preceding and 3 following) - min(fuel) over (v
       rows between 3 preceding and 3 following) as r7,
     case when count(fuel) over (v rows between 11 preceding and current row) >= 2 then stddev_pop(fuel) over (v rows between 11 preceding and current row) else 0 end as std12
-  from j window v as (partition by vehicle_id order by us, seq)
+  from profiled window v as (partition by vehicle_id order by us, seq)
 ), a2 as (
   select *, coalesce(list_median(bef), fuel) as prev3, coalesce(list_median(aft3), fuel) as next3, coalesce(list_median(aft5), fuel) as next5, case when
     n8 >= 5 then r8 else 0 end as range_m2p5, case when n7 >= 3 then r7 else 0 end as local_range,

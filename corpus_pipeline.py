@@ -31,13 +31,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id stays, any of those without doc_id last.
 
-    Each row is a document of its own, also where rows share a doc_id; texts without words are similar to nothing and stay.
+    Each text is a document of its own, also where rows share a doc_id (20 bits of a hash tell their texts apart); texts without
+    words are similar to nothing and stay. The operator's ids keep the order of doc_id, so that copies are compared with the
+    earliest document first.
     """
-    numbered = table(docs.select(F.monotonically_increasing_id().alias("id"), whole_row(docs).alias("row")), "numbered")
+    at, small = F.monotonically_increasing_id(), F.col("doc_id").between(0, (1 << 42) - 1)
+    told_apart = F.shiftleft("doc_id", 20).bitwiseOR(F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
+    node = F.when(small, told_apart).otherwise(F.lit(1 << 62) + at)
+    numbered = table(docs.select(at.alias("at"), node.alias("id"), whole_row(docs).alias("row")), "numbered")
     found = jaccard_join.similar_components(numbered.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")))
-    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("id").alias("id"))
-    first = numbered.select("id", order.alias("order")).join(found.select(F.col("doc_id").alias("id"), "component_id"), "id").groupBy("component_id").agg(F.min("order").alias("first"))
-    return numbered.join(first.select(F.col("first.id").alias("id")), "id", "left_semi").select(unpacked("row", docs.columns))
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("at").alias("at"))
+    of = found.select(F.col("doc_id").alias("id"), "component_id").distinct()
+    first = numbered.select("id", order.alias("order")).join(of, "id").groupBy("component_id").agg(F.min("order").alias("first"))
+    return numbered.join(first.select(F.col("first.at").alias("at")), "at", "left_semi").select(unpacked("row", docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

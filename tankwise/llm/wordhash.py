@@ -46,8 +46,10 @@ class Words:
     first: np.ndarray
 
 
-def words(texts: pa.Array, lower: bool = False, at_once: int = 1 << 21) -> Iterator[Words]:
-    """Hashes of the runs without white space in each text, some megabytes of rows at a time; null has none."""
+def words(texts: pa.Array, lower: bool = False, at_once: int = 1 << 21, between: np.ndarray = _SPACE) -> Iterator[Words]:
+    """Hashes of the runs without white space (or without the bytes marked in between) in each text, some megabytes of rows at a
+    time; null has none.
+    """
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
@@ -57,7 +59,7 @@ def words(texts: pa.Array, lower: bool = False, at_once: int = 1 << 21) -> Itera
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + at_once, "right")) - 1)
         own = offsets[lo : hi + 1] - offsets[lo]
         part = data[offsets[lo] : offsets[hi]]
-        full = ~_SPACE[part]
+        full = ~between[part]
         size = len(full)
         starts, ends = full.copy(), full.copy()
         starts[1:] &= ~full[:-1]

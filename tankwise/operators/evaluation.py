@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankwise.operators import tracking
+from tankwise.operators import forest, tracking
 from tankwise.operators.quality import scores
 
 
+SEGMENT = ("vehicle_id", "segment_id")
+
+
 def replay(t: DataFrame) -> DataFrame:
-    """The tracking step over each segment (vehicle_id, segment_id) with a fresh state, with the rolling deviation of the clean curve."""
-    key = F.concat_ws("#", "vehicle_id", F.col("segment_id").cast("string"))
-    out = tracking.track(t.withColumn("vehicle_id", key))
-    parts = F.split("vehicle_id", "#")
-    out = out.withColumns({"segment_id": parts[1].cast("long"), "vehicle_id": parts[0]})
-    twelve = Window.partitionBy("vehicle_id", "segment_id").orderBy("us", "seq").rowsBetween(-11, 0)
-    return out.withColumn("clean_std", F.when(F.count("clean").over(twelve) >= 2, F.stddev_pop("clean").over(twelve)).otherwise(0.0))
+    """The tracking step over each segment (vehicle_id, segment_id) with a fresh state, with the rolling deviations of the clean
+    curve and of the levels in the segment. The column label, if t has it, gives the states.
+    """
+    out = tracking.track_segments(t)
+    twelve = Window.partitionBy(*SEGMENT).orderBy("us", "seq").rowsBetween(-11, 0)
+    deviation = lambda c: F.when(F.count(c).over(twelve) >= 2, F.stddev_pop(c).over(twelve)).otherwise(0.0)
+    return out.withColumns({"clean_std": deviation("clean"), "rolling_std": deviation("raw")})
+
+
+def replay_predicted(model: PipelineModel | None, t: DataFrame) -> DataFrame:
+    """Each segment as a dashboard shows it: the model's states of its points, from its own past only, then the tracking step that
+    takes them as labels, both with a fresh state. Labels that t has are not looked at.
+    """
+    predicted = forest.predict_causal(model, t.drop("label"), SEGMENT)
+    return replay(predicted.withColumnRenamed("state", "label"))
 
 
 def regression(actual: DataFrame, expected: DataFrame, key: list[str], a: str, e: str) -> DataFrame:

@@ -1,38 +1,27 @@
-"""Random forest over the window features: trained on some vehicles, judged on the others."""
+"""Random forest over the 28 features: trained on some vehicles, judged on the others.
+
+Labelled rows carry the offline features (profile.labelled, then feature_vector.offline); points that come one by one the causal
+ones. A model takes either: both have the same names and order.
+"""
 
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tankwise.operators.feature_vector import NAMES, causal
 from tankwise.operators.preparation import gradual_override
 from tankwise.operators.profile import balanced
-from tankwise.operators.windows import by_vehicle, online_features
+from tankwise.operators.windows import VEHICLE
 
-FEATURES = [
-    "fuel", "speed", "gap_min", "delta", "abs_delta", "prev3", "next3", "next5", "range_pm3", "range_m2p5", "std12", "back", "hold", "sign_changes", "is_peak", "is_valley", "flat", "spike", "event", "motion_speed",
-    "return_level", "transient_score",
-]
 # Labels that are repeated in training, and up to how many rows.
 RARE, RARE_LEAST = ["UPWARD_SHIFT", "DOWNWARD_SHIFT"], 1500
-#: What is known when a point comes.
-CAUSAL = ["fuel", "speed", "gap_minutes", "delta_fuel", "abs_delta_fuel", "delta_over_noise", "rolling_std", "median3", "range5", "range7"]
-
-
-def features(t: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """Doubles only; a feature without a value is 0. back and hold compare the next levels with those before and with this one."""
-    if "back" in columns:
-        t = t.withColumns({"back": F.col("next3") - F.col("prev3"), "hold": F.col("next3") - F.col("fuel")})
-    if "rolling_std" in columns:
-        t = online_features(t)
-    return t.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
-
-
 def held_out(t: DataFrame, share: int = 4) -> DataFrame:
     """True for the vehicles, about one in share, that training never sees."""
     return t.withColumn("held_out", F.pmod(F.crc32("vehicle_id"), F.lit(share)) == 0)
@@ -45,20 +34,37 @@ def _weighted(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(sizes, label).withColumn("weight", F.lit(float(n)) / (k * F.col("size"))).drop("size")
 
 
-def train(t: DataFrame, most: int = 30_000, trees: int = 300, depth: int = 18, least: int = 3, columns: list[str] = FEATURES) -> PipelineModel:
+def training_rows(t: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows (label, weight and the 28 features) of each label, computed once: the bounded sample is checkpointed."""
+    few = balanced(t.where("features is not null"), "label", most, rare=RARE, least=RARE_LEAST)
+    few = few.select("vehicle_id", "seq", "label", "features.*")
+    if t.sparkSession.sparkContext.getCheckpointDir() is None:
+        set_checkpoint_dir(t.sparkSession)
+    return _weighted(few.checkpoint(), "label")
+
+
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    """The shared folder that spark.checkpoint.dir names; a temporary one of this machine only on a local master without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def train(t: DataFrame, most: int = 30_000, trees: int = 300, depth: int = 18, least: int = 3) -> PipelineModel:
     """A forest on at most `most` rows of each label (that bound is the parameter), labels weighed alike; seeded, so reruns agree."""
-    rows = _weighted(balanced(features(t, columns), "label", most, rare=RARE, least=RARE_LEAST), "label")
+    rows = training_rows(t, most)
     names = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     forest = RandomForestClassifier(labelCol="_y", featuresCol="_f", predictionCol="_p", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=42)
-    return Pipeline(stages=[names.setHandleInvalid("keep"), VectorAssembler(inputCols=columns, outputCol="_f"), forest, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
+    return Pipeline(stages=[names.setHandleInvalid("keep"), VectorAssembler(inputCols=NAMES, outputCol="_f"), forest, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
 
 
-def train_boosted(t: DataFrame, most: int = 30_000, rounds: int = 300, rate: float = 0.05, depth: int = 5, columns: list[str] = FEATURES) -> PipelineModel:
-    """The other model: scaled features and boosted trees, one against the rest of the labels."""
-    rows = balanced(features(t, columns), "label", most, rare=RARE, least=RARE_LEAST)
+def train_boosted(t: DataFrame, most: int = 30_000, rounds: int = 300, rate: float = 0.05, depth: int = 5) -> PipelineModel:
+    """The other model: scaled features and boosted trees of at most 2 ** depth leaves, one against the rest of the labels."""
+    rows = training_rows(t, most)
     names = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     one = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=42)
-    stages = [names.setHandleInvalid("keep"), VectorAssembler(inputCols=columns, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_f", withMean=True), OneVsRest(classifier=one, labelCol="_y", featuresCol="_f", predictionCol="_p")]
+    stages = [names.setHandleInvalid("keep"), VectorAssembler(inputCols=NAMES, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_f", withMean=True), OneVsRest(classifier=one, labelCol="_y", featuresCol="_f", predictionCol="_p")]
     return Pipeline(stages=[*stages, IndexToString(inputCol="_p", outputCol="guess", labels=names.labels)]).fit(rows)
 
 
@@ -68,27 +74,49 @@ def save(model: PipelineModel, path: str, **facts) -> None:
     SparkSession.active().createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel | None, dict]:
+    """The model and its facts; (None, facts with the error) if it cannot be read, so that states fall back."""
+    try:
+        return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    except Exception as broken:  # whatever a broken or missing model raises: JVM and Python errors alike
+        return None, {"error": f"{type(broken).__name__}: {str(broken)[:200]}"}
 
 
-def predict_causal(model: PipelineModel, t: DataFrame) -> DataFrame:
-    """Points of steps(t) with state: the model's where the level is above zero (a steady fall that it calls oscillation is a gradual
-    change), INIT for the first such point, UNINITIALIZED before it and STABLE_JITTER for others.
+def predict_causal(model: PipelineModel | None, t: DataFrame, keys: tuple[str, ...] = VEHICLE) -> DataFrame:
+    """t with state, for each vehicle (or for each of other keys, such as vehicle and segment): what a model says as points come.
+
+    UNINITIALIZED before the first valid level, INIT at it, the model's guess at later valid levels and STABLE_JITTER elsewhere; a
+    steady fall that is called oscillation is a gradual change. Without a model all guesses are STABLE_JITTER.
     """
-    known = features(t, CAUSAL).select("vehicle_id", "us", "seq", *[F.col(c).alias(f"f_{c}") for c in CAUSAL])
-    j = t.join(known, ["vehicle_id", "us", "seq"], "left").withColumn("had", F.col("f_fuel").isNotNull())
-    j = j.withColumns({c: F.coalesce(f"f_{c}", F.lit(0.0)) for c in CAUSAL if c != "fuel"})
-    w = by_vehicle()
-    before = F.coalesce(F.max(F.col("had").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    j = model.transform(j.withColumn("before", before))
-    state = F.when(F.col("had") & (F.col("before") == 0), "INIT").when(F.col("had"), F.col("guess")).when(F.col("before") == 0, "UNINITIALIZED").otherwise("STABLE_JITTER")
-    j = j.withColumns({"guessed": state, "capacity": F.lit(None).cast("double")})
-    return gradual_override(j, "guessed")
+    own = [c for c in t.columns if c != "state"]
+    known = causal(t, keys)
+    if model is None:
+        guessed = known.withColumn("guess", F.lit("STABLE_JITTER"))
+    else:
+        # rows without features get zeros and no guess; the model only adds columns, so a row stays a row
+        filled = known.select("*", *[F.coalesce(F.col("features")[n], F.lit(0.0)).alias(f"{_IN}{n}") for n in NAMES])
+        guessed = _renamed(model, _IN).transform(filled)
+    state = F.when(F.col("epoch") == 0, "UNINITIALIZED").when(F.col("opens") & (F.col("epoch") == 1), "INIT").when(F.col("features").isNotNull(), F.col("guess")).otherwise("STABLE_JITTER")
+    capacity = F.col("capacity") if "capacity" in own else F.lit(None).cast("double")
+    guessed = guessed.withColumns({"_guessed": state, "capacity": capacity}).drop("state")
+    return gradual_override(guessed, "_guessed", keys).select(*own, "features", "epoch", "state")
+
+
+_IN = "_in_"
+
+
+def _renamed(model: PipelineModel, prefix: str) -> PipelineModel:
+    """The model without its label indexer, reading the features under names with a prefix."""
+    stages = [s.copy() for s in model.stages if not isinstance(s, StringIndexerModel)]
+    assembler = next(s for s in stages if isinstance(s, VectorAssembler))
+    assembler.setInputCols([prefix + n for n in NAMES])
+    return PipelineModel(stages)
 
 
 def classify(model: PipelineModel, t: DataFrame) -> DataFrame:
-    """t with guess and the forest's confidence in it."""
+    """Rows with features, and guess and the forest's confidence in it."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(features(t)).withColumn("confidence", F.array_max(vector_to_array("probability"))).drop("_y", "_f", "_p", "rawPrediction", "probability")
+    own = t.columns
+    asked = t.where("features is not null").select("*", *[F.col("features")[n].alias(f"{_IN}{n}") for n in NAMES])
+    return _renamed(model, _IN).transform(asked).withColumn("confidence", F.array_max(vector_to_array("probability"))).select(*own, "guess", "confidence")

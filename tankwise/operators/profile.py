@@ -41,7 +41,7 @@ def featured(t: DataFrame) -> DataFrame:
     far = F.coalesce(haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), F.lit(0.0))
     x = x.withColumns({"gap0": offline_gap(), "distance": far, "prev2_fuel": F.coalesce(F.get("near", F.lit(2)), F.get("near", F.lit(3)), F.col("fuel"))})
     gps = F.when(F.col("gap0") > 0, F.col("distance") / 1000 / (F.col("gap0") / 60)).otherwise(0.0)
-    return look_around(x.withColumn("motion_speed", F.greatest("speed", gps))).withColumn("prev_delta", F.coalesce(F.lag("delta").over(w), F.lit(0.0)))
+    return look_around(x.withColumn("gps_speed", gps).withColumn("motion_speed", F.greatest("speed", "gps_speed"))).withColumn("prev_delta", F.coalesce(F.lag("delta").over(w), F.lit(0.0)))
 
 
 def labelled(t: DataFrame) -> DataFrame:

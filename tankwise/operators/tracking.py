@@ -328,3 +328,13 @@ def _point(s: dict, point: tuple) -> dict:
 def track(t: DataFrame) -> DataFrame:
     """Batch: the step over each vehicle's points in time order."""
     return by_vehicle_in_order(t, INPUT, fresh, _point, OUT)
+
+
+def _segment_point(s: dict, point: tuple) -> dict:
+    vehicle_id, segment_id, *rest = point
+    return {"segment_id": segment_id} | _point(s, (vehicle_id, *rest))
+
+
+def track_segments(t: DataFrame) -> DataFrame:
+    """Batch: the step over the points of each (vehicle_id, segment_id) in time order, each with a fresh state and dealt by both."""
+    return by_vehicle_in_order(t, ("vehicle_id", "segment_id", *INPUT[1:]), fresh, _segment_point, f"segment_id long, {OUT}", keys=2)

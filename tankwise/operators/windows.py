@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 GAP_MINUTES = 30
+VEHICLE = ("vehicle_id",)
 
 
 def by_vehicle() -> WindowSpec:
@@ -45,12 +46,32 @@ def offline_gap() -> Column:
     return F.when((F.col("gap_min") > 0) & (F.col("gap_min") <= 1440), F.col("gap_min")).otherwise(0.0)
 
 
+def epochs(t: DataFrame, keys: tuple[str, ...] = VEHICLE, minutes: float = GAP_MINUTES) -> DataFrame:
+    """t with valid (a finite level above zero), since_min (minutes since the row before, of any kind) and epoch.
+
+    An epoch is what a causal filter remembers together. The first opens at the first valid row of the keys (rows before it are of
+    epoch 0); another opens at a valid row that comes more than minutes after the row before, whatever kind that was: a
+    dropout never opens one, and since it moves the time, it hides the gap before it from the rows that follow.
+    """
+    w = Window.partitionBy(*keys).orderBy("us", "seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    valid = F.coalesce((F.col("fuel") > 0) & (F.col("fuel") < float("inf")), F.lit(False))  # NaN is above infinity
+    t = t.withColumns({"valid": valid, "since_min": (F.col("us") - F.lag("us").over(w)) / 60_000_000})
+    started = F.coalesce(F.max("valid").over(before), F.lit(False))
+    t = t.withColumn("opens", F.col("valid") & (~started | F.coalesce(F.col("since_min") > minutes, F.lit(False))))
+    return t.withColumn("epoch", F.sum(F.col("opens").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def by_epoch(keys: tuple[str, ...] = VEHICLE) -> WindowSpec:
+    return Window.partitionBy(*keys, "epoch").orderBy("us", "seq")
+
+
 def trend_window(t: DataFrame, jitter: float = 0.8) -> DataFrame:
-    """Points with a level above zero and, over the last six of them: net change, total variation, directionality (0 without
-    movement), deviation (0 below three), range, and whether the window falls steadily.
+    """Points with a level above zero and, over the last six of them in the epoch: net change, total variation, directionality
+    (0 without movement), deviation (0 below three), range, and whether the window falls steadily.
     """
-    t = t.where("fuel > 0")
-    w, six = by_vehicle(), by_vehicle().rowsBetween(-5, 0)
+    t = epochs(t).where("valid")
+    w, six = by_epoch(), by_epoch().rowsBetween(-5, 0)
     t = t.withColumn("step_size", F.abs(F.col("fuel") - F.lag("fuel").over(w)))
     within = F.coalesce(F.sum("step_size").over(w.rowsBetween(-4, 0)), F.lit(0.0))
     t = t.withColumns({"net": F.col("fuel") - F.first("fuel").over(six), "variation": F.when(F.count("fuel").over(six) > 1, within).otherwise(0.0)})
@@ -63,25 +84,9 @@ def trend_window(t: DataFrame, jitter: float = 0.8) -> DataFrame:
 
 
 def online_deviation(t: DataFrame) -> DataFrame:
-    """Points with a level above zero and the deviation of it and the twelve such levels before; 0 below three."""
-    frame = by_vehicle().rowsBetween(-12, 0)
-    return t.where("fuel > 0").withColumn("online_std", F.when(F.count("fuel").over(frame) >= 3, F.stddev_pop("fuel").over(frame)).otherwise(0.0))
-
-
-def online_features(t: DataFrame, noise: float = 0.5) -> DataFrame:
-    """Points of steps(t) with a level above zero and what a model may know of them as they come: of the segment's levels so far,
-    the difference to the last, its size in noise, the deviation of thirteen (0 below three), median of three, ranges of five
-    and seven.
-    """
-    g = Window.partitionBy("vehicle_id", "segment_id").orderBy("us", "seq")
-    t = t.where("fuel > 0")
-    frame = g.rowsBetween(-12, 0)
-    span = lambda n: F.max("fuel").over(g.rowsBetween(1 - n, 0)) - F.min("fuel").over(g.rowsBetween(1 - n, 0))
-    t = t.withColumns({
-        "delta_fuel": F.coalesce(F.col("fuel") - F.lag("fuel").over(g), F.lit(0.0)), "rolling_std": F.when(F.count("fuel").over(frame) >= 3, F.stddev_pop("fuel").over(frame)).otherwise(0.0),
-        "median3": middle(F.collect_list("fuel").over(g.rowsBetween(-2, 0))), "range5": span(5), "range7": span(7), "gap_minutes": F.greatest(F.coalesce("gap_min", F.lit(2.0)), F.lit(0.1)),
-    })
-    return t.withColumns({"delta_over_noise": F.col("delta_fuel") / noise, "abs_delta_fuel": F.abs("delta_fuel")})
+    """Points with a level above zero and the deviation of it and the twelve such levels before in the epoch; 0 below three."""
+    frame = by_epoch().rowsBetween(-12, 0)
+    return epochs(t).where("valid").withColumn("online_std", F.when(F.count("fuel").over(frame) >= 3, F.stddev_pop("fuel").over(frame)).otherwise(0.0))
 
 
 def middle(a: Column) -> Column:
@@ -123,14 +128,15 @@ def look_around(t: DataFrame) -> DataFrame:
     }).drop("moves", "near")
 
 
-def valid_history(t: DataFrame, n: int) -> DataFrame:
-    """t with past: the last n levels above zero before each point, oldest first, however many others lie between."""
-    number = F.sum((F.col("fuel") > 0).cast("int")).over(by_vehicle().rowsBetween(Window.unboundedPreceding, 0))
-    frame = Window.partitionBy("vehicle_id").orderBy("valid_no").rangeBetween(-n, 0)
-    t = t.withColumn("valid_no", number).withColumn("past", F.collect_list(F.when(F.col("fuel") > 0, F.col("fuel"))).over(frame))
-    without_own = F.when(F.col("fuel") > 0, F.slice("past", F.lit(1), F.size("past") - 1)).otherwise(F.col("past"))
-    t = t.withColumn("past", without_own)
-    return t.withColumn("past", F.slice("past", F.greatest(F.size("past") - n + 1, F.lit(1)), F.lit(n))).drop("valid_no")
+def valid_history(t: DataFrame, n: int, keys: tuple[str, ...] = VEHICLE) -> DataFrame:
+    """epochs(t) with past: the last n valid levels of the epoch before each point, oldest first, however many others lie between."""
+    t = t if "epoch" in t.columns else epochs(t, keys)
+    number = F.sum(F.col("valid").cast("int")).over(by_epoch(keys).rowsBetween(Window.unboundedPreceding, 0))
+    frame = Window.partitionBy(*keys, "epoch").orderBy("valid_no").rangeBetween(-n, 0)
+    t = t.withColumn("valid_no", number).withColumn("past", F.collect_list(F.when(F.col("valid"), F.struct("us", "seq", "fuel"))).over(frame))
+    earlier = F.filter("past", lambda p: F.struct(p["us"], p["seq"]) < F.struct("us", "seq"))
+    levels = F.transform(F.array_sort(earlier), lambda p: p["fuel"])
+    return t.withColumn("past", F.slice(levels, F.greatest(F.size(levels) - n + 1, F.lit(1)), F.lit(n))).drop("valid_no")
 
 
 def robust_noise(floor: float = 0.5) -> Column:
@@ -141,11 +147,18 @@ def robust_noise(floor: float = 0.5) -> Column:
     return F.when(F.size("past") >= 3, F.greatest(F.lit(floor), 1.4826 * mad)).otherwise(floor)
 
 
-def motion(t: DataFrame, points: int = 5) -> DataFrame:
-    """Motion state, confidence and displacement from the last five points that have coordinates."""
-    w = by_vehicle().rowsBetween(1 - points, 0)
+def motion(t: DataFrame, points: int = 5, keys: tuple[str, ...] = VEHICLE) -> DataFrame:
+    """Motion state, confidence and displacement from the coordinates (places: how many) among the last points, up to this one.
+
+    Only points of the epoch that was open before this one count: a point that opens an epoch is still seen with the one before it.
+    """
+    t = t if "epoch" in t.columns else epochs(t, keys)
+    w = Window.partitionBy(*keys).orderBy("us", "seq")
     valid = F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & ~((F.col("lat") == 0) & (F.col("lng") == 0))
-    t = t.withColumn("_c", F.collect_list(F.when(valid, F.struct("lat", "lng"))).over(w))
+    t = t.withColumns({"_here": F.when(valid, F.struct("lat", "lng")), "_of": F.coalesce(F.lag("epoch").over(w), F.lit(0))})
+    before = F.collect_list(F.when(valid, F.struct("lat", "lng", "epoch"))).over(w.rowsBetween(1 - points, -1))
+    same = F.transform(F.filter("_before", lambda p: (p["epoch"] == F.col("_of")) & (F.col("_of") > 0)), lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng")))
+    t = t.withColumn("_before", before).withColumn("_c", F.array_compact(F.concat(same, F.array("_here")))).drop("_before", "_here", "_of")
     t = t.withColumns({"_n": F.size("_c"), "_mid": F.struct(F.aggregate("_c", F.lit(0.0), lambda a, p: a + p["lat"]).alias("lat"), F.aggregate("_c", F.lit(0.0), lambda a, p: a + p["lng"]).alias("lng"))})
     mid_lat, mid_lng = F.col("_mid.lat") / F.greatest("_n", F.lit(1)), F.col("_mid.lng") / F.greatest("_n", F.lit(1))
     first, last = F.get("_c", F.lit(0)), F.get("_c", F.col("_n") - 1)
@@ -156,7 +169,7 @@ def motion(t: DataFrame, points: int = 5) -> DataFrame:
     moving = (F.col("_n") >= 3) & (F.col("speed") > 5) & (F.col("displacement") >= 25)
     state = F.when(low, "LOW_MOTION").when(moving, "MOVING").otherwise("UNCERTAIN")
     sure = F.when(low | moving, F.least(F.lit(1.0), 0.65 + 0.1 * F.col("_n"))).when(F.col("_n") >= 3, 0.4).when(F.col("_n") == 2, 0.2).otherwise(0.0)
-    return t.withColumns({"motion_state": state, "motion_confidence": sure}).drop("_c", "_n", "_mid")
+    return t.withColumns({"motion_state": state, "motion_confidence": sure, "places": F.col("_n")}).drop("_c", "_n", "_mid")
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tankwise.operators import adaptive as A
 from tankwise.operators import evaluation as E
 from tankwise.operators import events as V
+from tankwise.operators import feature_vector as V28
 from tankwise.operators import forest, offline
 from tankwise.operators import profile as P
 from tankwise.operators import serving as S
 from tankwise.operators import windows as W
-from tankwise.plans.oracles import AROUND, LABELS, PROFILE, STEPS, VEHICLES, sql
+from tankwise.plans.oracles import AROUND, EPOCHS, LABELS, PLACES, PROFILE, STEPS, VEHICLES, recursive, sql
 from tankwise.plans.queries import KEY, _labelled, r6
 from tankwise.sources.adapter import GAPPY, telemetry, vehicles
 
@@ -96,8 +97,8 @@ def label_following(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("delta_fuel", "delta_over_noise", "rolling_std", "median3", "range5", "range7")
-    return W.online_features(W.steps(telemetry(spark, sf_dir, GAPPY))).select(*KEY, "segment_id", *[r6(c).alias(c) for c in columns])
+    t = S.resolve_capacity(telemetry(spark, sf_dir, GAPPY), vehicles(spark, sf_dir), F.lit(0.0))
+    return V28.causal(t).where("features is not null").select(*KEY, "epoch", *[(F.round(F.col("features")[n], 9) + F.lit(0.0)).alias(n) for n in V28.NAMES])
 
 
 def enhanced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +110,21 @@ def segment_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replay(W.steps(telemetry(spark, sf_dir, GAPPY)).drop("label"))
 
 
+def _model(spark: SparkSession, sf_dir: str):
+    t = forest.held_out(V28.offline(P.labelled(telemetry(spark, sf_dir))))
+    return forest.train(t.where("not held_out"), trees=60, depth=12)
+
+
 def causal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = forest.held_out(P.labelled(telemetry(spark, sf_dir)))
-    model = forest.train(t.where("not held_out"), columns=forest.CAUSAL, trees=60, depth=12)
-    return forest.predict_causal(model, t.where("held_out")).select(*KEY, "state")
+    """What a forest that learnt from the labelled points of some vehicles says of the others' points as they come."""
+    t = forest.held_out(telemetry(spark, sf_dir)).where("held_out")
+    return forest.predict_causal(_model(spark, sf_dir), t).select(*KEY, "state")
+
+
+def predicted_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment with the model's states inside the causal step."""
+    t = S.resolve_capacity(W.steps(telemetry(spark, sf_dir, GAPPY)), vehicles(spark, sf_dir), F.lit(0.0))
+    return E.replay_predicted(_model(spark, sf_dir), t)
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +139,7 @@ def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     shift_events, newest_events, event_kinds, fleet_summary, scoped_matrix, score_report, axis_bounds, collapsed_states, segment_scope, curve_regression,
       segment_provenance, vehicle_log, dropout_line, shape_clean,
-    label_following, online_features, enhanced_levels, segment_replay, causal_states, report_rows, map_bounds,
+    label_following, online_features, enhanced_levels, segment_replay, causal_states, predicted_replay, report_rows, map_bounds,
 )}
 
 _EVENTS = """, runs as (
@@ -232,17 +244,40 @@ ORACLES = {
               else f.x end, case when z.rule = 'DRAIN' then f.falls + 1 else 0 end
           from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1
         ) select vehicle_id, seq, round(x, 6) + 0.0 as followed from f""", *_LABELLED).replace("with", "with recursive", 1),
-    "online_features": sql(
-        """, p as (
-          select * from s where fuel > 0
-        ), f as (
-          select *, coalesce(fuel - lag(fuel) over g, 0) as df, count(*) over (g rows between 12 preceding and current row) as n, stddev_pop(fuel) over (g rows
-            between 12 preceding and current row) as sd,
-            list_median(list(fuel) over (g rows between 2 preceding and current row)) as m3, max(fuel) over (g rows between 4 preceding and current row) -
-              min(fuel) over (g rows between 4 preceding and current row) as r5,
-            max(fuel) over (g rows between 6 preceding and current row) - min(fuel) over (g rows between 6 preceding and current row) as r7 from p window g as
-              (partition by vehicle_id, segment_id order by us, seq)
-        ) select vehicle_id, seq, cast(segment_id as bigint) as segment_id, round(df, 6) + 0.0 as delta_fuel, round(df / 0.5, 6) + 0.0 as delta_over_noise,
-          round(case when n >= 3 then sd else 0 end, 6) + 0.0 as rolling_std,
-          round(m3, 6) + 0.0 as median3, round(r5, 6) + 0.0 as range5, round(r7, 6) + 0.0 as range7 from f""", STEPS, d=40),
+    "online_features": recursive("""
+        , x as (
+          select m.*, case when capacity_liters > 0 and capacity_liters <> 850 then capacity_liters end as cap, list(fuel) over (partition by m.vehicle_id, epoch order by us, seq rows between 12 preceding and current row) as ls,
+            row_number() over (partition by m.vehicle_id, epoch order by us, seq) as nth from m left join vehicles using (vehicle_id) where fuel > 0
+        ), y as (
+          select *, case when len(ls) > 1 then fuel - ls[-2] else 0 end as df, case when len(ls) >= 3 then list_aggregate(ls, 'stddev_pop') else 0 end as sd from x where epoch > 1 or nth > 1
+        ) select vehicle_id, seq, epoch,
+          round(fuel, 9) + 0.0 as FuelLevel,
+          round(coalesce(fuel / cap, 0), 9) + 0.0 as FuelPct,
+          round(speed, 9) + 0.0 as Speed,
+          round(speed, 9) + 0.0 as MotionSpeedKmh,
+          round(greatest(since_min, 0.1), 9) + 0.0 as TimeGapMinutes,
+          round(df, 9) + 0.0 as DeltaFuel,
+          round(coalesce(df / cap, 0), 9) + 0.0 as DeltaPct,
+          round(abs(df), 9) + 0.0 as AbsDeltaFuel,
+          round(df / greatest(0.5, 0.002 * coalesce(cap, 0)), 9) + 0.0 as DeltaOverNoise,
+          round(sd, 9) + 0.0 as RollingStd12,
+          round(coalesce(sd / cap, 0), 9) + 0.0 as RollingStdPct,
+          round(displacement, 9) + 0.0 as DistanceMeters,
+          round(speed, 9) + 0.0 as GpsSpeedKmh,
+          round(cast(places > 0 as double), 9) + 0.0 as HasGPS,
+          round(coalesce(cap, 0), 9) + 0.0 as capacity_est,
+          round(greatest(0.5, 0.002 * coalesce(cap, 0)), 9) + 0.0 as noise_sigma_liters,
+          round(greatest(0.8, 0.003 * coalesce(cap, 0)), 9) + 0.0 as flat_jitter_threshold,
+          round(greatest(3.0, 0.012 * coalesce(cap, 0)), 9) + 0.0 as spike_threshold,
+          round(greatest(6.0, 0.035 * coalesce(cap, 0)), 9) + 0.0 as event_threshold,
+          round(list_median(ls[-3:]), 9) + 0.0 as PrevMedian3,
+          round(list_median(ls[-3:]), 9) + 0.0 as FutureMedian3,
+          round(list_median(ls[-3:]), 9) + 0.0 as FutureMedian5,
+          round(0::double, 9) + 0.0 as ReturnToPrevLevel,
+          round(list_max(ls[-5:]) - list_min(ls[-5:]), 9) + 0.0 as LocalRange5,
+          round(list_max(ls[-7:]) - list_min(ls[-7:]), 9) + 0.0 as LocalRange7,
+          round(0::double, 9) + 0.0 as PeakReversalFlag,
+          round(0::double, 9) + 0.0 as ValleyReversalFlag,
+          round(0::double, 9) + 0.0 as TransientScore
+        from y""", EPOCHS, PLACES, VEHICLES, d=40),
 }

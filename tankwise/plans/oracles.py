@@ -25,6 +25,32 @@ STEPS = """, lagged as (
   select *, 1 + sum(case when gap_min > 30 then 1 else 0 end) over (partition by vehicle_id order by us, seq rows between unbounded preceding and current row) as segment_id from lagged
 )"""
 
+#: The reset rule as a walk over each vehicle's points: the time of the last point of any kind once a level was seen, and the epoch.
+EPOCHS = """, numbered as (
+  select *, row_number() over (partition by vehicle_id order by us, seq) as i from t
+), walk as (
+  select vehicle_id, i, case when fuel > 0 then us end as last_us, case when fuel > 0 then 1 else 0 end as epoch from numbered where i = 1
+  union all
+  select n.vehicle_id, n.i, case when w.epoch > 0 or n.fuel > 0 then n.us end,
+    case when w.epoch = 0 then case when n.fuel > 0 then 1 else 0 end when n.fuel > 0 and n.us - w.last_us > 1800000000 then w.epoch + 1 else w.epoch end
+  from walk as w join numbered as n on n.vehicle_id = w.vehicle_id and n.i = w.i + 1
+), e as (
+  select n.*, cast(epoch as bigint) as epoch, lag(epoch) over v as of_epoch, (us - lag(last_us) over v) / 60000000.0::double as since_min,
+    sum(case when fuel > 0 then 1 else 0 end) over (partition by n.vehicle_id, epoch order by us, seq) as no
+  from numbered as n join walk using (vehicle_id, i) window v as (partition by n.vehicle_id order by us, seq)
+)"""
+
+#: Coordinates up to each point: of the four points before those of the epoch that was open then, and the own.
+PLACES = """, placed as (
+  select *, lat between -90 and 90 and lng between -180 and 180 and not (lat = 0 and lng = 0) as known from e
+), c as (
+  select *, list_filter(list_append(list_filter(list({'lat': lat, 'lng': lng, 'epoch': epoch, 'known': known}) over (partition by vehicle_id order by us, seq rows between 4 preceding and 1 preceding),
+    lambda p: p.epoch = of_epoch and of_epoch > 0), {'lat': lat, 'lng': lng, 'epoch': epoch, 'known': known}), lambda p: p.known) as c from placed
+), m as (
+  select *, len(c) as places, case when len(c) >= 2 then hav(c[1].lat, c[1].lng, c[-1].lat, c[-1].lng) else 0 end as displacement,
+    coalesce(list_max(list_transform(c, lambda p: hav(p.lat, p.lng, list_avg(list_transform(c, lambda q: q.lat)), list_avg(list_transform(c, lambda q: q.lng))))), 0) as radius from c
+)"""
+
 VEHICLES = """, vehicles as (
   select 'V' || lpad(cast(c_custkey as varchar), 5, '0') as vehicle_id, c_name as vehicle_name, cast(case when c_custkey % 5 = 0 then null when
     c_custkey % 7 = 0 then 850.0 else 300.0 + (c_custkey % 11) * 20 end as double) as capacity_liters, c_nationkey from customer
@@ -125,6 +151,10 @@ def sql(body: str, *parts: str, d: int = 240) -> str:
     return inline_haversine(f"with {TELE.format(d=d)}{''.join(parts)} {body}")
 
 
+def recursive(body: str, *parts: str, d: int = 240) -> str:
+    return sql(body, *parts, d=d).replace("with", "with recursive", 1)
+
+
 V = "window v as (partition by vehicle_id order by us, seq)"
 
 ORACLES = {
@@ -136,20 +166,20 @@ ORACLES = {
     "point_steps": sql(
         """select vehicle_id, seq, us - lag(us) over (partition by vehicle_id order by us, seq) as gap_us, case when gap_min > 0 and gap_min <= 1440 then us - lag(us) over (partition by vehicle_id order by us, seq) else 0 end as offline_gap_us,
         round(delta, 6) + 0.0 as delta, round(abs_delta, 6) + 0.0 as abs_delta, cast(segment_id as bigint) as segment_id from s""", STEPS, d=40),
-    "trend_window": sql(
+    "trend_window": recursive(
         """, v6 as (
           select *, abs(fuel - lag(fuel) over v) as st, fuel - first_value(fuel) over w as net, count(fuel) over w as n, stddev_pop(fuel) over w as sd, max(fuel) over w - min(fuel) over w as rg
-          from t where fuel > 0 window v as (partition by vehicle_id order by us, seq), w as (partition by vehicle_id order by us, seq rows between 5 preceding and current row)
+          from e where fuel > 0 window v as (partition by vehicle_id, epoch order by us, seq), w as (partition by vehicle_id, epoch order by us, seq rows between 5 preceding and current row)
         ), tv as (
-          select *, case when n > 1 then coalesce(sum(st) over (partition by vehicle_id order by us, seq rows between 4 preceding and current row), 0) else 0 end as variation from v6
+          select *, case when n > 1 then coalesce(sum(st) over (partition by vehicle_id, epoch order by us, seq rows between 4 preceding and current row), 0) else 0 end as variation from v6
         ), td as (
           select *, case when variation > 0.000001 then abs(net) / variation else 0 end as dr from tv
-        ) select vehicle_id, seq, round(net, 6) + 0.0 as net, round(variation, 6) + 0.0 as variation, round(dr, 6) + 0.0 as directionality, round(case when n
+        ) select vehicle_id, seq, epoch, round(net, 6) + 0.0 as net, round(variation, 6) + 0.0 as variation, round(dr, 6) + 0.0 as directionality, round(case when n
           >= 3 then sd else 0 end, 6) + 0.0 as window_std,
-        round(rg, 6) + 0.0 as window_range, net <= -1.5 and dr >= 0.65 as directional_down from td"""),
-    "online_deviation": sql(
-        """select vehicle_id, seq, round(case when count(fuel) over w >= 3 then stddev_pop(fuel) over w else 0 end, 6) + 0.0 as online_std
-        from t where fuel > 0 window w as (partition by vehicle_id order by us, seq rows between 12 preceding and current row)"""),
+        round(rg, 6) + 0.0 as window_range, net <= -1.5 and dr >= 0.65 as directional_down from td""", EPOCHS, d=40),
+    "online_deviation": recursive(
+        """select vehicle_id, seq, epoch, round(case when count(fuel) over w >= 3 then stddev_pop(fuel) over w else 0 end, 6) + 0.0 as online_std
+        from e where fuel > 0 window w as (partition by vehicle_id, epoch order by us, seq rows between 12 preceding and current row)""", EPOCHS, d=40),
     "look_around": sql(
         """select vehicle_id, seq, round(prev3, 6) + 0.0 as prev3, round(next3, 6) + 0.0 as next3, round(next5, 6) + 0.0 as next5, round(range_pm3, 6) + 0.0 as range_pm3, round(range_m2p5, 6) + 0.0 as range_m2p5,
         round(return_level, 6) + 0.0 as return_level, round(transient_score, 6) + 0.0 as transient_score, cast(sign_changes as bigint) as sign_changes, is_peak, is_valley from a""", STEPS, PROFILE, AROUND),
@@ -165,15 +195,13 @@ ORACLES = {
     "acceleration": sql("""
         select vehicle_id, seq, round((speed - lag(speed) over g) / 3.6 / (greatest((us - lag(us) over g) / 60000000.0::double, 1.0) * 60), 6) + 0.0 as
           acceleration from s window g as (partition by vehicle_id, segment_id order by us, seq)""", STEPS, d=40),
-    "robust_noise": sql(
-        """, k as (
-          select *, sum(case when fuel > 0 then 1 else 0 end) over (partition by vehicle_id order by us, seq rows between unbounded preceding and current row) as no from t
-        ), h as (
-          select vehicle_id, seq, fuel, (select list(b.fuel order by b.no) from k b where b.vehicle_id = k.vehicle_id and b.fuel > 0 and b.no > k.no - (k.fuel >
-            0)::int - 12 and b.no <= k.no - (k.fuel > 0)::int) as past from k
+    "robust_noise": recursive(
+        """, h as (
+          select vehicle_id, seq, fuel, (select list(b.fuel order by b.no) from e b where b.vehicle_id = k.vehicle_id and b.epoch = k.epoch and b.fuel > 0 and b.no > k.no - (k.fuel >
+            0)::int - 12 and b.no <= k.no - (k.fuel > 0)::int) as past from e as k
         ), g as (
           select *, list_transform(range(1, len(past)), lambda i: past[i + 1] - past[i]) as ds from h
-        ) select vehicle_id, seq, round(case when len(past) >= 3 then greatest(0.5, 1.4826 * list_median(list_transform(ds, lambda x: abs(x - list_median(ds))))) else 0.5 end, 6) + 0.0 as noise from g"""),
+        ) select vehicle_id, seq, round(case when len(past) >= 3 then greatest(0.5, 1.4826 * list_median(list_transform(ds, lambda x: abs(x - list_median(ds))))) else 0.5 end, 6) + 0.0 as noise from g""", EPOCHS, d=40),
     "golden_candidates": sql("""
         select vehicle_id, min(pos) filter (b = 3 and f = 3 and p - c >= 8 and abs(fo - p) <= 3) as valley_pos, min(pos) filter (n = 12 and fast >= 0.75 and
           fuel - e >= 8 and calm >= 0.75) as consumption_pos, min(pos) filter (n = 12 and sd >= 3 and abs(e - fuel) <= 3) as noise_pos from (select *,
@@ -251,13 +279,9 @@ ORACLES = {
         select vehicle_id, seq, round(noise, 5) + 0.0 as noise, case when noise > 4 then 'Spike' when noise > 1.5 then 'Sloshing' else 'Normal' end as band,
           case when speed <= 3 then '0-3' when speed <= 10 then '3-10' when speed <= 30 then '10-30' when speed <= 60 then '30-60' else '60+' end as speed_band,
           cast(speed <= 0.5 as int) as is_stopped from (select *, abs(fuel - avg(fuel) over (v rows between 7 preceding and current row)) as noise from t {V})"""),
-    "motion_states": sql("""
-        select vehicle_id, seq, round(displacement, 3) + 0.0 as displacement, case when n >= 3 and speed <= 1 and radius <= 30 then 'LOW_MOTION' when n >= 3
-          and speed > 5 and displacement >= 25 then 'MOVING' else 'UNCERTAIN' end as motion_state from (select *, len(c) as n, case when len(c) >= 2 then
-          hav(c[1].lat, c[1].lng, c[-1].lat, c[-1].lng) else 0 end as displacement, coalesce(list_max(list_transform(c, lambda p: hav(p.lat, p.lng,
-          list_avg(list_transform(c, lambda q: q.lat)), list_avg(list_transform(c, lambda q: q.lng))))), 0) as radius from (select vehicle_id, seq, speed,
-          list_filter(list(case when lat is not null and lng is not null then {'lat': lat, 'lng': lng} end) over (partition by vehicle_id order by us, seq rows
-          between 4 preceding and current row), lambda p: p is not null) as c from t))"""),
+    "motion_states": recursive("""
+        select vehicle_id, seq, round(displacement, 3) + 0.0 as displacement, case when places >= 3 and speed <= 1 and radius <= 30 then 'LOW_MOTION' when
+          places >= 3 and speed > 5 and displacement >= 25 then 'MOVING' else 'UNCERTAIN' end as motion_state from m""", EPOCHS, PLACES, d=40),
 }
 
 

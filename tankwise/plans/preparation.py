@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators import feature_vector as V28
 from tankwise.operators import forest as M
 from tankwise.operators import gated as G
 from tankwise.operators import preparation as R
@@ -12,7 +13,7 @@ from tankwise.operators import profile as P
 from tankwise.operators import quality as Q
 from tankwise.operators import serving as S
 from tankwise.operators import windows as W
-from tankwise.plans.oracles import AROUND, LABELS, PROFILE, STEPS, TELE, VEHICLES, V, inline_haversine, sql
+from tankwise.plans.oracles import AROUND, EPOCHS, LABELS, PROFILE, STEPS, TELE, VEHICLES, V, inline_haversine, recursive, sql
 from tankwise.sources.adapter import GAPPY, telemetry, vehicles
 
 KEY = ["vehicle_id", "seq"]
@@ -34,7 +35,7 @@ def prepared_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.trend_evidence(telemetry(spark, sf_dir)).select(*KEY, *[r6(c).alias(c) for c in ("early", "late", "level_drop", "slope", "target", "moving_ratio")], "robust_downtrend")
+    return R.trend_evidence(telemetry(spark, sf_dir, GAPPY)).select(*KEY, "epoch", *[r6(c).alias(c) for c in ("early", "late", "level_drop", "slope", "target", "moving_ratio")], "robust_downtrend")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +131,10 @@ def row_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir).select(*KEY, F.sha2(F.concat_ws("|", "vehicle_id", "seq", "us"), 256).alias("stamp"))
 
 
+def offline_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V28.offline(P.featured(telemetry(spark, sf_dir))).select(*KEY, *[(F.round(F.col("features")[n], 9) + F.lit(0.0)).alias(n) for n in V28.NAMES])
+
+
 def day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(F.col("us") / 86_400_000_000).alias("day")
     return _labelled(spark, sf_dir).where("label is not null").groupBy("vehicle_id", day).agg(F.count("*").alias("points"), F.sum((F.col("label") == "STABLE_JITTER").cast("long")).alias("stable"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
@@ -137,14 +142,14 @@ def day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of label and guess over the vehicles that the forest was not trained on, each and all (null)."""
-    t = M.held_out(_labelled(spark, sf_dir))
+    t = M.held_out(V28.offline(_labelled(spark, sf_dir)))
     return Q.confusion(M.classify(M.train(t.where("not held_out"), trees=60, depth=12), t.where("held_out")), "label", "guess", "vehicle_id")
 
 
 QUERIES = {f.__name__: f for f in (
     gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, state_names, repaired_coordinates, central_times, nominal_period,
       learnt_period, behaviour_checks, step_percentiles, active_contexts,
-    vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states, forest_confusion,
+    vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states, offline_features, forest_confusion,
 )}
 
 NOISY = f", c as (select *, avg(fuel) over (v rows between 7 preceding and current row) as clean from t {V})"
@@ -202,19 +207,19 @@ ORACLES = {
           end, 4) + 0.0 as fuel_rate, round(rm, 4) + 0.0 as rolling_median, round(rs, 4) + 0.0 as rolling_std, rc as rolling_count, cast(rc >= 5 as int) as
           ready, case when speed > 0 then 'Moving' when speed <= 0 then 'Stopped' else 'Uncertain' end as movement, status, cast(why <> '' as int) as
           quality_flag, case when why = '' then 'VALID' else why end as quality_reason from e0""", PREPARED, d=40)),
-    "trend_evidence": sql("""
+    "trend_evidence": recursive("""
         , w10 as (
-          select *, avg(case when speed > 5 then 1.0 else 0.0 end) over (partition by vehicle_id order by us, seq rows between 9 preceding and current row) as mr from t
+          select *, avg(case when speed > 5 then 1.0 else 0.0 end) over (partition by vehicle_id, epoch order by us, seq rows between 9 preceding and current row) as mr from e
         ), q as (
-          select *, row_number() over (partition by vehicle_id order by us, seq) as i from w10 where fuel > 0
+          select *, row_number() over (partition by vehicle_id, epoch order by us, seq) as j from w10 where fuel > 0
         ), h as (
-          select vehicle_id, seq, i, fuel, mr, list(fuel) over o as a, regr_slope(fuel, i) over o as m, regr_intercept(fuel, i) over o as b from q window o as
-            (partition by vehicle_id order by us, seq rows between 9 preceding and current row)
+          select vehicle_id, seq, epoch, j, fuel, mr, list(fuel) over o as a, regr_slope(fuel, j) over o as m, regr_intercept(fuel, j) over o as b from q window o as
+            (partition by vehicle_id, epoch order by us, seq rows between 9 preceding and current row)
         ), k as (
           select *, len(a) >= 6 as ok, list_median(a[1:len(a) // 2]) as e, list_median(a[len(a) // 2 + 1:]) as l from h
-        ) select vehicle_id, seq, round(case when ok then e end, 6) + 0.0 as early, round(case when ok then l end, 6) + 0.0 as late, round(case when ok then e - l end, 6) + 0.0 as level_drop,
-          round(case when ok then m end, 6) + 0.0 as slope, round(case when ok then b + m * i else fuel end, 6) + 0.0 as target, round(mr, 6) + 0.0 as moving_ratio,
-          coalesce(ok and mr > 0 and e - l >= 2 and m <= -0.2, false) as robust_downtrend from k"""),
+        ) select vehicle_id, seq, epoch, round(case when ok then e end, 6) + 0.0 as early, round(case when ok then l end, 6) + 0.0 as late, round(case when ok then e - l end, 6) + 0.0 as level_drop,
+          round(case when ok then m end, 6) + 0.0 as slope, round(case when ok then b + m * j else fuel end, 6) + 0.0 as target, round(mr, 6) + 0.0 as moving_ratio,
+          coalesce(ok and mr > 0 and e - l >= 2 and m <= -0.2, false) as robust_downtrend from k""", EPOCHS, d=40),
     "gradual_override": sql(f"""
         , g as (select *, fuel - lag(fuel, 5) over v as net, sum(abs_delta) over (v rows between 4 preceding and current row) as va, max(delta) over (v rows
           between 4 preceding and current row) as up, row_number() over v as pos from labelled {V}) select vehicle_id, seq, label, case when label =
@@ -235,7 +240,7 @@ ORACLES = {
           z.gap_min from f join z on z.vehicle_id = f.vehicle_id and z.i = f.i + 1) select vehicle_id, round(max_by(x, i), 6) + 0.0 as period from f group by 1""",
     "behaviour_checks": sql(f"""
         , m as (select vehicle_id, max(clean) - min(clean) as span, min(clean) as least, min_by(clean, (us, seq)) - max_by(clean, (us, seq)) as drop_,
-          max(rise) as up, abs(max_by(clean, (us, seq)) - max_by(fuel, (us, seq))) as lag_, max(abs(rise)) as step from (select *, round(clean - lag(clean) over
+          max(rise) as up, max_by(clean, (us, seq)) - max_by(fuel, (us, seq)) as lag_, max(abs(rise)) as step from (select *, round(clean - lag(clean) over
           v, 6) as rise from c {V}) group by 1), k as (select vehicle_id, round(span, 6) <= 120 as max_clean_span, up <= 6 as max_upward_step, round(lag_, 6) <=
           2.5 as max_final_lag_liters, step <= 8 as max_step_size, round(least, 6) >= 20 as min_clean_liters, cast(null as boolean) as
           min_valley_attenuation_liters, round(drop_, 6) >= 2 as min_total_clean_drop from m) select *, cast(max_clean_span::int + max_upward_step::int +
@@ -268,6 +273,37 @@ ORACLES = {
           speed <= 40 then 2.0 when speed <= 70 then 1.5 else 2.5 end as noise_factor from (select *, case when gap_min > 0 then coalesce({FAR}, 0) / 1000 /
           (gap_min / 60) else 0 end as g from s {V})""", STEPS)),
     "row_stamps": sql("select vehicle_id, seq, sha256(concat_ws('|', vehicle_id, seq, us)) as stamp from t"),
+    "offline_features": sql("""
+        select vehicle_id, seq,
+          round(fuel, 9) + 0.0 as FuelLevel,
+          round(coalesce(fuel / nullif(capacity, 0), 0), 9) + 0.0 as FuelPct,
+          round(speed, 9) + 0.0 as Speed,
+          round(motion_speed, 9) + 0.0 as MotionSpeedKmh,
+          round(gap0, 9) + 0.0 as TimeGapMinutes,
+          round(d, 9) + 0.0 as DeltaFuel,
+          round(coalesce(d / nullif(capacity, 0), 0), 9) + 0.0 as DeltaPct,
+          round(abs(d), 9) + 0.0 as AbsDeltaFuel,
+          round(d / sigma, 9) + 0.0 as DeltaOverNoise,
+          round(std12, 9) + 0.0 as RollingStd12,
+          round(coalesce(std12 / nullif(capacity, 0), 0), 9) + 0.0 as RollingStdPct,
+          round(far, 9) + 0.0 as DistanceMeters,
+          round(case when gap0 > 0 then far / 1000 / (gap0 / 60) else 0 end, 9) + 0.0 as GpsSpeedKmh,
+          round(cast(lat is not null and lng is not null as double), 9) + 0.0 as HasGPS,
+          round(capacity, 9) + 0.0 as capacity_est,
+          round(sigma, 9) + 0.0 as noise_sigma_liters,
+          round(flat, 9) + 0.0 as flat_jitter_threshold,
+          round(spike, 9) + 0.0 as spike_threshold,
+          round(event, 9) + 0.0 as event_threshold,
+          round(prev3, 9) + 0.0 as PrevMedian3,
+          round(next3, 9) + 0.0 as FutureMedian3,
+          round(next5, 9) + 0.0 as FutureMedian5,
+          round(return_level, 9) + 0.0 as ReturnToPrevLevel,
+          round(range_m2p5, 9) + 0.0 as LocalRange5,
+          round(range_pm3, 9) + 0.0 as LocalRange7,
+          round(cast(is_peak as double), 9) + 0.0 as PeakReversalFlag,
+          round(cast(is_valley as double), 9) + 0.0 as ValleyReversalFlag,
+          round(transient_score, 9) + 0.0 as TransientScore
+        from a""", STEPS, PROFILE, AROUND),
     "day_states": sql("""
         select vehicle_id, us // 86400000000 as day, count(*) as points, count(*) filter (label = 'STABLE_JITTER') as stable, string_agg(distinct label, ','
           order by label) as labels from labelled where label is not null group by 1, 2""", STEPS, PROFILE, AROUND, LABELS),

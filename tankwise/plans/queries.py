@@ -36,11 +36,11 @@ def point_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trend_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("net", "variation", "directionality", "window_std", "window_range")
-    return W.trend_window(telemetry(spark, sf_dir)).select(*KEY, *[r6(c).alias(c) for c in columns], "directional_down")
+    return W.trend_window(telemetry(spark, sf_dir, GAPPY)).select(*KEY, "epoch", *[r6(c).alias(c) for c in columns], "directional_down")
 
 
 def online_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.online_deviation(telemetry(spark, sf_dir)).select(*KEY, r6("online_std").alias("online_std"))
+    return W.online_deviation(telemetry(spark, sf_dir, GAPPY)).select(*KEY, "epoch", r6("online_std").alias("online_std"))
 
 
 def look_around(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.valid_history(telemetry(spark, sf_dir), 12).select(*KEY, r6(W.robust_noise()).alias("noise"))
+    return W.valid_history(telemetry(spark, sf_dir, GAPPY), 12).select(*KEY, r6(W.robust_noise()).alias("noise"))
 
 
 def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def export_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.motion(telemetry(spark, sf_dir)).select(*KEY, (F.round("displacement", 3) + F.lit(0.0)).alias("displacement"), "motion_state")
+    return W.motion(telemetry(spark, sf_dir, GAPPY)).select(*KEY, (F.round("displacement", 3) + F.lit(0.0)).alias("displacement"), "motion_state")
 
 
 def smooth_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,4 +19,4 @@ def test_forest_agrees_with_the_labels_of_other_vehicles(spark):
 
 
 def test_queries_without_sql():
-    assert set(QUERIES) - set(ORACLES) == {"smooth_tracking", "forest_confusion", "enhanced_levels", "segment_replay", "causal_states"}
+    assert set(QUERIES) - set(ORACLES) == {"smooth_tracking", "forest_confusion", "enhanced_levels", "segment_replay", "causal_states", "predicted_replay"}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tankwise.operators import tracking
+
 # The dictionary of signal states.
 SIGNAL_STATES = [("STABLE_JITTER", "Stable"), ("OSCILLATION_NOISE", "Oscillation"), ("GRADUAL_CHANGE", "Gradual change"), ("UPWARD_SHIFT", "Upward shift"), ("DOWNWARD_SHIFT", "Downward shift")]
 
@@ -41,6 +43,36 @@ def known_state(c: Column) -> Column:
     return F.when(c.isin([s for s, _ in SIGNAL_STATES]), c).otherwise(SIGNAL_STATES[0][0])
 
 
+# What the signal states mean, for those who read results.
+STATE_MEANINGS = [
+    ("UNINITIALIZED", "No valid level has come yet"),
+    ("INIT", "The first valid level of the vehicle"),
+    ("STABLE_JITTER", "The level rests; only sensor noise moves it"),
+    ("OSCILLATION_NOISE", "The level swings to and fro around its course"),
+    ("SLOSHING", "The liquid sloshes while the vehicle moves"),
+    ("GRADUAL_CHANGE", "The level falls or rises slowly and steadily"),
+    ("UPWARD_SHIFT", "The level has moved to a higher one"),
+    ("DOWNWARD_SHIFT", "The level has moved to a lower one"),
+    ("SPIKE", "A single reading far from its neighbours"),
+    ("UNCERTAIN", "The signal fits no known state"),
+]
+
+
+def described(outputs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """outputs with signal_state_description from the dictionary, a fixed ten rows; a state that it lacks is described as UNCERTAIN."""
+    names = (spark or outputs.sparkSession).createDataFrame(STATE_MEANINGS, "signal_state string, signal_state_description string")
+    other = dict(STATE_MEANINGS)["UNCERTAIN"]
+    return outputs.join(F.broadcast(names), "signal_state", "left").withColumn("signal_state_description", F.coalesce("signal_state_description", F.lit(other)))
+
+
+def clean_batch(t: DataFrame) -> DataFrame:
+    """The tracking step over a batch of points of many vehicles, given back in the order of seq, the number of the row in the batch.
+
+    Points of a vehicle that share a time are taken in the order of seq.
+    """
+    return tracking.track(t).orderBy("seq")
+
+
 def in_segment(t: DataFrame, segment_id: int | None) -> DataFrame:
     """Points of one segment number, or of all."""
     return t if segment_id is None else t.where(F.col("segment_id") == segment_id)

@@ -14,6 +14,7 @@ from tankwise.operators import quality as Q
 from tankwise.operators import serving as S
 from tankwise.operators import windows as W
 from tankwise.plans.oracles import AROUND, EPOCHS, LABELS, PROFILE, STEPS, TELE, VEHICLES, V, inline_haversine, recursive, sql
+from tankwise.sources import files
 from tankwise.sources.adapter import GAPPY, telemetry, vehicles
 
 KEY = ["vehicle_id", "seq"]
@@ -50,6 +51,28 @@ def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir).groupBy("rule", R.canonical_state(F.col("rule")).alias("state")).agg(F.count("*").alias("n"))
 
 
+def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and motion states under the names of other producers, as the event types of the table stand for them."""
+    kind = F.col("k") % 8
+    said = [" refuel_tracked", "DRAIN_CONFIRMED", "Valid ", "SPIKE_HELD", "REVERSAL_REJECTED", "nothing", None, "pending_refuel_held"]
+    moved = ["moving", " LOW_MOTION", "PARKED", None, "MOVING", "uncertain", "", "LOW_MOTION"]
+    t = telemetry(spark, sf_dir).withColumn("k", F.col("seq"))
+    of = lambda names: F.get(F.array(*[F.lit(n) for n in names]), kind.cast("int"))
+    return t.groupBy(R.canonical_flag(of(said)).alias("flag"), R.canonical_motion(of(moved)).alias("motion")).agg(F.count("*").alias("n"))
+
+
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written in each of the known formats, by row number, read back."""
+    at, day = F.timestamp_micros("us"), F.date_trunc("day", F.timestamp_micros("us"))
+    serial = F.floor(F.col("us") / 21_600_000_000) / 4 + 25_569
+    shapes = [
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250Z")), F.date_format(at, "dd/MM/yyyy HH:mm"), F.date_format(at, "d/M/yyyy H:mm:ss"), serial.cast("string"),
+        F.date_format(at, "yyyy/MM/dd HH:mm:ss"), F.lit("never"), F.lit("12"), F.date_format(day, "yyyy-MM-dd"), F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("+07:00")),
+    ]
+    text = F.get(F.array(*shapes), (F.col("seq") % len(shapes)).cast("int"))
+    return telemetry(spark, sf_dir, GAPPY).select(*KEY, F.unix_micros(files.moment(text)).alias("read_us"))
+
+
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame(S.SIGNAL_STATES, "state string, state_name string")
     return canonical_states(spark, sf_dir).join(F.broadcast(names), "state", "left").groupBy(F.coalesce("state_name", "state").alias("state_name")).agg(F.sum("n").alias("n"))
@@ -147,7 +170,7 @@ def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, state_names, repaired_coordinates, central_times, nominal_period,
+    gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, canonical_names, parsed_times, state_names, repaired_coordinates, central_times, nominal_period,
       learnt_period, behaviour_checks, step_percentiles, active_contexts,
     vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states, offline_features, forest_confusion,
 )}
@@ -226,6 +249,13 @@ ORACLES = {
           'OSCILLATION_NOISE' and pos > 5 and net <= -greatest(1.2, 0.005 * capacity) and va > 0.00001 and -net >= 0.55 * va and up <= 2 then 'GRADUAL_CHANGE'
           else label end as state from g""", STEPS, PROFILE, AROUND, LABELS),
     "canonical_states": sql(f"select rule, {STATE} as state, count(*) as n from labelled group by 1, 2", STEPS, PROFILE, AROUND, LABELS),
+    "canonical_names": sql("""
+        select case seq % 8 when 0 then 'UPWARD_SHIFT_TRACKED' when 1 then 'DOWNWARD_SHIFT_TRACKED' when 3 then 'SPIKE_HELD' when 4 then 'UPWARD_REVERSAL_REJECTED' when 7 then
+          'PENDING_UPWARD_SHIFT_HELD' else 'VALID' end as flag, case when seq % 8 in (0, 4) then 'MOVING' when seq % 8 in (1, 7) then 'LOW_MOTION' else 'UNCERTAIN' end as motion, count(*) as n
+        from t group by 1, 2"""),
+    "parsed_times": sql("""
+        select vehicle_id, seq, case seq % 10 when 2 then us - us % 60000000 when 4 then us - us % 21600000000 when 6 then null when 7 then null when 8 then us - us % 86400000000
+          else us - us % 1000000 end as read_us from t""", d=40),
     "state_names": sql(f"""
         select case {STATE} when 'STABLE_JITTER' then 'Stable' when 'OSCILLATION_NOISE' then 'Oscillation' when 'GRADUAL_CHANGE' then 'Gradual change' when
           'UPWARD_SHIFT' then 'Upward shift' when 'DOWNWARD_SHIFT' then 'Downward shift' else {STATE} end as state_name, count(*) as n from labelled group by 1""", STEPS, PROFILE, AROUND, LABELS),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tankwise.operators.adaptive import enhance
+from tankwise.operators.gated import gated_kalman
+from tankwise.operators.windows import steps
 
 # Names a column may have, the first found counts.
 NAMES = {
@@ -19,7 +24,10 @@ NAMES = {
     "address": ["address", "dia_chi", "Address"],
     "capacity": ["capacity_est", "CapacityEst", "dung_tich", "capacity"],
 }
-TIMES = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
+# Formats of times, the first that fits counts; one digit does where two are usual. Day before month, where both are possible.
+TIMES = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy/M/d H:m:s", "M/d/yyyy H:m:s", "yyyy-M-d H:m", "yyyy-M-d'T'H:m", "yyyy-M-d"]
+#: Numbers above are days since 1899-12-30, as spreadsheets count them; smaller ones are no times.
+LEAST_SERIAL = 20_000
 
 
 def number(c: Column) -> Column:
@@ -29,16 +37,15 @@ def number(c: Column) -> Column:
 
 def moment(c: Column) -> Column:
     """A timestamp from text: fractions and zones are cut off, then the known formats are tried, then spreadsheet days."""
-    text = F.regexp_replace(F.trim(c.cast("string")), r"(\.\d+)?(Z|[+-]\d\d:?\d\d)?$", "")
+    text = F.regexp_replace(F.trim(c.cast("string")), r"(?<=\d:\d\d)(\.\d*)?(Z|[+-]\d\d:?\d\d)?$", "")
     days = F.trim(c.cast("string")).try_cast("double")
-    serial = F.when(days.between(1, 200_000), F.timestamp_micros(F.round((days - 25_569) * 86_400_000_000).cast("long")))
+    serial = F.when((days > LEAST_SERIAL) & (days < 200_000), F.timestamp_micros(F.round((days - 25_569) * 86_400_000_000).cast("long")))
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMES], serial)
 
 
-def canonical(raw: DataFrame, vehicle: Column | None = None) -> DataFrame:
-    """The columns of NAMES from whichever names raw has; rows without a time go, a missing speed or distance is 0.
-
-    vehicle stands in where raw has no column for it. Raises ValueError without a time or level column.
+def parsed(raw: DataFrame, vehicle: Column | None = None) -> DataFrame:
+    """The columns of NAMES from whichever names raw has, one row a row: what is no time or number is null, a missing speed or
+    distance is 0. vehicle stands in where raw has no column for it. Raises ValueError without a time or level column.
     """
     found = {k: [F.col(f"`{n}`") for n in names if n in raw.columns] for k, names in NAMES.items()}
     if not found["vehicle_id"] and vehicle is not None:
@@ -48,13 +55,76 @@ def canonical(raw: DataFrame, vehicle: Column | None = None) -> DataFrame:
     first = {k: F.coalesce(*[c.cast("string") for c in cs]) if cs else F.lit(None).cast("string") for k, cs in found.items()}
     real = {k: number(first[k]) for k in ("fuel", "speed", "distance_m", "lat", "lng", "capacity")}
     real |= {k: F.coalesce(real[k], F.lit(0.0)) for k in ("speed", "distance_m")}
-    return raw.select(first["vehicle_id"].alias("vehicle_id"), moment(first["time"]).alias("time"), *[c.alias(k) for k, c in real.items()], first["address"].alias("address")).where("time is not null")
+    kept = [c for c in PLACE if c in raw.columns]
+    return raw.select(first["vehicle_id"].alias("vehicle_id"), moment(first["time"]).alias("time"), *[c.alias(k) for k, c in real.items()], first["address"].alias("address"), *kept)
+
+
+def canonical(raw: DataFrame, vehicle: Column | None = None) -> DataFrame:
+    """parsed() without the rows that have no time; rejected() counts those."""
+    return parsed(raw, vehicle).where("time is not null")
+
+
+#: Where a row of a file stands: file, first byte of the split, and a number that grows in the split.
+PLACE = ("file", "split_start", "place")
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("place"))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(header, files): the different first lines of the CSV files and the files that have them."""
+    first = _placed(spark.read.text(path)).where("split_start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    return first.groupBy(F.regexp_replace("header", "^\ufeff", "").alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
+def _columns(header: str) -> list[str]:
+    """Names of a header line: one without a name is called after its place, one that is there already too."""
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([header]))):
+        name = name.strip()
+        names.append(name if name and name not in names else f"_c{i}")
+    return names
+
+
+def raw_csv(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Rows of the CSV files as text, with their place: one table for each different header, its files read by their own names."""
+    groups = headers(spark, path).orderBy("header").collect()  # a row a header; Spark's reader holds the list of files anyway
+    read = lambda g: spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in _columns(g["header"])])).option("header", True).csv(g["files"])
+    return [_placed(read(g)) for g in groups if g["header"]]
+
+
+def _file_vehicle() -> Column:
+    return F.regexp_replace(F.element_at(F.split(F.url_decode("file"), "/"), -1), r"(_processed)?\.csv$", "")
+
+
+def parsed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """parsed() rows of CSV files whose headers may differ, with their place; a file of one vehicle without a column for it is
+    named after it.
+    """
+    parts = raw_csv(spark, path)
+    if not parts:
+        raise ValueError(f"no header in the files of {path}")
+    return union_sources(*[parsed(p, _file_vehicle()) for p in parts])
+
+
+def read_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Points of CSV files: rows with a time. ordered adds seq, the number of the row in the files' order, from 0."""
+    t = parsed_csv(spark, path)
+    return (numbered(t) if ordered else t.drop(*PLACE)).where("time is not null")
+
+
+def numbered(t: DataFrame) -> DataFrame:
+    """t with seq instead of its place: rows are counted by split, and a split begins where those before it (by file, then byte) end."""
+    sizes = t.groupBy("file", "split_start").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    starts = sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    return t.join(starts, ["file", "split_start"]).withColumn("seq", F.col("before") + F.col("place") - F.col("first")).drop(*PLACE, "before", "first")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Points of CSV files with headers; a file of one vehicle without a column for it is named after it."""
-    name = F.regexp_replace(F.element_at(F.split(F.url_decode(F.input_file_name()), "/"), -1), r"(_processed)?\.csv$", "")
-    return canonical(spark.read.option("header", True).csv(path), name)
+def rejected(t: DataFrame) -> DataFrame:
+    """(vehicle_id, n_rows, without_time, without_level) of parsed rows: what canonical() drops, and what has no level."""
+    return t.groupBy("vehicle_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("time").isNull()).alias("without_time"), F.count_if(F.col("fuel").isNull()).alias("without_level"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -104,11 +174,17 @@ def union_sources(*points: DataFrame) -> DataFrame:
     return out
 
 
-def enhance_files(spark: SparkSession, source: str, target: str) -> None:
-    """The adaptive filter over all CSV files of a folder, written by vehicle."""
-    t = read_csv(spark, source).withColumn("us", F.unix_micros("time"))
-    numbered = t.withColumn("seq", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("us", "fuel")).cast("long"))
-    write_points(enhance(numbered), target, "csv")
+def enhance_files(spark: SparkSession, source: str, target: str, kind: str = "adaptive") -> None:
+    """A causal filter over all CSV files of a folder, written by vehicle: the adaptive one, or the gated one with its segments."""
+    t = read_csv(spark, source, ordered=True).withColumn("us", F.unix_micros("time"))
+    t = t.withColumn("seq", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("us", "seq")).cast("long"))
+    if kind == "gated":
+        out = gated_kalman(steps(t.where("fuel is not null"))).withColumnRenamed("estimate", "enhanced")
+    elif kind == "adaptive":
+        out = enhance(t)
+    else:
+        raise ValueError(f"no filter {kind}")
+    write_points(out, target, "csv")
 
 
 def write_table(t: DataFrame, url: str, name: str, enabled: bool = True, mode: str = "append", **options: str) -> bool:

@@ -4,6 +4,7 @@ import pytest
 
 from tankwise.operators import evaluation as E
 from tankwise.operators import events as V
+from tankwise.operators import feature_vector as V28
 from tankwise.operators import forest as M
 from tankwise.operators import offline, serving, tracking
 from tankwise.operators import profile as P
@@ -73,22 +74,21 @@ def test_labels_are_followed_by_share(spark):
 
 
 def test_models_are_saved_loaded_and_boosted(spark, tmp_path):
-    t = M.held_out(P.labelled(telemetry(spark, SF)))
+    t = M.held_out(V28.offline(P.labelled(telemetry(spark, SF))))
     model = M.train(t.where("not held_out"), trees=5, depth=5)
-    M.save(model, str(tmp_path / "m"), columns=M.FEATURES, rows=3)
+    M.save(model, str(tmp_path / "m"), columns=V28.NAMES, rows=3)
     again, facts = M.load(spark, str(tmp_path / "m"))
-    assert facts == {"columns": M.FEATURES, "rows": 3}
+    assert facts == {"columns": V28.NAMES, "rows": 3}
     some = t.where("held_out")
     assert sorted(map(str, M.classify(model, some).select("seq", "guess").collect())) == sorted(map(str, M.classify(again, some).select("seq", "guess").collect()))
     boosted = M.train_boosted(t.where("not held_out"), rounds=3, depth=3)
-    hit = boosted.transform(M.features(some)).where("label is not null").selectExpr("avg(cast(guess = label as int))").first()[0]
+    hit = boosted.transform(some.select("vehicle_id", "seq", "label", "features.*")).where("label is not null").selectExpr("avg(cast(guess = label as int))").first()[0]
     assert hit > 0.6
 
 
 def test_causal_states_do_not_look_ahead(spark):
-    t = P.labelled(telemetry(spark, SF))
-    model = M.train(t, trees=5, depth=5, columns=M.CAUSAL)
-    one = t.where("vehicle_id = 'V00001'").cache()
+    model = M.train(V28.offline(P.labelled(telemetry(spark, SF))), trees=5, depth=5)
+    one = telemetry(spark, SF).where("vehicle_id = 'V00001'").cache()
     cut = one.selectExpr("percentile_approx(us, 0.5)").first()[0]
     whole = {r.seq: r.state for r in M.predict_causal(model, one).collect()}
     part = {r.seq: r.state for r in M.predict_causal(model, one.where(f"us <= {cut}")).collect()}

@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from tankwise.operators import feature_vector as V28
 from tankwise.operators import forest as M
 from tankwise.operators import gated as G
 from tankwise.operators import windows as W
@@ -58,9 +59,64 @@ def test_gated_filter_follows_the_second_point_of_a_noisy_fall(spark):
 
 
 def test_forest_learns_rules_of_other_vehicles(spark):
-    base = spark.range(1200).selectExpr("concat('V', id % 12) as vehicle_id", "id as seq", "id as us", "if(id % 3 = 0, 20.0d, if(id % 3 = 1, -20.0d, 0.1d)) as delta", "double(200 + id % 7) as prev3")
-    t = base.selectExpr("*", "prev3 + delta as fuel", "prev3 + delta as next3", "abs(delta) as abs_delta", "abs(delta) as range_pm3", "abs(delta) / 3 as std12", "cast(null as double) as next5")
-    t = t.withColumns({c: W.F.lit(1.0) for c in M.FEATURES if c not in [*t.columns, "back", "hold"]}).selectExpr("*", "if(delta > 10, 'UPWARD_SHIFT', if(delta < -10, 'DOWNWARD_SHIFT', 'STABLE_JITTER')) as label")
+    base = spark.range(1200).selectExpr("concat('V', id % 12) as vehicle_id", "id as seq", "id as us", "if(id % 3 = 0, 20.0d, if(id % 3 = 1, -20.0d, 0.1d)) as delta")
+    of = {"DeltaFuel": "delta", "AbsDeltaFuel": "abs(delta)", "RollingStd12": "abs(delta) / 3"}
+    features = ", ".join(f"'{n}', double({of.get(n, '1')})" for n in V28.NAMES)
+    t = base.selectExpr("*", f"named_struct({features}) as features", "if(delta > 10, 'UPWARD_SHIFT', if(delta < -10, 'DOWNWARD_SHIFT', 'STABLE_JITTER')) as label")
     t = M.held_out(t)
     got = M.classify(M.train(t.where("not held_out")), t.where("held_out"))
     assert got.count() > 0 and got.where("guess != label or confidence < 0.5").count() == 0
+
+
+def times(spark, *texts):
+    return [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(S.moment(W.F.col("x"))).collect()]
+
+
+def test_times_of_all_known_formats(spark):
+    day = dt.datetime(2024, 3, 5)
+    half = day.replace(hour=7, minute=30)
+    assert times(spark, "05/03/2024 07:30", "5/3/2024 07:30:00", "2024-03-05T07:30:00.123456+07:00", "2024-03-05 07:30:00.", "2024/03/05 07:30:00", "2024-03-05", "2024-3-5 7:30") == [half] * 5 + [day, half]
+    assert times(spark, "03/25/2024 10:00:00", "45356.25", "12", "20000", "", None, "x", "31/02/2024 10:00:00") == [dt.datetime(2024, 3, 25, 10), day.replace(hour=6), *[None] * 6]
+
+
+def test_files_with_unlike_headers_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("FuelTime,FuelLevel,Speed\n2026-01-01 10:00:00,200,7\nnever,1,1\n")
+    (tmp_path / "b.csv").write_text("Speed,FuelTime,FuelLevel,,Speed\n7,2026-01-01 10:00:00,200,x,9\n")
+    (tmp_path / "c.csv").write_text("\ufeffVehicleID,time,raw\nC,2026-01-01 10:00:00,\n")
+    (tmp_path / "d.csv").write_text("FuelTime,FuelLevel,Speed\n")
+    got = S.read_csv(spark, str(tmp_path))
+    assert sorted((r.vehicle_id, r.fuel, r.speed) for r in got.collect()) == [("C", None, 0.0), ("a", 200.0, 7.0), ("b", 200.0, 7.0)]
+    assert sorted(map(tuple, S.rejected(S.parsed_csv(spark, str(tmp_path))).collect())) == [("C", 1, 0, 1), ("a", 2, 1, 0), ("b", 1, 0, 0)]
+
+
+def test_rows_of_files_keep_their_order(spark, tmp_path):
+    n = 3000
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("FuelTime,FuelLevel,Speed\n" + "".join(f"2026-01-01 {i % 24:02}:00:00,{i},{i % 7}\n" for i in range(n)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits a file
+    try:
+        got = S.read_csv(spark, str(tmp_path), ordered=True)
+        assert [(r.seq, r.vehicle_id, r.fuel) for r in got.orderBy("seq").collect()] == [(i, "ab"[i // n], float(i % n)) for i in range(2 * n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_a_batch_in_mixed_order_comes_back_in_that_order(spark):
+    from tankwise.operators import serving, tracking
+
+    points = [("B", 4, 50.0), ("A", 2, 90.0), ("B", 0, 51.0), ("A", 0, 91.0), ("B", 2, 0.0), ("A", 2, 89.0)]
+    batch = spark.createDataFrame([([(v, m * 60_000_000, f) for v, m, f in points],)], "points array<struct<vehicle_id: string, us: long, fuel: double>>")
+    got = serving.clean_batch(batch.selectExpr("posexplode(points) as (seq, p)").selectExpr("cast(seq as long) as seq", "p.*")).collect()
+    assert [(r.vehicle_id, r.us // 60_000_000, r.raw) for r in got] == points
+    state, line = tracking.fresh(), sorted((p for p in enumerate(points) if p[1][0] == "A"), key=lambda p: (p[1][1], p[0]))
+    want = {i: tracking.step(state, m * 60_000_000, f)["clean"] for i, (_, m, f) in line}
+    assert {i: got[i].clean for i in want} == want
+
+
+def test_gated_filter_over_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "A.csv").write_text("FuelTime,FuelLevel\n" + "".join(f"2026-01-01 10:{2 * i:02}:00,{x}\n" for i, x in enumerate([100] * 12 + [200, 200, 200])))
+    S.enhance_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), kind="gated")
+    got = spark.read.option("header", True).csv(str(tmp_path / "out")).selectExpr("cast(seq as int) as seq", "double(enhanced) as x").orderBy("seq").collect()
+    assert [r.x for r in got][12:] == [100.0, 100.0, 200.0]

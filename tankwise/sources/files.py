@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,12 +92,14 @@ def _columns(header: str) -> list[str]:
 def raw_csv(spark: SparkSession, path: str) -> list[DataFrame]:
     """Rows of the CSV files as text, with their place: one table for each different header, its files read by their own names."""
     groups = headers(spark, path).orderBy("header").collect()  # a row a header; Spark's reader holds the list of files anyway
-    read = lambda g: spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in _columns(g["header"])])).option("header", True).csv(g["files"])
+    literal = lambda path: re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))  # noqa: E731  the reader takes patterns
+    read = lambda g: spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in _columns(g["header"])])).option("header", True).csv([literal(f) for f in g["files"]])
     return [_placed(read(g)) for g in groups if g["header"]]
 
 
 def _file_vehicle() -> Column:
-    return F.regexp_replace(F.element_at(F.split(F.url_decode("file"), "/"), -1), r"(_processed)?\.csv$", "")
+    path = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))  # a plus sign is no space in a path
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(_processed)?\.csv$", "")
 
 
 def parsed_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -84,9 +84,10 @@ def test_files_with_unlike_headers_are_read_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Speed,FuelTime,FuelLevel,,Speed\n7,2026-01-01 10:00:00,200,x,9\n")
     (tmp_path / "c.csv").write_text("\ufeffVehicleID,time,raw\nC,2026-01-01 10:00:00,\n")
     (tmp_path / "d.csv").write_text("FuelTime,FuelLevel,Speed\n")
+    (tmp_path / "e + {1}[2] %20_processed.csv").write_text("FuelTime,FuelLevel\n2026-01-01,5\n")
     got = S.read_csv(spark, str(tmp_path))
-    assert sorted((r.vehicle_id, r.fuel, r.speed) for r in got.collect()) == [("C", None, 0.0), ("a", 200.0, 7.0), ("b", 200.0, 7.0)]
-    assert sorted(map(tuple, S.rejected(S.parsed_csv(spark, str(tmp_path))).collect())) == [("C", 1, 0, 1), ("a", 2, 1, 0), ("b", 1, 0, 0)]
+    assert sorted((r.vehicle_id, r.fuel, r.speed) for r in got.collect()) == [("C", None, 0.0), ("a", 200.0, 7.0), ("b", 200.0, 7.0), ("e + {1}[2] %20", 5.0, 0.0)]
+    assert sorted(map(tuple, S.rejected(S.parsed_csv(spark, str(tmp_path))).collect())) == [("C", 1, 0, 1), ("a", 2, 1, 0), ("b", 1, 0, 0), ("e + {1}[2] %20", 1, 0, 0)]
 
 
 def test_rows_of_files_keep_their_order(spark, tmp_path):

@@ -2,8 +2,10 @@
 
 1. A pass over the texts makes for each document its set size, a 128-bit hash of the set, a few minimum hashes, an XOR
    bitmap of as many bits as its size band, and counts of shingles in 2^20 hash slots. Equal sets become one.
-2. Documents that share a minimum hash are compared with the smallest id among them: a star, not all pairs. This joins
-   most copies cheaply.
+2. Documents that share a minimum hash are compared with one of them, a star, not all pairs: at first with the smallest id.
+   Then, for a few rounds, those that are still of other components than most in their bucket are compared with two members
+   of its largest component, others each time. This joins most copies cheaply, also those that resemble each other only by
+   way of an original or of other copies; what it misses, step 3 finds.
 3. Exact candidates of what may still be missed: each set has its rarest quarter (by slot count, then hash: one order for
    all). Shingles of it that one component holds alone are dropped by a Spark aggregation and a bitmap of the others, before
    entries are shuffled. The rest go to tiles by shingle, size band (their own and the next) and, where a shingle has many
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, drop_tables, table
 from .wordhash import mix64, shingle_sets
 
 SLOT_BITS = 20
 SLOT_PARTS = 16
 MIN_HASHES = 6
+#: Rounds of stars.
+ROUNDS = 4
 ENTRIES_A_TILE = 80_000
 ID_BITS = 20
 MARK_BITS, MARK_PARTS = 27, 16
@@ -324,6 +328,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(_similar(k), "a long, b long")
 
 
+def _stars(sets: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) found by rounds of stars, and their components (node, component)."""
+    spark = sets.sparkSession
+    links, joined = None, spark.createDataFrame([], "node long, component long")
+    for r in range(ROUNDS):
+        of = sets.select("rep", "mins").join(joined, F.col("rep") == F.col("node"), "left")
+        keys = of.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("mins").alias("key"))
+        drawn = lambda n: F.min_by("rep", F.xxhash64(F.lit(2 * r + n), "key", "rep")) if r else F.min("rep")  # noqa: E731, B023
+        each = keys.groupBy("key", "comp").agg(F.count("*").alias("many"), drawn(0).alias("h0"), drawn(1).alias("h1"))
+        size = F.struct("many", F.xxhash64(F.lit(r), "comp")) if r else -F.col("h0")
+        largest = each.groupBy("key").agg(F.count("*").alias("comps"), F.max_by(F.struct("comp", "h0", "h1"), size).alias("top")).where("comps > 1")
+        # written, so that the rows of a very common minimum hash are split over tasks when they are joined
+        hubs = table(largest.select("key", F.col("top.comp").alias("of"), F.array_distinct(F.array("top.h0", "top.h1")).alias("hubs")), "hubs")
+        stars = keys.join(hubs, "key").where("comp <> of").select(F.explode("hubs").alias("a"), F.col("rep").alias("b")).distinct()
+        found = table(_verified(stars, sets, texts, k), "links")
+        drop_tables(hubs)
+        if found.isEmpty() and r:
+            break
+        links = found if links is None else links.unionByName(found)
+        joined = table(components(links), "joined")
+    return links, joined
+
+
 def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -335,14 +362,8 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     sketch = table(docs.mapInArrow(_sketches(k), _SKETCH), "sketch")
     each = sketch.where("part is null")
     sets = table(each.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bitmap").alias("bitmap")), "sets")
-    # stars of documents that share a minimum hash
-    keys = sets.select("rep", F.explode("mins").alias("key"))
-    # written, so that the rows of a very common minimum hash are split over tasks when they are joined
-    hubs = table(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("many")).where("many > 1").drop("many"), "hubs")
-    stars = keys.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = table(_verified(stars, sets, texts, k), "links")
-    joined = components(links)
-    labels = sets.select(F.col("rep").alias("doc_id")).distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    links, joined = _stars(sets, texts, k)
+    labels = sets.select(F.col("rep").alias("doc_id")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     # exact candidates between components
     levels = spark.sparkContext.broadcast(_levels(sketch))
     left = table(labels.join(texts, "doc_id").select("doc_id", "comp", "text"), "prefixed")

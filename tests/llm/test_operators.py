@@ -571,3 +571,23 @@ def test_line_dedup(docs, empty):
     got = [tuple(r) for r in out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(w[2] for w in want) > 6
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_copies_that_resemble_only_an_original_that_is_no_hub(spark):
+    """40 copies of document 25, each with other words changed, so that no two copies are similar; the smallest id is a copy."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(41):
+        w = list(base)
+        if i != 25:
+            for at in r.sample(range(5, 195), 6):
+                w[at] = f"x{i}_{at}"
+        texts[i] = " ".join(w)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in texts.items()}
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert all(like(25, i) for i in texts) and sum(like(a, b) for a in texts for b in texts if a < b != 25 != a) < 100
+    docs = spark.createDataFrame([*texts.items(), (99, "something else altogether in five words")], "doc_id long, text string")
+    got = {row.doc_id: row.component_id for row in jaccard_join.similar_components(docs).collect()}
+    assert got == dict.fromkeys(texts, 0) | {99: 99}
+    assert jaccard_join.similar_components(docs.limit(0)).count() == 0

@@ -11,9 +11,13 @@ The model file is read as it is (its path is a parameter) and compiled into two
 The chain is composed with the pieces state by state, and the encoding is the shortest path in the tropical semiring: weights
 are added along a path, the least sum wins, and of equal sums the path whose last differing piece is longer. Weights are -score
 for unigram models, and the arc of an unspelled symbol weighs 10 more than the worst piece; user-defined pieces weigh
-0.1 - n * best score, so they win over all else; unused pieces have no arcs. A BPE file has only the order of its merges, so its
-weights are log(rank + 2), as word frequencies fall with rank: paths are then not the BPE merge sequence, but decoding
-gives the normalised text back exactly.
+0.1 - n * best score, so they win over all else; unused pieces have no arcs.
+
+A BPE file orders merges instead of weighing pieces. Its machine has the segmentations of the chain as states, from single
+symbols (and user-defined pieces, which stay whole) on, and an arc for each merge of two neighbours to a piece, which weighs
+(-score, place). Weights of a path are compared in lexicographic order, so the least first arc decides whatever follows:
+the shortest path takes the least arc of each state until there is none. Unused pieces come apart again at its end. The
+ids are those of the library.
 
 Where no piece but runs of U+2581 holds that sign after another character, the chain falls apart before each such run, and
 a worker finds the path of each distinct part once.
@@ -25,6 +29,7 @@ null ids decode as null; repeated rows are encoded alike; other columns are not
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 import struct
@@ -142,15 +147,23 @@ class PieceTransducer:
         self.ends: list[tuple[int, float] | None] = [None]
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
+        #: Of a BPE file the weight of the merge that makes each piece, the ids of pieces, and those that come apart again.
+        self.merges: dict[str, float] | None = None if unigram else {}
+        self.ids: dict[str, int] = {}
+        self.unused: set[str] = set()
         scores = [s for _, s, k in pieces if k == NORMAL]
         best = max(scores, default=0.0)
         self.whole = True
         kept = []
         for rank, (piece, score, kind) in enumerate(pieces):
-            weight = -score if unigram else math.log(rank + 2)
+            weight = -score
             if kind == USER:
-                weight = 0.1 - len(piece) * best if unigram else 0.0
+                weight = 0.1 - len(piece) * best
                 kept.append(piece)
+            if not unigram and kind in (NORMAL, USER, UNUSED):
+                self.merges[piece], self.ids[piece] = -score, rank
+                if kind == UNUSED:
+                    self.unused.add(piece)
             if kind == BYTE:
                 self.byte_ids[int(piece[3:5], 16)] = rank
                 self.text.append(bytes([int(piece[3:5], 16)]))
@@ -158,12 +171,14 @@ class PieceTransducer:
             self.unknown = rank if kind == UNKNOWN else self.unknown
             shown = {NORMAL: piece.replace(SPACE, " "), USER: piece.replace(SPACE, " "), UNUSED: piece.replace(SPACE, " "), UNKNOWN: UNKNOWN_TEXT}
             self.text.append(shown.get(kind, "").encode())
-            if kind in (NORMAL, USER):
+            if kind in (NORMAL, USER) or not unigram and kind == UNUSED:
                 self.whole &= not re.search(f"[^{SPACE}]{SPACE}", piece)
                 self._add(piece, rank, weight)
         self.whole &= SPACE in self.arcs[0] and self.ends[self.arcs[0][SPACE]] is not None
-        self.unspelled = PENALTY + (-min(scores, default=0.0) if unigram else math.log(len(pieces) + 2))
+        self.unspelled = PENALTY - min(scores, default=0.0)
         self.normaliser = Normaliser(charsmap, prefix, squeeze, kept)
+        self.kept = re.compile("|".join(re.escape(k) for k in sorted(kept, key=len, reverse=True)) + "|.", re.DOTALL) if kept else None
+        self.frozen = set(kept)
 
     def _add(self, piece: str, rank: int, weight: float) -> None:
         state = 0
@@ -175,6 +190,53 @@ class PieceTransducer:
             state = self.arcs[state][c]
         self.ends[state] = rank, weight
 
+    def merged(self, chain: str) -> list[int]:
+        """Ids at the end of the lexicographically shortest path of merges of chain."""
+        part = self.kept.findall(chain) if self.kept else list(chain)
+        before, after = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
+        after[-1:] = [-1]
+        open_: list[tuple[float, int, int, int]] = []
+        apart: dict[str, tuple[str, str]] = {}
+
+        def arc(left: int, right: int) -> None:
+            if left >= 0 <= right and part[left] not in self.frozen and part[right] not in self.frozen:
+                piece = part[left] + part[right]
+                if (weight := self.merges.get(piece)) is not None:
+                    heapq.heappush(open_, (weight, left, right, len(piece)))
+                    if piece in self.unused:
+                        apart[piece] = part[left], part[right]
+
+        for i in range(len(part) - 1):
+            arc(i, i + 1)
+        while open_:
+            _, left, right, size = heapq.heappop(open_)
+            if not part[left] or not part[right] or len(part[left]) + len(part[right]) != size:
+                continue  # an arc of a state that has been left
+            part[left] += part[right]
+            part[right] = ""
+            after[left] = after[right]
+            if after[right] >= 0:
+                before[after[right]] = left
+            arc(before[left], left)
+            arc(left, after[left])
+        out: list[int] = []
+        last_unknown = False
+        todo = [p for p in reversed(part) if p]
+        while todo:
+            p = todo.pop()
+            if p in apart:
+                todo += reversed(apart[p])
+                continue
+            rank = self.ids.get(p)
+            if rank is not None:
+                out.append(rank)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in p.encode()]
+            elif not last_unknown:  # a run of unknown symbols is one id
+                out.append(self.unknown)
+            last_unknown = rank is None
+        return out
+
     def path(self, chain: str) -> list[int]:
         """Ids that the shortest path of the composition with chain writes.
 
@@ -220,7 +282,7 @@ class PieceTransducer:
         if len(held) > HELD_PARTS:
             held.clear()
         for p in set(parts).difference(held):
-            ids = self.path(p)
+            ids = self.path(p) if self.merges is None else self.merged(p)
             held[p] = struct.pack(f"<{len(ids)}i", *ids)
         return b"".join(map(held.__getitem__, parts))
 

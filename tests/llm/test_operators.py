@@ -581,7 +581,7 @@ def test_copies_that_resemble_only_an_original_that_is_no_hub(spark):
     for i in range(41):
         w = list(base)
         if i != 25:
-            for at in r.sample(range(5, 195), 6):
+            for at in r.sample(range(5, 195), 5):
                 w[at] = f"x{i}_{at}"
         texts[i] = " ".join(w)
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in texts.items()}
@@ -591,3 +591,35 @@ def test_copies_that_resemble_only_an_original_that_is_no_hub(spark):
     got = {row.doc_id: row.component_id for row in jaccard_join.similar_components(docs).collect()}
     assert got == dict.fromkeys(texts, 0) | {99: 99}
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
+
+
+def test_bpe_ids_are_those_of_the_library(spark):
+    sp = pytest.importorskip("sentencepiece")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lib = sp.SentencePieceProcessor(model_file=PIECES)
+    got = {r.doc_id: list(r.ids) for r in piece_fst.encode(docs, piece_fst.read_model(docs, PIECES), with_ids=True).collect()}
+    assert len(got) == 200 and all(got[r.doc_id] == lib.encode(r.text or "") for r in docs.collect())
+    r = random.Random(9)
+    model = open(PIECES, "rb").read()
+    f = piece_fst.PieceTransducer(model)
+    for t in ["a" * 3000, "▁x", "日本語 𝔘𝔫𝔦", "<s> </s> <unk> <0x41>", "".join(chr(r.randrange(32, 0x2FFF)) for _ in range(3000))]:
+        assert memoryview(f.encode(t, {})).cast("i").tolist() == lib.encode(t)
+
+
+@pytest.mark.parametrize("byte_pieces", [False, True])
+def test_merges_with_unused_and_user_defined_pieces_are_those_of_the_library(byte_pieces):
+    sp = pytest.importorskip("sentencepiece")
+    r = random.Random(10)
+    for _ in range(15):
+        rows = [message((1, message((1, b"<unk>"), (2, 0.0), (3, 2))))]
+        if byte_pieces:
+            rows += [message((1, message((1, f"<0x{b:02X}>".encode()), (2, 0.0), (3, 6)))) for b in range(256)]
+        pieces = list(dict.fromkeys(["".join(r.choice("abc▁") for _ in range(r.randint(2, 4))) for _ in range(25)] + list("ab▁")))
+        kinds = {p: 4 if p == "ab▁c" else 5 if len(p) > 1 and r.random() < 0.3 else 1 for p in pieces}
+        rows += [message((1, message((1, p.encode()), (2, -float(i)), (3, kinds[p])))) for i, p in enumerate(pieces)]
+        kind = message((3, 2)) + b"\x98\x02\x01" * byte_pieces  # a BPE model; field 35 has a tag of two bytes
+        model = b"".join(rows) + message((2, kind)) + message((3, message((1, b"own"), (2, b""), (3, 1), (4, 1), (5, 1))))
+        f, lib = piece_fst.PieceTransducer(model), sp.SentencePieceProcessor(model_proto=model)
+        for _ in range(20):
+            t = "".join(r.choice("abcz ") for _ in range(r.randint(0, 14)))
+            assert memoryview(f.encode(t, {})).cast("i").tolist() == lib.encode(t), (t, pieces, kinds)

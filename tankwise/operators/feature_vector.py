@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tankwise.operators import tracking
 from tankwise.operators.windows import VEHICLE, epochs, middle, motion, valid_history
 
 # Names of the features, in the order of the model's vector.
@@ -38,6 +42,8 @@ NAMES = [
     "ValleyReversalFlag",
     "TransientScore",
 ]
+#: Before the name of a feature that stands as a column beside those of the points, since names differ by case alone.
+IN = "_in_"
 # Floor in litres and share of capacity of the causal thresholds.
 NOISE, FLAT, SPIKE, EVENT = (0.5, 0.002), (0.8, 0.003), (3.0, 0.012), (6.0, 0.035)
 
@@ -95,3 +101,59 @@ def causal(t: DataFrame, keys: tuple[str, ...] = VEHICLE) -> DataFrame:
     first = F.col("opens") & (F.col("epoch") == 1)
     out = _added(t, of)
     return out.withColumn("features", F.when(F.col("valid") & ~first, F.col("features"))).drop("_levels", "_cap", "past")
+
+
+#: What the point step takes and gives: the point, what is known without a model, whether the last six levels fall steadily, the features.
+STEP_INPUT = ("vehicle_id", "seq", "us", "fuel", "speed", "capacity", "lat", "lng")
+STEP_OUT = "vehicle_id string, seq long, us long, fuel double, speed double, capacity double, lat double, lng double, kind string, known string, falling int, " + ", ".join(f"{IN}{n} double" for n in NAMES)
+
+
+def fresh() -> dict:
+    return {"us": None, "levels": [], "coords": [], "six": []}
+
+
+def step(s: dict, point: tuple) -> dict:
+    """causal() for streams: takes one point (STEP_INPUT) in, changes the JSON-able state s and returns STEP_OUT.
+
+    known is the state where no model is asked (UNINITIALIZED, INIT, STABLE_JITTER), else null.
+    """
+    vehicle_id, seq, us, fuel, speed, capacity, lat, lng = point
+    out = dict(zip(STEP_INPUT, point, strict=True)) | {"kind": "point", "known": None, "falling": 0} | dict.fromkeys([IN + n for n in NAMES], 0.0)
+    valid = fuel is not None and math.isfinite(fuel) and fuel > 0
+    speed = speed if speed is not None and math.isfinite(speed) else 0.0
+    cap = float(capacity) if capacity is not None and math.isfinite(capacity) and capacity > 0 else None
+    here = tracking._coordinate(lat, lng)
+    s["six"] = [*s["six"], fuel][-6:]
+    out["falling"] = int(_falls(s["six"], cap))
+    if s["us"] is None:
+        if valid:
+            s |= {"us": us, "levels": [fuel], "coords": [here]}
+        return out | {"known": "INIT" if valid else "UNINITIALIZED"}
+    minutes = max((us - s["us"]) / 60_000_000, 0.1)
+    _, _, far, places = tracking.motion(s, speed, here)
+    if valid and minutes > 30:
+        s |= {"levels": [], "coords": []}
+    s["us"], s["coords"] = us, [*s["coords"], here][-12:]
+    if not valid:
+        return out | {"known": "STABLE_JITTER"}
+    levels = [*s["levels"], fuel]
+    s["levels"] = levels[-12:]
+    at_least = lambda pair: max(pair[0], pair[1] * (cap or 0.0))
+    span = lambda k: max(levels[-k:]) - min(levels[-k:])
+    delta, spread, middle_ = fuel - levels[-2] if len(levels) > 1 else 0.0, statistics.pstdev(levels) if len(levels) >= 3 else 0.0, statistics.median(levels[-3:])
+    share = lambda x: x / cap if cap else 0.0
+    features = {
+        "FuelLevel": fuel, "FuelPct": share(fuel), "Speed": speed, "MotionSpeedKmh": speed, "TimeGapMinutes": minutes, "DeltaFuel": delta, "DeltaPct": share(delta), "AbsDeltaFuel": abs(delta), "DeltaOverNoise": delta / at_least(NOISE),
+        "RollingStd12": spread, "RollingStdPct": share(spread), "DistanceMeters": far, "GpsSpeedKmh": speed, "HasGPS": float(places > 0), "capacity_est": cap or 0.0, "noise_sigma_liters": at_least(NOISE), "flat_jitter_threshold": at_least(FLAT),
+        "spike_threshold": at_least(SPIKE), "event_threshold": at_least(EVENT), "PrevMedian3": middle_, "FutureMedian3": middle_, "FutureMedian5": middle_, "LocalRange5": span(5), "LocalRange7": span(7),
+    }
+    return out | {IN + n: float(x) for n, x in features.items()}
+
+
+def _falls(six: list, cap: float | None) -> bool:
+    """The rule of preparation.gradual_override() for the last six levels."""
+    if len(six) < 6 or any(x is None or not math.isfinite(x) for x in six):
+        return False
+    moves = [b - a for a, b in zip(six, six[1:], strict=False)]
+    path, net = sum(map(abs, moves)), six[-1] - six[0]
+    return net <= -max(1.2, 0.005 * (cap or 0.0)) and path > 1e-5 and -net >= 0.55 * path and max(moves) <= 2

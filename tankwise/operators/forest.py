@@ -15,7 +15,7 @@ from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, Str
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tankwise.operators.feature_vector import NAMES, causal
+from tankwise.operators.feature_vector import IN, NAMES, causal
 from tankwise.operators.preparation import gradual_override
 from tankwise.operators.profile import balanced
 from tankwise.operators.windows import VEHICLE
@@ -94,22 +94,19 @@ def predict_causal(model: PipelineModel | None, t: DataFrame, keys: tuple[str, .
         guessed = known.withColumn("guess", F.lit("STABLE_JITTER"))
     else:
         # rows without features get zeros and no guess; the model only adds columns, so a row stays a row
-        filled = known.select("*", *[F.coalesce(F.col("features")[n], F.lit(0.0)).alias(f"{_IN}{n}") for n in NAMES])
-        guessed = _renamed(model, _IN).transform(filled)
+        filled = known.select("*", *[F.coalesce(F.col("features")[n], F.lit(0.0)).alias(f"{IN}{n}") for n in NAMES])
+        guessed = with_inputs(model).transform(filled)
     state = F.when(F.col("epoch") == 0, "UNINITIALIZED").when(F.col("opens") & (F.col("epoch") == 1), "INIT").when(F.col("features").isNotNull(), F.col("guess")).otherwise("STABLE_JITTER")
     capacity = F.col("capacity") if "capacity" in own else F.lit(None).cast("double")
     guessed = guessed.withColumns({"_guessed": state, "capacity": capacity}).drop("state")
     return gradual_override(guessed, "_guessed", keys).select(*own, "features", "epoch", "state")
 
 
-_IN = "_in_"
-
-
-def _renamed(model: PipelineModel, prefix: str) -> PipelineModel:
-    """The model without its label indexer, reading the features under names with a prefix."""
+def with_inputs(model: PipelineModel) -> PipelineModel:
+    """The model without its label indexer, reading the features from columns whose names begin with IN."""
     stages = [s.copy() for s in model.stages if not isinstance(s, StringIndexerModel)]
     assembler = next(s for s in stages if isinstance(s, VectorAssembler))
-    assembler.setInputCols([prefix + n for n in NAMES])
+    assembler.setInputCols([IN + n for n in NAMES])
     return PipelineModel(stages)
 
 
@@ -118,5 +115,5 @@ def classify(model: PipelineModel, t: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     own = t.columns
-    asked = t.where("features is not null").select("*", *[F.col("features")[n].alias(f"{_IN}{n}") for n in NAMES])
-    return _renamed(model, _IN).transform(asked).withColumn("confidence", F.array_max(vector_to_array("probability"))).select(*own, "guess", "confidence")
+    asked = t.where("features is not null").select("*", *[F.col("features")[n].alias(f"{IN}{n}") for n in NAMES])
+    return with_inputs(model).transform(asked).withColumn("confidence", F.array_max(vector_to_array("probability"))).select(*own, "guess", "confidence")

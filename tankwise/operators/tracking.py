@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 RING, SAMPLES = 12, 24
 OUT = (
     "vehicle_id string, seq long, us long, raw double, clean double, signal_state string, quality_flag string, motion_state string, motion_confidence double, "
-    "displacement double, fuel_rate double, is_stopped int, operational_state string"
+    "displacement double, fuel_rate double, is_stopped int, operational_state string, previous double"
 )
 # Signal states.
 STATES = ("UNINITIALIZED", "INIT", "STABLE_JITTER", "OSCILLATION_NOISE", "SLOSHING", "GRADUAL_CHANGE", "UPWARD_SHIFT", "DOWNWARD_SHIFT", "SPIKE", "UNCERTAIN")
@@ -204,9 +204,10 @@ def step(s: dict, us: int, raw: float | None, speed: float | None = 0.0, cap: fl
     thr = lambda floor, share: max(floor, share * cap) if cap else floor
     j, shift, flat = thr(0.8, 0.003), thr(10.0, 0.04), thr(3.0, 0.006)
     moved, sure, far, places = motion(s, speed, here)
+    previous = s["clean"]
 
     def out(clean: float | None, state: str, flag: str, rate: float = 0.0) -> dict:
-        return {"raw": None if math.isnan(raw) else raw, "clean": None if clean is None else round(clean, 2), "signal_state": state, "quality_flag": flag, "motion_state": moved, "motion_confidence": round(sure, 3), "displacement": round(far, 2), "fuel_rate": round(rate, 4), "is_stopped": int(speed <= 0.5), "operational_state": s["mode"]}
+        return {"raw": None if math.isnan(raw) else raw, "clean": None if clean is None else round(clean, 2), "signal_state": state, "quality_flag": flag, "motion_state": moved, "motion_confidence": round(sure, 3), "displacement": round(far, 2), "fuel_rate": round(rate, 4), "is_stopped": int(speed <= 0.5), "operational_state": s["mode"], "previous": previous}
 
     if s["x"] is None:
         if not raw > 0:

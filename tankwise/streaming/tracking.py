@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,57 @@ def encode(state: dict) -> str:
 
 
 def decode(doc: str, fresh: Callable[[], dict] = tracking.fresh) -> dict:
+    """The state of a document: one of encode(), or one that spells the names of the tracking state out (LONG_NAMES)."""
     found = json.loads(doc)
     if found.get("schema_version") != STATE_VERSION:
         raise ValueError("state of another version")
-    return fresh() | found["context"]
+    context = found["context"]
+    if any(name in context for names in LONG_NAMES.values() for name in names):
+        context = _shortened(context)
+    return fresh() | context
+
+
+# Names of the tracking state in documents of other services, the newer name first.
+LONG_NAMES = {
+    "x": ["kalman_x"],
+    "p": ["kalman_p"],
+    "clean": ["last_clean_fuel"],
+    "us": ["last_time"],
+    "cap": ["capacity_est"],
+    "grace": ["recent_upward_steps", "recent_refuel_steps"],
+    "falls": ["pending_downward_count", "pending_drain_count"],
+    "drops": ["drop_count"],
+    "anchor": ["upward_anchor", "refuel_anchor"],
+    "rising": ["upward_samples", "refuel_samples"],
+    "fuel": ["history_fuel"],
+    "speed": ["history_speed"],
+    "coords": ["history_coordinates"],
+}
+
+
+def _shortened(context: dict) -> dict:
+    """The tracking state of a document with long names; its mode is STABLE once a level was seen, as these documents do not keep it."""
+    state = {}
+    for short, names in LONG_NAMES.items():
+        for name in names:
+            if name in context:
+                state[short] = context[name]
+                break
+    if isinstance(state.get("us"), str):
+        at = datetime.fromisoformat(state["us"])
+        at = at if at.tzinfo else at.replace(tzinfo=UTC)
+        state["us"] = (at - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+    for ring in ("fuel", "speed", "coords"):
+        if ring in state:
+            state[ring] = list(state[ring])[-tracking.RING :]
+    return state | {"mode": "STABLE" if state.get("x") is not None else "UNINITIALIZED"}
 
 
 def _filtered(points: DataFrame, columns: tuple[str, ...], fresh: Callable[[], dict], one_point, out: str, ttl_ms: int | None) -> DataFrame:
+    """one_point over the points of each vehicle in time order; a reset clears its state.
+
+    A vehicle's rows of one trigger are held in memory at once, so a source should bound its trigger (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    """
     own = [c for c in columns if c in points.columns]
     points = points.select(*own, *(["kind"] if "kind" in points.columns else []))
 
@@ -88,15 +133,23 @@ def keep_latest(path: str) -> Callable[[DataFrame, int], None]:
             newest = before.unionByName(batch, allowMissingColumns=True)
         row = F.max_by(F.struct(*newest.columns), F.struct("us", "seq")).alias("row")
         newest.groupBy("vehicle_id").agg(row).select("row.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+        # a repeated batch reads the version before its own, so two are kept
+        for old in _versions(spark, path)[:-2]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return upsert
 
 
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last version of the table that keep_latest writes (before a batch), None if there is none."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished batches in a folder, oldest first."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-    done = [n for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    done = [n for n in done if before is None or int(n.removeprefix("batch=")) < before]
+    return [n for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last version of the table that keep_latest writes (before a batch), None if there is none."""
+    done = [n for n in _versions(spark, path) if before is None or int(n.removeprefix("batch=")) < before]
     return spark.read.parquet(f"{path}/{done[-1]}") if done else None

@@ -34,13 +34,14 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
-HELD_PARTS = 400_000
+HELD_PARTS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What the arc of an unspelled symbol weighs above the worst piece.
 PENALTY = 10.0
@@ -304,6 +305,12 @@ def read_model(df: DataFrame, path: str) -> bytes:
     return bytes(df.sparkSession.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0])
 
 
+def _lists(sizes: list[int], packed: bytearray) -> pa.Array:
+    """Lists of 32-bit integers from their sizes and their values in a row, without a Python object for each."""
+    values = pa.Array.from_buffers(pa.int32(), len(packed) // 4, [None, pa.py_buffer(packed)])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+
+
 def encode(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip) and, if wanted, ids for each row of docs (doc_id, text).
 
@@ -314,17 +321,17 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst, held = PieceTransducer(sent.value), {}
         for batch in batches:
-            n, sha, same, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            n, sha, same, ids = [], [], [], bytearray()
+            for value in batch.column(1):
+                text = value.as_py() or ""
                 packed = fst.encode(text, held)
                 own = memoryview(packed).cast("i")
                 n.append(len(own))
                 sha.append(hashlib.sha256(packed).hexdigest())
                 same.append(fst.decode(own) == fst.normalised(text))
                 if with_ids:
-                    ids.append(own.tolist())
-            more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+                    ids += packed
+            more = [_lists(n, ids)] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *more], ["doc_id", "n_tokens", "ids_sha256", "round_trip", *["ids"] * with_ids])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)

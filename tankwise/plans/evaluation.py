@@ -10,6 +10,7 @@ from tankwise.operators import evaluation as E
 from tankwise.operators import events as V
 from tankwise.operators import feature_vector as V28
 from tankwise.operators import forest, offline
+from tankwise.operators import kpi as K
 from tankwise.operators import profile as P
 from tankwise.operators import serving as S
 from tankwise.operators import windows as W
@@ -127,6 +128,22 @@ def predicted_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replay_predicted(_model(spark, sf_dir), t)
 
 
+def segment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay report's metrics and checks of each segment, for a moving average as the clean curve."""
+    t = W.steps(telemetry(spark, sf_dir, GAPPY))
+    of = W.Window.partitionBy("vehicle_id", "segment_id").orderBy("us", "seq")
+    state = F.when(F.col("speed") > 5, "MOVING").otherwise("LOW_MOTION")
+    checks = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in KPI_LIMITS.items()], F.array(F.lit(1)).alias("zero_dropout_indexes"), F.array(F.lit("MOVING"), F.lit("LOW_MOTION")).alias("required_motion_states"))
+    t = t.withColumns({
+        "id": F.concat_ws("/", "vehicle_id", F.col("segment_id").cast("string")), "pos": (F.row_number().over(of) - 1).cast("int"), "clean": F.when(F.col("fuel") == 0, F.lag("fuel").over(of)).otherwise(F.avg("fuel").over(of.rowsBetween(-7, 0))),
+        "motion_state": state, "quality_flag": F.when(F.col("fuel") == 0, "ZERO_DROPOUT_HELD").otherwise("VALID"), "expected": F.when(F.col("seq") % 2 == 0, F.col("fuel")), "review_status": F.when(F.col("segment_id") % 2 == 0, "approved"), "checks": checks,
+    })
+    return K.segment_metrics(t)
+
+
+KPI_LIMITS = {"max_clean_span": 60.0, "max_upward_step": 6.0, "max_final_lag_liters": 2.5, "max_step_size": 8.0, "min_clean_liters": 20.0, "min_valley_attenuation_liters": 5.0, "min_total_clean_drop": 2.0}
+
+
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).withColumn("clean", F.lag("fuel").over(W.by_vehicle()))
     return S.report(t.selectExpr("*", "fuel as raw", "cast(null as string) as address"))
@@ -139,7 +156,7 @@ def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     shift_events, newest_events, event_kinds, fleet_summary, scoped_matrix, score_report, axis_bounds, collapsed_states, segment_scope, curve_regression,
       segment_provenance, vehicle_log, dropout_line, shape_clean,
-    label_following, online_features, enhanced_levels, segment_replay, causal_states, predicted_replay, report_rows, map_bounds,
+    label_following, online_features, enhanced_levels, segment_replay, causal_states, predicted_replay, segment_kpis, report_rows, map_bounds,
 )}
 
 _EVENTS = """, runs as (
@@ -280,4 +297,28 @@ ORACLES = {
           round(0::double, 9) + 0.0 as ValleyReversalFlag,
           round(0::double, 9) + 0.0 as TransientScore
         from y""", EPOCHS, PLACES, VEHICLES, d=40),
+    "segment_kpis": sql("""
+        , p as (
+          select *, vehicle_id || '/' || segment_id as id, row_number() over w - 1 as pos, case when fuel = 0 then lag(fuel) over w else avg(fuel) over (partition by vehicle_id, segment_id order by us, seq rows between 7 preceding and current row) end as clean
+          from s window w as (partition by vehicle_id, segment_id order by us, seq)
+        ), q as (
+          select *, lag(clean) over w as was, round(clean - lag(clean) over w, 6) as rise, case when fuel > 0 then fuel end as raw, case when fuel > 0 then clean end as valid,
+            case when fuel > 0 then sum(case when fuel > 0 then 1 else 0 end) over w end as i from p window w as (partition by vehicle_id, segment_id order by us, seq)
+        ), m as (
+          select id, case when any_value(segment_id) % 2 = 0 then 'approved' end as review_status, count(*) as points, case when count(raw) >= 2 then stddev_pop(raw) else 0 end as raw_std,
+            case when count(clean) >= 2 then stddev_pop(clean) else 0 end as clean_std, case when count(raw) >= 3 then stddev_pop(raw) * sqrt(greatest(0, 1 - coalesce(regr_r2(raw, i), 0))) else 0 end as raw_detrended_std,
+            case when count(valid) >= 3 then stddev_pop(valid) * sqrt(greatest(0, 1 - coalesce(case when stddev_pop(valid) > 0 then regr_r2(valid, i) end, 0))) else 0 end as clean_detrended_std,
+            coalesce(max(raw) - min(raw), 0) as raw_range, coalesce(max(clean) - min(clean), 0) as clean_range, avg(abs(valid - raw)) as mae, max_by(clean, pos) filter (clean is not null) as last_of,
+            first(fuel order by pos) as f0, last(fuel order by pos) as f1, first(clean order by pos) as c0, last(clean order by pos) as c1, count(*) filter (speed > 5 and rise > 0.01) as moving_upward_steps,
+            avg(abs(clean - coalesce(case when seq % 2 = 0 then fuel end, clean))) as regression_mae, coalesce(max(rise), 0) as up, coalesce(max(abs(rise)), 0) as step, min(clean) as least, min(fuel) as least_raw,
+            count(*) filter (fuel = 0 and clean is not distinct from was and pos = 1) as held, count(*) filter (speed > 5) as fast, count(*) filter (speed <= 5) as slow from q group by id
+        ), k as (
+          select *, round(clean_range, 6) <= 60 as max_clean_span, up <= 6 as max_upward_step, coalesce(round(c1 - f1, 6) <= 2.5, false) as max_final_lag_liters, step <= 8 as max_step_size, coalesce(round(least, 6) >= 20, false) as min_clean_liters,
+            coalesce(round(least - least_raw, 6) >= 5, false) as min_valley_attenuation_liters, coalesce(round(c0 - c1, 6) >= 2, false) as min_total_clean_drop, held = 1 as zero_dropout_indexes, fast > 0 and slow > 0 as required_motion_states from m
+        ) select id, review_status, points, round(raw_std, 6) + 0.0 as raw_std, round(clean_std, 6) + 0.0 as clean_std, round(raw_detrended_std, 6) + 0.0 as raw_detrended_std, round(clean_detrended_std, 6) + 0.0 as clean_detrended_std,
+          round(case when round(raw_detrended_std, 6) > 0 then 100 * (1 - clean_detrended_std / raw_detrended_std) else 0 end, 3) + 0.0 as noise_reduction_percent, round(raw_range, 3) + 0.0 as raw_range, round(clean_range, 3) + 0.0 as clean_range,
+          round(greatest(0, raw_range - clean_range), 3) + 0.0 as spike_attenuation, round(case when f0 - f1 >= 2 then greatest(0, c1 - f1) end, 3) + 0.0 as downtrend_lag, round(case when raw_range <= 1 then mae end, 6) + 0.0 as stable_level_mae,
+          round(regression_mae, 6) + 0.0 as regression_mae, moving_upward_steps, max_clean_span, max_upward_step, max_final_lag_liters, max_step_size, min_clean_liters, min_valley_attenuation_liters, min_total_clean_drop, zero_dropout_indexes,
+          required_motion_states, cast(max_clean_span::int + max_upward_step::int + max_final_lag_liters::int + max_step_size::int + min_clean_liters::int + min_valley_attenuation_liters::int + min_total_clean_drop::int + zero_dropout_indexes::int
+          + required_motion_states::int as bigint) as checks_passed, 9::bigint as checks_total from k""", STEPS, d=40),
 }

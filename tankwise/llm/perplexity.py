@@ -3,15 +3,18 @@
 A modified Kneser-Ney model for each language, over the UTF-8 bytes of whole texts (order 5, one space between words, so a
 word's first bytes are scored after the end of the word before). Base rules come first; documents that pass them are dealt to
 two folds by the least hash of their three-word windows, and each is scored by the model of the other fold, so no document
-judges itself, nor do its copies and most of its near copies. Spark counts n-grams of all these documents by fold, derives continuation counts, discounts and interpolated
-probabilities with joins on integer keys, for every n-gram that occurs in the language (an n-gram that the other fold lacks
-gets the probability of its suffix), and the model is kept as sorted arrays of keys, the five bytes in 64 bits, with values.
+judges itself, nor do its copies and most of its near copies. Where that puts all documents of a (small) language into one
+fold, it deals them by the first bit of the texts' hashes in which they differ. Spark counts n-grams of all these documents
+by fold, derives continuation counts, discounts and interpolated probabilities with joins on integer keys, for every n-gram
+that occurs in the language (an n-gram that the other fold lacks gets the probability of its suffix), and the model is kept
+as sorted arrays of keys, the five bytes in 64 bits, with logarithms in whole millionths: sums are of integers, so they are
+the same in whatever order and by whichever path they are made.
 A document is rejected when its log perplexity leaves the band of its language: three robust standard deviations on each
 side of the median (the three-sigma rule), a side's deviation being 1.4826 times the median distance of the documents on
 that side. Equal scores count once.
 
 Defined cases: a null text has no words and fails the base rules; documents that fail them have no perplexity; null and
-empty lang are one language; a language whose documents all lie in one fold has no model, all its documents score alike and
+empty lang are one language; a language that has one different text only has no other fold, all its documents score alike and
 stay (neither side of a band is narrower than min_width, which only matters for texts nearly all alike); repeated rows are
 scored alike; other columns are not looked at; an empty table gives no rows.
 """
@@ -38,6 +41,8 @@ HELD = 1 << 21
 #: Entries of sums that a task holds before it sends them on.
 HELD_KEYS = 4_000_000
 FOLDS = (0, 1)
+#: Logarithms are kept in units of 1 / SCALE.
+SCALE = 1_000_000
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -92,8 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for batch in batches:
-        folds = folds_of(batch.column(1))
-        for lang, text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), folds, strict=True):
+        for lang, text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), dealt(batch), strict=True):
             for piece in pieces((text or "").encode()) if fold is not None else ():
                 held.setdefault((lang, fold), []).append(piece)
                 many += len(piece)
@@ -106,13 +110,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(docs: DataFrame) -> DataFrame:
-    """The model as rows (lang, fold, key, logp): natural logarithms of each 5-gram of fold under the counts of the other fold.
+_COUNTS = "lang string, key long, c0 long, c1 long"
+_DEALT = ("lang", "text", "h", "bit")
 
-    docs: (lang, text).
+
+def _counted(docs: DataFrame) -> DataFrame:
+    found = docs.select(*_DEALT).mapInArrow(_count, _COUNTS)
+    return found.groupBy("lang", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h) of the texts that pass the base rules."""
+    for batch in batches:
+        keep = pa.array([f is not None for f in folds_of(batch.column(1))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["lang", "h"])
+
+
+def counted(docs: DataFrame, max_langs: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, lang, text) with h and bit, by which dealt() deals them to folds, and the counts of their n-grams.
+
+    bit is null but for languages that the least window hashes put into one fold: there it is the first bit of the texts' hashes
+    that is not the same for all.
+    """
+    docs = docs.select("*", F.xxhash64("text").alias("h"))
+    counts = table(_counted(docs.withColumn("bit", F.lit(None).cast("int"))), "ngrams")
+    alone = table(counts.groupBy("lang").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 = 0 or c1 = 0").select("lang"), "alone")
+    n = alone.count()
+    if not n:
+        return docs.withColumn("bit", F.lit(None).cast("int")), counts
+    few = F.broadcast(alone) if n <= max_langs else alone
+    own = docs.join(few, "lang", "left_semi")
+    differ = own.select("lang", "text", "h").mapInArrow(_passing, "lang string, h long").groupBy("lang").agg(F.bit_or("h").alias("any"), F.bit_and("h").alias("all"))
+    x = F.col("any").bitwiseXOR(F.col("all"))
+    lowest = F.bit_count(x.bitwiseAND(-x) - 1).cast("int")
+    bits = table(differ.where("any <> all").select("lang", lowest.alias("bit")), "bits")
+    few = F.broadcast(bits) if n <= max_langs else bits
+    docs = docs.join(few, "lang", "left")
+    again = _counted(docs.where("bit is not null"))
+    both = table(counts.join(few.select("lang"), "lang", "left_anti").unionByName(again), "ngrams")
+    drop_tables(counts, alone)
+    return docs, both
+
+
+def train(ngrams: DataFrame) -> DataFrame:
+    """The model as rows (lang, fold, key, logp): logarithms, in units of 1 / SCALE, of each 5-gram of fold under the counts of the
+    other fold. ngrams: the counts of counted().
     """
-    found = docs.select("lang", "text").mapInArrow(_count, "lang string, key long, c0 long, c1 long")
-    counts = {ORDER: table(found.groupBy("lang", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "ngrams")}
+    counts = {ORDER: ngrams}
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit(MASK[n])).alias("key")
         counts[n] = table(counts[n + 1].groupBy("lang", suffix).agg(*[F.sum((F.col(f"c{f}") > 0).cast("long")).alias(f"c{f}") for f in FOLDS]), "ngrams")
@@ -136,7 +180,7 @@ def train(docs: DataFrame) -> DataFrame:
         after = table(x.select("lang", "key", "c0", "c1", *p), "probabilities")
         drop_tables(counts[n], *([lower] if lower is not None else []))
         lower = after
-    parts = [lower.where(f"c{f} > 0").select("lang", F.lit(f).alias("fold"), "key", F.log(f"p{1 - f}").alias("logp")) for f in FOLDS]
+    parts = [lower.where(f"c{f} > 0").select("lang", F.lit(f).alias("fold"), "key", F.round(F.log(f"p{1 - f}") * SCALE).cast("int").alias("logp")) for f in FOLDS]
     return parts[0].unionByName(parts[1])
 
 
@@ -155,7 +199,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.char.add(np.char.add(lang.astype(str), "|"), fold.astype(str))
         for g in np.unique(group):
             own = group == g
-            row = {"lang": lang[own][0], "fold": int(fold[own][0]), "keys": key[own].tobytes(), "logs": logp[own].astype(np.float32).tobytes()}
+            row = {"lang": lang[own][0], "fold": int(fold[own][0]), "keys": key[own].tobytes(), "logs": logp[own].astype(np.int32).tobytes()}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("lang", pa.string()), ("fold", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary())]))
 
 
@@ -165,7 +209,7 @@ class SortedModel:
     def __init__(self, model: DataFrame) -> None:
         parts: dict[tuple[str, int], list] = {}
         for r in model.mapInArrow(_packed, "lang string, fold int, keys binary, logs binary").toArrow().to_pylist():
-            parts.setdefault((r["lang"], r["fold"]), []).append((np.frombuffer(r["keys"], _U), np.frombuffer(r["logs"], np.float32)))
+            parts.setdefault((r["lang"], r["fold"]), []).append((np.frombuffer(r["keys"], _U), np.frombuffer(r["logs"], np.int32)))
         self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         while parts:
             group, own = parts.popitem()
@@ -174,7 +218,7 @@ class SortedModel:
             self.tables[group] = keys[order], logs[order]
 
     def texts(self, group: tuple[str, int], found: list[bytes]) -> np.ndarray:
-        """Log probability of each piece."""
+        """Log probability of each piece in units of 1 / SCALE; doubles hold the sums of integers exactly."""
         keys, piece = text_keys(found)
         own, at = np.unique(keys, return_inverse=True)
         table_keys, logs = self.tables[group]
@@ -233,6 +277,12 @@ def folds_of(texts: pa.Array) -> list[int | None]:
     return [None if f else x for f, x in zip(fails.tolist(), (mix64(least) & _U(1)).tolist(), strict=True)]
 
 
+def dealt(batch: pa.RecordBatch) -> list[int | None]:
+    """The folds of rows with text, h and bit: by the bit of h where there is one."""
+    h, bit = batch.column("h").to_pylist(), batch.column("bit").to_pylist()
+    return [f if f is None or b is None else (x >> b) & 1 for f, x, b in zip(folds_of(batch.column("text")), h, bit, strict=True)]
+
+
 def dup_lines(text: str) -> int:
     """Lines with a word that are equal to an earlier line."""
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
@@ -243,12 +293,12 @@ _STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 
 
 def _stats(model):
-    """Of (doc_id, lang, text). model: a broadcast SortedModel, or None for the counts alone."""
+    """Of (doc_id, lang, text, h, bit). model: a broadcast SortedModel, or None for the counts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs, texts = (batch.column(i).to_pylist() for i in range(3))
-            rows, groups = [], [None if f is None else (lang, f) for lang, f in zip(langs, folds_of(batch.column(2)), strict=True)]
+            rows, groups = [], [None if f is None else (lang, f) for lang, f in zip(langs, dealt(batch), strict=True)]
             for doc_id, lang, text, again in zip(ids, langs, texts, repeated(batch.column(2)).tolist(), strict=True):
                 text = text or ""
                 own = text.encode().split()
@@ -271,17 +321,17 @@ def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, lang, text, fold in zip(*[batch.column(i).to_pylist() for i in range(3)], folds_of(batch.column(2)), strict=True):
+            for row, lang, text, fold in zip(*[batch.column(i).to_pylist() for i in range(3)], dealt(batch), strict=True):
                 for piece in pieces((text or "").encode()) if fold is not None else ():
                     keys, n = np.unique(text_keys([piece])[0], return_counts=True)
                     k = len(keys)
                     yield pa.RecordBatch.from_pydict({"row": pa.array([row] * k, pa.int64()), "lang": pa.array([lang] * k, pa.string()), "fold": pa.array([fold] * k, pa.int32()), "key": pa.array(keys.astype(np.int64)), "m": pa.array(n)})
 
     rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    grams = rows.select("row", "lang", "text").mapInArrow(own, "row long, lang string, fold int, key long, m long")
+    grams = rows.select("row", *_DEALT).mapInArrow(own, "row long, lang string, fold int, key long, m long")
     sums = grams.join(model, ["lang", "fold", "key"]).groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("sum"))
     # the row's number takes the place of doc_id while the counts are made
-    counts = rows.select(F.col("row").alias("doc_id"), "lang", "text").mapInArrow(_stats(None), _STATS).drop("logp").withColumnRenamed("doc_id", "row")
+    counts = rows.select(F.col("row").alias("doc_id"), *_DEALT).mapInArrow(_stats(None), _STATS).drop("logp").withColumnRenamed("doc_id", "row")
     return counts.join(sums, "row", "left").join(rows.select("row", "doc_id"), "row").withColumnRenamed("sum", "logp").drop("row")
 
 
@@ -293,13 +343,14 @@ def score(docs: DataFrame, width: float = 3.0, min_width: float = 0.02, max_mode
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    model = train(docs)
+    docs, ngrams = counted(docs, max_langs)
+    model = train(ngrams)
     if model.count() <= max_model:
         sent = spark.sparkContext.broadcast(SortedModel(model))
-        scored = docs.mapInArrow(_stats(sent), _STATS)
+        scored = docs.select("doc_id", *_DEALT).mapInArrow(_stats(sent), _STATS)
     else:
         scored = _joined_scores(docs, model)
-    scored = scored.withColumn("base_failed", base_failed()).withColumn("log_ppl", F.try_divide(-F.col("logp"), F.col("n_bytes")))
+    scored = scored.withColumn("base_failed", base_failed()).withColumn("log_ppl", F.try_divide(-F.col("logp") / SCALE, F.col("n_bytes")))
     scored = table(scored, "scored")
     # equal scores of a language, such as those of copies, count once
     own = scored.where("not base_failed and log_ppl is not null").select("lang", "log_ppl").distinct()

@@ -20,7 +20,8 @@ the shortest path takes the least arc of each state until there is none. Unused
 ids are those of the library.
 
 Where no piece but runs of U+2581 holds that sign after another character, the chain falls apart before each such run, and
-a worker finds the path of each distinct part once.
+further wherever no piece holds two neighbours in a row (if unknown symbols have bytes, so that runs of them need not stay
+together). A worker finds the path of a part once and keeps those that recur.
 
 Defined cases: a null or empty text has no tokens; U+2581 in a text decodes as a space; an unknown id decodes as " U+2047 ";
 null ids decode as null; repeated rows are encoded alike; other columns are not looked at; an empty table gives no rows.
@@ -34,14 +35,16 @@ import math
 import re
 import struct
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
-HELD_PARTS = 200_000
+HELD_PARTS = 150_000
+#: Symbols of a chain whose merges are followed without a heap.
+SHORT = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What the arc of an unspelled symbol weighs above the worst piece.
 PENALTY = 10.0
@@ -130,6 +133,18 @@ class Normaliser:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
 
+class Held:
+    """Paths of parts, in two generations: when the newer is full it becomes the older, so that what recurs stays."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.new) > HELD_PARTS:
+            self.old, self.new = self.new, {}
+
+
 class PieceTransducer:
     def __init__(self, model: bytes) -> None:
         pieces, unigram, prefix, squeeze, charsmap = [], True, True, True, b""
@@ -152,6 +167,8 @@ class PieceTransducer:
         self.merges: dict[str, float] | None = None if unigram else {}
         self.ids: dict[str, int] = {}
         self.unused: set[str] = set()
+        #: Neighbours that stand in a row in some piece.
+        self.pairs: set[tuple[str, str]] = set()
         scores = [s for _, s, k in pieces if k == NORMAL]
         best = max(scores, default=0.0)
         self.whole = True
@@ -173,13 +190,17 @@ class PieceTransducer:
             shown = {NORMAL: piece.replace(SPACE, " "), USER: piece.replace(SPACE, " "), UNUSED: piece.replace(SPACE, " "), UNKNOWN: UNKNOWN_TEXT}
             self.text.append(shown.get(kind, "").encode())
             if kind in (NORMAL, USER) or not unigram and kind == UNUSED:
+                self.pairs.update(pairwise(piece))
                 self.whole &= not re.search(f"[^{SPACE}]{SPACE}", piece)
                 self._add(piece, rank, weight)
         self.whole &= SPACE in self.arcs[0] and self.ends[self.arcs[0][SPACE]] is not None
         self.unspelled = PENALTY - min(scores, default=0.0)
         self.normaliser = Normaliser(charsmap, prefix, squeeze, kept)
+        self.runs = not self.byte_ids  # a run of unknown symbols is one id, so it must not be cut
         self.kept = re.compile("|".join(re.escape(k) for k in sorted(kept, key=len, reverse=True)) + "|.", re.DOTALL) if kept else None
         self.frozen = set(kept)
+        #: Merges alone decide: no pieces that stay whole or come apart.
+        self.plain = self.merges is not None and not kept and not self.unused
 
     def _add(self, piece: str, rank: int, weight: float) -> None:
         state = 0
@@ -194,10 +215,49 @@ class PieceTransducer:
     def merged(self, chain: str) -> list[int]:
         """Ids at the end of the lexicographically shortest path of merges of chain."""
         part = self.kept.findall(chain) if self.kept else list(chain)
+        apart: dict[str, tuple[str, str]] = {}
+        part = self._merge_few(part) if self.plain and len(part) <= SHORT else self._merge_many(part, apart)
+        out: list[int] = []
+        last_unknown = False
+        todo = part[::-1]
+        while todo:
+            p = todo.pop()
+            if p in apart:
+                todo += reversed(apart[p])
+                continue
+            rank = self.ids.get(p)
+            if rank is not None:
+                out.append(rank)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in p.encode()]
+            elif not last_unknown:  # a run of unknown symbols is one id
+                out.append(self.unknown)
+            last_unknown = rank is None
+        return out
+
+    def _merge_few(self, part: list[str]) -> list[str]:
+        """Follow the least arc of each state: the weights of all arcs stand in one short list."""
+        weight, none = self.merges.get, math.inf
+        arcs = [weight(a + b, none) for a, b in pairwise(part)]
+        while arcs and (least := min(arcs)) < none:
+            i = arcs.index(least)
+            made = part[i] + part[i + 1]
+            part[i : i + 2] = (made,)
+            if i + 1 < len(arcs):
+                arcs[i : i + 2] = (weight(made + part[i + 1], none),)
+            else:
+                arcs.pop()
+            if i:
+                arcs[i - 1] = weight(part[i - 1] + made, none)
+        return part
+
+    def _merge_many(self, part: list[str], apart: dict[str, tuple[str, str]]) -> list[str]:
+        """The same with a heap of arcs, for long chains and files with user-defined or unused pieces; apart gets what unused ones
+        were made from.
+        """
         before, after = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         after[-1:] = [-1]
         open_: list[tuple[float, int, int, int]] = []
-        apart: dict[str, tuple[str, str]] = {}
 
         def arc(left: int, right: int) -> None:
             if left >= 0 <= right and part[left] not in self.frozen and part[right] not in self.frozen:
@@ -220,23 +280,7 @@ class PieceTransducer:
                 before[after[right]] = left
             arc(before[left], left)
             arc(left, after[left])
-        out: list[int] = []
-        last_unknown = False
-        todo = [p for p in reversed(part) if p]
-        while todo:
-            p = todo.pop()
-            if p in apart:
-                todo += reversed(apart[p])
-                continue
-            rank = self.ids.get(p)
-            if rank is not None:
-                out.append(rank)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in p.encode()]
-            elif not last_unknown:  # a run of unknown symbols is one id
-                out.append(self.unknown)
-            last_unknown = rank is None
-        return out
+        return [p for p in part if p]
 
     def path(self, chain: str) -> list[int]:
         """Ids that the shortest path of the composition with chain writes.
@@ -276,16 +320,36 @@ class PieceTransducer:
             at = before
         return out[::-1]
 
-    def encode(self, text: str, held: dict[str, bytes]) -> bytes:
+    def encode(self, text: str, held: Held | None = None) -> bytes:
         """Ids of text as packed 32-bit integers; held keeps the paths of parts between calls."""
+        held = held or Held()
         chain = self.normaliser.chain(text)
         parts = _PARTS.findall(chain) if self.whole else [chain] if chain else []
-        if len(held) > HELD_PARTS:
-            held.clear()
-        for p in set(parts).difference(held):
-            ids = self.path(p) if self.merges is None else self.merged(p)
-            held[p] = struct.pack(f"<{len(ids)}i", *ids)
-        return b"".join(map(held.__getitem__, parts))
+        new, old = held.new, held.old
+        for p in set(parts).difference(new):
+            new[p] = old.get(p) or (self._spelled(p, held) if self.runs else b"".join([self._spelled(q, held) for q in self._apart(p)]))
+        out = b"".join(map(held.new.__getitem__, parts))
+        held.age()
+        return out
+
+    def _apart(self, part: str) -> list[str]:
+        """part cut wherever no piece holds the two neighbours in a row, which no arc can cross."""
+        pairs = self.pairs
+        if pairs.issuperset(pairwise(part)):
+            return [part]
+        cuts = [i for i, pair in enumerate(pairwise(part), 1) if pair not in pairs]
+        return [part[a:b] for a, b in pairwise([0, *cuts, len(part)])]
+
+    def _spelled(self, part: str, held: Held) -> bytes:
+        packed = held.new.get(part) or held.old.get(part)
+        if packed is None:
+            if self.plain and len(part) <= SHORT:
+                found = list(map(self.ids.get, self._merge_few(list(part))))
+                ids = self.merged(part) if None in found else found
+            else:
+                ids = self.path(part) if self.merges is None else self.merged(part)
+            packed = held.new[part] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}i", *ids)
+        return packed
 
     def decode(self, ids: memoryview | list[int]) -> str:
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
@@ -297,6 +361,7 @@ class PieceTransducer:
         return chain[1:] if self.normaliser.prefix else chain
 
 
+_PACK = [struct.Struct(f"<{n}i").pack for n in range(33)]
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -319,7 +384,7 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst, held = PieceTransducer(sent.value), {}
+        fst, held = PieceTransducer(sent.value), Held()
         for batch in batches:
             n, sha, same, ids = [], [], [], bytearray()
             for value in batch.column(1):

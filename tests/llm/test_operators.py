@@ -391,7 +391,7 @@ def test_pieces(docs, empty):
     assert back == sorted(((i, t or "") for i, t, *_ in corpus()), key=repr)
     f = piece_fst.PieceTransducer(model)
     for t in ("", " ", "a  b\n c", "é漢字▁x", "ab" * 40):
-        assert f.decode(memoryview(f.encode(t, {})).cast("i")) == t.replace("▁", " ")
+        assert f.decode(memoryview(f.encode(t)).cast("i")) == t.replace("▁", " ")
     assert piece_fst.encode(empty, model).count() == 0 and piece_fst.decode(piece_fst.encode(empty, model, True), model).count() == 0
 
 
@@ -457,7 +457,7 @@ def test_unigram_models_give_the_ids_of_the_library():
         f, lib = piece_fst.PieceTransducer(model), sp.SentencePieceProcessor(model_proto=model)
         texts = ["the a", "  the   he ", "ﬁ the\tA １２", "x<sep>the", "zz the z", "", " "] + ["".join(r.choice("the a1２ﬁz ") for _ in range(12)) for _ in range(60)]
         for t in texts:
-            ids = memoryview(f.encode(t, {})).cast("i").tolist()
+            ids = memoryview(f.encode(t)).cast("i").tolist()
             assert ids == lib.encode(t), (t, settings.keys())
             assert f.decode(ids) == lib.decode(ids)
 
@@ -621,7 +621,7 @@ def test_bpe_ids_are_those_of_the_library(spark):
     model = open(PIECES, "rb").read()
     f = piece_fst.PieceTransducer(model)
     for t in ["a" * 3000, "▁x", "日本語 𝔘𝔫𝔦", "<s> </s> <unk> <0x41>", "".join(chr(r.randrange(32, 0x2FFF)) for _ in range(3000))]:
-        assert memoryview(f.encode(t, {})).cast("i").tolist() == lib.encode(t)
+        assert memoryview(f.encode(t)).cast("i").tolist() == lib.encode(t)
 
 
 @pytest.mark.parametrize("byte_pieces", [False, True])
@@ -640,4 +640,4 @@ def test_merges_with_unused_and_user_defined_pieces_are_those_of_the_library(byt
         f, lib = piece_fst.PieceTransducer(model), sp.SentencePieceProcessor(model_proto=model)
         for _ in range(20):
             t = "".join(r.choice("abcz ") for _ in range(r.randint(0, 14)))
-            assert memoryview(f.encode(t, {})).cast("i").tolist() == lib.encode(t), (t, pieces, kinds)
+            assert memoryview(f.encode(t)).cast("i").tolist() == lib.encode(t), (t, pieces, kinds)

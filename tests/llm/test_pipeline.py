@@ -116,7 +116,7 @@ def test_tokens(spark, stages):
     from tankwise.llm.queries import PIECES
 
     fst = piece_fst.PieceTransducer(piece_fst.read_model(spark.range(1), PIECES))
-    want = sorted(((r.doc_id is None, r.doc_id or 0, memoryview(fst.encode(r.text, {})).cast("i").tolist()) for r in docs))
+    want = sorted(((r.doc_id is None, r.doc_id or 0, memoryview(fst.encode(r.text)).cast("i").tolist()) for r in docs))
     assert sorted((r.doc_id is None, r.doc_id or 0, list(r.ids)) for r in out) == want and all(r.round_trip for r in out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from . import filter_audit, jaccard_join, kd_shards, lexical_search, license_sca
 
 #: The vocabulary file; not part of the repository.
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-#: The secret of the surrogates; the default is for development only.
-SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "development key, not a secret")
+#: The secret of the surrogates; without the variable one of this process, which nobody can look surrogates up with later.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY") or secrets.token_hex(32)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

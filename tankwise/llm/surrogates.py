@@ -6,8 +6,9 @@ a lower-case address, a word of a name with its gender) are one table; each gets
 secret key. The key reaches the executors as data, a row a round, and stands in no plan. Surrogates that meet another's, or an
 original of their type, are made again with the next attempt until none is left: distinct entities stay distinct. The text
 then gets each surrogate in the written form of the place: separators, country codes, letter case, titles, gender and script stay.
-Mentions of a full name or a surname without its title, anywhere in a document that holds it with one, get its surrogate too;
-n_entities does not count them.
+Mentions of a full name, a surname or a given name without the title, anywhere in a document that holds the name with one, get
+its surrogate too (a given name not where another capitalised word follows: that is somebody else); n_entities does not
+count them. Each number of an address is 255 at most.
 
 Hosts keep their last label and get 12 keyed hexadecimal digits; initials become other initials and need not be distinct.
 
@@ -48,11 +49,12 @@ TITLE = _titles(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
 #: A capitalised word of a name, or initials.
 WORD = r"\p{Lu}(?:\.(?:\p{Lu}\.)*+|[\p{L}'\-]*+)"
 SECRET = r"[A-Za-z0-9+/_\-]"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
 HOST_LABEL = r"[A-Za-z0-9\-]{1,63}"
 PATTERNS = {
     "secret": rf"""(?:(?i)token|secret|password|passwd|api[_-]?key)\s{{0,3}}[=:]\s{{0,3}}["']?(?={SECRET}(?:\.?{SECRET}){{15}}){SECRET}++(?:\.{SECRET}++)*+""",
     "email": rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{{0,63}}@{HOST_LABEL}(?:\.{HOST_LABEL}){{0,4}}\.[A-Za-z]{{2,24}}",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
+    "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d])(?:\d{4}[ \-]?){3}\d{4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
@@ -201,15 +203,16 @@ def replace_entities(docs: DataFrame, key: str | bytes) -> DataFrame:
     put = put.withColumns({"name": words("written"), "to": words("put"), "last": F.element_at("parts", -1)})
     title = F.when(F.col("whole") == "name", F.regexp_extract("found", TITLE_FIRST, 0)).otherwise("")
     # full names and surnames of more than initials, the longest first, for their mentions without a title
-    mention = lambda a, b: F.struct((-F.length(a)).alias("order"), a.alias("bare"), b.alias("to"))
+    mention = lambda a, b, alone=False: F.struct((-F.length(a)).alias("order"), a.alias("bare"), b.alias("to"), F.lit(alone).alias("alone"))
+    given = F.transform(F.filter("parts", lambda p: (p["kind"] == "given") & p["written"].rlike(r"\p{L}{2}")), lambda p: mention(p["written"], p["put"], True))
     full, surname = mention(F.col("name"), F.col("to")), mention(F.col("last.written"), F.col("last.put"))
     is_name = (F.col("whole") == "name") & (F.col("last.kind") == "surname") & F.col("last.written").rlike(r"\p{L}{2}")
-    put = put.select("k1", "k2", F.struct("pos", F.concat(title, "to").alias("put")).alias("at"), F.when(is_name, F.array(full, surname)).alias("names"))
+    put = put.select("k1", "k2", F.struct("pos", F.concat(title, "to").alias("put")).alias("at"), F.when(is_name, F.concat(F.array(full, surname), given)).alias("names"))
     put = put.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("puts"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"))
     put = put.select("k1", "k2", F.col("puts.put").alias("puts"), "names")
     own = [c for c in docs.columns if c not in ("text", "n_entities")]
     j = docs.select(whole_row(docs).alias("row"), *row_key("doc_id", "text")).join(put.hint("shuffle_hash"), ["k1", "k2"], "left")
-    of = lambda n: F.concat(F.lit(r"(?<![\p{L}])\Q"), n["bare"], F.lit(r"\E(?![\p{L}])"))
+    of = lambda n: F.concat(F.lit(r"(?<![\p{L}])\Q"), n["bare"], F.when(n["alone"], r"\E(?![\p{L}]|-\p{L}| \p{Lu})").otherwise(r"\E(?![\p{L}])"))
     pieces = F.transform(F.split("row.text", ANY, -1), lambda p: F.aggregate("names", p, lambda x, n: F.regexp_replace(x, of(n), n["to"])))
     text = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("puts")), "puts", lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
     changed = F.when(F.col("puts").isNull(), F.col("row.text")).otherwise(text)

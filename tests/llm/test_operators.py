@@ -330,6 +330,14 @@ def test_surrogates_keep_persons_together(spark):
     assert re.fullmatch(r"Frau \w+na \w+", got[2]) and got[2].split()[2] == re.match(r"Herr (\w+)", got[0])[1]
 
 
+def test_given_names_alone_and_checked_addresses(spark):
+    got = replaced(spark, ["Mr John Smith and John went. John, John-Boy, John Brown and Johnny stay.", "10.0.0.256 and 10.0.0.25 and 255.255.255.0", "John went"])
+    m = re.fullmatch(r"Mr (\w+) (\w+) and (\w+) went[.] (\w+), John-Boy, John Brown and Johnny stay[.]", got[0])
+    assert m[1] == m[3] == m[4] != "John" and m[2] != "Smith" and got[2] == "John went"
+    m = re.fullmatch(r"10[.]0[.]0[.]256 and (\S+) and (\S+)", got[1])
+    assert m and m[1] != "10.0.0.25" and m[2] != "255.255.255.0"
+
+
 def test_surrogates_are_keyed_and_keep_country_codes(spark):
     texts = ["jo@gmail.com and al@gmail.com", "+49 30 901820 00 or +1 (017) 555-7713 or +380 44 123 45 67"]
     a, b = replaced(spark, texts, "one"), replaced(spark, texts, b"two")

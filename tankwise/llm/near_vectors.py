@@ -3,16 +3,16 @@
 Distinct vectors of a label go to the cells of their nearest pivots (two at first, so cells overlap; pivots are a bounded
 sample, the max_pivots vectors with the smallest hashes, thinned so that no two are near each other: a tight group then lies
 in few cells; every vector is indexed). In each cell every vector gets its nearest candidates, robustly pruned; adjacency
-lists are united over cells. Then each cell, with the outside neighbours its members have, is searched: greedily towards each
+lists are united over cells and cut to the LONGEST nearest. Then each cell, with the outside neighbours its members have, is searched: greedily towards each
 member from its own neighbours and from the medoid, so that groups which no path joins to the medoid are searched too, and as
-long as neighbours lie within the range (plus a slack) the range is expanded. A link counts only when the cosine in double
+long as neighbours lie within the range (plus a slack) the range is expanded; only what the walk meets is compared. A link counts only when the cosine in double
 precision reaches the threshold.
 
 Links inside a cell leave it as a count for each vector and a spanning set of edges, never as all pairs of a group: a pair
 counts in the least cell (and its one tile) that holds both. Only links between vectors that share no cell become rows.
 
-An audit compares a bounded sample of vectors, half of them with links, with all others of their label; while the mean share
-of its links that a vector found is under the goal, cells overlap more and the search runs again; under it at an overlap of
+An audit compares a bounded sample of all vectors, drawn by hash whatever they found, with all others of their label; while
+the mean share of its links that a vector found, over those that have links, is under the goal, cells overlap more and the search runs again; under it at an overlap of
 16, all pairs of a label are compared in tiles. The share found is a column of the result.
 
 Cells of more than shard_rows vectors are split by pivots of their own, level by level. Cells so tight that they have one pivot
@@ -32,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop_tables, table
 
 NEIGHBOURS, DEGREE, ALPHA = 32, 16, 1.2
+#: Neighbours of a vector once lists are united: what others chose it for counts too, but a hub keeps no more than these.
+LONGEST = 3 * DEGREE
 BEAM, SLACK = 24, 0.06
 #: Pivots are less alike than this.
 APART = 0.8
@@ -102,7 +104,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (src, dst) of each cell's pruned graph, in both directions."""
+    """Edges (src, dst, sim) of each cell's pruned graph, in both directions."""
     for _, ids, x, _ in _groups(batches):
         if len(ids) < 2:
             continue
@@ -117,12 +119,14 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c in robust_prune(x[near] @ x[near].T, sims[i][near]):
                     edges |= {(a + i, int(near[c])), (int(near[c]), a + i)}
         e = np.array(sorted(edges))
-        yield pa.RecordBatch.from_pydict({"src": pa.array(ids[e[:, 0]]), "dst": pa.array(ids[e[:, 1]])})
+        sim = np.einsum("ij,ij->i", x[e[:, 0]], x[e[:, 1]]).astype(np.float32)  # the same in every cell
+        yield pa.RecordBatch.from_pydict({"src": pa.array(ids[e[:, 0]]), "dst": pa.array(ids[e[:, 1]]), "sim": pa.array(sim)})
 
 
-def greedy(sims: np.ndarray, near: list[list[int]], q: int, start: int, threshold: float) -> list[int]:
-    """Places within the threshold of q that the search reaches; sims are the similarities of q, near the adjacency lists."""
-    first = float(sims[start])
+def greedy(x: np.ndarray, near: list[np.ndarray], q: int, start: int, threshold: float) -> list[int]:
+    """Places within the threshold of q that the search reaches; x are the unit vectors, near the adjacency lists."""
+    own = x[q]
+    first = float(x[start] @ own)
     seen, heap, top = {start, q}, [(-1.0, q)], [first]
     if q != start:
         heap.append((-first, start))
@@ -131,16 +135,17 @@ def greedy(sims: np.ndarray, near: list[list[int]], q: int, start: int, threshol
         best, i = heapq.heappop(heap)
         if -best < threshold - SLACK and len(top) >= BEAM and -best < top[0]:
             break  # outside the beam and outside the widened range
-        for j in near[i]:
-            if j not in seen:
-                seen.add(j)
-                v = float(sims[j])
-                if v >= threshold:
-                    found.append(j)
-                heapq.heappush(heap, (-v, j))
-                heapq.heappush(top, v)
-                if len(top) > BEAM:
-                    heapq.heappop(top)
+        fresh = [j for j in near[i] if j not in seen]
+        if not fresh:
+            continue
+        seen.update(fresh)
+        for j, v in zip(fresh, (x[fresh] @ own).tolist(), strict=True):
+            if v >= threshold:
+                found.append(j)
+            heapq.heappush(heap, (-v, j))
+            heapq.heappush(top, v)
+            if len(top) > BEAM:
+                heapq.heappop(top)
     return found
 
 
@@ -201,12 +206,10 @@ def _search(threshold: float):
             near = [[at[d] for d in (own or ()) if d in at] for own in more["near"]]
             start = int(np.argmax(x @ x.mean(axis=0)))
             hit, outside = np.zeros((n, n), bool), []
-            for a in range(0, n, 256):
-                sims = x[a : min(a + 256, n)] @ x.T
-                for q in range(a, a + len(sims)):
-                    found = np.array(greedy(sims[q - a], near, q, start, threshold), np.int64)
-                    hit[q, found[found < n]] = True
-                    outside += [(q, int(j)) for j in found[found >= n]]
+            for q in range(n):
+                found = np.array(greedy(x, near, q, start, threshold), np.int64)
+                hit[q, found[found < n]] = True
+                outside += [(q, int(j)) for j in found[found >= n]]
             hit |= hit.T
             yield from _counted(hit, ids[:n], _owner({c: v[:n] for c, v in more.items()}))
             # links with outside neighbours: those that share a cell are counted there
@@ -309,7 +312,7 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "shard").sortWithinPartitions("shard", "nid")
 
 
-def near_links(nodes: DataFrame, threshold: float = 0.93, overlap: int = 2, max_pivots: int = 8192, per_pivot: int = 256, shard_rows: int = 3000, audit: int = 200, goal: float = 0.95) -> tuple[DataFrame, DataFrame, float | None]:
+def near_links(nodes: DataFrame, threshold: float = 0.93, overlap: int = 2, max_pivots: int = 8192, per_pivot: int = 256, shard_rows: int = 3000, audit: int = 1000, goal: float = 0.95) -> tuple[DataFrame, DataFrame, float | None]:
     """Links of nodes (nid, grp, values, copies): (nid, links) with copies counted, edges (a, b) that join what links, and
     the share of links found that the audit measured (None if its vectors have no link).
     """
@@ -327,7 +330,9 @@ def near_links(nodes: DataFrame, threshold: float = 0.93, overlap: int = 2, max_
         own = table(cells.groupBy("nid").agg(F.sort_array(F.collect_set(F.xxhash64("shard"))).alias("cells")), "own")
         numbered = cells.withColumn("cell", F.xxhash64("shard")).join(own, "nid")
         rows = table(_tiled(numbered, shard_rows), "tiles")
-        edges = _dealt(rows.select("shard", "nid", "values"), parts).mapInArrow(_build, "src long, dst long").distinct()
+        edges = _dealt(rows.select("shard", "nid", "values"), parts).mapInArrow(_build, "src long, dst long, sim float").groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+        # the limit on the row number lets each task send few edges of a hub
+        edges = edges.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))).where(F.col("rn") <= LONGEST)
         lists = table(edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near")), "graph")
         members = rows.select("shard", "nid")
         outside = members.join(lists, F.col("nid") == F.col("src")).select("shard", F.explode("near").alias("nid")).distinct().join(members, ["shard", "nid"], "left_anti")
@@ -360,11 +365,12 @@ def _links(found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _recall(nodes: DataFrame, counts: DataFrame, audit: int, threshold: float) -> float | None:
-    """Mean share of its links that a vector found, over the asked vectors with links: half of them among those with found links."""
+    """Mean share of its links that a vector found, over those of `audit` vectors, drawn from all by hash, that have links.
+
+    None if none of them has.
+    """
     spark = nodes.sparkSession
-    order = F.xxhash64(F.lit("audit"), "values")
-    linked = nodes.join(counts.select("nid"), "nid", "left_semi").orderBy(order, "nid").limit(audit // 2)
-    asked = {r["nid"]: r for part in (linked, nodes.orderBy(order, "nid").limit(audit - audit // 2)) for r in part.select("nid", "grp", "values").collect()}
+    asked = {r["nid"]: r for r in nodes.orderBy(F.xxhash64(F.lit("audit"), "values"), "nid").limit(audit).select("nid", "grp", "values").collect()}
     by: dict[str, list] = {}
     for r in asked.values():
         by.setdefault(r["grp"], []).append(r)

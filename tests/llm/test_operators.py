@@ -649,3 +649,35 @@ def test_merges_with_unused_and_user_defined_pieces_are_those_of_the_library(byt
         for _ in range(20):
             t = "".join(r.choice("abcz ") for _ in range(r.randint(0, 14)))
             assert memoryview(f.encode(t)).cast("i").tolist() == lib.encode(t), (t, pieces, kinds)
+
+
+def test_planted_links_are_found_by_the_registered_query(spark, tmp_path):
+    """4000 vectors of three labels: pairs, chains, groups of up to 300 at the edge of the threshold, and noise; recall by vector."""
+    from tankwise.llm import queries
+
+    r = np.random.default_rng(21)
+    rows, sizes = [], [2] * 150 + [7] * 60 + [40] * 12 + [300]
+    for g, n in enumerate(sizes):
+        centre, spread = r.normal(size=64), r.uniform(0.12, 0.27)
+        rows += [(v, g % 3) for v in centre + spread * r.normal(size=(n, 64))]
+    for g in range(20):  # chains: each link alone joins its ends
+        v = r.normal(size=64)
+        for _ in range(12):
+            v = v / np.linalg.norm(v)
+            rows.append((v, g % 3))
+            v = v + 0.043 * r.normal(size=64)
+    rows += [(v, i % 3) for i, v in enumerate(r.normal(size=(4000 - len(rows), 64)))]
+    order = r.permutation(len(rows))
+    x, label = np.array([rows[i][0] for i in order], np.float32), np.array([rows[i][1] for i in order])
+    table = [(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label, strict=True))]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {row.vec_id: row for row in queries.op2_near_vectors(spark, str(tmp_path)).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    hit = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(hit, False)
+    want = hit.sum(1)
+    linked = np.flatnonzero(want)
+    assert len(linked) > 1000 and all(got[i].n_links <= want[i] for i in got)
+    assert np.mean([got[i].n_links / want[i] for i in linked]) >= 0.95 and got[0].recall >= 0.95
+    root = parts_of(len(x), np.argwhere(hit).tolist())
+    assert np.mean([got[i].component_id == root[i] for i in linked]) >= 0.95 and all(got[i].component_id == i for i in range(len(x)) if not want[i])

@@ -331,7 +331,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> Da
 def _stars(sets: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found by rounds of stars, and their components (node, component)."""
     spark = sets.sparkSession
-    links, joined = None, spark.createDataFrame([], "node long, component long")
+    links, many, joined = None, 0, spark.createDataFrame([], "node long, component long")
     for r in range(ROUNDS):
         of = sets.select("rep", "mins").join(joined, F.col("rep") == F.col("node"), "left")
         keys = of.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("mins").alias("key"))
@@ -344,10 +344,13 @@ def _stars(sets: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFr
         stars = keys.join(hubs, "key").where("comp <> of").select(F.explode("hubs").alias("a"), F.col("rep").alias("b")).distinct()
         found = table(_verified(stars, sets, texts, k), "links")
         drop_tables(hubs)
-        if found.isEmpty() and r:
+        fresh = found.count()
+        if r and not fresh:
             break
-        links = found if links is None else links.unionByName(found)
+        links, many = (found, fresh) if links is None else (links.unionByName(found), many + fresh)
         joined = table(components(links), "joined")
+        if fresh * 50 < many:
+            break  # a further round would join next to nothing
     return links, joined
 
 

@@ -39,7 +39,7 @@ def water_fill(sizes: list[int], weights: list[float], limit: float) -> list[flo
 def sainte_lague(targets: list[float], seats: int) -> list[int]:
     """Seats by the highest quotients target / (2 q + 1); ties go to the earlier target."""
     total = sum(targets)
-    if total <= 0:
+    if total <= 0 or seats <= 0:
         return [0] * len(targets)
     q = [int(t * seats / total) for t in targets]
     up = [(-t / (2 * q[i] + 1), i) for i, t in enumerate(targets) if t > 0]

@@ -15,16 +15,20 @@ def fill_dropouts(t: DataFrame, drop: float = 6.0, back: float = 5.0, most_minut
     """Each point with cleaned and dropout: null, SPIKE (one point) or SENSOR_DROPOUT (more).
 
     A point that falls by drop or more opens a dropout if within six hours a level returns to within back of the level before; until
-    then levels are on the straight line between both in time. Of dropouts that overlap the first counts.
+    then levels are on the straight line between both in time. Of dropouts that overlap the first counts. Openings are few, so they
+    are found first, and only they look for their end, in the slots of time that six hours can reach.
     """
     w = by_vehicle()
-    ahead = Window.partitionBy("vehicle_id").orderBy("us").rangeBetween(0, most_minutes * MINUTE)
     t = t.withColumns({"before": F.lag("fuel").over(w), "before_us": F.lag("us").over(w), "place": F.struct("us", "seq")})
-    later = F.collect_list(F.struct("us", "seq", "fuel")).over(ahead)
     opens = (F.col("before") - F.col("fuel") >= drop) & (F.col("fuel") < F.col("before") - back)
-    t = t.withColumn("opens", F.coalesce(opens, F.lit(False))).withColumn("later", F.when(F.col("opens"), F.array_sort(later)))
-    returns = lambda p: (F.struct(p["us"], p["seq"]) > F.col("place")) & (p["fuel"] >= F.col("before") - back) & (p["fuel"] <= F.col("before") + back)
-    t = t.withColumn("end", F.get(F.filter("later", returns), F.lit(0))).drop("later")
+    t = t.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    span = most_minutes * MINUTE
+    slot = lambda us: F.floor(us / F.lit(span)).cast("long")
+    asked = t.where("opens").select("vehicle_id", F.col("place").alias("o"), F.col("before").alias("b"), F.explode(F.array(slot(F.col("us")), slot(F.col("us")) + 1)).alias("slot")).distinct()
+    seen = t.select("vehicle_id", F.col("place").alias("p"), "fuel", slot(F.col("us")).alias("slot"))
+    later = asked.join(seen, ["vehicle_id", "slot"]).where((F.col("p") > F.col("o")) & (F.col("p.us") <= F.col("o.us") + span) & F.col("fuel").between(F.col("b") - back, F.col("b") + back))
+    ends = later.groupBy("vehicle_id", "o").agg(F.min(F.struct(F.col("p.us").alias("us"), F.col("p.seq").alias("seq"), "fuel")).alias("end"))
+    t = t.join(ends.withColumnRenamed("o", "place"), ["vehicle_id", "place"], "left").withColumn("end", F.when(F.col("opens"), F.col("end")))
     # an opening inside an earlier dropout that has ended by its end does not count
     open_until = F.max(F.when(F.col("end").isNotNull(), F.col("end.us"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("real", F.col("end").isNotNull() & F.coalesce(F.col("us") >= open_until, F.lit(True)))

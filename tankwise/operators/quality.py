@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tankwise.operators.tracking import by_vehicle_in_order
-
 
 def detrended_std(x: str, y: str) -> Column:
     """Population deviation of y around its least-squares line on x, in the same aggregation as other facts."""
@@ -45,18 +45,33 @@ def scores(matrix: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def kalman_end(t: DataFrame, q: float = 0.5, r: float = 12.0, p0: float = 9.0) -> DataFrame:
-    """Last estimate of a plain Kalman filter over each vehicle's valid levels, which stream by in order."""
-
-    def one(s: dict, point: tuple) -> dict:
-        vehicle_id, seq, us, z = point
-        if s["n"]:
-            gain = (s["p"] + q) / (s["p"] + q + r)
-            s |= {"x": s["x"] + gain * (z - s["x"]), "p": (1 - gain) * (s["p"] + q)}
-        else:
-            s["x"] = z
-        s["n"] += 1
-        return {"vehicle_id": vehicle_id, "seq": seq, "us": us, "n": s["n"], "estimate": s["x"], "variance": s["p"]}
-
-    out = "vehicle_id string, seq long, us long, n long, estimate double, variance double"
-    line = by_vehicle_in_order(t.where("fuel > 0"), ("vehicle_id", "seq", "us", "fuel"), lambda: {"n": 0, "x": None, "p": p0}, one, out)
-    return line.groupBy("vehicle_id").agg(F.max_by(F.struct("n", "estimate", "variance"), "n").alias("e")).select("vehicle_id", "e.*")
+    """Last estimate of a plain Kalman filter over each vehicle's valid levels, and how many there are.
+
+    Gains follow from the number of a level alone, and what a level counts for shrinks with every gain after it: levels before the
+    last few hundred weigh less than a double can tell. So each vehicle's last levels are enough, of which tasks send no
+    more than those.
+    """
+    gains, variances, last = _gains(q, r, p0)
+    valid = t.where("fuel > 0").select("vehicle_id", "us", "seq", "fuel")
+    newest = Window.partitionBy("vehicle_id").orderBy(F.desc("us"), F.desc("seq"))
+    few = valid.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= last)
+    few = few.groupBy("vehicle_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("rn")).alias("place"), "fuel"))).alias("v"))
+    j = few.join(valid.groupBy("vehicle_id").agg(F.count("*").alias("n")), "vehicle_id")
+    steady = len(gains)
+    nth = lambda table, i: F.element_at(F.lit(table), F.least(i, F.lit(steady)).cast("int"))
+    # a level's number among all is n + 1 + its (negative) place
+    first = F.element_at("v", 1)["fuel"]
+    estimate = F.aggregate(F.slice("v", 2, last), first, lambda x, e: x + nth(gains, F.col("n") + 1 + e["place"]) * (e["fuel"] - x))
+    return j.select("vehicle_id", "n", estimate.alias("estimate"), nth(variances, F.col("n")).alias("variance"))
+
+
+def _gains(q: float, r: float, p0: float) -> tuple[list[float], list[float], int]:
+    """Gain and variance at the first, second, ... level until they stay, and how many levels weigh anything at the steady gain."""
+    gains, variances = [1.0], [p0]
+    while len(gains) < 10_000:
+        gain = (variances[-1] + q) / (variances[-1] + q + r)
+        gains.append(gain)
+        variances.append((1 - gain) * (variances[-1] + q))
+        if len(gains) > 2 and variances[-1] == variances[-2]:
+            break
+    return gains, variances, len(gains) + math.ceil(-40 / math.log(1 - gains[-1]))

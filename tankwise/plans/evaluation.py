@@ -111,7 +111,8 @@ def segment_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replay(W.steps(telemetry(spark, sf_dir, GAPPY)).drop("label"))
 
 
-def _model(spark: SparkSession, sf_dir: str):
+def trained(spark: SparkSession, sf_dir: str) -> forest.PipelineModel:
+    """A forest that learnt from the labelled points of most vehicles."""
     t = forest.held_out(V28.offline(P.labelled(telemetry(spark, sf_dir))))
     return forest.train(t.where("not held_out"), trees=60, depth=12)
 
@@ -119,13 +120,17 @@ def _model(spark: SparkSession, sf_dir: str):
 def causal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a forest that learnt from the labelled points of some vehicles says of the others' points as they come."""
     t = forest.held_out(telemetry(spark, sf_dir)).where("held_out")
-    return forest.predict_causal(_model(spark, sf_dir), t).select(*KEY, "state")
+    return forest.predict_causal(trained(spark, sf_dir), t).select(*KEY, "state")
 
 
 def predicted_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment with the model's states inside the causal step."""
+    return replayed_with(spark, sf_dir, trained(spark, sf_dir))
+
+
+def replayed_with(spark: SparkSession, sf_dir: str, model: forest.PipelineModel) -> DataFrame:
     t = S.resolve_capacity(W.steps(telemetry(spark, sf_dir, GAPPY)), vehicles(spark, sf_dir), F.lit(0.0))
-    return E.replay_predicted(_model(spark, sf_dir), t)
+    return E.replay_predicted(model, t)
 
 
 def segment_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:

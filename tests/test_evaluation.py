@@ -142,3 +142,39 @@ def test_rare_labels_are_repeated_in_training(spark):
     got = P.balanced(rows, "label", 8, capped=["B"], rare=["C"], least=25).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in got} == {"A": 10, "B": 8, "C": 25}
     assert P.balanced(rows, "label", 8).count() == 24
+
+
+def test_folds_of_long_lines_are_the_recursions(spark):
+    import random
+
+    from tankwise.operators import preparation, quality
+    from tankwise.operators import windows as W
+
+    r = random.Random(2)
+    rows, want = [], {}
+    for v, n in (("a", 1), ("b", 7), ("c", 1500), ("d", 200)):
+        at, x, p, k, period = 0, None, 9.0, 0, 5.0
+        for i in range(n):
+            gap = r.choice([0.1, 2.0, 7.5, 15.0, 40.0]) if i else 0
+            at += int(gap * 60_000_000)
+            z = r.choice([0.0, r.uniform(50, 200)]) if i else 100.0
+            rows.append((v, i, at, z))
+            if i and 0.25 <= gap <= 15:
+                period = 0.8 * period + 0.2 * gap
+            if z > 0:
+                gain = (p + 0.5) / (p + 12.5) if k else 1.0
+                x, p, k = (x + gain * (z - x), (1 - gain) * (p + 0.5), k + 1) if k else (z, p, 1)
+        want[v] = (k, pytest.approx(x, abs=1e-9), pytest.approx(p, abs=1e-12), pytest.approx(period, abs=1e-9))
+    t = spark.createDataFrame(rows, "vehicle_id string, seq long, us long, fuel double")
+    ends = {e.vehicle_id: (e.n, e.estimate, e.variance) for e in quality.kalman_end(t).collect()}
+    periods = {e.vehicle_id: e.period for e in preparation.learnt_period(W.steps(t)).collect()}
+    assert {v: (*ends[v], periods[v]) for v in want} == want
+
+
+def test_dropouts_end_within_six_hours_wherever_slots_begin(spark):
+    minute = 60_000_000
+    levels = [(0, 100), (359, 100), (361, 50), (700, 60), (721, 99), (722, 40), (1083, 99), (1084, 99)]
+    t = spark.createDataFrame([("v", i, int(m * minute), float(x)) for i, (m, x) in enumerate(levels)], "vehicle_id string, seq long, us long, fuel double")
+    got = offline.fill_dropouts(t).orderBy("seq").collect()
+    assert [r.dropout for r in got] == [None, None, "SENSOR_DROPOUT", "SENSOR_DROPOUT", None, None, None, None]  # 361 minutes are too many for the second
+    assert got[2].cleaned == pytest.approx(100 - 2 / 362) and len(t.columns) + 2 == len(got[0])

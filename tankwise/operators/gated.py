@@ -77,3 +77,33 @@ def gated_kalman(steps: DataFrame, capacity: float = 200.0) -> DataFrame:
 
     fresh = lambda: {"x": None, "p": VARIANCE, "far": 0, "side": 0}
     return by_vehicle_in_order(inputs(steps), INPUT, fresh, one, OUT, keys=2)
+
+
+# Measurement and process noise at rest and in use, and the share of a new level that is taken at once.
+REST, USE_R, USE_R_FAR, USE_Q, TAKEN = (45.0, 0.01), 12.0, 30.0, 0.08, 0.9
+
+
+def phased_kalman(t: DataFrame, rest_minutes: float = 30.0, shift_minutes: float = 45.0) -> DataFrame:
+    """(vehicle_id, seq, us, fuel, estimate): the illustrative filter whose gate opens by the clock of each vehicle.
+
+    At rest the level is nearly locked; in the shift that follows the first level is taken whole and others nearly so; after that
+    it is smoothed as in use, more where it is more than 2 litres off. Levels must be numbers: rows without one go.
+    """
+
+    def one(s: dict, point: tuple) -> dict:
+        vehicle_id, seq, us, z = point
+        if s["x"] is None:
+            s |= {"x": z, "first": us}
+        minutes = (us - s["first"]) / 60_000_000
+        if rest_minutes <= minutes <= shift_minutes:
+            s |= {"x": z if not s["shifted"] else TAKEN * z + (1 - TAKEN) * s["x"], "p": 1.0, "shifted": True}
+        else:
+            off = z - s["x"]
+            r, q = REST if minutes < rest_minutes else (USE_R_FAR if abs(off) > 2 else USE_R, USE_Q)
+            gain = (s["p"] + q) / (s["p"] + q + r)
+            s |= {"x": s["x"] + gain * off, "p": (1 - gain) * (s["p"] + q)}
+        return {"vehicle_id": vehicle_id, "seq": seq, "us": us, "fuel": z, "estimate": s["x"]}
+
+    known = t.where("fuel is not null and not isnan(fuel)")
+    fresh = lambda: {"x": None, "p": 1.0, "first": None, "shifted": False}
+    return by_vehicle_in_order(known, ("vehicle_id", "seq", "us", "fuel"), fresh, one, "vehicle_id string, seq long, us long, fuel double, estimate double")

@@ -30,6 +30,10 @@ def gated_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gated_kalman(W.steps(telemetry(spark, sf_dir, GAPPY))).select(*KEY, "segment_id", r6("estimate").alias("estimate"))
 
 
+def phased_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.phased_kalman(telemetry(spark, sf_dir, 2 * GAPPY)).select(*KEY, r6("estimate").alias("estimate"))
+
+
 def prepared_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     r4 = [(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("delta", "fuel_rate", "rolling_median", "rolling_std")]
     return R.prepared(telemetry(spark, sf_dir, GAPPY)).select(*KEY, "segment_id", "is_start", *r4, "rolling_count", "ready", "movement", "status", "quality_flag", "quality_reason")
@@ -170,7 +174,7 @@ def forest_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    gated_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, canonical_names, parsed_times, state_names, repaired_coordinates, central_times, nominal_period,
+    gated_kalman, phased_kalman, prepared_points, trend_evidence, gradual_override, canonical_states, canonical_names, parsed_times, state_names, repaired_coordinates, central_times, nominal_period,
       learnt_period, behaviour_checks, step_percentiles, active_contexts,
     vehicle_days, largest_rise, nearest_point, recent_window, recent_spikes, level_ring, segment_options, motion_speed, row_stamps, day_states, offline_features, forest_confusion,
 )}
@@ -225,6 +229,20 @@ PREPARED = f""", a0 as (
 
 ORACLES = {
     "gated_kalman": GATED,
+    "phased_kalman": recursive("""
+        , z as (
+          select vehicle_id, seq, fuel, (us - min(us) over (partition by vehicle_id)) / 60000000.0::double as m, row_number() over v as i from t window v as (partition by vehicle_id order by us, seq)
+        ), y as (
+          select *, case when m < 30 then 0 when m <= 45 then 1 else 2 end as phase, sum(case when m >= 30 and m <= 45 then 1 else 0 end) over (partition by vehicle_id order by i) as nth from z
+        ), f as (
+          select vehicle_id, seq, i, fuel as x, (1 - 1.01::double / 46.01::double) * 1.01::double as p from y where i = 1
+          union all
+          select y.vehicle_id, y.seq, y.i, case when y.phase = 1 then case when y.nth = 1 then y.fuel else 0.9::double * y.fuel + 0.1::double * f.x end else f.x + (f.p + q) / (f.p + q + r) * (y.fuel - f.x) end,
+            case when y.phase = 1 then 1.0::double else (1 - (f.p + q) / (f.p + q + r)) * (f.p + q) end
+          from (select f.*, case when y.phase = 0 then 0.01::double else 0.08::double end as q,
+            case when y.phase = 0 then 45.0::double when abs(y.fuel - f.x) > 2 then 30.0::double else 12.0::double end as r from f join y on y.vehicle_id = f.vehicle_id and y.i = f.i + 1) as f
+          join y on y.vehicle_id = f.vehicle_id and y.i = f.i + 1
+        ) select vehicle_id, seq, round(x, 6) + 0.0 as estimate from f""", d=80),
     "prepared_points": inline_haversine(sql("""
         select vehicle_id, seq, cast(segment_id as bigint) as segment_id, is_start, round(delta, 4) + 0.0 as delta, round(case when gap > 0 then delta / gap
           end, 4) + 0.0 as fuel_rate, round(rm, 4) + 0.0 as rolling_median, round(rs, 4) + 0.0 as rolling_std, rc as rolling_count, cast(rc >= 5 as int) as

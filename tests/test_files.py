@@ -121,3 +121,15 @@ def test_gated_filter_over_files(spark, tmp_path):
     S.enhance_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), kind="gated")
     got = spark.read.option("header", True).csv(str(tmp_path / "out")).selectExpr("cast(seq as int) as seq", "double(enhanced) as x").orderBy("seq").collect()
     assert [r.x for r in got][12:] == [100.0, 100.0, 200.0]
+
+
+def test_a_database_table_is_written_and_read_in_parts(spark, tmp_path):
+    url, more = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    try:
+        spark._jvm.java.lang.Class.forName(more["driver"])
+    except Exception:
+        pytest.skip("Spark's jars hold no database")
+    points = spark.range(50).selectExpr("id as seq", "cast(id as double) as fuel")
+    assert S.write_table(points, url, "points", mode="overwrite", **more) and S.write_table(points, url, "points", **more)
+    back = S.read_table(spark, url, "points", partitionColumn="seq", lowerBound="0", upperBound="50", numPartitions="4", **more)
+    assert back.count() == 100 and back.rdd.getNumPartitions() == 4 and back.agg({"fuel": "sum"}).first()[0] == 2450

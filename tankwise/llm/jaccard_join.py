@@ -16,7 +16,8 @@
 
 Defined cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five words
 make one shingle; a row without doc_id links with nothing and has no component; rows that share a doc_id are one node and
-link if any of them does; other columns are not looked at.
+link if any of them does; of equal sets, sizes and shingle counts (ties) the smallest id or hash comes first, so reruns agree;
+texts of any length are taken whole; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ with the greatest number of k-grams times share count, equal ones all; a span th
 
 Defined cases: a null text has no words; repeated rows are scanned once and each gets the result; a document without
 doc_id is scanned like others; without a match labels are empty strings, places null and the score 0; other columns are not
-looked at; an empty table gives no rows.
+looked at; texts of any length are scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

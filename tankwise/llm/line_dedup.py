@@ -8,7 +8,7 @@ of its ones; no text travels with the lines.
 
 Defined cases: a null text is one empty line; a document without doc_id neither counts nor loses lines; rows that share
 a doc_id are one document for the counts, each row keeping its own bitmap; other columns pass through apply_bitmaps, also
-with the names used here (n_lines and n_dropped are replaced); an empty table gives no rows.
+with the names used here (n_lines and n_dropped are replaced); texts and lines of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ quotas a shard. A source takes whole passes over its blocks and, in the last pas
 start; so what a document gives follows from its place in the stream alone, and no table of blocks is needed.
 
 Defined cases: a null text has size 0 and gives nothing; null is a source of its own, the last; identical rows are
-interchangeable; without any words every target is 0. The list of sources is configuration-sized and planned on the
+interchangeable; without any words every target is 0; columns besides doc_id, source and text are not looked at; texts of
+any length are counted whole and cut at block ends; an empty table gives no rows. The list of sources is configuration-sized and planned on the
 driver; more than max_sources is an error.
 """
 

@@ -14,7 +14,7 @@ Hosts keep their last label and get 12 keyed hexadecimal digits; initials become
 
 Defined cases: null and empty texts come back as they are; a text without entities too; repeated rows are treated alike;
 other columns pass through, also with the names used here (n_entities is replaced); an empty table gives no rows; a type
-whose forms run out (more entities than ten-digit numbers, say) is an error.
+whose forms run out (more entities than ten-digit numbers, say) is an error; texts of any length are searched whole.
 """
 
 from __future__ import annotations

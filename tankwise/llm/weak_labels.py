@@ -6,7 +6,9 @@ posterior of good for a pattern. Posterior labels of a bounded sample (sample_si
 hashes) train a logistic scorer on hashed byte pairs and triples of whole texts, which then scores every document.
 
 Defined cases: a null, empty or blank text is rejected (score 0); documents alike in text get the same score; with
-fewer than two classes in the sample the posterior of the document's votes decides; extra columns are not looked at.
+fewer than two classes in the sample the posterior of the document's votes decides; columns besides doc_id and text, of
+whatever names and types, are not looked at (keep_good passes them through); repeated rows, those with null text too,
+are judged alike and each kept or rejected; texts of any length are scored whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

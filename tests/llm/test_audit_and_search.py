@@ -197,3 +197,25 @@ def test_search_of_empty_tables(spark):
     docs, asked = spark.createDataFrame(rows, SEARCH), spark.createDataFrame(items, "item_id long, text string")
     assert lexical_search.search(docs.limit(0), asked).count() == 0 and lexical_search.search(docs, asked.limit(0)).count() == 0
     assert lexical_search.search(docs.withColumn("text", F.lit(None).cast("string")), asked).count() == 0
+
+
+def test_very_long_texts_and_lines_are_taken_whole(spark):
+    """A licence, an entity and a shared line at the end of two million words, and two such texts that differ in one word."""
+    from tankwise.llm import jaccard_join, license_scan, line_dedup, mixing, surrogates, weak_labels
+
+    r = random.Random(31)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
+    long = " ".join(r.choice(vocabulary) for _ in range(200_000))
+    line = "this very line of the text is in many of the documents"
+    tail = f"\nunder the MIT license, mail jo.doe@mail.example.com\n{line}"
+    rows = [(0, long + tail), (1, "x " + long + tail), *[(i, f"short text {i}\n{line}") for i in range(2, 7)]]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    found = {x.doc_id: x for x in license_scan.scan(docs).collect()}
+    assert found[0].base_labels == "mit" and found[0].first_word > 199_000
+    changed = {x.doc_id: x.text for x in surrogates.replace_entities(docs, "k").collect()}
+    assert changed[0].startswith(long) and "jo.doe" not in changed[0] and changed[0].endswith(line)
+    left = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs).collect()}
+    assert left[0] == (long + tail).rsplit("\n", 1)[0] and left[6].endswith(line) and not left[2].endswith(line)
+    assert {x.doc_id: x.component_id for x in jaccard_join.similar_components(docs.where("doc_id < 2")).collect()} == {0: 0, 1: 0}
+    assert {x.doc_id: x.size for x in mixing.mix(docs).collect()}[0] == len((long + tail).split())
+    assert weak_labels.classify(docs).count() == 7

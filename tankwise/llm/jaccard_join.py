@@ -2,10 +2,10 @@
 
 1. A pass over the texts makes for each document its set size, a 128-bit hash of the set, a few minimum hashes, an XOR
    bitmap of as many bits as its size band, and counts of shingles in 2^20 hash slots. Equal sets become one.
-2. Documents that share a minimum hash are compared with one of them, a star, not all pairs: at first with the smallest id.
-   Then, for a few rounds, those that are still of other components than most in their bucket are compared with two members
-   of its largest component, others each time. This joins most copies cheaply, also those that resemble each other only by
-   way of an original or of other copies; what it misses, step 3 finds.
+2. Documents that share half of their minimum hashes are compared with a few of their bucket, a star each, not all pairs: at
+   first with the smallest id, the smallest set (what documents share that consist of one passage and little else) and some
+   drawn by hash. Then, for a few rounds, with hubs of other components than their own: new draws, from the whole bucket
+   and from its largest component, and the smallest set of that. This joins most copies cheaply, also those that resemble each other only by way of an original or of other copies; what it misses, step 3 finds.
 3. Exact candidates of what may still be missed: each set has its rarest quarter (by slot count, then hash: one order for
    all). Shingles of it that one component holds alone are dropped by a Spark aggregation and a bitmap of the others, before
    entries are shuffled. The rest go to tiles by shingle, size band (their own and the next) and, where a shingle has many
@@ -37,8 +37,8 @@ from .wordhash import mix64, shingle_sets
 SLOT_BITS = 20
 SLOT_PARTS = 16
 MIN_HASHES = 6
-#: Rounds of stars.
-ROUNDS = 4
+#: Rounds of stars, members that are drawn as hubs of a bucket, and minimum hashes that a document shares with its hub.
+ROUNDS, HUBS, SHARED = 4, 6, 3
 ENTRIES_A_TILE = 80_000
 ID_BITS = 20
 MARK_BITS, MARK_PARTS = 27, 16
@@ -334,15 +334,20 @@ def _stars(sets: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFr
     spark = sets.sparkSession
     links, many, joined = None, 0, spark.createDataFrame([], "node long, component long")
     for r in range(ROUNDS):
-        of = sets.select("rep", "mins").join(joined, F.col("rep") == F.col("node"), "left")
-        keys = of.select("rep", F.coalesce("component", "rep").alias("comp"), F.explode("mins").alias("key"))
-        drawn = lambda n: F.min_by("rep", F.xxhash64(F.lit(2 * r + n), "key", "rep")) if r else F.min("rep")  # noqa: E731, B023
-        each = keys.groupBy("key", "comp").agg(F.count("*").alias("many"), drawn(0).alias("h0"), drawn(1).alias("h1"))
-        size = F.struct("many", F.xxhash64(F.lit(r), "comp")) if r else -F.col("h0")
-        largest = each.groupBy("key").agg(F.count("*").alias("comps"), F.max_by(F.struct("comp", "h0", "h1"), size).alias("top")).where("comps > 1")
+        of = sets.select("rep", "n", "mins").join(joined, F.col("rep") == F.col("node"), "left")
+        keys = of.select("rep", "n", "mins", F.coalesce("component", "rep").alias("comp"), F.explode("mins").alias("key"))
+        # draws: members with the least hashes, of a component and so of the bucket; the smallest set and, at first, the smallest id
+        draws = [F.min(F.struct(F.xxhash64(F.lit(HUBS * r + i), "key", "rep").alias("h"), "rep", "mins")).alias(f"d{i}") for i in range(HUBS)]
+        each = keys.groupBy("key", "comp").agg(F.count("*").alias("many"), F.min(F.struct("n", "rep", "mins")).alias("least"), F.min(F.struct("rep", "mins")).alias("first"), *draws)
+        hub = lambda h: F.struct("comp", F.col(f"{h}.rep").alias("hub"), F.col(f"{h}.mins").alias("hub_mins"))
+        in_largest = F.max_by(F.array(hub("least"), *[hub(f"d{i}") for i in range(HUBS // 2)]), F.struct("many", F.xxhash64(F.lit(r), "comp")))
+        in_bucket = [F.min_by(hub(f"d{i}"), f"d{i}.h") for i in range(HUBS // 2 if r else 0, HUBS)] + ([] if r else [F.min_by(hub("first"), "first.rep"), F.min_by(hub("least"), "least")])
+        chosen = each.groupBy("key").agg(F.count("*").alias("comps"), *([in_largest.alias("own")] if r else []), F.array(*in_bucket).alias("any")).where("comps > 1")
+        chosen = chosen.select("key", F.explode(F.array_distinct(F.concat("own", "any") if r else F.col("any"))).alias("h"))
         # written, so that the rows of a very common minimum hash are split over tasks when they are joined
-        hubs = table(largest.select("key", F.col("top.comp").alias("of"), F.array_distinct(F.array("top.h0", "top.h1")).alias("hubs")), "hubs")
-        stars = keys.join(hubs, "key").where("comp <> of").select(F.explode("hubs").alias("a"), F.col("rep").alias("b")).distinct()
+        hubs = table(chosen.select("key", F.col("h.comp").alias("of"), "h.hub", "h.hub_mins"), "hubs")
+        met = keys.join(hubs, "key").where((F.col("comp") != F.col("of")) & (F.size(F.array_intersect("mins", "hub_mins")) >= SHARED))
+        stars = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         found = table(_verified(stars, sets, texts, k), "links")
         drop_tables(hubs)
         fresh = found.count()
@@ -350,7 +355,7 @@ def _stars(sets: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFr
             break
         links, many = (found, fresh) if links is None else (links.unionByName(found), many + fresh)
         joined = table(components(links), "joined")
-        if fresh * 50 < many:
+        if fresh * 100 < many:
             break  # a further round would join next to nothing
     return links, joined
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tankwise.operators import forest, tracking
 from tankwise.operators.quality import scores
+from tankwise.operators.windows import rounded
 
 
 SEGMENT = ("vehicle_id", "segment_id")
@@ -39,7 +40,7 @@ def regression(actual: DataFrame, expected: DataFrame, key: list[str], a: str, e
 
 def provenance(segments: DataFrame, source: DataFrame) -> DataFrame:
     """Whether each segment (id, pos, first_row, time, fuel, speed) still equals its rows (row, time, fuel, speed) of the source."""
-    of = source.select(F.col("row").alias("s_row"), F.col("time").alias("s_time"), F.round("fuel", 2).alias("s_fuel"), F.round(F.coalesce("speed", F.lit(0.0)), 2).alias("s_speed"))
+    of = source.select(F.col("row").alias("s_row"), F.col("time").alias("s_time"), rounded("fuel", 2).alias("s_fuel"), rounded(F.coalesce("speed", F.lit(0.0)), 2).alias("s_speed"))
     j = segments.join(of, F.col("first_row") + F.col("pos") == F.col("s_row"), "left")
     same = F.col("time").eqNullSafe(F.col("s_time")) & (F.col("fuel") == F.col("s_fuel")) & (F.col("speed") == F.col("s_speed"))
     return j.groupBy("id").agg(F.count("*").alias("points"), F.sum(F.coalesce(same, F.lit(False)).cast("long")).alias("same"))

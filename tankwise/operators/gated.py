@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankwise.operators.tracking import by_vehicle_in_order
-from tankwise.operators.windows import rolling_std
+from tankwise.operators.windows import rolling_std, rounded
 
 # Noise of levels and process, first variance, lowest gate in litres and as a share of the capacity, points that confirm a shift.
 LEVEL_NOISE, PROCESS_NOISE, VARIANCE, GATE, GATE_SHARE, CONFIRM = 9.0, 0.2, 4.0, 5.0, 0.02, 3
@@ -26,7 +26,7 @@ def inputs(steps: DataFrame) -> DataFrame:
     gap = F.when(F.col("gap_min") > 0, F.col("gap_min")).otherwise(F.col("period"))
     seconds = F.greatest(F.coalesce("gap_min", "period"), F.lit(1.0)) * 60
     faster = F.coalesce(F.col("speed") - F.lag("speed").over(w), F.lit(0.0))
-    t = t.withColumns({"elapsed": F.sum(gap).over(w), "acceleration": faster / 3.6 / seconds, "noise": F.round(rolling_std(), 9)})
+    t = t.withColumns({"elapsed": F.sum(gap).over(w), "acceleration": faster / 3.6 / seconds, "noise": rounded(rolling_std(), 9)})
     before = F.last(F.when(F.col("fuel") > 0, F.col("elapsed")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return t.withColumn("periods", (F.col("elapsed") - before) / F.col("period"))
 

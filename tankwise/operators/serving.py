@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tankwise.operators import tracking
+from tankwise.operators.windows import rounded
 
 # The dictionary of signal states.
 SIGNAL_STATES = [("STABLE_JITTER", "Stable"), ("OSCILLATION_NOISE", "Oscillation"), ("GRADUAL_CHANGE", "Gradual change"), ("UPWARD_SHIFT", "Upward shift"), ("DOWNWARD_SHIFT", "Downward shift")]
@@ -135,7 +136,7 @@ def largest_rise(t: DataFrame, before: int = 30, after: int = 50) -> DataFrame:
     """Position of each vehicle's largest rise (the first of equal ones) and the range of positions to show around it."""
     w = Window.partitionBy("vehicle_id")
     line = w.orderBy("us", "seq")
-    t = t.withColumns({"jump": F.round(F.col("fuel") - F.lag("fuel").over(line), 6), "pos": F.row_number().over(line).cast("long") - 1, "n": F.count("*").over(w)})
+    t = t.withColumns({"jump": rounded(F.col("fuel") - F.lag("fuel").over(line), 6), "pos": F.row_number().over(line).cast("long") - 1, "n": F.count("*").over(w)})
     top = t.where("jump > 0").groupBy("vehicle_id").agg(F.max_by(F.struct("pos", "jump", "n"), F.struct("jump", -F.col("pos"))).alias("b"))
     return top.select("vehicle_id", F.col("b.pos").alias("at_pos"), F.col("b.jump").alias("jump"), F.greatest(F.lit(0), F.col("b.pos") - before).alias("start_pos"), F.least(F.col("b.n") - 1, F.col("b.pos") + after).alias("end_pos"))
 
@@ -160,9 +161,9 @@ def ring(t: DataFrame, size: int) -> DataFrame:
 def report(t: DataFrame) -> DataFrame:
     """The eleven columns of a vehicle's export in time order, from points with raw, clean, speed, lat, lng and address."""
     w = Window.partitionBy("vehicle_id").orderBy("us", "seq")
-    raw = F.round(F.coalesce("raw", F.lit(0.0)), 2)
-    t = t.withColumns({"no": F.row_number().over(w), "raw_liters": raw, "clean_liters": F.round(F.coalesce("clean", raw), 2)})
-    off = F.round(F.col("raw_liters") - F.col("clean_liters"), 2)
+    raw = rounded(F.coalesce("raw", F.lit(0.0)), 2)
+    t = t.withColumns({"no": F.row_number().over(w), "raw_liters": raw, "clean_liters": rounded(F.coalesce("clean", raw), 2)})
+    off = rounded(F.col("raw_liters") - F.col("clean_liters"), 2)
     return t.select(
         "no", "vehicle_id", "us", "raw_liters", "clean_liters", off.alias("noise_liters"), noise_band(F.abs(off)).alias("signal"), F.coalesce("speed", F.lit(0.0)).alias("speed_kmh"),
         F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lng", F.lit(0.0)).alias("lng"), F.coalesce("address", F.lit("")).alias("address"),

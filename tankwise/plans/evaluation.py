@@ -35,7 +35,7 @@ def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = F.round(F.col("fuel") - F.avg("fuel").over(W.by_vehicle().rowsBetween(-7, 0)), 6)
+    off = W.rounded(F.col("fuel") - F.avg("fuel").over(W.by_vehicle().rowsBetween(-7, 0)), 6)
     t = telemetry(spark, sf_dir).withColumn("kind", V.event_kind(off))
     return t.groupBy("vehicle_id", "kind").agg(F.count("*").alias("n"))
 
@@ -55,7 +55,7 @@ def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def axis_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = telemetry(spark, sf_dir).withColumn("clean", F.round(F.avg("fuel").over(W.by_vehicle().rowsBetween(-7, 0)), 2))
+    t = telemetry(spark, sf_dir).withColumn("clean", W.rounded(F.avg("fuel").over(W.by_vehicle().rowsBetween(-7, 0)), 2))
     return S.axis_bounds(t, ["fuel", "clean"])
 
 
@@ -77,7 +77,7 @@ def curve_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).withColumn("row", F.row_number().over(Window.partitionBy("vehicle_id").orderBy("us", "seq")) - 1)
     one = t.where("vehicle_id = 'V00001'").select("row", F.col("us").alias("time"), "fuel", "speed")
-    segments = one.select((F.col("row") / 12).cast("int").alias("id"), (F.col("row") % 12).alias("pos"), (F.col("row") - F.col("row") % 12).alias("first_row"), "time", F.round("fuel", 2).alias("fuel"), (F.round("speed", 2) + F.when(F.col("row") % 25 == 7, 1).otherwise(0)).alias("speed"))
+    segments = one.select((F.col("row") / 12).cast("int").alias("id"), (F.col("row") % 12).alias("pos"), (F.col("row") - F.col("row") % 12).alias("first_row"), "time", W.rounded("fuel", 2).alias("fuel"), (W.rounded("speed", 2) + F.when(F.col("row") % 25 == 7, 1).otherwise(0)).alias("speed"))
     return E.provenance(segments, one)
 
 
@@ -99,7 +99,7 @@ def label_following(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = S.resolve_capacity(telemetry(spark, sf_dir, GAPPY), vehicles(spark, sf_dir), F.lit(0.0))
-    return V28.causal(t).where("features is not null").select(*KEY, "epoch", *[(F.round(F.col("features")[n], 9) + F.lit(0.0)).alias(n) for n in V28.NAMES])
+    return V28.causal(t).where("features is not null").select(*KEY, "epoch", *[(W.rounded(F.col("features")[n], 9) + F.lit(0.0)).alias(n) for n in V28.NAMES])
 
 
 def enhanced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

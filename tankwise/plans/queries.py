@@ -17,7 +17,7 @@ r6 = W.r6
 
 
 def _r4(c: str | F.Column) -> F.Column:
-    return F.round(c, 4) + F.lit(0.0)
+    return W.rounded(c, 4) + F.lit(0.0)
 
 
 def segment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vehicle_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile(telemetry(spark, sf_dir)).select("vehicle_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("capacity", "sigma", "flat", "spike", "event")])
+    return P.profile(telemetry(spark, sf_dir)).select("vehicle_id", *[(W.rounded(c, 9) + F.lit(0.0)).alias(c) for c in ("capacity", "sigma", "flat", "spike", "event")])
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +153,11 @@ def vehicle_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).withColumn("noise", F.abs(F.col("fuel") - F.avg("fuel").over(W.by_vehicle().rowsBetween(-7, 0))))
-    return t.select(*KEY, (F.round("noise", 5) + F.lit(0.0)).alias("noise"), S.noise_band(F.col("noise")).alias("band"), S.speed_band(F.col("speed")).alias("speed_band"), (F.col("speed") <= 0.5).cast("int").alias("is_stopped"))
+    return t.select(*KEY, (W.rounded("noise", 5) + F.lit(0.0)).alias("noise"), S.noise_band(F.col("noise")).alias("band"), S.speed_band(F.col("speed")).alias("speed_band"), (F.col("speed") <= 0.5).cast("int").alias("is_stopped"))
 
 
 def motion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.motion(telemetry(spark, sf_dir, GAPPY)).select(*KEY, (F.round("displacement", 3) + F.lit(0.0)).alias("displacement"), "motion_state")
+    return W.motion(telemetry(spark, sf_dir, GAPPY)).select(*KEY, (W.rounded("displacement", 3) + F.lit(0.0)).alias("displacement"), "motion_state")
 
 
 def smooth_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:

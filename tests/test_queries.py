@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from compare import rows_of_spark, rows_of_sql
 
+from tankwise.operators.windows import rounded
 from tankwise.plans import evaluation, oracles, preparation, queries
 
 ORACLES, QUERIES = oracles.ORACLES | preparation.ORACLES | evaluation.ORACLES, queries.QUERIES | preparation.QUERIES | evaluation.QUERIES
@@ -20,3 +22,9 @@ def test_forest_agrees_with_the_labels_of_other_vehicles(spark):
 
 def test_queries_without_sql():
     assert set(QUERIES) - set(ORACLES) == {"smooth_tracking", "forest_confusion", "enhanced_levels", "segment_replay", "causal_states", "predicted_replay"}
+
+
+def test_halves_that_a_sum_missed_by_a_bit_round_as_in_sql(spark):
+    values = [11.913499999999999, 400.12499999999994, -11.913499999999999, 0.0, 2.675, 1e300, None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", *[rounded("x", n) for n in (2, 3, 6)]).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [duckdb.sql(f"select round(v, 2), round(v, 3), round(v, 6) from (select {'null' if v is None else repr(v)}::double as v)").fetchall()[0] for v in values]

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tankwise.operators import evaluation
 from tankwise.operators.quality import detrended_std
+from tankwise.operators.windows import rounded
 
 # The checks that a segment may ask for; the first seven are limits.
 AT_MOST = {"max_clean_span": "clean_range", "max_upward_step": "largest_rise", "max_final_lag_liters": "final_lag", "max_step_size": "largest_step"}
@@ -38,7 +39,7 @@ def segment_metrics(points: DataFrame, key: str = "id") -> DataFrame:
     line = Window.partitionBy(key).orderBy("pos")
     level = F.when((F.col("fuel") > 0) & (F.col("fuel") < float("inf")), F.col("fuel"))
     t = points.withColumns({"_was": F.lag("clean").over(line), "_raw": level}).withColumn("_i", F.when(F.col("_raw").isNotNull(), F.count("_raw").over(line)))
-    t = t.withColumns({"_rise": F.round(F.col("clean") - F.col("_was"), 6), "_valid": F.when(F.col("_raw").isNotNull(), F.col("clean"))})
+    t = t.withColumns({"_rise": rounded(F.col("clean") - F.col("_was"), 6), "_valid": F.when(F.col("_raw").isNotNull(), F.col("clean"))})
     span = lambda c: F.coalesce(F.max(c) - F.min(c), F.lit(0.0))
     first, last = (lambda c: F.min_by(c, "pos")), (lambda c: F.max_by(c, "pos"))
     deviation = lambda c: F.when(F.count(c) >= 2, F.stddev_pop(c)).otherwise(0.0)
@@ -53,17 +54,17 @@ def segment_metrics(points: DataFrame, key: str = "id") -> DataFrame:
         (first("clean") - last("clean")).alias("clean_drop"), F.first("checks").alias("_asked"), F.count_if(held & F.array_contains("checks.zero_dropout_indexes", F.col("pos"))).alias("_held"), F.collect_set("motion_state").alias("_states"),
     )
     asked = F.col("_asked")
-    checks = {n: F.round(c, 6) <= asked[n] for n, c in AT_MOST.items()} | {n: F.round(c, 6) >= asked[n] for n, c in AT_LEAST.items()}
+    checks = {n: rounded(c, 6) <= asked[n] for n, c in AT_MOST.items()} | {n: rounded(c, 6) >= asked[n] for n, c in AT_LEAST.items()}
     checks |= {"zero_dropout_indexes": F.col("_held") == F.size(F.array_distinct(asked["zero_dropout_indexes"])), "required_motion_states": F.size(F.array_except(asked["required_motion_states"], F.col("_states"))) == 0}
     m = m.withColumns({n: F.when(asked[n].isNotNull(), F.coalesce(c, F.lit(False))) for n, c in checks.items()})
     count = lambda c: sum((F.coalesce(c(F.col(n)).cast("long"), F.lit(0)) for n in CHECKS), F.lit(0).cast("long"))
-    reduction = F.when(F.round("raw_detrended_std", 6) > 0, 100 * (1 - F.col("clean_detrended_std") / F.col("raw_detrended_std"))).otherwise(0.0)
+    reduction = F.when(rounded("raw_detrended_std", 6) > 0, 100 * (1 - F.col("clean_detrended_std") / F.col("raw_detrended_std"))).otherwise(0.0)
     m = m.withColumns({
         "noise_reduction_percent": reduction, "spike_attenuation": F.greatest(F.lit(0.0), F.col("raw_range") - F.col("clean_range")), "stable_level_mae": F.when(F.col("raw_range") <= 1, F.col("_mae")),
         "checks_passed": count(lambda c: c), "checks_total": count(lambda c: c.isNotNull()),
     })
     places = {"noise_reduction_percent": 3, "raw_range": 3, "clean_range": 3, "spike_attenuation": 3, "downtrend_lag": 3} | dict.fromkeys(["raw_std", "clean_std", "raw_detrended_std", "clean_detrended_std", "stable_level_mae", "regression_mae"], 6)
-    return m.select(key, "review_status", "points", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in places.items()], "moving_upward_steps", *CHECKS, "checks_passed", "checks_total")
+    return m.select(key, "review_status", "points", *[(rounded(c, n) + F.lit(0.0)).alias(c) for c, n in places.items()], "moving_upward_steps", *CHECKS, "checks_passed", "checks_total")
 
 
 def summary(metrics: DataFrame, durations: DataFrame, model_type: str = "fallback_rules") -> DataFrame:

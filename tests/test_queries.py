@@ -2,6 +2,7 @@ import duckdb
 import pytest
 from compare import rows_of_spark, rows_of_sql
 
+from tankwise.operators.feature_vector import _deviation
 from tankwise.operators.windows import rounded
 from tankwise.plans import evaluation, oracles, preparation, queries
 
@@ -28,3 +29,10 @@ def test_halves_that_a_sum_missed_by_a_bit_round_as_in_sql(spark):
     values = [11.913499999999999, 400.12499999999994, -11.913499999999999, 0.0, 2.675, 1e300, None]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", *[rounded("x", n) for n in (2, 3, 6)]).collect()
     assert [tuple(r)[1:] for r in sorted(got)] == [duckdb.sql(f"select round(v, 2), round(v, 3), round(v, 6) from (select {'null' if v is None else repr(v)}::double as v)").fetchall()[0] for v in values]
+
+
+def test_deviation_has_the_bits_of_the_sql(spark):
+    """Levels whose deviation ends in a half of the ninth decimal or nearly so round alike only if the last bits agree."""
+    levels = [[round(400 + (i * 7919 + j * j * 104729) % 6007 / 100, 2) for j in range(2 + i % 12)] for i in range(400)]
+    got = spark.createDataFrame(list(enumerate(levels)), "i int, v array<double>").select("i", _deviation("v")).collect()
+    assert [r[1] for r in sorted(got)] == [x for (x,) in duckdb.sql(f"select list_aggregate(v, 'stddev_pop') from (select unnest({levels}::double[][]) as v)").fetchall()]

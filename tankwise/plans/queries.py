@@ -162,7 +162,7 @@ def motion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def smooth_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.lit(0.0)
-    t = S.resolve_capacity(telemetry(spark, sf_dir, DENSE), vehicles(spark, sf_dir), asked).select("vehicle_id", "seq", "us", "fuel", "speed", "lat", "lng", "capacity")
+    t = S.resolve_capacity(telemetry(spark, sf_dir, DENSE, whole=True), vehicles(spark, sf_dir, whole=True), asked).select("vehicle_id", "seq", "us", "fuel", "speed", "lat", "lng", "capacity")
     return T.track(t)
 
 

@@ -36,3 +36,12 @@ def test_deviation_has_the_bits_of_the_sql(spark):
     levels = [[round(400 + (i * 7919 + j * j * 104729) % 6007 / 100, 2) for j in range(2 + i % 12)] for i in range(400)]
     got = spark.createDataFrame(list(enumerate(levels)), "i int, v array<double>").select("i", _deviation("v")).collect()
     assert [r[1] for r in sorted(got)] == [x for (x,) in duckdb.sql(f"select list_aggregate(v, 'stddev_pop') from (select unnest({levels}::double[][]) as v)").fetchall()]
+
+
+def test_tracking_takes_each_point_once_with_its_own_vehicle(spark, tmp_path):
+    """Numbers that agree in their first five digits are several vehicles, and a point of one has one row of master data."""
+    users = [12345, 123451, 123452, 1234567]
+    duckdb.sql(f"copy (select i as event_id, timestamp '2024-01-01' + to_minutes(i) as ts, (list_value{tuple(users)})[i % 4 + 1]::bigint as user_id, 'view' as event_type, 1.0 as value, '{{\"k\": 50}}' as props from range(40) as r(i)) to '{tmp_path}/events.parquet'")
+    duckdb.sql(f"copy (select unnest({users})::bigint as c_custkey, 'c' as c_name, 1 as c_nationkey) to '{tmp_path}/customer.parquet'")
+    got = QUERIES["smooth_tracking"](spark, str(tmp_path)).groupBy("vehicle_id").count().collect()
+    assert {r.vehicle_id: r["count"] for r in got} == {f"V{u}": 10 for u in users}

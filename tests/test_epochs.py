@@ -165,3 +165,16 @@ def test_a_model_that_cannot_be_loaded_falls_back(spark, tmp_path, model):
     broken, facts = M.load(spark, str(tmp_path / "none"))
     states = column(M.predict_causal(broken, t), "state")
     assert broken is None and "error" in facts and set(states) <= {"UNINITIALIZED", "INIT", "STABLE_JITTER"} and states.count("INIT") == 1
+
+
+def test_past_levels_of_disturbed_points(spark):
+    """The twelve valid levels before each point of its epoch, however many others lie between, and their noise, by hand."""
+    levels = [0.0 if i % 3 == 2 or 20 <= i < 40 else 100.0 + (i * 37) % 11 for i in range(60)]
+    t = spark.createDataFrame([("v", i, i * 60_000_000, x) for i, x in enumerate(levels)], "vehicle_id string, seq long, us long, fuel double")
+    out = W.valid_history(t, 12).withColumn("noise", W.robust_noise())
+    for r in out.collect():
+        past = [x for x in levels[: r.seq] if x > 0][-12:]
+        d = [b - a for a, b in zip(past, past[1:], strict=False)]
+        assert r.past == past and r.noise == pytest.approx(max(0.5, 1.4826 * statistics.median(abs(x - statistics.median(d)) for x in d)) if len(past) >= 3 else 0.5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "filter(" not in plan  # levels come in order, nothing is sorted out again

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -178,3 +179,16 @@ def test_dropouts_end_within_six_hours_wherever_slots_begin(spark):
     got = offline.fill_dropouts(t).orderBy("seq").collect()
     assert [r.dropout for r in got] == [None, None, "SENSOR_DROPOUT", "SENSOR_DROPOUT", None, None, None, None]  # 361 minutes are too many for the second
     assert got[2].cleaned == pytest.approx(100 - 2 / 362) and len(t.columns) + 2 == len(got[0])
+
+
+def test_balanced_rows_are_the_smallest_hashes(spark):
+    """By brute force, with the labels computed twice only: once for the counts, once for the rows."""
+    rows = spark.range(20_000).selectExpr("concat('v', id % 7) as vehicle_id", "id as seq", "id as us", "case when id % 500 = 1 then 'C' when id % 2 = 0 then 'A' else 'B' end as label")
+    got = P.balanced(rows, "label", 300, capped=["A"], rare=["C"], least=150)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+    by_label = {}
+    for r in sorted(rows.collect(), key=lambda r: hashlib.md5(f"{r.vehicle_id}|{r.seq}".encode()).hexdigest()):
+        by_label.setdefault(r.label, []).append(r.seq)
+    c = by_label["C"]
+    want = [("A", s, 1) for s in by_label["A"][:300]] + [("B", s, 1) for s in by_label["B"]] + [("C", s, k + 1) for i, s in enumerate(c) for k in range(150 // len(c) + (i < 150 % len(c)))]
+    assert sorted((r.label, r.seq, r.copy) for r in got.collect()) == sorted(want)

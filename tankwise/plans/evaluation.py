@@ -103,23 +103,23 @@ def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enhanced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = P.labelled(telemetry(spark, sf_dir)).withColumn("segment_id", F.col("segment_id").cast("string"))
+    t = P.labelled(telemetry(spark, sf_dir, whole=True)).withColumn("segment_id", F.col("segment_id").cast("string"))
     return A.enhance(t.withColumnsRenamed({"flat": "jitter", "sigma": "noise", "std12": "rolling_std"}))
 
 
 def segment_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.replay(W.steps(telemetry(spark, sf_dir, GAPPY)).drop("label"))
+    return E.replay(W.steps(telemetry(spark, sf_dir, GAPPY, whole=True)).drop("label"))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> forest.PipelineModel:
     """A forest that learnt from the labelled points of most vehicles."""
-    t = forest.held_out(V28.offline(P.labelled(telemetry(spark, sf_dir))))
+    t = forest.held_out(V28.offline(P.labelled(telemetry(spark, sf_dir, whole=True))))
     return forest.train(t.where("not held_out"), trees=60, depth=12)
 
 
 def causal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a forest that learnt from the labelled points of some vehicles says of the others' points as they come."""
-    t = forest.held_out(telemetry(spark, sf_dir)).where("held_out")
+    t = forest.held_out(telemetry(spark, sf_dir, whole=True)).where("held_out")
     return forest.predict_causal(trained(spark, sf_dir), t).select(*KEY, "state")
 
 
@@ -129,7 +129,7 @@ def predicted_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replayed_with(spark: SparkSession, sf_dir: str, model: forest.PipelineModel) -> DataFrame:
-    t = S.resolve_capacity(W.steps(telemetry(spark, sf_dir, GAPPY)), vehicles(spark, sf_dir), F.lit(0.0))
+    t = S.resolve_capacity(W.steps(telemetry(spark, sf_dir, GAPPY, whole=True)), vehicles(spark, sf_dir, whole=True), F.lit(0.0))
     return E.replay_predicted(model, t)
 
 

@@ -41,7 +41,8 @@ MIN_HASHES = 6
 ROUNDS, HUBS, SHARED = 4, 6, 3
 ENTRIES_A_TILE = 80_000
 ID_BITS = 20
-MARK_BITS, MARK_PARTS = 27, 16
+#: The bitmap of shared shingles has MARKS_EACH bits for each of them or more, 2 ** MARK_BITS at most.
+MARK_BITS, MARK_PARTS, MARKS_EACH = 27, 16, 32
 HOT_ENTRIES = 20_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, MIN_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _U = np.uint64
@@ -157,7 +158,7 @@ def _mark(size: int):
 
 
 def _marks(slots: DataFrame, n_bits: int) -> np.ndarray:
-    """A bitmap of a fixed 2 ** n_bits bits with the slots (column slot) of the rows set."""
+    """A bitmap of 2 ** n_bits bits with the slots (column slot) of the rows set."""
     size = (1 << n_bits) // MARK_PARTS
     rows = slots.selectExpr(f"cast(slot div {size} as int) as part", f"slot % {size} as slot")
     out = np.zeros((MARK_PARTS, size // 8), np.uint8)
@@ -182,6 +183,11 @@ def _cells(h: np.ndarray, ids: np.ndarray, size: np.ndarray, blocks: np.ndarray)
     return which, mix64(h[which] ^ mix64(cell.astype(_U) * _U(0x100000000) + pair.astype(_U)))
 
 
+def _mark_bits(n: int) -> int:
+    """Of the bitmap of n shared shingles: what the driver gathers and sends follows n and stays within 16 MB."""
+    return min(MARK_BITS, max(16, (MARKS_EACH * n).bit_length()))
+
+
 def _prefixes(levels, marks, hot, tiles: int, k: int):
     """Tiles' entries: (tile, groups, ids, components, sizes, places in the prefix), each a packed array.
 
@@ -191,6 +197,7 @@ def _prefixes(levels, marks, hot, tiles: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value.astype(np.uint64) << _U(56)
         bits, (hot_h, hot_blocks) = marks.value, hot.value
+        last = _U(8 * len(bits) - 1)
         held, many = [], 0
 
         def out() -> pa.RecordBatch:
@@ -206,7 +213,7 @@ def _prefixes(levels, marks, hot, tiles: int, k: int):
             for doc_id, comp, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k), strict=True):
                 if n := len(h):
                     first = _first(level, h)
-                    slot = (first & _U((1 << MARK_BITS) - 1)).astype(np.int64)
+                    slot = (first & last).astype(np.int64)
                     place = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
                     first, p = first[place], len(place)
                     blocks = np.ones(p, np.int64)
@@ -325,6 +332,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> Da
 
     held = texts.select("doc_id", "text", slot).mapInArrow(some, "doc_id long, text string")
     held = table(held.join(ids, "doc_id"), "texts")
+    wanted.destroy()
     both = left.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_similar(k), "a long, b long")
 
@@ -383,11 +391,13 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     hot = np.array([r["h"] for r in many], np.int64).astype(_U), np.array([r["blocks"] for r in many], np.int64)
     order = np.argsort(hot[0])
     hot = spark.sparkContext.broadcast((hot[0][order], hot[1][order]))
-    marks = spark.sparkContext.broadcast(_marks(shared.select(F.col("h").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("slot")), MARK_BITS))
-    entries = shared.agg(F.sum(F.expr("2 * many * blocks"))).first()[0] or 0
-    tiles = max(12, entries // ENTRIES_A_TILE)
+    n_shared, entries = shared.agg(F.count("*"), F.sum(F.expr("2 * many * blocks"))).first()
+    n_bits, tiles = _mark_bits(n_shared), max(12, (entries or 0) // ENTRIES_A_TILE)
+    marks = spark.sparkContext.broadcast(_marks(shared.select(F.col("h").bitwiseAND(F.lit((1 << n_bits) - 1)).alias("slot")), n_bits))
     spread = left.mapInArrow(_prefixes(levels, marks, hot, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary")
     pairs = table(spread.repartition(tiles, "tile").sortWithinPartitions("tile").mapInArrow(_pairs, "a long, b long"), "pairs").distinct()
+    for sent in (levels, hot, marks):  # the tables that need them are written
+        sent.destroy()
     more = table(_verified(pairs, sets, texts, k), "links")
     copies = each.where("n > 0 and doc_id is not null").join(sets.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = components(reduce(DataFrame.unionByName, [links, more, copies]))

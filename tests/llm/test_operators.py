@@ -488,6 +488,19 @@ def test_jaccard(docs, empty):
     assert jaccard_join.similar_components(empty).count() == 0
 
 
+def test_jaccard_bitmap_follows_the_shared_shingles(docs, monkeypatch):
+    """A small table sends the driver a small bitmap of shared shingles, and a crowded bitmap loses no link."""
+    sizes, marks = [], jaccard_join._marks
+    monkeypatch.setattr(jaccard_join, "_marks", lambda slots, n_bits: sizes.append(len(out := marks(slots, n_bits))) or out)
+    run = lambda: sorted((tuple(r) for r in jaccard_join.similar_components(docs).collect()), key=repr)
+    whole = run()
+    assert max(sizes) <= 1 << 17
+    monkeypatch.setattr(jaccard_join, "_mark_bits", lambda n: 7)
+    assert run() == whole and 16 in sizes
+    monkeypatch.undo()
+    assert [jaccard_join._mark_bits(n) for n in (0, 1 << 15, 1 << 20, 1 << 30)] == [16, 21, 26, 27]
+
+
 def test_jaccard_groups_are_by_size_band_and_pairs_of_blocks():
     n = 3000
     ids, size = np.arange(n), np.random.default_rng(6).integers(1, 400, n)

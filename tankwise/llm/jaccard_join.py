@@ -12,7 +12,8 @@
    entries, pair of blocks of documents; in a tile, documents of a group that differ in component and in size by no more than
    0.75 allows are pairs. Two sets that similar must share a shingle there, so no link between components is lost.
 4. Bit counts bound the overlap of a pair from above, (n + m - bits that differ) / 2, before the exact intersection of
-   sorted arrays.
+   sorted arrays: for stars before they become pairs, in tiles already there for the documents of a crowded shingle, so that a
+   group of copies that resemble each other, but too little, does not leave its tile as the square of its size.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five words
 make one shingle; a row without doc_id links with nothing and has no component; rows that share a doc_id are one node and
@@ -39,11 +40,15 @@ SLOT_PARTS = 16
 MIN_HASHES = 6
 #: Rounds of stars, members that are drawn as hubs of a bucket, and minimum hashes that a document shares with its hub.
 ROUNDS, HUBS, SHARED = 4, 6, 3
+#: Rounds end when one finds less than this part of the links before; tiles find the rest.
+ENOUGH = 20
 ENTRIES_A_TILE = 80_000
 ID_BITS = 20
 #: The bitmap of shared shingles has MARKS_EACH bits for each of them or more, 2 ** MARK_BITS at most.
 MARK_BITS, MARK_PARTS, MARKS_EACH = 27, 16, 32
 HOT_ENTRIES = 20_000
+#: Documents of a shingle with so many entries or more are sent to its tile with a bitmap of CROWD_WORDS times 64 bits.
+CROWD, CROWD_WORDS = 64, 4
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**62, MIN_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _U = np.uint64
 
@@ -188,33 +193,42 @@ def _mark_bits(n: int) -> int:
     return min(MARK_BITS, max(16, (MARKS_EACH * n).bit_length()))
 
 
-def _prefixes(levels, marks, hot, tiles: int, k: int):
-    """Tiles' entries: (tile, groups, ids, components, sizes, places in the prefix), each a packed array.
+def _words(h: np.ndarray) -> np.ndarray:
+    """XOR bitmap of a set in CROWD_WORDS 64-bit words, whatever its size."""
+    bits = 64 * CROWD_WORDS
+    return np.packbits(np.bincount((h & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.uint64)
 
-    marks: bitmap of the slots of shared shingles; hot: hashes in order and numbers of blocks of the hot ones.
+
+def _prefixes(levels, marks, crowded, hot, tiles: int, k: int):
+    """Tiles' entries: (tile, groups, ids, components, sizes, places in the prefix), each a packed array, and with them ids and
+    bitmaps of the documents that have an entry of a crowded shingle there; the places of such entries are inverted (~place).
+
+    marks, crowded: bitmaps of the slots of shared and of crowded shingles; hot: hashes in order and numbers of blocks of the hot ones.
     """
+    within = lambda bits, h: bits[(slot := (h & _U(8 * len(bits) - 1)).astype(np.int64)) >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value.astype(np.uint64) << _U(56)
-        bits, (hot_h, hot_blocks) = marks.value, hot.value
-        last = _U(8 * len(bits) - 1)
-        held, many = [], 0
+        hot_h, hot_blocks = hot.value
+        held, words, many = [], [], 0
 
         def out() -> pa.RecordBatch:
-            h, ids, comp, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, ids, comp, size, place, doc, crowd = (np.concatenate(x) for x in zip(*held, strict=True))
             tile = ((h >> _U(32)) % _U(tiles)).astype(np.int64)
             order = np.argsort(tile, kind="stable")
             at = np.flatnonzero(np.diff(tile[order], prepend=-1, append=tiles))
             cuts = list(zip(at[:-1], at[1:], strict=True))
             pack = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in cuts], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(tile[order[at[:-1]]], pa.int32()), pack(h), pack(ids), pack(comp - ids), pack(size), pack(place)], ["tile", "h", "ids", "comp", "size", "place"])
+            met = [np.unique(doc[order[a:b]][crowd[order[a:b]]]) for a, b in cuts]
+            own, bits = np.array([i for i, _ in words], np.int64), np.stack([w for _, w in words])
+            sent = [pa.array([x[m].tobytes() for m in met], pa.binary()) for x in (own, bits)]
+            return pa.RecordBatch.from_arrays([pa.array(tile[order[at[:-1]]], pa.int32()), pack(h), pack(ids), pack(comp - ids), pack(size), pack(np.where(crowd, ~place, place)), *sent], ["tile", "h", "ids", "comp", "size", "place", "crowd", "words"])
 
         for batch in batches:
             for doc_id, comp, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k), strict=True):
                 if n := len(h):
                     first = _first(level, h)
-                    slot = (first & last).astype(np.int64)
-                    place = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                    place = np.flatnonzero(within(marks.value, first))
                     first, p = first[place], len(place)
                     blocks = np.ones(p, np.int64)
                     if len(hot_h) and p:
@@ -223,34 +237,53 @@ def _prefixes(levels, marks, hot, tiles: int, k: int):
                     which, group = _cells(first, np.full(p, doc_id, np.int64), np.full(p, n, np.int64), blocks)
                     q = len(which)
                     if q:
-                        held.append((group, np.full(q, doc_id, np.int64), np.full(q, comp, np.int64), np.full(q, n, np.int32), place[which].astype(np.int32)))
+                        held.append((group, np.full(q, doc_id, np.int64), np.full(q, comp, np.int64), np.full(q, n, np.int32), place[which].astype(np.int32), np.full(q, len(words), np.int32), within(crowded.value, first[which]).astype(bool)))
+                        words.append((doc_id, _words(h)))
                     many += q
                 if many > 1_000_000:
                     yield out()
-                    held, many = [], 0
+                    held, words, many = [], [], 0
         if held:
             yield out()
 
     return run
 
 
-def _tile_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+def _told_once(ids: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids in order and their bitmaps, without ids that have several: rows that share a doc_id may hold different texts."""
+    ids, at, which = np.unique(ids, return_index=True, return_inverse=True)
+    same = np.ones(len(ids), bool)
+    same[which[(words != words[at][which]).any(axis=1)]] = False
+    return ids[same], words[at[same]]
+
+
+def _tile_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray, crowd: np.ndarray, words: np.ndarray) -> Iterator[np.ndarray]:
     """Pairs of ids (smaller size first) of a tile that may be similar, as rows of two.
 
-    Similar sets of n and m members share 3 / 7 (n + m) at least, so at their first common shingle each has as many left.
+    Similar sets of n and m members share 3 / 7 (n + m) at least, so at their first common shingle each has as many left. Where
+    documents of a crowded group have one bitmap (ids crowd in order, words), bits that differ bound what a pair shares.
     """
+    crowded, place = place < 0, np.maximum(place, ~place)
     order = np.lexsort((ids, size, h))
-    h, ids, comp, size, left = h[order], ids[order], comp[order], size[order].astype(np.int64), (size - place)[order].astype(np.int64)
+    h, ids, comp, size, left, crowded = h[order], ids[order], comp[order], size[order].astype(np.int64), (size - place)[order].astype(np.int64), crowded[order]
     cuts = np.flatnonzero(np.diff(h, prepend=h[0] + _U(1), append=h[-1] + _U(1)))
     lo, hi = np.minimum.reduceat(comp, cuts[:-1]), np.maximum.reduceat(comp, cuts[:-1])
     for k in np.flatnonzero(lo != hi):
         a, b = int(cuts[k]), int(cuts[k + 1])
         n, c, own, rest = size[a:b], comp[a:b], ids[a:b], left[a:b]
         last = np.searchsorted(n, n * 4 // 3, "right")  # partners of i: i + 1 to last[i], by size
+        bits = None
+        if len(crowd) and crowded[a:b].all():
+            at = np.minimum(np.searchsorted(crowd, own), len(crowd) - 1)
+            bits, open_ = words[at], crowd[at] != own
         for i in np.flatnonzero((last > np.arange(1, b - a + 1)) & (7 * rest >= 6 * n)):
             to = slice(i + 1, last[i])
             need = 3 * (n[i] + n[to])
-            to = own[to][(c[to] != c[i]) & (7 * rest[i] >= need) & (7 * rest[to] >= need)]
+            may = (c[to] != c[i]) & (7 * rest[i] >= need) & (7 * rest[to] >= need)
+            if bits is not None:
+                differ = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                may &= open_[i] | open_[to] | (7 * ((n[i] + n[to] - differ) // 2) >= need)
+            to = own[to][may]
             if len(to):
                 yield np.stack([np.full(len(to), own[i]), to], axis=1)
 
@@ -259,14 +292,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tile, held = None, []
 
     def out() -> Iterator[pa.RecordBatch]:
-        h, ids, comp, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, ids, comp, size, place, crowd, words = (np.concatenate(x) for x in zip(*held, strict=True))
+        crowd, words = _told_once(crowd, words.reshape(-1, CROWD_WORDS))
         found, many = [], 0
 
         def batch() -> pa.RecordBatch:
             x = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-        for x in _tile_pairs(h, ids, comp + ids, size, place):
+        for x in _tile_pairs(h, ids, comp + ids, size, place, crowd, words):
             found.append(x)
             many += len(x)
             if many > 500_000:
@@ -279,22 +313,23 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch()
 
     for batch in batches:
-        for t, *x in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+        for t, *x in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
             if t != tile and held:
                 yield from out()
                 held = []
             tile = t
-            held.append([np.frombuffer(v, d) for v, d in zip(x, (np.uint64, np.int64, np.int64, np.int32, np.int32), strict=True)])
+            held.append([np.frombuffer(v, d) for v, d in zip(x, (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int64, np.uint64), strict=True)])
     if held:
         yield from out()
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bit counts allow the overlap."""
+    """Pairs (a, b) of rows (a, b, sizes, bitmaps) whose bit counts allow the overlap."""
     for batch in batches:
         a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
-        keep = [4 * min(p, q, (p + q - _differ(v, w)) // 2) >= 3 * (p + q - min(p, q, (p + q - _differ(v, w)) // 2)) for p, q, v, w in zip(n, m, x, y, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([v for v, k in zip(a, keep, strict=True) if k], [v for v, k in zip(b, keep, strict=True) if k])], ["a", "b"])
+        both = [min(p, q, (p + q - _differ(v, w)) // 2) for p, q, v, w in zip(n, m, x, y, strict=True)]
+        keep = pa.array([4 * o >= 3 * (p + q - o) for o, p, q in zip(both, n, m, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(keep) for c in (a, b)], ["a", "b"])
 
 
 def _similar(k: int):
@@ -315,12 +350,9 @@ def _similar(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by bit counts, then by whole texts."""
-    spark = pairs.sparkSession
-    own = lambda s: sets.selectExpr(f"rep as {s}", f"n as n_{s}", f"bitmap as bitmap_{s}")
-    left = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
-    left = table(left.mapInArrow(_bounded, "a long, b long"), "bounded")
+def _verified(left: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) of a written table that are similar, by whole texts."""
+    spark = left.sparkSession
     ids = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).alias("slot")
     wanted = spark.sparkContext.broadcast(_marks(ids.select(slot), ID_BITS))
@@ -337,35 +369,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(_similar(k), "a long, b long")
 
 
-def _stars(sets: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) found by rounds of stars, and their components (node, component)."""
-    spark = sets.sparkSession
-    links, many, joined = None, 0, spark.createDataFrame([], "node long, component long")
+def _hubs(keys: DataFrame, r: int) -> DataFrame:
+    """(key, of, hub): members of the buckets that hold several components, and their components, for round r of stars."""
+    # draws: members with the least hashes, of a component and so of the bucket; the smallest set and, at first, the smallest id
+    draws = [F.min(F.struct(F.xxhash64(F.lit(HUBS * r + i), "key", "rep").alias("h"), "rep")).alias(f"d{i}") for i in range(HUBS)]
+    each = keys.groupBy("key", "comp").agg(F.count("*").alias("many"), F.min(F.struct("n", "rep")).alias("least"), F.min(F.struct("rep")).alias("first"), *draws)
+    hub = lambda h: F.struct("comp", F.col(f"{h}.rep").alias("hub"))
+    in_largest = F.max_by(F.array(hub("least"), *[hub(f"d{i}") for i in range(HUBS // 2)]), F.struct("many", F.xxhash64(F.lit(r), "comp")))
+    in_bucket = [F.min_by(hub(f"d{i}"), f"d{i}.h") for i in range(HUBS // 2 if r else 0, HUBS)] + ([] if r else [F.min_by(hub("first"), "first.rep"), F.min_by(hub("least"), "least")])
+    chosen = each.groupBy("key").agg(F.count("*").alias("comps"), *([in_largest.alias("own")] if r else []), F.array(*in_bucket).alias("any")).where("comps > 1")
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.concat("own", "any") if r else F.col("any"))).alias("h"))
+    return chosen.select("key", F.col("h.comp").alias("of"), "h.hub")
+
+
+def _stars(sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Components (node, component) of the links that rounds of stars find."""
+    many, joined = 0, sets.sparkSession.createDataFrame([], "node long, component long")
     for r in range(ROUNDS):
-        of = sets.select("rep", "n", "mins").join(joined, F.col("rep") == F.col("node"), "left")
-        keys = of.select("rep", "n", "mins", F.coalesce("component", "rep").alias("comp"), F.explode("mins").alias("key"))
-        # draws: members with the least hashes, of a component and so of the bucket; the smallest set and, at first, the smallest id
-        draws = [F.min(F.struct(F.xxhash64(F.lit(HUBS * r + i), "key", "rep").alias("h"), "rep", "mins")).alias(f"d{i}") for i in range(HUBS)]
-        each = keys.groupBy("key", "comp").agg(F.count("*").alias("many"), F.min(F.struct("n", "rep", "mins")).alias("least"), F.min(F.struct("rep", "mins")).alias("first"), *draws)
-        hub = lambda h: F.struct("comp", F.col(f"{h}.rep").alias("hub"), F.col(f"{h}.mins").alias("hub_mins"))
-        in_largest = F.max_by(F.array(hub("least"), *[hub(f"d{i}") for i in range(HUBS // 2)]), F.struct("many", F.xxhash64(F.lit(r), "comp")))
-        in_bucket = [F.min_by(hub(f"d{i}"), f"d{i}.h") for i in range(HUBS // 2 if r else 0, HUBS)] + ([] if r else [F.min_by(hub("first"), "first.rep"), F.min_by(hub("least"), "least")])
-        chosen = each.groupBy("key").agg(F.count("*").alias("comps"), *([in_largest.alias("own")] if r else []), F.array(*in_bucket).alias("any")).where("comps > 1")
-        chosen = chosen.select("key", F.explode(F.array_distinct(F.concat("own", "any") if r else F.col("any"))).alias("h"))
+        of = sets.select("rep", "n", "mins", "bitmap").join(joined, F.col("rep") == F.col("node"), "left")
+        keys = of.select("rep", "n", "mins", "bitmap", F.coalesce("component", "rep").alias("comp"), F.explode("mins").alias("key"))
         # written, so that the rows of a very common minimum hash are split over tasks when they are joined
-        hubs = table(chosen.select("key", F.col("h.comp").alias("of"), "h.hub", "h.hub_mins"), "hubs")
-        met = keys.join(hubs, "key").where((F.col("comp") != F.col("of")) & (F.size(F.array_intersect("mins", "hub_mins")) >= SHARED))
-        stars = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        found = table(_verified(stars, sets, texts, k), "links")
+        own = sets.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("mins").alias("hub_mins"), F.col("bitmap").alias("hub_bitmap"))
+        hubs = table(_hubs(keys, r).join(own, "hub"), "hubs")
+        sizes = 4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n")
+        met = keys.join(hubs, "key").where((F.col("comp") != F.col("of")) & sizes & (F.size(F.array_intersect("mins", "hub_mins")) >= SHARED))
+        stars = met.select(F.col("hub").alias("a"), F.col("rep").alias("b"), "hub_n", "n", "hub_bitmap", "bitmap").mapInArrow(_bounded, "a long, b long").distinct()
+        found = table(_verified(table(stars, "bounded"), texts, k), "links")
         drop_tables(hubs)
         fresh = found.count()
         if r and not fresh:
             break
-        links, many = (found, fresh) if links is None else (links.unionByName(found), many + fresh)
-        joined = table(components(links), "joined")
-        if fresh * 100 < many:
-            break  # a further round would join next to nothing
-    return links, joined
+        many += fresh
+        # the components so far stand for the links that made them
+        joined = table(components(found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))), "joined")
+        if fresh * ENOUGH < many:
+            break  # a further round would join little
+    return joined
 
 
 def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRIES) -> DataFrame:
@@ -379,7 +418,7 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     sketch = table(docs.mapInArrow(_sketches(k), _SKETCH), "sketch")
     each = sketch.where("part is null")
     sets = table(each.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bitmap").alias("bitmap")), "sets")
-    links, joined = _stars(sets, texts, k)
+    joined = _stars(sets, texts, k)
     labels = sets.select(F.col("rep").alias("doc_id")).join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     # exact candidates between components
     levels = spark.sparkContext.broadcast(_levels(sketch))
@@ -394,12 +433,17 @@ def similar_components(docs: DataFrame, k: int = 5, hot_entries: int = HOT_ENTRI
     n_shared, entries = shared.agg(F.count("*"), F.sum(F.expr("2 * many * blocks"))).first()
     n_bits, tiles = _mark_bits(n_shared), max(12, (entries or 0) // ENTRIES_A_TILE)
     marks = spark.sparkContext.broadcast(_marks(shared.select(F.col("h").bitwiseAND(F.lit((1 << n_bits) - 1)).alias("slot")), n_bits))
-    spread = left.mapInArrow(_prefixes(levels, marks, hot, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary")
+    crowds = shared.where(F.col("many") >= CROWD)
+    c_bits = _mark_bits(crowds.count())
+    crowded = spark.sparkContext.broadcast(_marks(crowds.select(F.col("h").bitwiseAND(F.lit((1 << c_bits) - 1)).alias("slot")), c_bits))
+    spread = left.mapInArrow(_prefixes(levels, marks, crowded, hot, tiles, k), "tile int, h binary, ids binary, comp binary, size binary, place binary, crowd binary, words binary")
     pairs = table(spread.repartition(tiles, "tile").sortWithinPartitions("tile").mapInArrow(_pairs, "a long, b long"), "pairs").distinct()
-    for sent in (levels, hot, marks):  # the tables that need them are written
+    for sent in (levels, hot, marks, crowded):  # the tables that need them are written
         sent.destroy()
-    more = table(_verified(pairs, sets, texts, k), "links")
+    own = lambda s: sets.selectExpr(f"rep as {s}", f"n as n_{s}", f"bitmap as bitmap_{s}")
+    pairs = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(_bounded, "a long, b long")
+    more = table(_verified(table(pairs, "bounded"), texts, k), "links")
     copies = each.where("n > 0 and doc_id is not null").join(sets.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    whole = components(reduce(DataFrame.unionByName, [links, more, copies]))
+    whole = components(reduce(DataFrame.unionByName, [joined.select(F.col("node").alias("a"), F.col("component").alias("b")), more, copies]))
     out = each.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

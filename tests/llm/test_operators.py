@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tankwise.llm import jaccard_join, kd_shards, license_scan, line_dedup, mixing, near_vectors, perplexity, piece_fst, surrogates, weak_labels
+from tankwise.llm import common, jaccard_join, kd_shards, license_scan, line_dedup, mixing, near_vectors, perplexity, piece_fst, surrogates, weak_labels
 from tankwise.llm.queries import PIECES
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -535,6 +535,57 @@ def test_jaccard_hot_shingles(spark):
     assert sorted((x["doc_id"], x["component_id"]) for x in got) == list(enumerate(root))
 
 
+def crowd_texts():
+    """A passage changed in four places or, in a few texts, one: most of the first resemble each other by 0.61 only; some share an id."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for i in range(240):
+        w = list(base)
+        for at in r.sample(range(3, 147, 7), 4 if i % 40 else 1):
+            w[at] = f"x{i}-{at}"
+        out.append((i if i % 20 else 5, " ".join(w)))
+    return out
+
+
+def test_jaccard_crowd_does_not_leave_its_tile_in_pairs(spark, monkeypatch):
+    texts, counts, write = crowd_texts(), {}, jaccard_join.table
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = out.distinct().count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "table", counted)
+    none = lambda sets, *_: sets.sparkSession.createDataFrame([], "node long, component long")
+    monkeypatch.setattr(jaccard_join, "_stars", none)  # so that tiles find all links
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in jaccard_join.similar_components(docs).select("doc_id", "component_id").collect())
+    sets = [(i, shingles(t)) for i, t in texts]
+    root = {i: i for i, _ in sets}
+    links = [(i, j) for i, a in sets for j, b in sets if 4 * len(a & b) >= 3 * len(a | b)]
+    for _ in range(6):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert got == sorted((i, root[i]) for i, _ in texts) and len(set(root.values())) > 1
+    assert len({(i, j) for i, j in links if i < j}) <= counts["pairs"] < 4000  # 240 texts make 28 680 pairs
+
+
+def test_jaccard_bitmaps_of_an_id_with_two_texts_are_not_used():
+    ids, words = np.array([7, 3, 7, 3, 9]), np.array([[1, 0], [2, 0], [1, 0], [2, 5], [4, 4]], np.uint64)
+    own, bits = jaccard_join._told_once(ids, words)
+    assert own.tolist() == [7, 9] and bits.tolist() == [[1, 0], [4, 4]]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    made, write = [], common.table
+    monkeypatch.setattr(common, "table", lambda df, name: made.append(name) or write(df, name))
+    of = lambda edges: {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert of([(9, 1), (1, 8), (5, 4), (4, 4)]) == {1: 1, 8: 1, 9: 1, 4: 4, 5: 4} and made == ["edges"]
+    assert of([(i, i + 1) for i in range(40)] + [(60, 50), (60, 55)]) == dict.fromkeys(range(41), 0) | dict.fromkeys((50, 55, 60), 50)
+    assert of([(3, 3)]) == {}
+
+
 def test_mixing(docs, empty):
     rows, again = (sorted((tuple(r) for r in mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=repr) for _ in range(2))
     assert rows == again and len(rows) == len(corpus())

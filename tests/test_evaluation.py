@@ -192,3 +192,16 @@ def test_balanced_rows_are_the_smallest_hashes(spark):
     c = by_label["C"]
     want = [("A", s, 1) for s in by_label["A"][:300]] + [("B", s, 1) for s in by_label["B"]] + [("C", s, k + 1) for i, s in enumerate(c) for k in range(150 // len(c) + (i < 150 % len(c)))]
     assert sorted((r.label, r.seq, r.copy) for r in got.collect()) == sorted(want)
+
+
+def test_training_rows_of_a_label_are_cut_before_they_meet(spark):
+    """The most rows that one task reads: those up to the limit and of one head of hashes, not those that each task could send."""
+    n, limit, sc = 100_000, 20_000, spark.sparkContext
+    t = spark.range(0, n, 1, 4).selectExpr("concat('v', id % 7) as vehicle_id", "id as seq", "id as us", "'STABLE_JITTER' as label", "named_struct('FuelLevel', id / 2D) as features")
+    sc.setJobGroup("training rows", "")
+    assert M.training_rows(t, limit).count() == limit
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for job in sc.statusTracker().getJobIdsForGroup("training rows") for s in sc.statusTracker().getJobInfo(job).stageIds}
+    tasks = [x for s in stages for x in [sc._jsc.sc().statusStore().taskList(s, 0, 1000)]]
+    read = [x.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for x in tasks for i in range(x.size()) if x.apply(i).taskMetrics().isDefined()]
+    assert limit <= max(read) <= limit + 4 * n // 16**P.HEAD

@@ -98,8 +98,8 @@ def label_following(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.resolve_capacity(telemetry(spark, sf_dir, GAPPY), vehicles(spark, sf_dir), F.lit(0.0))
-    return V28.causal(t).where("features is not null").select(*KEY, "epoch", *[(W.rounded(F.col("features")[n], 9) + F.lit(0.0)).alias(n) for n in V28.NAMES])
+    master = F.when(F.col("capacity_liters") != 850, F.col("capacity_liters"))
+    return V28.causal_by_capacity(telemetry(spark, sf_dir, GAPPY), vehicles(spark, sf_dir).select("vehicle_id", master.alias("capacity")), 9)
 
 
 def enhanced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,31 @@ def test_tracking_takes_each_point_once_with_its_own_vehicle(spark, tmp_path):
     duckdb.sql(f"copy (select unnest({users})::bigint as c_custkey, 'c' as c_name, 1 as c_nationkey) to '{tmp_path}/customer.parquet'")
     got = QUERIES["smooth_tracking"](spark, str(tmp_path)).groupBy("vehicle_id").count().collect()
     assert {r.vehicle_id: r["count"] for r in got} == {f"V{u}": 10 for u in users}
+
+
+def _cut_ids(path, keys):
+    """Points of two vehicles, one with a dropout first and a long gap, and customers with these keys."""
+    kinds = "['error', 'purchase', 'view', 'click', 'view', 'signup']"
+    duckdb.sql(f"copy (select i as event_id, timestamp '2024-01-01' + to_hours(i + i // 30 * 40) as ts, case when i % 2 = 0 then 12346 else 4 end::bigint as user_id, {kinds}[1 + i // 2 % 6] as event_type, 1.0 as value, '{{\"k\": ' || (i * 37 % 100 + case when i = 0 then 3 else 0 end) || '}}' as props from range(90) as r(i)) to '{path}/events.parquet'")
+    duckdb.sql(f"copy (select unnest({keys})::bigint as c_custkey, 'c' as c_name, 1 as c_nationkey) to '{path}/customer.parquet'")
+    return str(path)
+
+
+def test_online_features_where_customers_share_a_cut_id(spark, tmp_path):
+    """Gaps and motion are those of points, not of their copies; with one capacity for all copies the SQL leaves no order open."""
+    for n in (2, 5, 17):
+        keys = [k for k in range(1234600, 1234700) if k % 5 == 0 or k % 7 == 0][:n]  # no capacity, or 850 for none
+        sf = tmp_path / str(n)
+        sf.mkdir()
+        df = QUERIES["online_features"](spark, _cut_ids(sf, keys))
+        got = rows_of_spark(df)
+        assert len(got) > 44 * n and got == rows_of_sql(str(sf), ORACLES["online_features"], df.columns)
+
+
+def test_online_features_of_copies_with_different_capacities(spark, tmp_path):
+    """Which of a point's copies comes first is open in the SQL; all that does not follow from the capacity is the same."""
+    sf = _cut_ids(tmp_path, [4, 12346, 123461, 123462, 123463])
+    free = [n for n in QUERIES["online_features"](spark, sf).columns if n not in ("FuelPct", "DeltaPct", "DeltaOverNoise", "RollingStdPct", "capacity_est", "noise_sigma_liters", "flat_jitter_threshold", "spike_threshold", "event_threshold")]
+    df = QUERIES["online_features"](spark, sf).select(*free)
+    assert rows_of_spark(df) == rows_of_sql(sf, f"select {', '.join(free)} from ({ORACLES['online_features']})", free)
+    assert {r[0] for r in QUERIES["online_features"](spark, sf).where("vehicle_id = 'V12346' and seq > 10").groupBy("seq").agg({"capacity_est": "count"}).select("count(capacity_est)").distinct().collect()} == {4}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import threading
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tankwise.operators import evaluation
-from tankwise.operators.quality import detrended_std
 from tankwise.operators.windows import rounded
 
 # The checks that a segment may ask for; the first seven are limits.
@@ -32,22 +34,81 @@ def replayed(segments: DataFrame) -> DataFrame:
     return segments.join(out, ["id", "pos"])
 
 
+class Line:
+    """Deviations of values y at places x, taken in one pass as they come: the operations of the SQL, so they agree to the last bit."""
+
+    def __init__(self) -> None:
+        self.n, self.x, self.y, self.xx, self.yy, self.xy = 0, 0.0, 0.0, 0.0, 0.0, 0.0
+
+    def add(self, y: float, x: float) -> None:
+        self.n += 1
+        dx, dy = x - self.x, y - self.y
+        self.x += dx / self.n
+        self.y += dy / self.n
+        self.xx += (x - self.x) * dx
+        self.yy += (y - self.y) * dy
+        self.xy += (y - self.y) * dx
+
+    def deviation(self) -> float:
+        """Population deviation; 0 below two values."""
+        return math.sqrt(self.yy / self.n) if self.n > 1 else 0.0
+
+    def around(self) -> float:
+        """Population deviation around the least-squares line; 0 below three values."""
+        if self.n < 3:
+            return 0.0
+        both = self.deviation() * math.sqrt(self.xx / self.n)
+        along = self.xy / self.n / both if both else 0.0
+        left = 1 - along * along
+        return self.deviation() * math.sqrt(0.0 if left < 0 else left)
+
+
+# What with_deviations() adds.
+DEVIATIONS = ("raw_std", "clean_std", "raw_detrended_std", "clean_detrended_std")
+
+
+def with_deviations(t: DataFrame, key: str) -> DataFrame:
+    """t (key, pos, _raw, clean, _end: the last point of its key) with the deviations of _raw, of clean, and of both around their
+    lines over the numbers of the points with _raw, at each last point, null at others. Points stream by; only sums are held.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raws, cleans, pairs = Line(), Line(), Line()
+        for batch in batches:
+            found = []
+            for raw, clean, end in zip(*[batch.column(n).to_pylist() for n in ("_raw", "clean", "_end")], strict=True):
+                if raw is not None:
+                    raws.add(raw, raws.n + 1.0)
+                if clean is not None:
+                    cleans.add(clean, 0.0)
+                if raw is not None and clean is not None:
+                    pairs.add(clean, float(raws.n))
+                found.append((raws.deviation(), cleans.deviation(), raws.around(), pairs.around()) if end else (None,) * 4)
+                if end:
+                    raws, cleans, pairs = Line(), Line(), Line()
+            added = [pa.array(list(c), pa.float64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.float64())] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *DEVIATIONS])
+
+    schema = t.schema
+    for n in DEVIATIONS:
+        schema = schema.add(n, "double")
+    return t.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(each, schema)
+
+
 def segment_metrics(points: DataFrame, key: str = "id") -> DataFrame:
     """One row for each segment of points (key, pos, fuel, clean, expected, motion_state, quality_flag, review_status, checks as
     settings() gives them): metrics, the nine checks (null: not asked for), and how many were asked for and passed.
     """
     line = Window.partitionBy(key).orderBy("pos")
     level = F.when((F.col("fuel") > 0) & (F.col("fuel") < float("inf")), F.col("fuel"))
-    t = points.withColumns({"_was": F.lag("clean").over(line), "_raw": level}).withColumn("_i", F.when(F.col("_raw").isNotNull(), F.count("_raw").over(line)))
-    t = t.withColumns({"_rise": rounded(F.col("clean") - F.col("_was"), 6), "_valid": F.when(F.col("_raw").isNotNull(), F.col("clean"))})
+    t = points.select(key, "pos", "fuel", "clean", "expected", "motion_state", "quality_flag", "review_status", "checks", F.lag("clean").over(line).alias("_was"), level.alias("_raw"), F.lead("pos").over(line).isNull().alias("_end"))
+    t = with_deviations(t, key).withColumns({"_rise": rounded(F.col("clean") - F.col("_was"), 6), "_valid": F.when(F.col("_raw").isNotNull(), F.col("clean"))})
     span = lambda c: F.coalesce(F.max(c) - F.min(c), F.lit(0.0))
     first, last = (lambda c: F.min_by(c, "pos")), (lambda c: F.max_by(c, "pos"))
-    deviation = lambda c: F.when(F.count(c) >= 2, F.stddev_pop(c)).otherwise(0.0)
-    around = lambda c: F.when(F.count(c) >= 3, detrended_std("_i", c)).otherwise(0.0)
     held = (F.col("quality_flag") == "ZERO_DROPOUT_HELD") & F.col("clean").eqNullSafe(F.col("_was"))
     lag = last("clean") - last("fuel")
     m = t.groupBy(key).agg(
-        F.first("review_status").alias("review_status"), F.count("*").alias("points"), deviation("_raw").alias("raw_std"), deviation("clean").alias("clean_std"), around("_raw").alias("raw_detrended_std"), around("_valid").alias("clean_detrended_std"),
+        F.first("review_status").alias("review_status"), F.count("*").alias("points"), *[F.max(n).alias(n) for n in DEVIATIONS],
         span("_raw").alias("raw_range"), span("clean").alias("clean_range"), F.avg(F.abs(F.col("_valid") - F.col("_raw"))).alias("_mae"), F.when(first("fuel") - last("fuel") >= 2, F.greatest(lag, F.lit(0.0))).alias("downtrend_lag"),
         F.count_if((F.col("motion_state") == "MOVING") & (F.col("_rise") > 0.01)).alias("moving_upward_steps"), F.avg(F.abs(F.col("clean") - F.coalesce("expected", "clean"))).alias("regression_mae"),
         F.coalesce(F.max("_rise"), F.lit(0.0)).alias("largest_rise"), F.coalesce(F.max(F.abs("_rise")), F.lit(0.0)).alias("largest_step"), lag.alias("final_lag"), F.min("clean").alias("least_clean"), (F.min("clean") - F.min("fuel")).alias("valley"),

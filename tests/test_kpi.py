@@ -4,6 +4,7 @@ import json
 import math
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,21 @@ def test_latency_comes_from_the_progress_of_a_query(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sum(n for _, n in listener.batches) == 50 and listener.durations(spark).count() == 50
+
+
+def test_deviations_around_a_line_have_the_bits_of_the_sql(spark):
+    """Nearly straight lines leave almost nothing, so the last bits of the sums decide the noise reduction."""
+    cases = [[399.67, 354.67, 309.67], [346.31, 406.29, 466.27], [0.0, 579.12, 578.8, 578.49], [0.0, 506.19, 505.91, 505.62], [100.0], [80.0, 80.0, 80.0], [0.0, 0.0]]
+    cases += [[round(400 - 0.3 * i + (i * 7919 + j * 104729) % 97 / 100, 2) for i in range(3 + j % 9)] for j in range(60)]
+    last = lambda v, i: v[max(0, i - 7) : i + 1]
+    clean = lambda v, i: sum(last(v, i)) / len(last(v, i)) if v[i] else (v[i - 1] if i else None)
+    rows = [(f"s{j}", i, x, clean(v, i), None, "MOVING", "VALID", None, None) for j, v in enumerate(cases) for i, x in enumerate(v)]
+    points = spark.createDataFrame(rows, f"id string, pos int, fuel double, clean double, expected double, motion_state string, quality_flag string, review_status string, checks struct<{K.SETTINGS.replace(' double', ':double').replace(' array', ':array')}>")
+    got = {r[0]: tuple(r)[1:] for r in K.segment_metrics(points).select("id", "raw_std", "clean_std", "raw_detrended_std", "clean_detrended_std", "noise_reduction_percent").collect()}
+    values = ", ".join(f"('{i}', {pos}, {fuel}::double, {'null' if c is None else repr(c)}::double)" for i, pos, fuel, c, *_ in rows)
+    around = lambda y: f"case when count({y}) >= 3 then stddev_pop({y}) * sqrt(greatest(0, 1 - coalesce(case when stddev_pop({y}) > 0 then regr_r2({y}, i) end, 0))) else 0 end"
+    want = duckdb.sql(f"""select id, round(rs, 6), round(cs, 6), round(rd, 6), round(cd, 6), round(case when round(rd, 6) > 0 then 100 * (1 - cd / rd) else 0 end, 3) + 0.0 from (
+        select id, coalesce(stddev_pop(raw), 0) as rs, coalesce(stddev_pop(clean), 0) as cs, {around('raw')} as rd, {around('valid')} as cd from (
+          select *, case when fuel > 0 then fuel end as raw, case when fuel > 0 then clean end as valid, case when fuel > 0 then sum(case when fuel > 0 then 1 else 0 end) over (partition by id order by pos) end as i
+          from (values {values}) as t(id, pos, fuel, clean)) group by id)""").fetchall()
+    assert got == {r[0]: r[1:] for r in want}

@@ -3,7 +3,7 @@ import pytest
 from compare import rows_of_spark, rows_of_sql
 
 from tankwise.operators.feature_vector import _deviation
-from tankwise.operators.windows import rounded
+from tankwise.operators.windows import library_haversine, rounded
 from tankwise.plans import evaluation, oracles, preparation, queries
 
 ORACLES, QUERIES = oracles.ORACLES | preparation.ORACLES | evaluation.ORACLES, queries.QUERIES | preparation.QUERIES | evaluation.QUERIES
@@ -73,3 +73,12 @@ def test_online_features_of_copies_with_different_capacities(spark, tmp_path):
     df = QUERIES["online_features"](spark, sf).select(*free)
     assert rows_of_spark(df) == rows_of_sql(sf, f"select {', '.join(free)} from ({ORACLES['online_features']})", free)
     assert {r[0] for r in QUERIES["online_features"](spark, sf).where("vehicle_id = 'V12346' and seq > 10").groupBy("seq").agg({"capacity_est": "count"}).select("count(capacity_est)").distinct().collect()} == {4}
+
+
+def test_distances_have_the_bits_of_the_sql(spark):
+    ends = [(21 + i * 7919 % 50021 / 1e6, 105 + i * 104729 % 90000007 / 1e6, i * 31 % 8009 / 1e6, i * 37 % 8011 / 1e6) for i in range(20000)]
+    rows = [(i, a, b, round(a + c, 6), round(b + d, 6)) for i, (a, b, c, d) in enumerate(ends)] + [(20000, None, 105.0, 21.0, 105.0), (20001, 21.0, 105.0, 21.0, 105.0)]
+    t = spark.createDataFrame(rows, "i int, a double, b double, c double, d double")
+    got = [r[1] for r in sorted(t.select("i", library_haversine(*[t[n] for n in "abcd"])).collect())]
+    values = ", ".join(str(r).replace("None", "null") for r in rows)
+    assert got == [x for (x,) in duckdb.sql(oracles.inline_haversine(f"select hav(a, b, c, d) from (select i, a::double as a, b::double as b, c::double as c, d::double as d from (values {values}) as v(i, a, b, c, d)) order by i")).fetchall()]
